@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import quality_rules
 from tidemark.llm.common import table
 from tidemark.llm.simhash import simhash_components
 
@@ -14,9 +15,16 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_dedup": op1_simhash_dedup}
+    return {
+        "op1_simhash_dedup": op1_simhash_dedup,
+        "op8_quality_rules": op8_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_quality_rules": quality_rules.SQL}
