@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, quality_rules
+from tidemark.llm import licenses, quality_rules, secrets
 from tidemark.llm.common import table
 from tidemark.llm.simhash import simhash_components
 
@@ -19,6 +19,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -27,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
         "op4_license_scan": op4_license_scan,
+        "op5_secret_scan": op5_secret_scan,
         "op8_quality_rules": op8_quality_rules,
     }
 
