@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, quality_rules, secrets
+from tidemark.llm import licenses, quality_rules, secrets, warc
 from tidemark.llm.common import table
 from tidemark.llm.simhash import simhash_components
 
@@ -27,14 +27,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
         "op4_license_scan": op4_license_scan,
         "op5_secret_scan": op5_secret_scan,
         "op8_quality_rules": op8_quality_rules,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.SQL}
+    return {"op8_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL}
