@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, quality_rules, secrets, warc
+from tidemark.llm import bpe, licenses, quality_rules, secrets, warc
 from tidemark.llm.common import table
 from tidemark.llm.simhash import simhash_components
 
@@ -23,6 +24,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.summary(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -36,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_dedup": op1_simhash_dedup,
         "op4_license_scan": op4_license_scan,
         "op5_secret_scan": op5_secret_scan,
+        "op6_byte_bpe": op6_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
         "op10_warc": op10_warc,
     }
