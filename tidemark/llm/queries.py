@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, licenses, quality_rules, secrets, warc
+from tidemark.llm import bpe, licenses, packing, quality_rules, secrets, warc
 from tidemark.llm.common import table
 from tidemark.llm.simhash import simhash_components
 
@@ -33,6 +33,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
+        "op9_best_fit_packing": op9_best_fit_packing,
         "op10_warc": op10_warc,
     }
 
