@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, licenses, packing, quality_rules, secrets, warc
+from tidemark.llm import bpe, chat, licenses, packing, quality_rules, secrets, warc
 from tidemark.llm.common import table
 from tidemark.llm.simhash import simhash_components
 
@@ -29,6 +29,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.summary(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.union(probe)))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -47,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scan": op4_license_scan,
         "op5_secret_scan": op5_secret_scan,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_chat_format": op7_chat_format,
         "op8_quality_rules": op8_quality_rules,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_warc": op10_warc,
