@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, licenses, packing, quality_rules, secrets, warc
+from tidemark.llm import bpe, chat, licenses, line_crf, packing, quality_rules, secrets, warc
 from tidemark.llm.common import table
 from tidemark.llm.simhash import simhash_components
 
@@ -16,6 +16,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -51,6 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_license_scan": op4_license_scan,
         "op5_secret_scan": op5_secret_scan,
         "op6_byte_bpe": op6_byte_bpe,
