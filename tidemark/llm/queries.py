@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import bpe, chat, licenses, line_crf, packing, quality_rules, secrets, warc
 from tidemark.llm.common import table
 from tidemark.llm.simhash import simhash_components
+from tidemark.llm.vector_graph import vector_components
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_components(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
+        "op2_vector_dedup": op2_vector_dedup,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_license_scan": op4_license_scan,
         "op5_secret_scan": op5_secret_scan,
