@@ -12,18 +12,18 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import words_of
+from tidemark.llm.bpe import encoding
 from tidemark.llm.common import materialize
 
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
 #: Pieces that one window sorts, about.
 RANKED_TOGETHER = 200_000
 
@@ -108,40 +108,47 @@ def plan(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
     return runs
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+@lru_cache(1)
+def tokenizer(path: str, ranks_path: str | None, pattern: str | None) -> Callable[[str], list[int]]:
+    """Ids of a text by the tokenizer file, without added special tokens.
+
+    A rank file of the same vocabulary is a faster way to the same ids for
+    texts that hold none of the tokenizer's special strings.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(path)
+    if ranks_path is None:
+        return lambda text: full.encode(text, add_special_tokens=False).ids
+    fast, special = encoding(ranks_path, pattern).encode_ordinary, [t.content for t in full.get_added_tokens_decoder().values()]
+    return lambda text: full.encode(text, add_special_tokens=False).ids if any(x in text for x in special) else fast(text)
+
+
+def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None, pattern: str | None, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every whole text and its end id."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        known: dict[str, bytes] = {}
-        end = end_id.to_bytes(4, "little")
+        encode = tokenizer(tokenizer_path, ranks_path, pattern)
         for batch in batches:
             rows, keys = [], []
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                words = words_of(text or "")
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                    known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-                ids = b"".join([*map(known.__getitem__, words), end])
-                if len(known) > REMEMBERED:
-                    known.clear()
-                n = len(ids) // 4
+            for at in range(batch.num_rows):
+                ids = array("I", encode(batch.column(1)[at].as_py() or ""))
+                ids.append(end_id)
+                n = len(ids)
                 first = n % capacity or min(n, capacity)
                 cuts = [0, *range(first, n, capacity), n]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     keys.append(at)
-                    rows.append((k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                    rows.append((k, a, b - a, zlib.crc32(ids[a:b])))
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), columns[0].cast(pa.int32()), *columns[1:]], ["id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece of the end id. Only texts of over
@@ -149,7 +156,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     and null ids keep a piece each. An empty table gives no row.
     """
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    cut = materialize(pieces(docs, tokenizer_path, ranks_path, pattern, capacity, end_id, id_col, text_col), "pieces")
     lengths = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
     salts = max(16, -(-max(lengths.values(), default=0) // RANKED_TOGETHER))
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "start"), F.lit(salts)))

@@ -12,6 +12,9 @@ from tidemark.llm.common import table
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.vector_graph import vector_components
 
+#: A tokenizer file, the same vocabulary as ranks, and its splitting pattern.
+PACKING_VOCABULARY = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
@@ -50,7 +53,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), *PACKING_VOCABULARY)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
