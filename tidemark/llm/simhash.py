@@ -242,7 +242,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, shingles array<long>")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 10, blocks: int = 8, match: int = 2) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 11, blocks: int = 8, match: int = 2) -> DataFrame:
     """(id, component_id): groups of copies and of near copies by shingles.
 
     SimHash proposes links, closest first; a link counts if the Jaccard
