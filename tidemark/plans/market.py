@@ -162,7 +162,7 @@ QUERIES = {
     "rsi_sma": _columns("rsi", rsi=lambda: ind.rsi(D["rsi"])),
     "rsi_wilder": rsi_wilder,
     "bollinger": _columns("bb", bb_lower=lambda: ind.bollinger(20, 2.0), bb_upper=lambda: ind.bollinger(20, 2.0, 1)),
-    "vwap": _columns("vwap", vwap=lambda: ind.vwap(20)),
+    "vwap": _columns("vwap", vwap=lambda: F.round(ind.vwap(20) + 1e-9, 4)),
     "prev_high": _columns("high", prev_high=lambda: ind.previous_max(20)),
     "prev_volume": _columns("volume", prev_volume=lambda: ind.previous_mean(20)),
     "avg_value": _columns("value", avg_value=lambda: ind.average_value(20)),
@@ -258,7 +258,7 @@ SQL = {
 r AS (SELECT ticker, date, rn, u, d FROM o WHERE rn = 1 UNION ALL SELECT o.ticker, o.date, o.rn, {1 - 1 / 14!r} * r.u + {1 / 14!r} * o.u, {1 - 1 / 14!r} * r.d + {1 / 14!r} * o.d FROM r JOIN o ON o.ticker = r.ticker AND o.rn = r.rn + 1)
 SELECT o.ticker, o.date, round(CASE WHEN o.rn < 14 THEN NULL WHEN r.d = 0 AND r.u > 0 THEN 100.0 WHEN r.d <> 0 THEN 100 - 100 / (1 + r.u / r.d) END, 6) AS rsi FROM o LEFT JOIN r ON o.ticker = r.ticker AND o.rn = r.rn""",
     "bollinger": _sql(f"SELECT ticker, date, round({BB(20, 2.0, -1)}, 6) AS bb_lower, round({BB(20, 2.0, 1)}, 6) AS bb_upper FROM ebars"),
-    "vwap": _sql(f"SELECT ticker, date, round({s_mean('((high + low + close) * volume)', 20)} / 3 / nullif({s_mean('volume', 20)}, 0), 6) AS vwap FROM ebars"),
+    "vwap": _sql(f"SELECT ticker, date, round({s_mean('((high + low + close) * volume)', 20)} / 3 / nullif({s_mean('volume', 20)}, 0) + 1e-9, 4) AS vwap FROM ebars"),
     "prev_high": _sql(f"SELECT ticker, date, round({s_full('max(high)', 'high', 20, 1)}, 6) AS prev_high FROM ebars"),
     "prev_volume": _sql(f"SELECT ticker, date, round({s_mean('volume', 20, 1)}, 6) AS prev_volume FROM ebars"),
     "avg_value": _sql(f"SELECT ticker, date, round({s_mean('coalesce(value, 0.0)', 20)}, 6) AS avg_value FROM ebars"),
