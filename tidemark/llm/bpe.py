@@ -11,14 +11,18 @@ positions of their words.
 from __future__ import annotations
 
 import base64
-import heapq
+import hashlib
+import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +31,9 @@ from tidemark.llm.common import partitions
 #: White space as Unicode has it; Python's own notion has four more characters.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where a text can be cut: before a space between two other characters.
-CUT = regex.compile(f"(?<=[^{WHITE}])(?= [^{WHITE}])")
+CUT = re.compile(f"(?<=[^{WHITE}])(?= [^{WHITE}])")
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 8 << 20
-#: Longer pieces are merged with a heap.
-LONG_PIECE = 200
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,68 +43,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def words_of(text: str) -> list[str]:
     """Words that make up the text, each with the space before it."""
-    parts = text.split(" ")
-    if all(parts) and not any(p[0].isspace() or p[-1].isspace() for p in parts):
-        return parts[:1] + [" " + p for p in parts[1:]]
     return CUT.split(text) if text else []
 
 
-class Encoder:
-    """Merges of one vocabulary of ranks after one splitting pattern."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
-        self.split = regex.compile(pattern.replace(r"(?!\S)", f"(?![^{WHITE}])").replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{WHITE}]")).findall
-
-    def word(self, word: str) -> list[int]:
-        """Ids of a word: each match of the pattern separately."""
-        out: list[int] = []
-        for piece in self.split(word):
-            data = piece.encode()
-            rank = self.ranks.get(data)
-            out += [rank] if rank is not None else self.piece(data)
-        return out
-
-    def piece(self, data: bytes) -> list[int]:
-        """Merge neighbours, the lowest rank first, the leftmost among equals."""
-        ranks = self.ranks
-        if len(data) > LONG_PIECE:
-            return self._long(data)
-        parts = [data[i : i + 1] for i in range(len(data))]
-        pairs = [ranks.get(a + b, 1 << 30) for a, b in zip(parts, parts[1:])]
-        while pairs:
-            best = min(pairs)
-            if best == 1 << 30:
-                break
-            i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 30)
-            if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
-        return [ranks[p] for p in parts]
-
-    def _long(self, data: bytes) -> list[int]:
-        ranks, n = self.ranks, len(data)
-        end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= n or end[j] != stop:
-                continue
-            alive[j] = False
-            end[i], after[i] = stop, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := ranks.get(data[i : end[after[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[after[i]]))
-            if before[i] >= 0 and (r := ranks.get(data[before[i] : stop])) is not None:
-                heapq.heappush(heap, (r, before[i], stop))
-        return [ranks[data[i : end[i]]] for i in range(n) if alive[i]]
+@lru_cache(2)
+def encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
+    """The vocabulary as an encoder without special tokens, once per worker."""
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -126,20 +73,55 @@ def _unpack_words(data: bytes) -> list[str]:
     return [data[a:b].decode() for a, b in zip([4 + 4 * n, *ends], ends)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, dict[str, int], list[list[int]]]]:
+#: White space other than spaces and line ends, and the marks of keys.
+_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
+
+
+class Words:
+    """Numbers of words as they come.
+
+    A key is a word without its first space; after a NUL one that has no space
+    before it; after a space any word.
+    """
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+
+    def places(self, text: str) -> np.ndarray:
+        """Numbers of the words of a text, in order."""
+        if not text:
+            return np.empty(0, np.uint32)
+        if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or _RARE.search(text):
+            keys = [w if w[0] == " " else "\0" + w for w in words_of(text)]
+        else:
+            keys = text.split(" ")
+            keys[0] = "\0" + keys[0]
+        return np.fromiter(map(self.numbers.__getitem__, keys), np.uint32, len(keys))
+
+    def listed(self) -> list[str]:
+        """The distinct words by number."""
+        return [k[1:] if k[0] == "\0" else k if k[0] == " " else " " + k for k in self.numbers]
+
+
+#: Texts that a task turns into Python objects at once.
+SLICE = 256
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str], list[np.ndarray]]]:
     """(number, ids, distinct words, positions) of blocks of a partition."""
-    number, ids, seen, places, size = 0, [], {}, [], 0
+    number, ids, seen, places, size = 0, [], Words(), [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = words_of(text or "")
-            ids.append(key)
-            places.append([seen.setdefault(w, len(seen)) for w in words])
-            size += len(text or "")
-            if size >= BLOCK_BYTES:
-                yield number, ids, seen, places
-                number, ids, seen, places, size = number + 1, [], {}, [], 0
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids.append(key)
+                places.append(seen.places(text or ""))
+                size += len(text or "")
+                if size >= BLOCK_BYTES:
+                    yield number, ids, seen.listed(), places
+                    number, ids, seen, places, size = number + 1, [], Words(), [], 0
     if ids:
-        yield number, ids, seen, places
+        yield number, ids, seen.listed(), places
 
 
 def _target(words: list[str], n: int) -> np.ndarray:
@@ -163,8 +145,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, _, seen, _ in _blocks(batches):
-            words = list(seen)
+        for number, _, words, _ in _blocks(batches):
             to = _target(words, n)
             order = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
@@ -175,7 +156,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             )
 
     def answer(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, known = Encoder(read_ranks(ranks_path), pattern), {}
+        encode_word, known = encoding(ranks_path, pattern).encode_ordinary, {}
         for part in rows:
             packed = []
             for data in part["words"]:
@@ -184,7 +165,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 for w in _unpack_words(data):
                     found = known.get(w)
                     if found is None:
-                        found = known[w] = tuple(encoder.word(w))
+                        found = known[w] = encode_word(w)
                     sizes.append(len(found))
                     ids += found
                 packed.append(_pack(np.array([len(sizes), *sizes, *ids], np.int64)))
@@ -192,16 +173,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, ids, seen, places in _blocks(batches):
-            sizes = np.array([len(p) for p in places], np.int64)
-            flat = np.fromiter((x for p in places for x in p), np.int64, int(sizes.sum()))
+        for number, ids, words, places in _blocks(batches):
             # the answer comes by target, so words are numbered in that order
-            to = _target(list(seen), n)
+            to = _target(words, n)
             number_of = np.empty(len(to), np.int64)
             number_of[np.argsort(to, kind="stable")] = np.arange(len(to))
-            flat = number_of[flat]
-            cuts = np.r_[0, np.cumsum(sizes)]
-            packed = [_pack(flat[a:b]) for a, b in zip(cuts, cuts[1:])]
+            packed = [_pack(number_of[p]) for p in places]
             block = pa.array([(task << 32) + number] * len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([block, pa.array(range(len(ids)), pa.int32()), pa.array(ids, arrow_id), pa.array(packed, pa.binary())], ["block", "row", "id", "places"])
 
@@ -237,6 +214,10 @@ def token_bytes(ranks_path: str) -> list[bytes]:
     return out
 
 
+def join_bytes(ids: list[int], table: list[bytes]) -> bytes:
+    return b"".join([table[i] for i in ids])
+
+
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """The same rows with the bytes that the ids stand for; null ids give none."""
 
@@ -244,17 +225,26 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = token_bytes(ranks_path)
         for ids in batches:
-            yield ids.map(lambda x: b"".join([table[i] for i in x.tolist()]) if x is not None else None)
+            yield ids.map(lambda x: join_bytes(x.tolist(), table) if x is not None else None)
 
     return encoded.withColumn(out_col, bytes_of(F.col(ids_col)))
 
 
 def summary(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The contract's columns: sizes and digests of ids and decoded bytes."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    @F.pandas_udf("string")
-    def listed(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: ",".join(map(str, x.tolist())))
-
-    both = decode(encode(docs, ranks_path, pattern, id_col, text_col), ranks_path)
-    return both.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(ranks_path)
+        names = [str(i) for i in range(len(table))]
+        for batch in batches:
+            sizes, listed, decoded = [], [], []
+            for k in range(batch.num_rows):
+                ids = batch.column(1)[k].values.to_pylist()
+                sizes.append(len(ids))
+                listed.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(join_bytes(ids, table)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    encoded = encode(docs, ranks_path, pattern, id_col, text_col).select(F.col(id_col).alias("id"), "ids")
+    return encoded.mapInArrow(digests, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
