@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.patterns import with_signal
 from tidemark.schema import ebars
 
-MODULES = ("market", "trading")
+MODULES = ("market", "trading", "documents")
 
 
 def flagship(spark, sf_dir):
