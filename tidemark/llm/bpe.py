@@ -189,13 +189,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             sizes.append(values[1 : 1 + values[0]])
             ids.append(values[1 + values[0] :])
         size, flat = np.concatenate(sizes), np.concatenate(ids).astype(np.int32)
-        start = np.cumsum(size) - size
+        end = np.cumsum(size)
         out = []
         for data in docs_of["places"]:
             at = _unpack(data)
             many = size[at]
-            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            out.append(flat[np.repeat(start[at], many) + step])
+            # where each word's ids start, less how many ids stand before it here
+            shift = end[at] - np.cumsum(many)
+            out.append(flat[np.repeat(shift, many) + np.arange(many.sum())])
         return pd.DataFrame({"id": docs_of["id"], "ids": out})
 
     sent = source.mapInArrow(send, "target int, block long, words binary")
@@ -215,7 +216,7 @@ def token_bytes(ranks_path: str) -> list[bytes]:
 
 
 def join_bytes(ids: list[int], table: list[bytes]) -> bytes:
-    return b"".join([table[i] for i in ids])
+    return b"".join(map(table.__getitem__, ids))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -240,9 +241,9 @@ def summary(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
         for batch in batches:
             sizes, listed, decoded = [], [], []
             for k in range(batch.num_rows):
-                ids = batch.column(1)[k].values.to_pylist()
+                ids = batch.column(1)[k].values.to_numpy().tolist()
                 sizes.append(len(ids))
-                listed.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
+                listed.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(join_bytes(ids, table)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
