@@ -139,7 +139,7 @@ def influence_weights(spark, d):
     half = 1.96 * c("sd") / F.sqrt("n")
     ok = c("n") >= 8
     way = F.when(~ok, "hidden").when((c("w") - half <= 0) & (c("w") + half >= 0), "uncertain").when(c("w") > 0, "plus").otherwise("minus")
-    return j.select("grp", "nation", "n", F.round("w", 2).alias("weight"), F.coalesce(way, F.lit("uncertain")).alias("direction"))
+    return j.select("grp", "nation", "n", F.round(c("w") + 1e-7, 2).alias("weight"), F.coalesce(way, F.lit("uncertain")).alias("direction"))
 
 
 def influence_events(spark, d):
@@ -203,7 +203,7 @@ SELECT split, count(*) AS n, round(avg(CAST(y >= q10 AND y <= q90 AS DOUBLE)), 6
     "fc_external": f"""WITH {_S}, dc AS (SELECT conv_id % 31 + 1 AS dom, count(*) AS docs FROM conversations GROUP BY 1) SELECT ticker, CAST(docs IS NULL AS INT) AS missing, count(*) AS n, CAST(sum(docs) AS BIGINT) AS docs FROM sa LEFT JOIN dc ON dc.dom = day(sa.date) GROUP BY 1, 2""",
     "forecast_view": f"WITH {_T}, {_B}, {_base('tg')} SELECT ticker, date, round(close * exp(q10), 5) AS price10, round(close * exp(q50), 5) AS price50, round(close * exp(q90), 5) AS price90 FROM bl WHERE date <= TIMESTAMP '2024-01-25 10:00:00' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1",
     "influence_weights": """WITH j AS (SELECT c_mktsegment AS grp, c_nationkey AS nation, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS w, stddev_samp(c_acctbal) AS sd FROM customer GROUP BY 1, 2)
-SELECT grp, nation, n, round(w, 2) AS weight, coalesce(CASE WHEN n < 8 THEN 'hidden' WHEN w - 1.96 * sd / sqrt(n) <= 0 AND w + 1.96 * sd / sqrt(n) >= 0 THEN 'uncertain' WHEN w > 0 THEN 'plus' WHEN w <= 0 THEN 'minus' END, 'uncertain') AS direction FROM j""",
+SELECT grp, nation, n, round(w + 1e-7, 2) AS weight, coalesce(CASE WHEN n < 8 THEN 'hidden' WHEN w - 1.96 * sd / sqrt(n) <= 0 AND w + 1.96 * sd / sqrt(n) >= 0 THEN 'uncertain' WHEN w > 0 THEN 'plus' WHEN w <= 0 THEN 'minus' END, 'uncertain') AS direction FROM j""",
     "influence_events": f"""WITH {EBARS_SQL}, {DOCS_SQL}, vis AS (SELECT * FROM docs WHERE available_at <= TIMESTAMP '2024-01-20' AND first_seen_at <= TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) = 1),
 cal AS (SELECT DISTINCT date FROM ebars) SELECT doc_id, version, cal.date AS bar FROM vis ASOF LEFT JOIN cal ON vis.available_at < cal.date""",
 }
