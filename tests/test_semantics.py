@@ -63,7 +63,7 @@ def test_ema_follows_the_recursion(spark):
 
 @pytest.mark.parametrize("row,label", [((100, 90, 80), "bull"), ((90, 100, 102), "bear"), ((110, 100, 99.5), "sideways"), ((100, 100, 98), "sideways"), ((100, None, 98), None)])
 def test_regime(spark, row, label):
-    df = spark.createDataFrame([row], "c double, m double, b double") if None not in row else spark.sql("SELECT 100d c, cast(null as double) m, 98d b")
+    df = spark.createDataFrame([tuple(None if x is None else float(x) for x in row)], "c double, m double, b double")
     assert df.select(uni.classify(F.col("c"), F.col("m"), F.col("b"), 0.01)).first()[0] == label
 
 
