@@ -200,3 +200,37 @@ def summary(scan: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.array_join(names(F.concat("base.label", "found.label")), ",").alias("labels"),
         score.alias("score"),
     )
+
+
+def _apart(body: str) -> str:
+    """The expression over words that each have a space of their own on both
+    sides, for engines without look-ahead."""
+    return " (?:" + "(?:  )?".join(part.replace(" ", "  ") for part in body.split(" ?")) + ") "
+
+
+def sql() -> str:
+    """DuckDB SQL of the contract's columns, from the same rules."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    listed = [(label, word, rank, n, _apart(body)) for n, (label, word, rank, body) in enumerate(rules())]
+    listed += [(label, phrase.split()[-1], 5, -1, _apart(phrase)) for label, phrase in BASE]
+    values = ",\n".join(f"({quoted(a)}, {quoted(b)}, {c}, {d}, {quoted(e)})" for a, b, c, d, e in listed)
+    best = " ".join(f"WHEN best = {k} THEN {v}" for k, v in CONFIDENCE.items())
+    number = "lambda x: (length(x) - length(replace(x, ' ', ''))) // 2"
+    lower = f"translate(text, '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}')"
+    return rf"""
+WITH rules(label, word, priority, rule, expression) AS (VALUES {values}),
+t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, regexp_matches(text, '{GATE}') AS gate, regexp_extract_all({lower}, '{WORD}') AS ws FROM t),
+j AS (SELECT rid, ' ' || array_to_string(ws, '  ') || ' ' AS joined FROM w WHERE gate),
+h AS (SELECT rid, label, priority, rule, list_transform(regexp_extract_all(joined, expression), {number}) AS m, list_transform(string_split_regex(joined, expression), {number}) AS p
+      FROM j JOIN rules ON contains(joined, ' ' || word || ' ')),
+k AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM h WHERE len(m) > 0),
+s AS (SELECT rid, label, priority, rule, CAST(list_sum(p[1:k]) + coalesce(list_sum(m[1:k - 1]), 0) AS BIGINT) AS a, m[k] AS n FROM k),
+f AS (SELECT * FROM s WHERE rule < 0 OR NOT EXISTS (SELECT 1 FROM s g WHERE g.rule >= 0 AND g.rid = s.rid AND g.a <= s.a AND g.a + g.n >= s.a + s.n
+      AND (g.priority > s.priority OR (g.priority = s.priority AND (g.n > s.n OR (g.n = s.n AND g.rule < s.rule)))))),
+d AS (SELECT rid, count(*) FILTER (rule < 0) AS n_base, min(a) FILTER (rule < 0) AS first_word, max(a) FILTER (rule < 0) AS last_word, max(priority) FILTER (rule >= 0) AS best,
+      list_sort(list(DISTINCT label) FILTER (rule < 0)) AS b, list_sort(list(DISTINCT label)) AS l FROM f GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(l, ','), '') AS labels,
+  CAST(CASE WHEN n_base > 0 THEN 1.0 {best} ELSE 0.0 END AS DOUBLE) AS score
+FROM w LEFT JOIN d USING (rid)
+"""
