@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.sql(), "op8_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL}
+    return {"op4_license_scan": licenses.sql(), "op5_secret_scan": secrets.sql(), "op8_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL}
