@@ -84,7 +84,7 @@ def bm25_topk(spark, d):
 def _ranked(spark, d, k):
     top = dc.top_k(_bm25(spark, d), k)
     best = F.max("score").over(Window.partitionBy("query_id"))
-    docs = table(spark, d, "documents").select("doc_id", F.array_distinct(tx.tokenize(F.substring("text", 1, 80))).alias("tokens"))
+    docs = table(spark, d, "documents").select("doc_id", F.array_distinct(tx.tokenize(F.substring_index("text", "\n", 1))).alias("tokens"))
     return top.withColumn("rel", c("score") / best).join(docs, "doc_id")
 
 

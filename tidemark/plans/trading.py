@@ -180,9 +180,9 @@ def basis_asof_strict(spark, d):
 
 
 def next_bar_link(spark, d):
-    """Each event type's purchase of over 90 links to the first later bar of its key."""
+    """Every event links to the first bar of its key that starts after it."""
     bars = ebars(spark, d).select("ticker", "date")
-    e = spark.read.parquet(f"{d}/events.parquet").where("value > 90").select("event_id", "ts", F.concat_ws("-", "event_type", (c("user_id") % 4).cast("string")).alias("ticker"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", F.concat_ws("-", "event_type", (c("user_id") % 4).cast("string")).alias("ticker"))
     flip = lambda x: -F.unix_micros(x.cast("timestamp"))
     left = e.withColumn("at", flip(c("ts")))
     right = bars.select("ticker", flip(c("date")).alias("at"), c("date").alias("bar"))
@@ -366,7 +366,7 @@ act AS (SELECT CAST(sum(CAST(round(net_ret, 9) AS DECIMAL(18,9))) AS DOUBLE) / c
     ),
     "sector_asof": _with(RULE, "SELECT tr.ticker, signal_date, exit_reason, sector FROM tr ASOF LEFT JOIN sec ON tr.ticker = sec.ticker AND tr.signal_date >= sec.snapshot", _SECTOR),
     "basis_asof_strict": f"WITH {EBARS_SQL}, {_SECTOR} SELECT b.ticker, date, close, sector FROM ebars b ASOF LEFT JOIN sec ON b.ticker = sec.ticker AND b.date > sec.snapshot",
-    "next_bar_link": f"WITH {EBARS_SQL}, q AS (SELECT event_id, ts, ticker FROM e WHERE v > 90) SELECT event_id, q.ticker, b.date AS bar FROM q ASOF LEFT JOIN ebars b ON q.ticker = b.ticker AND q.ts < b.date",
+    "next_bar_link": f"WITH {EBARS_SQL}, q AS (SELECT event_id, ts, ticker FROM e) SELECT event_id, q.ticker, b.date AS bar FROM q ASOF LEFT JOIN ebars b ON q.ticker = b.ticker AND q.ts < b.date",
     "search_candidates": _search("SELECT candidate, trades, round(win_rate, 6) AS win_rate FROM se"),
     "search_status": _search("SELECT candidate, trades, CASE WHEN win_rate >= 0.5 AND trades >= 50 THEN 'qualified' WHEN trades < 50 THEN 'thin' ELSE 'missed' END AS status FROM se"),
     "closest_candidate": _search("SELECT candidate, trades, round(gap, 6) AS gap FROM (SELECT *, round(greatest(0.0, 0.9 - win_rate), 9) AS gap FROM se) ORDER BY gap, trades DESC, candidate LIMIT 1"),
