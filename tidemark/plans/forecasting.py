@@ -200,6 +200,14 @@ SELECT ticker, date, dow, {', '.join(f'round({x}, 6) AS {x}' for x in FEATURES)}
     "fc_scores": f"""WITH {_T}, {_SP}, {_B}, {_base('sp')}, z AS (SELECT *, CASE WHEN p_up >= 0.55 THEN 'up' WHEN p_up <= 0.45 THEN 'down' ELSE 'uncertain' END AS dir FROM bl WHERE y IS NOT NULL AND p_up IS NOT NULL)
 SELECT split, count(*) AS n, round(avg(CAST(y >= q10 AND y <= q90 AS DOUBLE)), 6) AS coverage, round(avg(({_LOSS}) / 3), 6) AS pinball, round(avg(CAST(dir <> 'uncertain' AS DOUBLE)), 6) AS dir_share,
  round(avg(CASE WHEN dir <> 'uncertain' THEN CAST((dir = 'up' AND y > 0) OR (dir = 'down' AND y < 0) AS DOUBLE) END), 6) AS dir_hit FROM z GROUP BY 1""",
+    "direction_policy": f"""WITH {_T}, {_B}, {_base('tg')}, z AS (SELECT ticker, y, CASE WHEN p_up >= 0.52 THEN 1 WHEN p_up <= 0.48 THEN -1 ELSE 0 END AS d FROM bl WHERE y IS NOT NULL AND p_up IS NOT NULL),
+c AS (SELECT ticker, count(*) FILTER (d <> 0) AS n, count(*) FILTER ((d = 1 AND y > 0) OR (d = -1 AND y < 0)) AS k FROM z GROUP BY 1)
+SELECT ticker, n, k, round(CASE WHEN k = 0 THEN 1.0 ELSE list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) END, 6) AS p_value FROM c""",
+    "variant_bootstrap": f"""WITH {_T}, {_B}, {_base('tg')},
+dd AS (SELECT CAST(date AS DATE) AS day, CAST(sum(CAST(round(greatest(0.5 * (y - q50), -0.5 * (y - q50)) - greatest(0.5 * y, -0.5 * y), 9) AS DECIMAL(18,9))) AS DOUBLE) AS total, count(*) AS n FROM bl WHERE y IS NOT NULL AND p_up IS NOT NULL GROUP BY 1),
+nd AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS m FROM dd),
+pk AS (SELECT draw, CAST(floor(CAST(('0x' || substr(md5(CAST(draw AS VARCHAR) || '|' || CAST(k AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 * m) AS BIGINT) AS k FROM nd, range(100) r(draw)),
+mn AS (SELECT draw, sum(total) / sum(n) AS mean FROM pk JOIN nd USING (k) GROUP BY 1) SELECT round((count(*) FILTER (mean >= 0) + 1) / 101, 6) AS p_value FROM mn""",
     "fc_external": f"""WITH {_S}, dc AS (SELECT conv_id % 31 + 1 AS dom, count(*) AS docs FROM conversations GROUP BY 1) SELECT ticker, CAST(docs IS NULL AS INT) AS missing, count(*) AS n, CAST(sum(docs) AS BIGINT) AS docs FROM sa LEFT JOIN dc ON dc.dom = day(sa.date) GROUP BY 1, 2""",
     "forecast_view": f"WITH {_T}, {_B}, {_base('tg')} SELECT ticker, date, round(close * exp(q10), 5) AS price10, round(close * exp(q50), 5) AS price50, round(close * exp(q90), 5) AS price90 FROM bl WHERE date <= TIMESTAMP '2024-01-25 10:00:00' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1",
     "influence_weights": """WITH j AS (SELECT c_mktsegment AS grp, c_nationkey AS nation, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS w, stddev_samp(c_acctbal) AS sd FROM customer GROUP BY 1, 2)
