@@ -124,6 +124,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield number, ids, seen.listed(), places
 
 
+def _checksum(words: list[str]) -> int:
+    return zlib.crc32("\n".join(words).encode())
+
+
 def _target(words: list[str], n: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode()) % n for w in words), np.int64, len(words))
 
@@ -133,8 +137,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     Repeated rows and null ids stay. Words travel and are encoded once for
     each block and once for the corpus; a word in a third of all places costs
-    no more than a rare one. Two passes over the texts see the same blocks, as
-    both read the same splits in the same order.
+    no more than a rare one. Two passes over the texts must see the same blocks,
+    as they do of a table; a checksum of each block makes sure, and anything
+    that gives its rows in another order each time is refused.
     """
     from pyspark import TaskContext
 
@@ -151,8 +156,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
             groups = np.split(order, cuts[1:]) if len(order) else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array(to[order][cuts].astype(np.int32)), pa.array([(task << 32) + number] * len(groups), pa.int64()), pa.array([_pack_words([words[i] for i in g.tolist()]) for g in groups], pa.binary())],
-                ["target", "block", "words"],
+                [pa.array(to[order][cuts].astype(np.int32)), pa.array([(task << 32) + number] * len(groups), pa.int64()), pa.array([_checksum(words)] * len(groups), pa.int64()), pa.array([_pack_words([words[i] for i in g.tolist()]) for g in groups], pa.binary())],
+                ["target", "block", "check", "words"],
             )
 
     def answer(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +174,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     sizes.append(len(found))
                     ids += found
                 packed.append(_pack(np.array([len(sizes), *sizes, *ids], np.int64)))
-            yield pd.DataFrame({"block": part["block"], "target": part["target"], "ids": packed})
+            yield pd.DataFrame({"block": part["block"], "target": part["target"], "check": part["check"], "ids": packed})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -180,7 +185,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             number_of[np.argsort(to, kind="stable")] = np.arange(len(to))
             packed = [_pack(number_of[p]) for p in places]
             block = pa.array([(task << 32) + number] * len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([block, pa.array(range(len(ids)), pa.int32()), pa.array(ids, arrow_id), pa.array(packed, pa.binary())], ["block", "row", "id", "places"])
+            check = pa.array([_checksum(words)] * len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([block, check, pa.array(ids, arrow_id), pa.array(packed, pa.binary())], ["block", "check", "id", "places"])
 
     def join(key: tuple, docs_of: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -188,6 +194,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             values = _unpack(data).astype(np.int64)
             sizes.append(values[1 : 1 + values[0]])
             ids.append(values[1 + values[0] :])
+        if set(answers["check"]) - set(docs_of["check"]):
+            raise ValueError("the two passes over the texts met them in different order; write them as a table first")
         size, flat = np.concatenate(sizes), np.concatenate(ids).astype(np.int32)
         end = np.cumsum(size)
         out = []
@@ -199,9 +207,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             out.append(flat[np.repeat(shift, many) + np.arange(many.sum())])
         return pd.DataFrame({"id": docs_of["id"], "ids": out})
 
-    sent = source.mapInArrow(send, "target int, block long, words binary")
-    answers = sent.groupBy("target").applyInPandas(answer, "block long, target int, ids binary")
-    placed = source.mapInArrow(place, f"block long, row int, id {kind}, places binary")
+    sent = source.mapInArrow(send, "target int, block long, check long, words binary")
+    answers = sent.groupBy("target").applyInPandas(answer, "block long, target int, check long, ids binary")
+    placed = source.mapInArrow(place, f"block long, check long, id {kind}, places binary")
     joined = placed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(join, f"id {kind}, ids array<int>")
     return joined.withColumnRenamed("id", id_col)
 

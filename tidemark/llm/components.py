@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import drop_paths, written
 
 
 def _size(edges: DataFrame) -> tuple[int, int]:
@@ -13,13 +13,13 @@ def _size(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def _smallest(edges: DataFrame, key: str, other: str) -> DataFrame:
+def _smallest(edges: DataFrame, key: str, other: str) -> tuple[DataFrame, str]:
     """Smallest end seen from each node, as a table.
 
     Written out so that the join that follows reads two plain exchanges,
     which adaptive execution can split when a node has very many links.
     """
-    return materialize(edges.groupBy(F.col(key).alias("u")).agg(F.least(F.min(other), F.min(key)).alias("m")), "star")
+    return written(edges.groupBy(F.col(key).alias("u")).agg(F.least(F.min(other), F.min(key)).alias("m")), "star")
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -28,19 +28,23 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Each round pulls every neighbourhood to its smallest member, from both
     sides, so the number of rounds grows with the logarithm of the longest
     path. Null ends and self links say nothing and are dropped; an empty table
-    gives an empty result.
+    gives an empty result. Tables of earlier rounds are removed.
     """
-    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    e = materialize(e.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
+    e, path = written(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
     last = _size(e)
     while last[0]:
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        large = both.join(_smallest(both, "u", "v"), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.distinct(), "edges")
-        joined = large.withColumnRenamed("a", "u").join(_smallest(large, "a", "b"), "u")
+        least, star = _smallest(both, "u", "v")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large, wide = written(large.distinct(), "edges")
+        least, second = _smallest(large, "a", "b")
+        joined = large.withColumnRenamed("a", "u").join(least, "u")
         small = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
-        e = materialize(small.select("e.*").where("a <> b").distinct(), "edges")
-        now = _size(e)
+        e, new = written(small.select("e.*").where("a <> b").distinct(), "edges")
+        drop_paths(spark, path, star, wide, second)
+        path, now = new, _size(e)
         if now == last:
             break
         last = now

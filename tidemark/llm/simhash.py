@@ -256,7 +256,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ends = [least.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_id")) for x in "ab"]
     links = materialize(links.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id"), "links")
     needed = links.select(F.explode(F.array("a_id", "b_id")).alias(id_col)).distinct()
-    sets = materialize(shingle_sets(docs.select(id_col, text_col).join(needed, id_col, "left_semi"), id_col, text_col, words), "shingles")
+    sets = materialize(shingle_sets(docs.select(id_col, text_col).join(needed.hint("merge"), id_col, "left_semi"), id_col, text_col, words), "shingles")
     a = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("id").alias("b_id"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
