@@ -113,6 +113,15 @@ def test_near_duplicate_groups(spark):
     assert got == {i: i - i % 3 for i in range(18)}
 
 
+def test_equal_fingerprints_are_not_yet_copies(spark):
+    """A passage repeated many times decides the fingerprint of unlike texts."""
+    tails = [" ".join(f"{c}{k}" for k in range(20)) for c in "xyz"]
+    texts = ["one two three four five " * 500 + t for t in (tails[0], tails[1], tails[2], tails[1])]
+    assert len({simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for t in texts}) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(120, 16))

@@ -60,16 +60,29 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, fp): the signed 64-bit fingerprint of every whole text."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, contents: bool = False) -> DataFrame:
+    """(id, fp): the signed 64-bit fingerprint of every whole text.
+
+    With ``contents``, a third column of that name has a hash of the text's
+    distinct shingles, equal for texts that hold the same ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(shingle_hashes(t or b"", words)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps, sets = [], []
+            for t in batch.column(1).to_pylist():
+                hashes = shingle_hashes(t or b"", words)
+                fps.append(fingerprint(hashes))
+                if contents:
+                    sets.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED))
+            columns = {"id": batch.column(0), "fp": pa.array(fps, pa.int64())}
+            if contents:
+                columns["contents"] = pa.array(np.array(sets, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    schema = f"id {kind}, fp long" + (", contents long" if contents else "")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -246,15 +259,19 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """(id, component_id): groups of copies and of near copies by shingles.
 
     SimHash proposes links, closest first; a link counts if the Jaccard
-    similarity of the two shingle sets reaches ``similarity``. Copies share a
-    fingerprint, so one text stands for all of them in the comparison. Texts
-    with equal fingerprints are taken as copies. Ids must not be null.
+    similarity of the two shingle sets reaches ``similarity``. Texts with equal
+    shingle sets are copies, of which one stands for all. Other texts that
+    share a fingerprint are compared with the one of the smallest id, as they
+    need not be alike. Ids must not be null.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    links = link_fingerprints(least.select("fp"), max_bits, blocks, match)
+    fps = materialize(fingerprints(docs, id_col, text_col, words, contents=True), "fingerprints")
+    texts = materialize(fps.groupBy("fp", "contents").agg(F.min("id").alias("own")), "texts")
+    least = texts.groupBy("fp").agg(F.min("own").alias("first"))
+    near = link_fingerprints(least.select("fp"), max_bits, blocks, match)
     ends = [least.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_id")) for x in "ab"]
-    links = materialize(links.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id"), "links")
+    near = near.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id")
+    equal = texts.join(least, "fp").where("own <> first").select(F.col("own").alias("a_id"), F.col("first").alias("b_id"))
+    links = materialize(near.union(equal), "links")
     needed = links.select(F.explode(F.array("a_id", "b_id")).alias(id_col)).distinct()
     sets = materialize(shingle_sets(docs.select(id_col, text_col).join(needed.hint("merge"), id_col, "left_semi"), id_col, text_col, words), "shingles")
     a = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("sa"))
@@ -262,5 +279,5 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     common = F.size(F.array_intersect("sa", "sb"))
     true = links.join(a, "a_id").join(b, "b_id").where(common >= similarity * (F.size("sa") + F.size("sb") - common))
     roots = materialize(connected_components(true, "a_id", "b_id"), "roots")
-    named = least.join(roots, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("root", "first").alias("component_id"))
-    return fps.join(materialize(named, "components"), "fp").select(F.col("id").alias(id_col), "component_id")
+    named = texts.join(roots, F.col("own") == F.col("node"), "left").select("fp", "contents", F.coalesce("root", "own").alias("component_id"))
+    return fps.join(materialize(named, "components"), ["fp", "contents"]).select(F.col("id").alias(id_col), "component_id")
