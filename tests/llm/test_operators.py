@@ -314,6 +314,10 @@ def test_warc_round_trip(spark, tmp_path):
         want[p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first if again else None] += 1
     assert got == want
     assert warc.round_trip(pages.limit(0)).count() == 0
+    warc.write_archives(pages, str(tmp_path / "archives"))
+    records = warc.read_archives(spark, str(tmp_path / "archives")).collect()
+    answers = {r["capture"] for r in records if r["kind"] == "response"}
+    assert {r["refers_to"] for r in records if r["kind"] == "revisit"} <= answers
     with pytest.raises(ValueError):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"))
 

@@ -44,18 +44,20 @@ def _uri(kind: str, key: Column) -> Column:
 def captures(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """(key, page_id, url, html, digest, bytes, original): what is to be written.
 
-    ``original`` is the smallest page id with the same payload where that is
-    another page and the payload is not small. The key keeps rows apart that
-    repeat an id with other contents.
+    ``original`` is the key of the row with the smallest page id among those
+    with the same payload, where that is another page and the payload is not
+    small. The key keeps rows apart that repeat an id with other contents.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
     base = base.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
-    first = base.where(f"bytes >= {SMALL}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = materialize(first.select(F.col("digest").alias("same"), "first"), "payloads")
     key = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit("-"), F.lower(F.hex(F.xxhash64("page_id", "url", "digest"))))
+    base = base.withColumn("key", key)
+    stored = base.where(F.col("page_id").isNotNull() & (F.col("bytes") >= SMALL))
+    first = stored.groupBy("digest").agg(F.min(F.struct("page_id", "key")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first.select(F.col("digest").alias("same"), "first"), "payloads")
     joined = base.join(first, F.col("digest") == F.col("same"), "left")
-    return joined.select(key.alias("key"), "page_id", "url", "html", "digest", "bytes", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("original"))
+    return joined.select("key", "page_id", "url", "html", "digest", "bytes", F.when(F.col("first.page_id") < F.col("page_id"), F.col("first.key")).alias("original"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -72,7 +74,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     digest = F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"))
     http = F.lit("Content-Type: application/http")
     profile = F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    refers = _header("WARC-Refers-To", _uri("page", F.col("original").cast("string")))
+    refers = _header("WARC-Refers-To", _uri("response", F.col("original")))
     response = F.when(revisit, _record("revisit", _uri("response", key), [target, http, digest, profile, refers], head)).otherwise(_record("response", _uri("response", key), [target, http, digest], F.concat(head, F.col("html"))))
     path_of = F.regexp_replace(F.coalesce(url, F.lit("/")), r"^[a-z]+://", "")
     request = _record("request", _uri("request", key), [target, http, to], F.concat(F.lit("GET "), path_of, F.lit(" HTTP/1.1\r\n\r\n")))
@@ -165,7 +167,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
-        F.regexp_extract("response.refers_to", r"^<urn:capture:page:(.*)>$", 1).cast(kind).alias("refers_to"),
+        F.regexp_extract("response.refers_to", r"^<urn:capture:response:(.*)-[0-9a-f]+>$", 1).cast(kind).alias("refers_to"),
     )
 
 
