@@ -122,6 +122,38 @@ def test_equal_fingerprints_are_not_yet_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
 
 
+def exact_groups(texts, words=5, similarity=0.8):
+    """Components of all pairs at the similarity, by brute force."""
+    sets = [set(simhash.shingle_hashes(t.encode(), words).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[i] & sets[j])
+        if common >= similarity * (len(sets[i]) + len(sets[j]) - common) and root[i] != root[j]:
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return dict(enumerate(root))
+
+
+def groups_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(docs).collect()}
+
+
+def test_isolated_pairs_at_the_similarity_are_found(spark):
+    """SimHash alone finds some two thirds of pairs just above it."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(60):
+        base = [f"p{k}w{j}" for j in range(300)]
+        near = list(base)
+        for at in rng.sample(range(5, 290), 6):
+            near[at] = "other"
+        texts += [" ".join(base), " ".join(near)]
+    want = exact_groups(texts)
+    assert len(set(want.values())) < 75
+    assert groups_of(spark, texts) == want
+
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(120, 16))

@@ -7,10 +7,14 @@ so a bucket for each choice of ``match`` blocks meets every such pair while
 order, which puts those with common bits together; runs of them form nodes
 whose shared bits are factored out, so a search adds up differences on the way
 down and drops a whole group once they exceed the radius.
+
+Groups by Jaccard similarity take the links of that index as a head start only;
+a prefix filter on rare shingles adds every pair that it leaves out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,6 +33,9 @@ FANOUT = 4
 BUCKET = 1024
 #: Queries that go down an index together, which bounds the frontier.
 TOGETHER = 2048
+#: Texts, about, from which common shingles are told, and at most so many of those.
+SAMPLE = 20_000
+COMMON = 200_000
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -60,29 +67,16 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, contents: bool = False) -> DataFrame:
-    """(id, fp): the signed 64-bit fingerprint of every whole text.
-
-    With ``contents``, a third column of that name has a hash of the text's
-    distinct shingles, equal for texts that hold the same ones.
-    """
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, fp): the signed 64-bit fingerprint of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sets = [], []
-            for t in batch.column(1).to_pylist():
-                hashes = shingle_hashes(t or b"", words)
-                fps.append(fingerprint(hashes))
-                if contents:
-                    sets.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED))
-            columns = {"id": batch.column(0), "fp": pa.array(fps, pa.int64())}
-            if contents:
-                columns["contents"] = pa.array(np.array(sets, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_pydict(columns)
+            fps = [fingerprint(shingle_hashes(t or b"", words)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, fp long" + (", contents long" if contents else "")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -255,29 +249,120 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, shingles array<long>")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 11, blocks: int = 8, match: int = 2) -> DataFrame:
-    """(id, component_id): groups of copies and of near copies by shingles.
+def shared_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts), by shingle: what several texts of a sample share.
 
-    SimHash proposes links, closest first; a link counts if the Jaccard
-    similarity of the two shingle sets reaches ``similarity``. Texts with equal
-    shingle sets are copies, of which one stands for all. Other texts that
-    share a fingerprint are compared with the one of the smallest id, as they
-    need not be alike. Ids must not be null.
+    They only tell which shingles are common, so that ``rarest_first`` can put
+    them last. Which pairs are found does not depend on them.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, words, contents=True), "fingerprints")
-    texts = materialize(fps.groupBy("fp", "contents").agg(F.min("id").alias("own")), "texts")
+    every = max(1, docs.count() // SAMPLE)
+    chosen = docs.select(F.col(text_col).cast("binary").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t or b"", words)).view(np.int64))], ["s"])
+
+    counted = chosen.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") > 2)
+    rows = counted.orderBy(F.col("count").desc(), "s").limit(COMMON).toPandas()
+    shingles = rows["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], rows["count"].to_numpy(np.int64)[order]
+
+
+def rarest_first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Distinct shingles in an order that is the same for all texts."""
+    known, counts = common
+    if not len(known) or not len(shingles):
+        return shingles
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    return shingles[np.lexsort((shingles, np.where(known[at] == shingles, counts[at], 0)))]
+
+
+def shingle_prints(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, fp, contents, size, prefix) of the distinct shingles of each text.
+
+    ``prefix`` has the first shingles in the order of ``rarest_first``: as many
+    as it takes for two texts as alike as ``similarity`` to share one of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [shingle_hashes(t or b"", words) for t in batch.column(1).to_pylist()]
+            sets = [np.unique(h) for h in every]
+            size = [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([fingerprint(h) for h in every], pa.int64()),
+                    pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)),
+                    pa.array(size, pa.int32()),
+                    pa.array([rarest_first(s, common)[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64) for s, n in zip(sets, size)], pa.list_(pa.int64())),
+                ],
+                ["id", "fp", "contents", "size", "prefix"],
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long, contents long, size int, prefix array<long>")
+
+
+def prefix_places(prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """(s, own, place, size): prefix shingles that several distinct texts have."""
+    spread = prints.select("contents", F.explode("prefix").alias("s")).groupBy("s").agg(F.min("contents").alias("lo"), F.max("contents").alias("hi"))
+    several = materialize(spread.where("lo <> hi").select("s"), "several")
+    placed = prints.select("contents", "size", F.posexplode("prefix").alias("place", "s")).join(several, "s", "left_semi").distinct()
+    return placed.join(texts.select("contents", "own"), "contents").select("s", "own", "place", "size")
+
+
+def open_pairs(places: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a_id, b_id): every pair of texts of different groups that may reach
+    ``similarity``, by a shared prefix shingle, the sizes and the places."""
+    grouped = places.join(roots, F.col("own") == F.col("node"), "left").select("s", "own", "place", "size", F.coalesce("root", "own").alias("root"))
+    grouped = materialize(grouped, "grouped")
+    mixed = grouped.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
+    still = materialize(grouped.join(mixed, "s", "left_semi"), "open")
+    a, b = (still.select("s", *(F.col(x).alias(f"{y}_{x}") for x in ("own", "place", "size", "root"))) for y in "ab")
+    least = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    near = (F.col("a_size") >= similarity * F.col("b_size") - 1e-9) & (F.col("b_size") >= similarity * F.col("a_size") - 1e-9)
+    # The first shingle in common leaves room for enough others after it.
+    room = least >= similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - 1e-9
+    on = (a["s"] == b["s"]) & (F.col("a_own") < F.col("b_own")) & (F.col("a_root") != F.col("b_root")) & near & room
+    return a.join(b, on).select(F.col("a_own").alias("a_id"), F.col("b_own").alias("b_id")).distinct()
+
+
+def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links whose two shingle sets reach the Jaccard ``similarity``."""
+    a = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("sa"))
+    b = sets.select(F.col("id").alias("b_id"), F.col("shingles").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return links.join(a, "a_id").join(b, "b_id").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a_id", "b_id")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 11, blocks: int = 8, match: int = 2) -> DataFrame:
+    """(id, component_id): groups linked by pairs of texts whose distinct
+    shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Texts with equal shingle sets are copies, of which one stands for all.
+    SimHash proposes a first set of links, closest first, which finds most of
+    the groups; it need not find all. Then every pair of texts that stand in
+    different groups and share a prefix shingle is compared, which leaves out
+    no pair at ``similarity``. Ids must not be null.
+    """
+    docs = docs.select(id_col, text_col)
+    prints = materialize(shingle_prints(docs, id_col, text_col, words, similarity, shared_shingles(docs, text_col, words)), "prints")
+    texts = materialize(prints.groupBy("contents").agg(F.min("fp").alias("fp"), F.min("id").alias("own")), "texts")
     least = texts.groupBy("fp").agg(F.min("own").alias("first"))
     near = link_fingerprints(least.select("fp"), max_bits, blocks, match)
     ends = [least.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_id")) for x in "ab"]
     near = near.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id")
     equal = texts.join(least, "fp").where("own <> first").select(F.col("own").alias("a_id"), F.col("first").alias("b_id"))
     links = materialize(near.union(equal), "links")
-    needed = links.select(F.explode(F.array("a_id", "b_id")).alias(id_col)).distinct()
-    sets = materialize(shingle_sets(docs.select(id_col, text_col).join(needed.hint("merge"), id_col, "left_semi"), id_col, text_col, words), "shingles")
-    a = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("id").alias("b_id"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    true = links.join(a, "a_id").join(b, "b_id").where(common >= similarity * (F.size("sa") + F.size("sb") - common))
+    places = materialize(prefix_places(prints, texts), "places")
+    needed = links.select(F.explode(F.array("a_id", "b_id")).alias(id_col)).union(places.select("own")).distinct()
+    sets = materialize(shingle_sets(docs.join(needed.hint("merge"), id_col, "left_semi"), id_col, text_col, words), "shingles")
+    first = materialize(connected_components(alike(links, sets, similarity), "a_id", "b_id"), "roots")
+    rest = alike(open_pairs(places, first, similarity), sets, similarity)
+    true = first.select(F.col("node").alias("a_id"), F.col("root").alias("b_id")).union(rest)
     roots = materialize(connected_components(true, "a_id", "b_id"), "roots")
-    named = texts.join(roots, F.col("own") == F.col("node"), "left").select("fp", "contents", F.coalesce("root", "own").alias("component_id"))
-    return fps.join(materialize(named, "components"), ["fp", "contents"]).select(F.col("id").alias(id_col), "component_id")
+    named = texts.join(roots, F.col("own") == F.col("node"), "left").select("contents", F.coalesce("root", "own").alias("component_id"))
+    return prints.select("id", "contents").join(materialize(named, "components"), "contents").select(F.col("id").alias(id_col), "component_id")
