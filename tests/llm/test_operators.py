@@ -154,6 +154,21 @@ def test_isolated_pairs_at_the_similarity_are_found(spark):
 
 
 
+def test_groups_of_noisy_copies_are_whole(spark):
+    """Around the similarity a link that fails must not hide one that holds."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(3):
+        base = [f"g{k}w{j}" for j in range(200)]
+        for _ in range(40):
+            noisy = list(base)
+            for at in rng.sample(range(200), rng.randint(2, 8)):
+                noisy[at] = f"n{rng.randint(0, 10**9)}"
+            texts.append(" ".join(noisy))
+    assert groups_of(spark, texts) == exact_groups(texts)
+
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(120, 16))

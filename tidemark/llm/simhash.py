@@ -136,7 +136,11 @@ class GrayIndex:
 
 
 def closest_forest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> list[int]:
-    """Places of links that span the same groups, closest links first."""
+    """Places of links that span the same groups, closest links first.
+
+    Exact where every link counts. Links that are verified later may fail, so
+    whoever thins them first has to look for others between the groups.
+    """
     parent = list(range(n))
 
     def top(x: int) -> int:
