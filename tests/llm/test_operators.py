@@ -169,6 +169,19 @@ def test_groups_of_noisy_copies_are_whole(spark):
 
 
 
+def test_repeated_passages_do_not_part_copies(spark):
+    """Shingles count once, however often a text repeats them."""
+    texts = []
+    for k in range(20):
+        words = [f"r{k}w{j}" for j in range(204)]
+        texts += [" ".join(words), " ".join(words + words[40:72] * 4)]
+    assert groups_of(spark, texts) == exact_groups(texts) == {i: i - i % 2 for i in range(40)}
+    same = ["a b c d e f a b c d e f a b c d e f g h i j", "a b c d e f a b c d e f a b c d e f a b c d e f g h i j"]
+    prints = simhash.shingle_prints(spark.createDataFrame(list(enumerate(same)), "doc_id long, text string"), "doc_id", "text", 5, 0.8, (np.empty(0, np.uint64), np.empty(0, np.int64))).collect()
+    assert len({(r["fp"], r["contents"]) for r in prints}) == 1
+
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(120, 16))

@@ -292,13 +292,12 @@ def shingle_prints(docs: DataFrame, id_col: str, text_col: str, words: int, simi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [shingle_hashes(t or b"", words) for t in batch.column(1).to_pylist()]
-            sets = [np.unique(h) for h in every]
+            sets = [np.unique(shingle_hashes(t or b"", words)) for t in batch.column(1).to_pylist()]
             size = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([fingerprint(h) for h in every], pa.int64()),
+                    pa.array([fingerprint(s) for s in sets], pa.int64()),
                     pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)),
                     pa.array(size, pa.int32()),
                     pa.array([rarest_first(s, common)[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64) for s, n in zip(sets, size)], pa.list_(pa.int64())),
