@@ -250,6 +250,35 @@ def test_license_suppression(spark):
     assert [r["labels"] for r in rows] == ["gpl-3", "cc-by-nc,cc-by-nc-sa", "public-domain"]
 
 
+def example(parsed):
+    """The shortest text of an expression, by its first alternatives."""
+    out = ""
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "IN":
+            out += chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])
+        elif name == "BRANCH":
+            out += example(value[1][0])
+        elif name == "SUBPATTERN":
+            out += example(value[3])
+        else:
+            assert name == "MAX_REPEAT"
+            out += example(value[2]) * value[0]
+    return out
+
+
+def test_license_rules_each_find_their_example(spark):
+    rules = licenses.rules()
+    texts = [example(re._parser.parse(body)) for _, _, _, body in rules]
+    assert sum(not re.search(licenses.GATE, t) for t in texts) > 40
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.summary(licenses.scan_licenses(rows)).collect()}
+    assert [(t, rule[0], got[k]) for k, (t, rule) in enumerate(zip(texts, rules)) if rule[0] not in got[k]] == []
+
+
+
 def test_secrets_base_against_brute_force(hostile, none):
     got = collections.Counter((r["doc_id"], r["base_sha256"]) for r in secrets.summary(secrets.scan_secrets(hostile)).collect())
     want = collections.Counter()

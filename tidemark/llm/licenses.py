@@ -1,8 +1,8 @@
 """License detection by ordered signature rules, in DataFrame expressions only.
 
 A text becomes its lower-case words, joined by spaces. Rules are regular
-expressions over that string. A cheap test of the raw text comes first, then a
-keyword of each rule must be among the words before its expression runs.
+expressions over that string. A keyword of each rule must be among the words
+before its expression runs; the keywords, far fewer than the rules, come first.
 Detections overlap; one that lies within another of higher priority (or of the
 same priority and longer, or listed earlier) is suppressed.
 """
@@ -18,7 +18,7 @@ from tidemark.llm.common import ascii_lower, let
 
 #: Words: ASCII letters and digits and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A text without a match of this has no detection.
+#: Texts that the SQL looks at; ``license_column`` looks at all.
 GATE = r"(?i)licen[cs]|spdx|copyleft|public[^0-9a-z]+domain|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 #: Phrases of the contract and their labels.
 BASE = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
@@ -104,6 +104,8 @@ GENERAL = [
 ]
 #: Families whose names stand for the license without a frame.
 BARE = ("cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd")
+#: What a text must hold for names that can stand without the keyword as a word.
+NEEDED = {"massachusetts institute of technology": " massachusetts ", "gpl ?v?1(?: 0)?(?: only| or later)?": " gpl", "server side public license": " server "}
 #: Score of a detection by priority; phrases of the contract score 1.
 CONFIDENCE = {1: 0.5, 2: 0.7, 3: 0.9, 4: 0.95}
 
@@ -143,8 +145,12 @@ def _expression(body: str) -> str:
     return f" (?:{body})(?= )"
 
 
+def _needed(word: str, body: str) -> str:
+    return next((n for name, n in NEEDED.items() if f"(?:{name})" in body), f" {word} ")
+
+
 def _rule_table() -> Column:
-    return F.array(*(F.struct(F.lit(label).alias("label"), F.lit(f" {word} ").alias("word"), F.lit(rank).alias("priority"), F.lit(n).alias("rule"), F.lit(_expression(body)).alias("expression")) for n, (label, word, rank, body) in enumerate(rules())))
+    return F.array(*(F.struct(F.lit(label).alias("label"), F.lit(_needed(word, body)).alias("word"), F.lit(rank).alias("priority"), F.lit(n).alias("rule"), F.lit(_expression(body)).alias("expression")) for n, (label, word, rank, body) in enumerate(rules())))
 
 
 def _survivors(spans: Column) -> Column:
@@ -161,16 +167,18 @@ def license_column(text: Column) -> Column:
     none = F.array().cast(f"array<{_SPAN}>")
 
     def detect(joined: Column) -> Column:
-        base = F.concat(*(_spans(joined, F.lit(label), F.lit(5), F.lit(-1), F.lit(_expression(phrase))) for label, phrase in BASE))
-        hits = F.flatten(F.transform(F.filter(_rule_table(), lambda r: F.contains(joined, r["word"])), lambda r: _spans(joined, r["label"], r["priority"], r["rule"], r["expression"])))
-        return F.struct(base.alias("base"), let(hits, _survivors).alias("found"))
-
-    def judge(t: Column, words: Column) -> Column:
+        base = F.concat(*(F.when(F.contains(joined, F.lit(f" {phrase} ")), _spans(joined, F.lit(label), F.lit(5), F.lit(-1), F.lit(_expression(phrase)))).otherwise(none) for label, phrase in BASE))
+        keywords = F.array(*(F.lit(w) for w in dict.fromkeys(_needed(word, body) for _, word, _, body in rules())))
+        run = lambda r: _spans(joined, r["label"], r["priority"], r["rule"], r["expression"])
+        hits = lambda seen: F.flatten(F.transform(F.filter(_rule_table(), lambda r: F.array_contains(seen, r["word"])), run))
+        found = let(F.filter(keywords, lambda w: F.contains(joined, w)), lambda seen: F.when(F.size(seen) == 0, none).otherwise(let(hits(seen), _survivors)))
+        return F.struct(base.alias("base"), found.alias("found"))
+
+    def judge(words: Column) -> Column:
         joined = F.concat(F.lit(" "), ascii_lower(F.array_join(words, " ")), F.lit(" "))
-        empty = F.struct(none.alias("base"), none.alias("found"))
-        return let(F.when(t.rlike(GATE), let(joined, detect)).otherwise(empty), lambda d: F.struct(F.size(words).cast("long").alias("n_words"), d["base"].alias("base"), d["found"].alias("found")))
+        return let(let(joined, detect), lambda d: F.struct(F.size(words).cast("long").alias("n_words"), d["base"].alias("base"), d["found"].alias("found")))
 
-    return let(F.coalesce(text, F.lit("")), lambda t: let(F.regexp_extract_all(t, F.lit(WORD), 0), lambda words: judge(t, words)))
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.regexp_extract_all(t, F.lit(WORD), 0), judge))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
