@@ -303,6 +303,19 @@ def test_secret_model_and_redaction():
     assert strange[0] not in secrets.redact(text, spans)
 
 
+def test_random_tokens_around_fixed_spans_and_of_letters():
+    model = secrets.default_model()
+    rng = random.Random(8)
+    part = lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=16))
+    key = f"{part()}_0123456789abcdef_{part()}"
+    letters = "xQzKvWjRtPqLmZsXgHdB"
+    text = f"key {key} and {letters}, hex 0123456789abcdef01234567, internationalization_configuration"
+    spans = secrets.find_spans(text, model)
+    assert [(k, text[s:e]) for k, s, e in spans] == [("random", key), ("hex", "0123456789abcdef"), ("random", letters), ("hex", "0123456789abcdef01234567")]
+    assert secrets.redact(text, spans) == "key [RANDOM] and [RANDOM], hex [HEX], internationalization_configuration"
+
+
+
 def test_bpe_against_the_library(spark, hostile, none):
     library = tiktoken.Encoding("own", pat_str=tok.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     rng = random.Random(3)

@@ -115,7 +115,7 @@ def default_model() -> MarkovPair:
 def find_spans(text: str, model: MarkovPair, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed.
 
-    A random-looking token that meets a fixed span adds nothing.
+    A random-looking token that lies within a fixed span adds nothing.
     """
     spans = []
     low = text.lower()
@@ -127,10 +127,10 @@ def find_spans(text: str, model: MarkovPair, threshold: float = THRESHOLD) -> li
     fixed = [(s, e) for _, s, e in spans]
     for m in TOKEN.finditer(text):
         s, e = m.span()
-        if any(a < e and s < b for a, b in fixed):
+        if any(a <= s and e <= b for a, b in fixed):
             continue
         token = m[0]
-        if any(c.isdigit() for c in token) and not token.isdigit() and model.score(token) >= threshold:
+        if not token.isdigit() and model.score(token) >= threshold:
             spans.append(("random", s, e))
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
