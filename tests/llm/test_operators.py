@@ -225,6 +225,22 @@ def test_classifier_on_hostile_rows(spark, hostile, none):
     assert line_crf.classify(none, labels.limit(0)).count() == 0
 
 
+def test_classifier_learns_from_whole_documents(spark, monkeypatch):
+    """Junk after many clean lines is what makes a document bad."""
+    clean = [f"The river runs past house {k} and the old mill." for k in range(60)]
+    junk = ["$$$ >>> ### CLICK | BUY | WIN !!!"] * 40
+    rows = [(k, "\n".join(clean + (junk if k % 2 else clean[:40]))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    whole, batched = line_crf.train(docs, labels), None
+    good, bad = line_crf.score_texts(["\n".join(clean[:10]), "\n".join(junk[:10])], whole)
+    assert good > 0.5 > bad
+    monkeypatch.setattr(line_crf, "TRAIN_SLOTS", 500)
+    batched = line_crf.train(docs, labels)
+    assert np.allclose(whole.weights, batched.weights, atol=1e-4) and np.allclose(whole.pairs, batched.pairs, atol=1e-4)
+
+
+
 def test_license_base_against_brute_force(spark, hostile, none):
     df = hostile.select("doc_id", "text").union(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")).withColumn("doc_id", F.monotonically_increasing_id())
     df = spark.createDataFrame(df.collect(), "doc_id long, text string")

@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: At most so many labelled documents, those with the smallest hash of their
-#: id, and at most so many lines of each are learnt from.
+#: id, are learnt from, each with all its lines.
 TRAIN_DOCS = 2_000
-TRAIN_LINES = 48
 #: One document in so many is held out of learning, by crc32 of its id.
 FOLDS = 5
 THRESHOLD = 0.3
 #: Padded line slots that one forward-backward pass holds.
 SLOTS = 1 << 20
+#: Padded line slots that one pass of learning holds.
+TRAIN_SLOTS = 1 << 16
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _STOP, _PUNCT, _SYMBOL, _BAR, _BANG, _HIGH, _OTHER = range(11)
 _CLASSES = 11
@@ -121,19 +122,31 @@ def fit(chains: list[np.ndarray], labels: list[int], rounds: int = 150, rate: fl
         return Chain(np.zeros(width), np.zeros((2, 2)), mean, scale)
     stacked = np.vstack(chains)
     mean, scale = stacked.mean(axis=0), stacked.std(axis=0) + 1e-2
-    lengths = np.array([len(c) for c in chains])
-    x = np.zeros((len(chains), lengths.max(), width))
-    for k, c in enumerate(chains):
-        x[k, : len(c)] = with_neighbours((c - mean) / scale)
-    inside = np.arange(lengths.max())[None, :] < lengths[:, None]
-    y = np.array(labels, float)[:, None] * inside
-    seen = np.array([[((lengths - 1) * (np.array(labels) == 0)).sum(), 0], [0, ((lengths - 1) * (np.array(labels) == 1)).sum()]], float)
+    batches, at = [], 0
+    order = sorted((k for k in range(len(chains)) if len(chains[k])), key=lambda k: len(chains[k]))
+    while at < len(order):
+        stop = at + 1
+        while stop < len(order) and (stop + 1 - at) * len(chains[order[stop]]) <= TRAIN_SLOTS:
+            stop += 1
+        group = order[at:stop]
+        lengths, good = np.array([len(chains[k]) for k in group]), np.array([labels[k] for k in group], float)
+        inside = np.arange(lengths.max())[None, :] < lengths[:, None]
+        batches.append((np.vstack([with_neighbours((chains[k] - mean) / scale) for k in group]), np.repeat(good, lengths), lengths, inside))
+        at = stop
+    sizes, bad = np.array([len(c) for c in chains]), np.array(labels) == 0
+    steps = np.maximum(sizes - 1, 0)
+    seen = np.array([[steps[bad].sum(), 0], [0, steps[~bad].sum()]], float)
     w, m, v = (np.zeros(width + 4) for _ in range(3))
-    flat, lines = x.reshape(-1, width), inside.sum()
     for k in range(1, rounds + 1):
         pairs = w[width:].reshape(2, 2)
-        good, expected, _ = forward_backward((flat @ w[:width]).reshape(inside.shape) * inside, lengths, pairs)
-        grad = np.r_[((y - good * inside).reshape(-1) @ flat), (seen - expected).ravel()] / lines - decay * w
+        grad = np.r_[np.zeros(width), seen.ravel()]
+        for flat, y, lengths, inside in batches:
+            scores = np.zeros(inside.shape)
+            scores[inside] = flat @ w[:width]
+            good, expected, _ = forward_backward(scores, lengths, pairs)
+            grad[:width] += (y - good[inside]) @ flat
+            grad[width:] -= expected.ravel()
+        grad = grad / len(stacked) - decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return Chain(w[:width], w[width:].reshape(2, 2), mean, scale)
@@ -177,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [line_features(t or "")[0][:TRAIN_LINES].ravel().tolist() for t in batch.column(1).to_pylist()]
+            made = [line_features(t or "")[0].ravel().tolist() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(made, pa.list_(pa.float32()))], ["id", "y", "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
