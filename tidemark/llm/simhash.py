@@ -335,6 +335,10 @@ def open_pairs(places: DataFrame, roots: DataFrame, similarity: float) -> DataFr
 
 def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links whose two shingle sets reach the Jaccard ``similarity``."""
+    links = materialize(links, "candidates")
+    ends = materialize(links.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct(), "ends")
+    # Few texts have links; the sets of others are not shuffled.
+    sets = sets.join(ends, "id", "left_semi")
     a = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("id").alias("b_id"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
