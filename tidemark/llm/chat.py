@@ -1,9 +1,10 @@
 r"""Chat formatting in budgeted windows.
 
 A conversation becomes one or more windows of text. Prefix sums of the turns'
-tokens choose where a window ends, always between turns. Every window starts
-with the system turn if there is one, then repeats a little of what came
-before, then has its own turns. Loss falls on the assistant turns of a window
+tokens choose where a window ends, always between turns: turns whose sums end
+in the same stretch of tokens stand together, and a large turn stands alone.
+Every window starts with the system turn if there is one, then repeats a little
+of what came before, then has its own turns. Loss falls on the assistant turns of a window
 that are not repeats, so each is learnt from once.
 
 Each turn reads ``### role:``, a line end, its text and ``</turn>``. Inside
@@ -15,16 +16,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns that are formatted together; windows do not cross these groups, which
-#: keeps what a task holds bounded however long a conversation is.
+from tidemark.llm.common import Scratch
+
+#: Turn numbers that are summed together before the sums are added up, so that
+#: a long conversation is summed by many tasks. The result does not depend on it.
 TOGETHER = 64
 OPEN, CLOSE, AGAIN = "### ", "</turn>\n", " (again)"
 _CONTROL = re.compile(r"\\|###|</turn>|:(?=\n)|\(again\)")
@@ -40,19 +41,6 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def spans(tokens: list[int], budget: int) -> list[tuple[int, int]]:
-    """Turn ranges whose tokens stay within the budget, by prefix sums.
-
-    A turn that is larger than the budget has a range of its own.
-    """
-    sums, out, at = [0, *accumulate(tokens)], [], 0
-    while at < len(tokens):
-        stop = max(at + 1, bisect_right(sums, sums[at] + budget) - 1)
-        out.append((at, stop))
-        at = stop
-    return out
-
-
 def format_window(parts: list[tuple[str, str, bool]]) -> tuple[str, list[tuple[int, int]]]:
     """Text of turns (role, text, repeated) and the ranges that carry loss."""
     out, mask, at = [], [], 0
@@ -84,92 +72,135 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4) + 8
 
 
-_ONE = "struct<turn:long,role:string,text:string,tokens:long>"
+_MASK = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def format_conversations(rows: DataFrame, budget: int = 1024, history: int = 256, history_turns: int = 2, tokens=token_estimate) -> DataFrame:
-    """(conv_id, part, window, text, mask): the windows of every conversation.
+def placed_turns(rows: DataFrame, budget: int, history: int, tokens) -> DataFrame:
+    """Every turn with its position in its conversation and the window it is in.
 
-    Rows have conv_id, turn, role and text; others are not read. Turns stand by
-    turn number, then role, then text; repeated rows are turns of their own.
-    Null texts and roles are empty; null turn numbers come first; rows with a
-    null conv_id form one conversation. The system turn and the history take
-    from the budget; a turn that alone exceeds it has its own window.
+    A window is known by ``w``: the stretch of tokens in which the prefix sum
+    of a turn ends, and how many large turns there are up to it. Sums run
+    within parts of a conversation first, then over the parts.
     """
     text = F.coalesce("text", F.lit(""))
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), tokens(text).cast("long").alias("tokens"))
-    part = F.coalesce(F.floor(F.col("turn") / TOGETHER), F.lit(-1)).cast("long")
-    parts = rows.select("conv_id", part.alias("part"), turn.alias("t")).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    first = F.get("turns", F.lit(0))
-    ends = parts.select("conv_id", "part", F.when(first["role"] == "system", first).alias("head"), F.slice("turns", F.greatest(F.size("turns") - (history_turns - 1), F.lit(1)), history_turns).alias("tail"))
-    order = Window.partitionBy("conv_id").orderBy("part")
-    ends = ends.select("conv_id", "part", F.first("head").over(order).alias("system"), F.lag("tail").over(order).alias("before"))
-    p, e = parts.alias("p"), ends.alias("e")
-    same = F.col("p.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("p.part") == F.col("e.part"))
-    joined = p.join(e, same).select("p.conv_id", "p.part", "turns", "system", "before")
+    r = rows.select(F.struct("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), tokens(text).cast("long").alias("tokens"))
+    cut = budget // 4
+    large = (F.col("tokens") > cut).cast("int")
+    r = r.withColumn("part", F.coalesce(F.floor(F.col("turn") / TOGETHER), F.lit(-1)).cast("long"))
+    inside = Window.partitionBy("conv", "part").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.select("conv", "part", "role", "text", "tokens", large.alias("large"), F.count("*").over(inside).alias("n"), F.sum("tokens").over(inside).alias("sum"), F.sum(large).over(inside).alias("larges"))
+    at = F.struct("n", F.when(F.col("role") == "system", F.col("tokens")).alias("system"))
+    parts = r.groupBy("conv", "part").agg(F.max("n").alias("n"), F.max("sum").alias("sum"), F.max("larges").alias("larges"), F.min(at)["system"].alias("system"))
+    order = Window.partitionBy("conv").orderBy("part")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        "conv",
+        "part",
+        *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_before") for x in ("n", "sum", "larges")),
+        F.first("system").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("system"),
+        F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("turns"),
+    )
+    t = r.join(offsets, ["conv", "part"])
+    step = F.greatest(budget - history - cut - F.coalesce("system", F.lit(0)), F.lit(1))
+    w = F.struct(F.floor((F.col("sum") + F.col("sum_before") - F.coalesce("system", F.lit(0)) - 1) / step).alias("stretch"), (F.col("larges") + F.col("larges_before")).alias("larges"), "large")
+    pos = F.col("n") + F.col("n_before")
+    # The system turn joins the first window as its context, unless it is all there is.
+    head = (pos == 1) & F.col("system").isNotNull() & (F.col("turns") > 1)
+    return t.select("conv", pos.alias("pos"), "role", "text", "tokens", w.alias("w"), F.col("system").isNotNull().alias("has_system"), head.alias("head"))
+
+
+def format_conversations(rows: DataFrame, budget: int = 1024, history: int = 256, history_turns: int = 2, tokens=token_estimate) -> DataFrame:
+    """(conv_id, window, text, mask): the windows of every conversation.
+
+    ``window`` is the position of its first own turn. Rows have conv_id, turn,
+    role and text; others are not read. Turns stand by turn number, then role,
+    then text; repeated rows are turns of their own. Null texts and roles are
+    empty; null turn numbers come first; rows with a null conv_id form one
+    conversation; an empty table has no window. The system turn and the history
+    take from the budget. A turn of over a quarter of the budget has a window of
+    its own, so does one that alone exceeds it; very long texts stay whole.
+    """
+    scratch = Scratch(rows.sparkSession)
+    turns = scratch.table(placed_turns(rows, budget, history, tokens), "turns")
+    one = F.struct("pos", "role", "text", "tokens")
+    own = turns.where("not head").groupBy("conv", "w").agg(F.sort_array(F.collect_list(one)).alias("own"), F.min("pos").alias("window"), F.first("has_system").alias("has_system"))
+    own = scratch.table(own.drop("w"), "windows")
+    first = F.when(F.col("has_system") & (F.col("window") > 1), F.array(F.lit(1).cast("long"))).otherwise(F.array().cast("array<long>"))
+    back = F.filter(F.transform(F.sequence(F.lit(1), F.lit(max(history_turns, 1))), lambda k: F.col("window") - k), lambda p: p >= 1)
+    wanted = own.select("conv", "window", F.explode(F.array_union(first, back) if history_turns else first).alias("pos"))
+    context = wanted.join(turns.select("conv", "pos", "role", "text", "tokens"), ["conv", "pos"]).groupBy("conv", "window").agg(F.collect_list(one).alias("context"))
+    joined = own.join(context, ["conv", "window"], "left").select("conv.conv_id", "window", "own", "context", "has_system")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("conv_id", "part", "window", "text", "mask")}
-            for conv, number, turns, system, before in zip(*(c.to_pylist() for c in batch.columns)):
-                rest = turns[1:] if before is None and system is not None else turns
-                room = max(1, budget - (system["tokens"] if system else 0) - history)
-                past = before or []
-                ranges = spans([t["tokens"] for t in rest], room) or [(0, 0)]
-                for k, (a, b) in enumerate(ranges):
-                    shown, used = [], 0
-                    for t in reversed(past[-history_turns:] if history_turns else []):
-                        used += t["tokens"]
-                        if used > history or t is system:
-                            break
+            texts, masks = [], []
+            for window, mine, context, has_system in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                system, shown, used = None, [], 0
+                for t in sorted(context or [], key=lambda t: -t["pos"]):
+                    if has_system and t["pos"] == 1:
+                        system = t
+                    elif t["pos"] == window - 1 - len(shown) and used + t["tokens"] <= history:
                         shown.append(t)
-                    own = [(system["role"], system["text"], k > 0 or before is not None)] if system else []
-                    own += [(t["role"], t["text"], True) for t in reversed(shown)]
-                    own += [(t["role"], t["text"], False) for t in rest[a:b]]
-                    text, mask = format_window(own)
-                    for name, value in zip(out, (conv, number, k, text, [{"start": s, "stop": e} for s, e in mask])):
-                        out[name].append(value)
-                    past = (past + rest[a:b])[-history_turns:] if history_turns else []
-            yield pa.RecordBatch.from_pydict(out, schema)
+                        used += t["tokens"]
+                parts = [(system["role"], system["text"], window > 2)] if system else []
+                parts += [(t["role"], t["text"], True) for t in reversed(shown)]
+                text, mask = format_window(parts + [(t["role"], t["text"], False) for t in mine])
+                texts.append(text)
+                masks.append([{"start": s, "stop": e} for s, e in mask])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(masks, _MASK)], ["conv_id", "window", "text", "mask"])
 
     kind = rows.schema["conv_id"].dataType.simpleString()
-    ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    mask_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    schema = pa.schema([("conv_id", ids), ("part", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("mask", mask_type)])
-    return joined.mapInArrow(run, f"conv_id {kind}, part long, window int, text string, mask array<struct<start:int,stop:int>>")
+    return scratch.last(joined.mapInArrow(run, f"conv_id {kind}, window long, text string, mask array<struct<start:int,stop:int>>"), "formatted")
+
+
+class _Digest:
+    """Running digests of one conversation, fed with its windows in order."""
+
+    def __init__(self, conv_id: pa.Scalar) -> None:
+        self.conv_id, self.turns, self.loss = conv_id, hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.chars = 0
+
+    def add(self, text: str, mask: list[dict]) -> None:
+        for role, turn, repeated in parse_window(text):
+            if not repeated:
+                self.turns.update(f"{role}\n{turn}\n".encode())
+                self.n_turns += 1
+        for m in mask:
+            part = unescape(text[m["start"] : m["stop"]])
+            self.loss.update(part.encode())
+            self.loss_chars += len(part)
+        self.chars += len(text)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
     """The contract's columns, from the formatted windows alone.
 
-    The digests run over whole conversations, so the new turns of one
-    conversation meet in one row here.
+    The digests run over whole conversations, whose windows pass through one
+    task in order; nothing but the running digests is held.
     """
 
+    def give(done: list[_Digest], kind: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array([d.conv_id.as_py() for d in done], kind), *(pa.array([f(d) for d in done]) for f in (lambda d: d.n_turns, lambda d: d.turns.hexdigest(), lambda d: d.loss_chars, lambda d: d.loss.hexdigest(), lambda d: d.chars))]
+        return pa.RecordBatch.from_arrays(columns, ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kind = None, None
         for batch in batches:
-            turns, loss, sizes, chars = [], [], [], []
-            for text, mask in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                new = [(r, t) for r, t, repeated in parse_window(text) if not repeated]
-                turns.append("".join(f"{r}\n{t}\n" for r, t in new))
-                loss.append("".join(unescape(text[m["start"] : m["stop"]]) for m in mask))
-                sizes.append(len(new))
-                chars.append(len(text))
-            arrays = [*batch.columns[:3], pa.array(turns, pa.string()), pa.array(loss, pa.string()), pa.array(sizes, pa.int64()), pa.array(chars, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["conv_id", "part", "window", "turns", "loss", "n", "chars"])
+            done, kind = [], batch.column(0).type
+            for conv, text, mask in zip(batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if now is None or not conv.equals(now.conv_id):
+                    if now is not None:
+                        done.append(now)
+                    now = _Digest(conv)
+                now.add(text, mask)
+            if done:
+                yield give(done, kind)
+        if now is not None:
+            yield give([now], kind)
 
     kind = windows.schema["conv_id"].dataType.simpleString()
-    read = windows.select("conv_id", "part", "window", "text", "mask").mapInArrow(run, f"conv_id {kind}, part long, window int, turns string, loss string, n long, chars long")
-    whole = read.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "window", "turns", "loss"))).alias("w"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
-    joined = lambda field: F.array_join(F.transform("w", lambda x: x[field]), "")
-    return whole.select(
-        "conv_id",
-        "n_turns",
-        F.sha2(joined("turns"), 256).alias("turns_sha256"),
-        F.length(joined("loss")).cast("long").alias("loss_chars"),
-        F.sha2(joined("loss"), 256).alias("loss_sha256"),
-        "formatted_chars",
-    )
+    ordered = windows.select("conv_id", "window", "text", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def digest(turns: list[tuple[str, str]]) -> tuple[str, int, str]:

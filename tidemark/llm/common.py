@@ -32,10 +32,12 @@ def ascii_lower(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` names it. Only a session without
-    that setting (tests, one machine) gets a folder under the warehouse.
+    The session's ``spark.checkpoint.dir`` names it. Only a session on one
+    machine, as in tests, may go without: it gets a folder under the warehouse.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
@@ -62,5 +64,29 @@ def drop_paths(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Intermediate tables of one operator; ``clear`` removes them.
+
+    ``last`` writes what the operator returns and removes all the others.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = written(df, name)
+        self.paths.append(path)
+        return out
+
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        self.clear()
+        return out
+
+    def clear(self) -> None:
+        drop_paths(self.spark, *self.paths)
+        self.paths = []
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import drop_paths, written
 
 
-def _size(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node with a parent has one, which has none itself.
+
+    Then the edges are stars and another round would change nothing.
+    """
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def _smallest(edges: DataFrame, key: str, other: str) -> tuple[DataFrame, str]:
@@ -33,8 +38,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     spark = edges.sparkSession
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     e, path = written(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
-    last = _size(e)
-    while last[0]:
+    while not _settled(e):
         both = e.union(e.select("b", "a")).toDF("u", "v")
         least, star = _smallest(both, "u", "v")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -44,9 +48,6 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
         e, new = written(small.select("e.*").where("a <> b").distinct(), "edges")
         drop_paths(spark, path, star, wide, second)
-        path, now = new, _size(e)
-        if now == last:
-            break
-        last = now
+        path = new
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -11,9 +11,11 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -124,10 +126,13 @@ def find_spans(text: str, model: MarkovPair, threshold: float = THRESHOLD) -> li
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text)]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    fixed = [(s, e) for _, s, e in spans]
+    fixed = sorted((s, e) for _, s, e in spans)
+    starts = [s for s, _ in fixed]
+    reach = list(accumulate((e for _, e in fixed), max))  # the last end of spans that start by then
     for m in TOKEN.finditer(text):
         s, e = m.span()
-        if any(a <= s and e <= b for a, b in fixed):
+        before = bisect_right(starts, s)
+        if before and reach[before - 1] >= e:
             continue
         token = m[0]
         if not token.isdigit() and model.score(token) >= threshold:

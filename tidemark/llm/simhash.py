@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import Scratch
 from tidemark.llm.components import connected_components
 
 SEED = 42
@@ -200,7 +200,7 @@ def _bucket_keys(fp: Column, blocks: int, match: int) -> Column:
     return F.array(*keys)
 
 
-def link_fingerprints(distinct: DataFrame, max_bits: int, blocks: int, match: int) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, max_bits: int, blocks: int, match: int, scratch: Scratch) -> DataFrame:
     """(a, b): links that span every group of fingerprints within ``max_bits``.
 
     ``distinct`` has one row per fingerprint, in column fp. A bucket beyond
@@ -209,7 +209,7 @@ def link_fingerprints(distinct: DataFrame, max_bits: int, blocks: int, match: in
     """
     keyed = distinct.select("fp", F.explode(_bucket_keys(F.col("fp"), blocks, match)).alias("key"))
     hot = keyed.groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.ceil(F.col("count") / BUCKET).alias("chunks"))
-    hot = materialize(hot, "hot-buckets")
+    hot = scratch.table(hot, "hot-buckets")
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks"))
     split = keyed.join(hot, "key", "left")
     dealt = split.where("chunks is null").select("key", "fp").union(
@@ -232,13 +232,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     others. Repeated rows stay, each with the same result; rows with a null id
     stay and never name a component. Columns other than the two are not read.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    scratch = Scratch(docs.sparkSession)
+    fps = scratch.table(fingerprints(docs, id_col, text_col, words), "fingerprints")
     least = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = connected_components(link_fingerprints(least.select("fp"), max_bits, blocks, match), "a", "b")
-    linked = materialize(roots.join(least, F.col("node") == F.col("fp")).select("fp", "root", "first"), "linked")
+    links = scratch.table(link_fingerprints(least.select("fp"), max_bits, blocks, match, scratch), "links")
+    roots = connected_components(links, "a", "b")
+    linked = scratch.table(roots.join(least, F.col("node") == F.col("fp")).select("fp", "root", "first"), "linked")
     ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(least.join(linked.join(ids, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "components")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    named = scratch.table(least.join(linked.join(ids, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "components")
+    return scratch.last(fps.join(named, "fp").select(F.col("id").alias(id_col), hex_of(F.col("fp")).alias("fingerprint"), "component_id"), "groups")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -309,21 +311,49 @@ def shingle_prints(docs: DataFrame, id_col: str, text_col: str, words: int, simi
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long, contents long, size int, prefix array<long>")
 
 
-def prefix_places(prints: DataFrame, texts: DataFrame) -> DataFrame:
+def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (s, contents), one for each of both where s has several contents.
+
+    Holds one row besides the batch, however many rows a shingle has.
+    """
+    kept = None  # the last new (s, contents), not given away yet
+    several = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if kept is not None:
+            batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+        s, contents = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new_s = np.r_[True, s[1:] != s[:-1]]
+        first = np.flatnonzero(new_s | np.r_[True, contents[1:] != contents[:-1]])
+        group = np.cumsum(new_s)[first] - 1
+        many = np.bincount(group) > 1
+        many[0] |= several and kept is not None
+        end = len(first) - 1
+        give = many[group]
+        give[end] = False  # waits for the next batch
+        if give.any():
+            yield batch.take(pa.array(first[give]))
+        several, kept = bool(many[group[end]]), batch.slice(int(first[end]), 1)
+    if kept is not None and several:
+        yield kept
+
+
+def prefix_places(prints: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(s, own, place, size): prefix shingles that several distinct texts have."""
-    spread = prints.select("contents", F.explode("prefix").alias("s")).groupBy("s").agg(F.min("contents").alias("lo"), F.max("contents").alias("hi"))
-    several = materialize(spread.where("lo <> hi").select("s"), "several")
-    placed = prints.select("contents", "size", F.posexplode("prefix").alias("place", "s")).join(several, "s", "left_semi").distinct()
-    return placed.join(texts.select("contents", "own"), "contents").select("s", "own", "place", "size")
+    placed = prints.select(F.posexplode("prefix").alias("place", "s"), "contents").select("s", "contents", "place")
+    dealt = placed.repartition("s").sortWithinPartitions("s", "contents")
+    shared = scratch.table(dealt.mapInArrow(_shared_only, "s long, contents long, place int"), "shared")
+    return shared.join(texts.select("contents", "own", "size"), "contents").select("s", "own", "place", "size")
 
 
-def open_pairs(places: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def open_pairs(places: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(a_id, b_id): every pair of texts of different groups that may reach
     ``similarity``, by a shared prefix shingle, the sizes and the places."""
     grouped = places.join(roots, F.col("own") == F.col("node"), "left").select("s", "own", "place", "size", F.coalesce("root", "own").alias("root"))
-    grouped = materialize(grouped, "grouped")
+    grouped = scratch.table(grouped, "grouped")
     mixed = grouped.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    still = materialize(grouped.join(mixed, "s", "left_semi"), "open")
+    still = scratch.table(grouped.join(mixed, "s", "left_semi"), "open")
     a, b = (still.select("s", *(F.col(x).alias(f"{y}_{x}") for x in ("own", "place", "size", "root"))) for y in "ab")
     least = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
     near = (F.col("a_size") >= similarity * F.col("b_size") - 1e-9) & (F.col("b_size") >= similarity * F.col("a_size") - 1e-9)
@@ -333,10 +363,10 @@ def open_pairs(places: DataFrame, roots: DataFrame, similarity: float) -> DataFr
     return a.join(b, on).select(F.col("a_own").alias("a_id"), F.col("b_own").alias("b_id")).distinct()
 
 
-def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def alike(links: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The links whose two shingle sets reach the Jaccard ``similarity``."""
-    links = materialize(links, "candidates")
-    ends = materialize(links.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct(), "ends")
+    links = scratch.table(links, "candidates")
+    ends = scratch.table(links.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct(), "ends")
     # Few texts have links; the sets of others are not shuffled.
     sets = sets.join(ends, "id", "left_semi")
     a = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("sa"))
@@ -345,7 +375,7 @@ def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return links.join(a, "a_id").join(b, "b_id").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a_id", "b_id")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 11, blocks: int = 8, match: int = 2) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 4, blocks: int = 6, match: int = 2) -> DataFrame:
     """(id, component_id): groups linked by pairs of texts whose distinct
     shingles have a Jaccard similarity of ``similarity`` or more.
 
@@ -353,23 +383,25 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     SimHash proposes a first set of links, closest first, which finds most of
     the groups; it need not find all. Then every pair of texts that stand in
     different groups and share a prefix shingle is compared, which leaves out
-    no pair at ``similarity``. Ids must not be null.
+    no pair at ``similarity``. Ids must not be null; an empty table gives an
+    empty result, and columns other than the two are not read.
     """
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(id_col, text_col)
-    prints = materialize(shingle_prints(docs, id_col, text_col, words, similarity, shared_shingles(docs, text_col, words)), "prints")
-    texts = materialize(prints.groupBy("contents").agg(F.min("fp").alias("fp"), F.min("id").alias("own")), "texts")
+    prints = scratch.table(shingle_prints(docs, id_col, text_col, words, similarity, shared_shingles(docs, text_col, words)), "prints")
+    texts = scratch.table(prints.groupBy("contents").agg(F.min("fp").alias("fp"), F.min("id").alias("own"), F.min("size").alias("size")), "texts")
     least = texts.groupBy("fp").agg(F.min("own").alias("first"))
-    near = link_fingerprints(least.select("fp"), max_bits, blocks, match)
+    near = link_fingerprints(least.select("fp"), max_bits, blocks, match, scratch)
     ends = [least.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_id")) for x in "ab"]
     near = near.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id")
     equal = texts.join(least, "fp").where("own <> first").select(F.col("own").alias("a_id"), F.col("first").alias("b_id"))
-    links = materialize(near.union(equal), "links")
-    places = materialize(prefix_places(prints, texts), "places")
+    links = scratch.table(near.union(equal), "links")
+    places = scratch.table(prefix_places(prints, texts, scratch), "places")
     needed = links.select(F.explode(F.array("a_id", "b_id")).alias(id_col)).union(places.select("own")).distinct()
-    sets = materialize(shingle_sets(docs.join(needed.hint("merge"), id_col, "left_semi"), id_col, text_col, words), "shingles")
-    first = materialize(connected_components(alike(links, sets, similarity), "a_id", "b_id"), "roots")
-    rest = alike(open_pairs(places, first, similarity), sets, similarity)
+    sets = scratch.table(shingle_sets(docs.join(needed.hint("merge"), id_col, "left_semi"), id_col, text_col, words), "shingles")
+    first = scratch.table(connected_components(alike(links, sets, similarity, scratch), "a_id", "b_id"), "roots")
+    rest = alike(open_pairs(places, first, similarity, scratch), sets, similarity, scratch)
     true = first.select(F.col("node").alias("a_id"), F.col("root").alias("b_id")).union(rest)
-    roots = materialize(connected_components(true, "a_id", "b_id"), "roots")
-    named = texts.join(roots, F.col("own") == F.col("node"), "left").select("contents", F.coalesce("root", "own").alias("component_id"))
-    return prints.select("id", "contents").join(materialize(named, "components"), "contents").select(F.col("id").alias(id_col), "component_id")
+    roots = scratch.table(connected_components(true, "a_id", "b_id"), "roots")
+    named = scratch.table(texts.join(roots, F.col("own") == F.col("node"), "left").select("contents", F.coalesce("root", "own").alias("component_id")), "components")
+    return scratch.last(prints.select("id", "contents").join(named, "contents").select(F.col("id").alias(id_col), "component_id"), "groups")

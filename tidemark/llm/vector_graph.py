@@ -5,7 +5,9 @@ overlap. Each shard builds a robust-pruned graph; the adjacency lists of a
 vector from all its shards are united. A search starts at a shard's medoid,
 walks greedily towards its query and, once in range, expands through every
 neighbour in range. Links are verified in double precision where they are
-found, and the recall of the whole is audited against brute force.
+found, and the recall of the whole is audited against brute force. Should it
+stay too low, vectors go to every shard in which a link of theirs can be, and
+all pairs of a shard are compared, which is exact.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import Scratch
 from tidemark.llm.components import connected_components
 
 #: Vectors on which centres are fitted: those with the smallest hash of their id.
@@ -27,9 +29,12 @@ SAMPLE = 20_000
 MAX_CENTRES = 2_048
 #: Vectors for each centre, about, and most in one chunk of a shard.
 SHARD, CHUNK = 256, 1_024
-#: Query vectors of the recall audit, and the recall below which the index is
-#: built again with more overlap and more neighbours.
-AUDIT, AIM, TRIES = 256, 0.97, 3
+#: Query vectors of the recall audit, the recall below which the index is built
+#: again with more overlap and more neighbours, how often, and the recall below
+#: which the exact way follows.
+AUDIT, AIM, TRIES, LEAST_RECALL = 1_024, 0.97, 3, 0.9
+#: Given instead of a null id to vectors that have no other; larger than any id.
+NAMELESS = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -159,8 +164,13 @@ def _roots(found: np.ndarray) -> np.ndarray:
         root = lower
 
 
-def _members(classes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
-    """(cls, n, vector, shards): where each distinct vector goes."""
+def _members(classes: DataFrame, centres: np.ndarray, overlap: int, least: float | None = None) -> DataFrame:
+    """(cls, n, vector, shards): where each distinct vector goes.
+
+    With ``least``, to every centre that is the nearest one of a vector with a
+    cosine of ``least`` to it: angles obey the triangle inequality, so such a
+    centre is at most twice that angle farther than its own nearest one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,8 +179,12 @@ def _members(classes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame
             raw = np.array(batch.column(2).to_pylist(), "<f8")
             near = unit_rows(raw) @ centres.T
             r = min(overlap, len(centres))
-            top = np.sort(np.argpartition(-near, r - 1, axis=1)[:, :r], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(top.tolist(), pa.list_(pa.int32()))], ["cls", "n", "vector", "shards"])
+            if least is None:
+                top = np.sort(np.argpartition(-near, r - 1, axis=1)[:, :r], axis=1).tolist()
+            else:
+                angle = np.arccos(np.clip(near, -1, 1))
+                top = [np.flatnonzero(row <= row.min() + 2 * np.arccos(least) + 1e-6).tolist() for row in angle]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(top, pa.list_(pa.int32()))], ["cls", "n", "vector", "shards"])
 
     return classes.select("cls", "n", F.col("v").cast("array<double>")).mapInArrow(run, "cls long, n long, vector binary, shards array<int>")
 
@@ -204,20 +218,29 @@ def _adjacency(units: DataFrame, shape: Shape) -> DataFrame:
     return built.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def _search(units: DataFrame, adjacency: DataFrame, least: float, shape: Shape) -> DataFrame:
+def _search(units: DataFrame, adjacency: DataFrame | None, least: float, shape: Shape) -> DataFrame:
     """(cls, links, root): weighted links of each vector, each pair counted in
-    one of the shards that hold both, and its group within the shard."""
+    one of the shards that hold both, and its group within the shard.
+
+    Without adjacency lists all pairs of a shard are compared.
+    """
+
+    exact = adjacency is None
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("cls", ignore_index=True)
         ids, weight = group["cls"].to_numpy(), group["n"].to_numpy()
-        place = {c: k for k, c in enumerate(ids.tolist())}
-        lists = [[place[c] for c in near.tolist() if c in place] if near is not None else [] for near in group["near"]]
-        most = max(1, *map(len, lists))
-        padded = np.full((len(ids), most), -1, np.int64)
-        for k, x in enumerate(lists):
-            padded[k, : len(x)] = x
-        found = range_search(_vectors(group["vector"]), padded, least, shape.width)
+        x = _vectors(group["vector"])
+        if exact:
+            found = x @ x.T >= least
+            np.fill_diagonal(found, False)
+        else:
+            place = {c: k for k, c in enumerate(ids.tolist())}
+            lists = [[place[c] for c in near.tolist() if c in place] if near is not None else [] for near in group["near"]]
+            padded = np.full((len(ids), max(1, *map(len, lists))), -1, np.int64)
+            for k, near in enumerate(lists):
+                padded[k, : len(near)] = near
+            found = range_search(x, padded, least, shape.width)
         a, b = np.nonzero(found)
         units_of = np.full((len(ids), max(map(len, group["units"]))), np.iinfo(np.int64).min)
         for k, u in enumerate(group["units"]):
@@ -233,18 +256,20 @@ def _search(units: DataFrame, adjacency: DataFrame, least: float, shape: Shape)
             np.add.at(links, i[common == here], weight[j[common == here]])
         return pd.DataFrame({"cls": ids, "links": links, "root": ids[_roots(found)]})
 
-    return units.join(adjacency, "cls", "left").groupBy("unit").applyInPandas(run, "cls long, links long, root long")
+    linked = units if exact else units.join(adjacency, "cls", "left")
+    return linked.groupBy("unit").applyInPandas(run, "cls long, links long, root long")
 
 
-def audit_recall(classes: DataFrame, found: DataFrame, least: float) -> float:
-    """Share of the true links of ``AUDIT`` vectors that the index found.
+def audit_recall(classes: DataFrame, found: DataFrame, least: float) -> float | None:
+    """Share of the true links of ``AUDIT`` vectors that the index found, None
+    if they have none.
 
     Those vectors are compared with all others in blocks.
     """
     asked = classes.orderBy(F.xxhash64(F.lit(3), "cls")).limit(AUDIT)
     rows = asked.select("cls", F.col("v").cast("array<double>").alias("v")).collect()  # AUDIT rows at most
     if not rows:
-        return 1.0
+        return None
     ids, query = np.array([r["cls"] for r in rows]), unit_rows(np.array([r["v"] for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +283,24 @@ def audit_recall(classes: DataFrame, found: DataFrame, least: float) -> float:
 
     true = classes.select("cls", "n", F.col("v").cast("array<double>")).mapInArrow(run, "cls long, true long").groupBy("cls").agg(F.sum("true").alias("true"))
     row = true.join(found, "cls").agg(F.sum("links"), F.sum("true")).first()
-    return 1.0 if not row[1] else row[0] / row[1]
+    return row[0] / row[1] if row[1] else None
+
+
+def _linked(classes: DataFrame, count: int, least: float, shape: Shape, scratch: Scratch) -> tuple[DataFrame, float | None]:
+    """(cls, links, root) of vectors of one length, and the audited recall."""
+    sample = classes.orderBy(F.xxhash64("cls")).limit(SAMPLE).select(F.col("v").cast("array<double>").alias("v")).collect()
+    centres = fit_centres(unit_rows(np.array([r["v"] for r in sample])), min(MAX_CENTRES, -(-count // SHARD)))
+    for _ in range(TRIES):
+        units = scratch.table(_units(_members(classes, centres, shape.overlap)), "units")
+        found = scratch.table(_search(units, _adjacency(units, shape), least, shape), "found")
+        recall = audit_recall(classes, found.groupBy("cls").agg(F.sum("links").alias("links")), least)
+        if recall is None or recall >= AIM:
+            break
+        shape = replace(shape, overlap=shape.overlap + 2, degree=2 * shape.degree, width=2 * shape.width)
+    if recall is not None and recall < LEAST_RECALL:
+        units = scratch.table(_units(_members(classes, centres, shape.overlap, least)), "units")
+        found, recall = scratch.table(_search(units, None, least, shape), "found"), 1.0
+    return found, recall
 
 
 def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, shape: Shape = Shape()) -> DataFrame:
@@ -266,39 +308,37 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
 
     Vectors that are null, empty or zero, or hold null or non-finite parts,
     link with nothing. Equal vectors are one class of which all members link;
-    vectors of another length than most link with equal ones only. Repeated
-    rows stay; a null id never names a component and is not kept. The recall
-    is that of links between different vectors.
+    vectors of different lengths have no cosine and never link. Repeated rows
+    stay; a row with a null id counts as a link of others but never names a
+    component and is not kept. An empty table gives an empty result; columns
+    other than the two are not read. The recall is that of links between
+    different vectors: the lowest of all lengths, null where there is no link.
     """
+    scratch = Scratch(vectors.sparkSession)
     v = F.col(vector_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable(v), v).alias("v"))
-    grouped = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("cls"), F.count("*").alias("n")).where("cls is not null")
-    grouped = materialize(grouped, "classes")
-    sizes = grouped.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    recall = 1.0
-    links = grouped.select("cls", F.lit(0).cast("long").alias("links"))
-    roots = grouped.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
-    if sizes is not None:
-        classes = grouped.where(F.size("v") == sizes["d"])
-        sample = classes.orderBy(F.xxhash64("cls")).limit(SAMPLE).select(F.col("v").cast("array<double>").alias("v")).collect()
-        centres = fit_centres(unit_rows(np.array([r["v"] for r in sample])), min(MAX_CENTRES, -(-sizes["count"] // SHARD)))
-        for _ in range(TRIES):
-            units = materialize(_units(_members(classes, centres, shape.overlap)), "units")
-            found = materialize(_search(units, _adjacency(units, shape), least, shape), "found")
-            links = materialize(found.groupBy("cls").agg(F.sum("links").alias("links")), "links")
-            recall = audit_recall(classes, links, least)
-            if recall >= AIM:
-                break
-            shape = replace(shape, overlap=shape.overlap + 2, degree=2 * shape.degree, width=2 * shape.width)
-        roots = connected_components(found, "cls", "root")
+    nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("v"), 3)
+    grouped = rows.where("v is not null").groupBy("v").agg(F.coalesce(F.min("id"), nameless).alias("cls"), F.count("*").alias("n"))
+    grouped = scratch.table(grouped, "classes")
+    found, recalls = None, []
+    for d, count in grouped.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():  # lengths of vectors are few
+        links, recall = _linked(grouped.where(F.size("v") == d), count, least, shape, scratch)
+        found = links if found is None else found.union(links)
+        recalls.append(recall)
+    recall = min((r for r in recalls if r is not None), default=None)
+    if found is None:
+        found = grouped.select("cls", F.lit(0).cast("long").alias("links"), F.col("cls").alias("root"))
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    roots = connected_components(found, "cls", "root")
     named = grouped.join(links, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left")
-    named = materialize(named.select(F.col("v").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "cls").alias("root")), "named")
+    named = scratch.table(named.select(F.col("v").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "cls").alias("root")), "named")
     joined = rows.join(named, F.col("v") == F.col("same"), "left")
-    component = F.coalesce("root", "id")
-    return joined.select(
+    component = F.coalesce(F.when(F.col("root") < NAMELESS, F.col("root")), "id")
+    out = joined.select(
         F.col("id").alias(id_col),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
-        F.lit(float(recall)).alias("audit_recall"),
+        F.lit(recall).cast("double").alias("audit_recall"),
     )
+    return scratch.last(out, "vectors")

@@ -7,8 +7,11 @@ three through it and gives one nested row per capture.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +23,8 @@ from tidemark.llm.common import fresh_path, materialize
 SMALL = 100
 #: Rows in one archive file, which bounds what a reading task holds.
 ROWS_A_FILE = 6_000
+#: Bytes of records, about, that a reading task gives on at once.
+TOGETHER = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: Page fields that the metadata record carries.
 FIELDS = "page_id:string,url:string"
@@ -84,24 +89,32 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     records.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", ROWS_A_FILE).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def open_archive(content: bytes) -> BinaryIO:
+    """The records of an archive, plain or gzip, in one member or in many."""
+    raw = io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if content[:2] == b"\x1f\x8b" else raw
+
+
+def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record, by Content-Length; headers lower-cased.
 
-    A text that looks like a record inside a block is never taken for one.
+    A text that looks like a record inside a block is never taken for one, and
+    one record is held at a time.
     """
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8").split(CRLF)
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = end + 4
-        stop = start + int(headers["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has another length")
-        yield headers, data[start:stop]
-        at = stop + 4
+    number = 0
+    while version := stream.readline():
+        number += 1
+        if not version.startswith(b"WARC/"):
+            raise ValueError(f"record {number} does not begin like one")
+        headers = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8").partition(":")
+            headers[name.strip().lower()] = value.strip()
+        size = int(headers["content-length"])
+        block = stream.read(size)
+        if len(block) < size or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {number} has another length")
+        yield headers, block
 
 
 RECORD = "kind string, capture string, target string, payload_bytes long, payload_digest string, refers_to string, block string"
@@ -110,18 +123,20 @@ RECORD = "kind string, capture string, target string, payload_bytes long, payloa
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per record of the archives under ``path``.
 
-    ``capture`` is the id of the response that a record belongs to. Size and
+    Archives of others read the same: each record may be a gzip member of its
+    own, and ``.warc`` files are plain. ``capture`` is the id of the response
+    that a record belongs to. Size and
     digest of a response are taken from its payload; a revisit, which has
     none, states them in its headers. Without ``payloads`` the block of a
     response is left out once they are known.
     """
-    import zlib
+    names = [x.split()[0] for x in RECORD.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                rows = []
-                for headers, block in parse_records(zlib.decompress(content, 47)):
+                rows, held = [], 0
+                for headers, block in parse_records(open_archive(content)):
                     kind = headers["warc-type"]
                     capture = headers.get("warc-concurrent-to", headers["warc-record-id"])
                     size = digest = None
@@ -129,13 +144,18 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                         head, _, payload = block.partition(b"\r\n\r\n")
                         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
                         if kind == "revisit":
-                            size = int(head.lower().rpartition(b"content-length:")[2].split(b"\r\n")[0])
-                            digest = headers["warc-payload-digest"].removeprefix("sha256:")
+                            stated = head.lower().rpartition(b"content-length:")[2].split(b"\r\n")[0].strip()
+                            size = int(stated) if stated.isdigit() else None
+                            digest = headers.get("warc-payload-digest", "").rpartition(":")[2] or None
                         block = payload if payloads else b""
                     rows.append((kind, capture, headers.get("warc-target-uri"), size, digest, headers.get("warc-refers-to"), block.decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
+                    held += len(block) + 500
+                    if held > TOGETHER:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
     return files.mapInPandas(run, RECORD)
 
 
