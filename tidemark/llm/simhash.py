@@ -363,16 +363,40 @@ def open_pairs(places: DataFrame, roots: DataFrame, similarity: float, scratch:
     return a.join(b, on).select(F.col("a_own").alias("a_id"), F.col("b_own").alias("b_id")).distinct()
 
 
-def alike(links: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def _both_ends(links: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The links with the row of each of their texts, as a and b.
+
+    Few texts have links; the rows of others are not shuffled.
+    """
+    ends = scratch.table(links.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct(), "ends")
+    rows = rows.join(ends, "id", "left_semi")
+    a, b = (rows.select(F.col("id").alias(f"{x}_id"), F.struct(*(c for c in rows.columns if c != "id")).alias(x)) for x in "ab")
+    return links.join(a, "a_id").join(b, "b_id")
+
+
+def _overlap_needed(similarity: float) -> Column:
+    """Common shingles that the texts of a link need for ``similarity``."""
+    return similarity / (1 + similarity) * (F.col("a.size") + F.col("b.size")) - 1e-9
+
+
+def likely(pairs: DataFrame, prints: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs that can reach ``similarity`` by what their prefixes share.
+
+    Of the text whose prefix ends first in the common order, all shingles that
+    both have are in both prefixes or come after its own.
+    """
+    both = _both_ends(scratch.table(pairs, "pairs"), prints.select("id", "size", "prefix"), scratch)
+    rest = F.greatest(F.col("a.size") - F.size("a.prefix"), F.col("b.size") - F.size("b.prefix"))
+    return both.where(F.size(F.array_intersect("a.prefix", "b.prefix")) + rest >= _overlap_needed(similarity)).select("a_id", "b_id").distinct()
+
+
+def alike(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, scratch: Scratch) -> DataFrame:
     """The links whose two shingle sets reach the Jaccard ``similarity``."""
     links = scratch.table(links, "candidates")
-    ends = scratch.table(links.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct(), "ends")
-    # Few texts have links; the sets of others are not shuffled.
-    sets = sets.join(ends, "id", "left_semi")
-    a = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("id").alias("b_id"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return links.join(a, "a_id").join(b, "b_id").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a_id", "b_id")
+    ends = scratch.table(links.select(F.explode(F.array("a_id", "b_id")).alias(id_col)).distinct(), "ends")
+    sets = scratch.table(shingle_sets(docs.join(ends, id_col, "left_semi"), id_col, text_col, words), "shingles")
+    both = _both_ends(links, sets.withColumn("size", F.size("shingles")), scratch)
+    return both.where(F.size(F.array_intersect("a.shingles", "b.shingles")) >= _overlap_needed(similarity)).select("a_id", "b_id").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_bits: int = 4, blocks: int = 6, match: int = 2) -> DataFrame:
@@ -397,10 +421,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     equal = texts.join(least, "fp").where("own <> first").select(F.col("own").alias("a_id"), F.col("first").alias("b_id"))
     links = scratch.table(near.union(equal), "links")
     places = scratch.table(prefix_places(prints, texts, scratch), "places")
-    needed = links.select(F.explode(F.array("a_id", "b_id")).alias(id_col)).union(places.select("own")).distinct()
-    sets = scratch.table(shingle_sets(docs.join(needed.hint("merge"), id_col, "left_semi"), id_col, text_col, words), "shingles")
-    first = scratch.table(connected_components(alike(links, sets, similarity, scratch), "a_id", "b_id"), "roots")
-    rest = alike(open_pairs(places, first, similarity, scratch), sets, similarity, scratch)
+    near = alike(links, docs, id_col, text_col, words, similarity, scratch)
+    first = scratch.table(connected_components(near, "a_id", "b_id"), "roots")
+    rest = likely(open_pairs(places, first, similarity, scratch), prints, similarity, scratch)
+    rest = alike(rest, docs, id_col, text_col, words, similarity, scratch)
     true = first.select(F.col("node").alias("a_id"), F.col("root").alias("b_id")).union(rest)
     roots = scratch.table(connected_components(true, "a_id", "b_id"), "roots")
     named = scratch.table(texts.join(roots, F.col("own") == F.col("node"), "left").select("contents", F.coalesce("root", "own").alias("component_id")), "components")
