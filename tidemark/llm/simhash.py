@@ -347,6 +347,24 @@ def prefix_places(prints: DataFrame, texts: DataFrame, scratch: Scratch) -> Data
     return shared.join(texts.select("contents", "own", "size"), "contents").select("s", "own", "place", "size")
 
 
+def _near(similarity: float) -> Column:
+    """Whether sizes, and places of the shingle in common, leave room for ``similarity``."""
+    size = (F.col("a_size") >= similarity * F.col("b_size") - 1e-9) & (F.col("b_size") >= similarity * F.col("a_size") - 1e-9)
+    # The first shingle in common leaves room for enough others after it.
+    least = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    return size & (least >= similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - 1e-9)
+
+
+def star_pairs(places: DataFrame, similarity: float) -> DataFrame:
+    """(a_id, b_id): each text with the first and the last one that has a
+    prefix shingle of its own, a few pairs that tie large groups together."""
+    one = F.struct("own", "place", "size")
+    ends = places.groupBy("s").agg(F.array(F.min(one), F.max(one)).alias("ends"))
+    met = places.join(ends, "s").select(F.col("own").alias("a_id"), F.col("place").alias("a_place"), F.col("size").alias("a_size"), F.explode("ends").alias("e"))
+    met = met.select("a_id", "a_place", "a_size", F.col("e.own").alias("b_id"), F.col("e.place").alias("b_place"), F.col("e.size").alias("b_size"))
+    return met.where((F.col("a_id") != F.col("b_id")) & _near(similarity)).select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
+
+
 def open_pairs(places: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(a_id, b_id): every pair of texts of different groups that may reach
     ``similarity``, by a shared prefix shingle, the sizes and the places."""
@@ -355,11 +373,7 @@ def open_pairs(places: DataFrame, roots: DataFrame, similarity: float, scratch:
     mixed = grouped.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
     still = scratch.table(grouped.join(mixed, "s", "left_semi"), "open")
     a, b = (still.select("s", *(F.col(x).alias(f"{y}_{x}") for x in ("own", "place", "size", "root"))) for y in "ab")
-    least = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
-    near = (F.col("a_size") >= similarity * F.col("b_size") - 1e-9) & (F.col("b_size") >= similarity * F.col("a_size") - 1e-9)
-    # The first shingle in common leaves room for enough others after it.
-    room = least >= similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - 1e-9
-    on = (a["s"] == b["s"]) & (F.col("a_own") < F.col("b_own")) & (F.col("a_root") != F.col("b_root")) & near & room
+    on = (a["s"] == b["s"]) & (F.col("a_own") < F.col("b_own")) & (F.col("a_root") != F.col("b_root")) & _near(similarity)
     return a.join(b, on).select(F.col("a_own").alias("a_id"), F.col("b_own").alias("b_id")).distinct()
 
 
@@ -404,8 +418,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shingles have a Jaccard similarity of ``similarity`` or more.
 
     Texts with equal shingle sets are copies, of which one stands for all.
-    SimHash proposes a first set of links, closest first, which finds most of
-    the groups; it need not find all. Then every pair of texts that stand in
+    SimHash proposes a first set of links, closest first, and so does each
+    prefix shingle with two of its texts, which ties most of the groups
+    together; neither need find all. Then every pair of texts that stand in
     different groups and share a prefix shingle is compared, which leaves out
     no pair at ``similarity``. Ids must not be null; an empty table gives an
     empty result, and columns other than the two are not read.
@@ -419,8 +434,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ends = [least.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_id")) for x in "ab"]
     near = near.join(ends[0], "a").join(ends[1], "b").select("a_id", "b_id")
     equal = texts.join(least, "fp").where("own <> first").select(F.col("own").alias("a_id"), F.col("first").alias("b_id"))
-    links = scratch.table(near.union(equal), "links")
     places = scratch.table(prefix_places(prints, texts, scratch), "places")
+    links = likely(near.union(equal).union(star_pairs(places, similarity)).distinct(), prints, similarity, scratch)
     near = alike(links, docs, id_col, text_col, words, similarity, scratch)
     first = scratch.table(connected_components(near, "a_id", "b_id"), "roots")
     rest = likely(open_pairs(places, first, similarity, scratch), prints, similarity, scratch)
