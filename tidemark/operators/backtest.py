@@ -2,14 +2,16 @@
 
 What a candidate would earn depends on its own row and the bars after it, so
 outcomes are computed for all candidates at once with windows and an equi-join.
-Only which candidates are taken is sequential; that is one fold over the small
-list of candidates of each key.
+Only which candidates are taken is sequential; that is one pass over the sorted
+candidates of each key, which carries the row where the position is free again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +44,30 @@ class ExitRule:
             raise ValueError("take_profit and breakeven are not below zero")
 
 
+def _raw(bars: DataFrame, price: str) -> Column:
+    return c(f"{price}_raw") if f"{price}_raw" in bars.columns else c(price)
+
+
 def numbered(bars: DataFrame, rule: ExitRule) -> DataFrame:
-    """Bars with row numbers, tradeability and the next tradeable row."""
+    """Bars with row numbers, tradeability and the next tradeable row.
+
+    A halted row is not tradeable. Limits compare raw prices where the bars
+    have open_raw and close_raw, else open and close; a missing raw open counts
+    as zero.
+    """
     w = by_key()
+    later = Window.partitionBy("ticker").orderBy(c("date").desc())
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ok = F.coalesce((c("volume") > 0) & c("open").isNotNull(), F.lit(False))
+    if "halted" in bars.columns:
+        ok &= ~F.coalesce("halted", F.lit(False))
     if rule.limit_down is not None:
-        before = lag(c("close"))
-        ok &= ~F.coalesce((before > 0) & (F.coalesce("open", F.lit(0.0)) <= before * (1 + rule.limit_down) + EPS), F.lit(False))
+        before = lag(_raw(bars, "close"))
+        ok &= ~F.coalesce((before > 0) & (F.coalesce(_raw(bars, "open"), F.lit(0.0)) <= before * (1 + rule.limit_down) + EPS), F.lit(False))
     df = bars.withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(whole), "ok": ok})
     return df.withColumns(
         {
-            "next_ok": F.min(F.when(c("ok"), c("rn"))).over(w.rowsBetween(1, Window.unboundedFollowing)),
+            "next_ok": F.min(F.when(c("ok"), c("rn"))).over(later.rowsBetween(Window.unboundedPreceding, -1)),
             "blocked": F.sum((~c("ok")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)),
             "all_blocked": F.sum((~c("ok")).cast("int")).over(whole),
             "last_close": F.last("close").over(whole),
@@ -73,23 +87,30 @@ def _reason(rule: ExitRule) -> Column:
     return F.coalesce(*(F.when(test, F.lit(name)) for on, test, name in tests if on))
 
 
-def outcomes(bars: DataFrame, rule: ExitRule, signal: str = "signal", delisted: DataFrame | None = None) -> DataFrame:
-    """One row per candidate: what happens if it is taken, or why it is skipped."""
+def outcomes(bars: DataFrame, rule: ExitRule, signal: str = "signal", delisted: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per candidate: what happens if it is taken, or why it is skipped.
+
+    ``carry`` names columns of the signal row that come along.
+    """
     w = by_key()
     b = numbered(bars, rule)
     entry, volume = F.lead("open").over(w), F.lead("volume").over(w)
-    skip = F.when(c("rn") == c("n"), "no_next_day").when(~F.coalesce((volume > 0) & entry.isNotNull(), F.lit(False)), "halted_entry")
+    fine = F.coalesce((volume > 0) & entry.isNotNull(), F.lit(False))
+    if "halted" in bars.columns:
+        fine &= ~F.coalesce(F.lead("halted").over(w), F.lit(False))
+    skip = F.when(c("rn") == c("n"), "no_next_day").when(~fine, "halted_entry")
     if rule.limit_up is not None:
-        skip = skip.when((c("close") > 0) & (entry >= c("close") * (1 + rule.limit_up) - EPS), "limit_up")
+        raw = _raw(bars, "close")
+        skip = skip.when((raw > 0) & (F.lead(_raw(bars, "open")).over(w) >= raw * (1 + rule.limit_up) - EPS), "limit_up")
     rows = b.withColumns({"skip": skip, "entry": entry, "entry_date": F.lead("date").over(w)})
-    cand = rows.where(signal).select("ticker", c("rn").alias("t"), c("date").alias("signal_date"), "entry", "entry_date", "skip", "n", "last_close", "last_date", "all_blocked")
+    cand = rows.where(signal).select("ticker", c("rn").alias("t"), c("date").alias("signal_date"), "entry", "entry_date", "skip", "n", "last_close", "last_date", "all_blocked", *carry)
     held = cand.where("skip is null").select("ticker", "t", "entry", F.explode(F.sequence(c("t") + 1, F.least(c("t") + rule.max_hold, c("n")))).alias("k"))
     extra = [rule.ma_exit] if rule.ma_exit else []
-    h = b.select("ticker", "rn", "close", "next_ok", "blocked", *extra)
+    h = b.select("ticker", "rn", "date", "close", "next_ok", "blocked", *extra)
     path = held.alias("c").join(h.alias("h"), (c("c.ticker") == c("h.ticker")) & (c("c.k") == c("h.rn")))
     order = Window.partitionBy("c.ticker", "t").orderBy("h.rn").rowsBetween(Window.unboundedPreceding, 0)
     path = path.withColumn("peak", F.greatest(c("entry"), F.max("h.close").over(order)))
-    hit = F.struct(c("h.rn").alias("decide"), _reason(rule).alias("reason"), c("h.next_ok").alias("exit"), c("h.blocked").alias("blocked"))
+    hit = F.struct(c("h.rn").alias("decide"), _reason(rule).alias("reason"), c("h.date").alias("decide_date"), c("h.next_ok").alias("exit"), c("h.blocked").alias("blocked"))
     decided = path.select("c.ticker", "t", _reason(rule).alias("why"), hit.alias("hit")).where("why is not null").groupBy("ticker", "t").agg(F.min("hit").alias("hit"))
     fill = b.select("ticker", c("rn").alias("exit"), c("open").alias("exit_open"), c("date").alias("exit_day"), c("blocked").alias("exit_blocked"))
     full = cand.join(decided.select("ticker", "t", "hit.*"), ["ticker", "t"], "left").join(fill, ["ticker", "exit"], "left")
@@ -112,28 +133,43 @@ def outcomes(bars: DataFrame, rule: ExitRule, signal: str = "signal", delisted:
         F.when(taken, F.when(late, gone).otherwise(c("reason"))).alias("exit_reason"),
         F.when(taken, F.when(c("decide").isNull(), 0).otherwise(F.coalesce("exit_blocked", "all_blocked") - c("blocked"))).alias("exit_retries"),
         F.when(taken, late).alias("exit_at_close"),
+        F.when(taken, c("decide_date")).alias("exit_signal_date"),
+        *carry,
     )
 
 
-def accepted(candidates: DataFrame) -> DataFrame:
+def accepted(candidates: DataFrame, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """The candidates that find no open position, skips included.
 
-    A skip leaves the position free; a trade holds it up to its exit row.
+    A skip leaves the position free; a trade holds it up to its exit row. The
+    sorted candidates stream through; only the free row of the present key is
+    held, however many candidates a key has.
     """
-    rows = candidates.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("t", c("x").alias("x")))).alias("all"))
-    zero = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("kept"))
+    spots = [candidates.columns.index(x) for x in (*keys, "t", "x")]
 
-    def step(s: Column, k: Column) -> Column:
-        open_ = k["t"] >= s["free"]
-        return F.struct(F.when(open_ & k["x"].isNotNull(), k["x"].cast("int")).otherwise(s["free"]).alias("free"), F.when(open_, F.concat(s["kept"], F.array(k["t"]))).otherwise(s["kept"]).alias("kept"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, free = None, 0
+        for batch in batches:
+            keep = []
+            for *key, t, x in zip(*(batch.column(i).to_pylist() for i in spots)):
+                if key != last:
+                    last, free = key, 0
+                keep.append(t >= free)
+                if t >= free and x is not None:
+                    free = x
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    kept = rows.select("ticker", F.explode(F.aggregate("all", zero, step)["kept"]).alias("t"))
-    return candidates.join(kept, ["ticker", "t"])
+    return candidates.repartition(*keys).sortWithinPartitions(*keys, "t").mapInArrow(run, candidates.schema)
 
 
-def simulate(bars: DataFrame, rule: ExitRule = ExitRule(), signal: str = "signal", delisted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def simulate(bars: DataFrame, rule: ExitRule = ExitRule(), signal: str = "signal", delisted: DataFrame | None = None, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(trades, skips). Trades that ran into the end of the data are excluded."""
-    taken = accepted(outcomes(bars, rule, signal, delisted))
+    taken = accepted(outcomes(bars, rule, signal, delisted, carry))
+    return enriched(taken, rule), taken.where("skip is not null").select("ticker", "signal_date", c("skip").alias("reason"))
+
+
+def enriched(taken: DataFrame, rule: ExitRule) -> DataFrame:
+    """Returns, cost and holding rows of the accepted candidates that are trades."""
     trades = taken.where("skip is null").drop("skip").withColumns(
         {
             "hold_days": c("x") - c("t") - 1 + c("exit_at_close").cast("int"),
@@ -141,8 +177,47 @@ def simulate(bars: DataFrame, rule: ExitRule = ExitRule(), signal: str = "signal
             "excluded": c("exit_reason") == "end_of_data",
         }
     )
-    trades = trades.withColumn("net_ret", c("gross_ret") - rule.cost).withColumn("cost", F.lit(rule.cost))
-    return trades, taken.where("skip is not null").select("ticker", "signal_date", c("skip").alias("reason"))
+    return trades.withColumn("net_ret", c("gross_ret") - rule.cost).withColumn("cost", F.lit(rule.cost))
+
+
+def simulate_many(bars: DataFrame, signals: dict[str, Column], rule: ExitRule, out: str = "strategy", delisted: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Trades of several strategies of one exit rule, by name in ``out``.
+
+    What a signal row leads to is worked out once, whichever strategies have
+    it; then each strategy chooses among its own rows.
+    """
+    names = F.array_compact(F.array(*(F.when(F.coalesce(s, F.lit(False)), F.lit(name)) for name, s in signals.items())))
+    named = bars.withColumn("_names", names).withColumn("_any", F.size("_names") > 0)
+    each = outcomes(named, rule, "_any", delisted, (*carry, "_names")).withColumn(out, F.explode("_names")).drop("_names")
+    return enriched(accepted(each, (out, "ticker")), rule)
+
+
+def entry_candidates(bars: DataFrame, signal: str = "signal", start: str | None = None, end: str | None = None, markets: list[str] | None = None, min_avg_value: float | None = None, cap_groups: list[str] | None = None) -> Column:
+    """Signals that may open a position: eligible rows outside the warm-up,
+    within the period (both ends included), markets, liquidity and size groups.
+
+    Only values of the signal's own row decide; missing ones say no.
+    """
+    tests = [c(signal)]
+    tests += [c("eligible")] if "eligible" in bars.columns else []
+    tests += [~c("is_warmup")] if "is_warmup" in bars.columns else []
+    tests += [c("date") >= F.lit(start).cast(bars.schema["date"].dataType)] if start is not None else []
+    tests += [c("date") <= F.lit(end).cast(bars.schema["date"].dataType)] if end is not None else []
+    tests += [c("market").isin(markets)] if markets is not None else []
+    tests += [c("avg_value") >= min_avg_value] if min_avg_value is not None else []
+    tests += [c("cap_group").isin(cap_groups)] if cap_groups is not None else []
+    out = F.lit(True)
+    for test in tests:
+        out &= F.coalesce(test, F.lit(False))
+    return out
+
+
+def truncate(bars: DataFrame, delisted: DataFrame, end: str) -> tuple[DataFrame, DataFrame]:
+    """(bars, delisted) as known at ``end``: a key counts as delisted only if
+    its last bar of all is no later."""
+    at = F.lit(end).cast(bars.schema["date"].dataType)
+    gone = bars.groupBy("ticker").agg(F.max("date").alias("_last")).where(c("_last") <= at).select("ticker")
+    return bars.where(c("date") <= at), delisted.join(gone, "ticker", "left_semi")
 
 
 def with_excess(trades: DataFrame, index: DataFrame, market: Column) -> DataFrame:
@@ -172,7 +247,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_row is not null").select(key, "_row.*", value)
 
 
-def held_rows(trades: DataFrame, bars: DataFrame, longest: int = 260) -> DataFrame:
+def held_rows(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """One row for each trade and bar it is held, with that bar's return."""
     b = bars.withColumns({"rn": F.row_number().over(by_key()), "before": lag(c("close"))}).select("ticker", "rn", "date", "close", "before")
     days = trades.select("ticker", "t", "x", "entry_price", "exit_price", "exit_at_close", "cost", F.explode(F.sequence(c("t") + 1, c("x"))).alias("rn"))

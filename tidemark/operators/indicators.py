@@ -5,7 +5,11 @@ All are NULL until their window is full and NULL where an input is missing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -60,18 +64,58 @@ def stochastic(n: int) -> Column:
     return F.when(high > low, (F.col("close") - low) / (high - low) * 100)
 
 
-def with_ema(df: DataFrame, out: str, x: str, alpha: float, min_periods: int, key: str = "ticker", order: str = "date") -> DataFrame:
-    """Recursive mean of each key: y = (1-alpha)·y + alpha·x.
+def with_emas(df: DataFrame, means: dict[str, tuple[str, float, int]], key: str = "ticker", order: str = "date") -> DataFrame:
+    """Recursive means of each key: y = (1-alpha)·y + alpha·x, as new columns.
 
-    A recursion is no window aggregate, so each key's column goes through one
-    vectorised call. Rows with a missing value repeat the mean while older
-    values lose weight; the first ``min_periods`` values give NULL.
+    ``means`` gives (column, alpha, least count) of each. A recursion is no
+    window aggregate, so sorted rows stream through one vectorised pass that
+    carries the last mean of the present key. Rows with a missing value repeat
+    the mean while older values lose weight; the first values give NULL.
     """
+    names = [key, *(x for x, _, _ in means.values())]
+    spots = [df.columns.index(x) for x in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, {}
+        for batch in batches:
+            keys = np.array(batch.column(spots[0]).to_pylist(), object)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+            columns = []
+            for k, (out, (_, alpha, least)) in enumerate(means.items()):
+                x, y = batch.column(spots[k + 1]).cast(pa.float64()).to_numpy(zero_copy_only=False), np.full(len(keys), np.nan)
+                for a, b in zip(cuts, cuts[1:]):
+                    # the mean so far stands before the rows, with the gap after it
+                    seen, mean, gap = state.get(out, (0, np.nan, 0)) if a == 0 and keys[0] == last else (0, np.nan, 0)
+                    before = [mean, *[np.nan] * gap] if seen else []
+                    values = pd.Series(np.r_[before, x[a:b]]).ewm(alpha=alpha, adjust=False, min_periods=1).mean().to_numpy()[len(before) :]
+                    count = seen + np.cumsum(~np.isnan(x[a:b]))
+                    y[a:b] = np.where(count >= least, values, np.nan)
+                    held = np.flatnonzero(~np.isnan(x[a:b]))
+                    state[out] = (int(count[-1]), values[-1], b - a - 1 - held[-1] if len(held) else gap + b - a)
+                columns.append(pa.array(y, from_pandas=True))
+            last = keys[-1] if len(keys) else last
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *means])
+
+    schema = StructType([*df.schema.fields, *(StructField(out, DoubleType()) for out in means)])
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        return rows.assign(**{out: rows[x].ewm(alpha=alpha, adjust=False, min_periods=min_periods).mean()})
 
-    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
-    made = df.groupBy(key).applyInPandas(run, schema)
-    return made.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
+def with_ema(df: DataFrame, out: str, x: str, alpha: float, min_periods: int, key: str = "ticker", order: str = "date") -> DataFrame:
+    return with_emas(df, {out: (x, alpha, min_periods)}, key, order)
+
+
+def indicator_bundle() -> dict[str, Column]:
+    """The eleven indicator columns of a prepared bar, over one window order."""
+    return {
+        "sma5": sma(5),
+        "sma20": sma(20),
+        "sma60": sma(60),
+        "sma200": sma(200),
+        "rsi14": rsi(14),
+        "bb_lower": bollinger(20, 2.0),
+        "bb_upper": bollinger(20, 2.0, 1),
+        "vwap20": vwap(20),
+        "high_prev20": previous_max(20),
+        "vol_prev20": previous_mean(20),
+        "avg_value20": average_value(20),
+    }

@@ -51,26 +51,26 @@ PATTERNS: dict[str, Pattern] = {
     "breakout_vol": Pattern(
         lambda p: {"_h": ind.previous_max(p["n"]), "_v": ind.previous_mean(p["n"])},
         lambda p: (c("close") > c("_h")) & (c("volume") >= p["mult"] * c("_v")) & (c("_v") > 0),
-        {"n": 20, "mult": 1.5},
+        {"n": 20, "mult": 2.0},
     ),
-    "rsi_rebound": Pattern(lambda p: {"_r": ind.rsi(p["n"])}, lambda p: (lag(c("_r")) < p["level"]) & (c("_r") >= p["level"]), {"n": 14, "level": 45.0}),
-    "bb_lower_recover": Pattern(lambda p: {"_b": ind.bollinger(p["n"], p["k"])}, lambda p: (lag(c("close")) < lag(c("_b"))) & (c("close") >= c("_b")), {"n": 20, "k": 1.0}),
-    "three_down_up": Pattern(_prices, _three_down, {"down": 2}),
+    "rsi_rebound": Pattern(lambda p: {"_r": ind.rsi(p["n"])}, lambda p: (lag(c("_r")) < p["level"]) & (c("_r") >= p["level"]), {"n": 14, "level": 30.0}),
+    "bb_lower_recover": Pattern(lambda p: {"_b": ind.bollinger(p["n"], p["k"])}, lambda p: (lag(c("close")) < lag(c("_b"))) & (c("close") >= c("_b")), {"n": 20, "k": 2.0}),
+    "three_down_up": Pattern(_prices, _three_down, {"down": 3}),
     "bb_squeeze_break": Pattern(
         lambda p: {"_c": ind.positive(c("close")), "_m": ind.positive(ind.sma(20)), "_b": ind.bollinger(20, p["k"])},
         lambda p: (lag(c("_w")) <= lag(full(F.min, c("_w"), p["n"]))) & (lag(c("_c")) <= lag(2 * c("_m") - c("_b"))) & (c("_c") > 2 * c("_m") - c("_b")),
-        {"n": 5, "k": 1.0},
+        {"n": 125, "k": 2.0},
         later=lambda p: {"_w": F.round((2 * c("_m") - c("_b") - c("_b")) / c("_m"), 9)},
     ),
     "pullback_ma": Pattern(
         lambda p: _prices(p) | {"_m": ind.positive(ind.sma(20))},
         lambda p: (lag(c("_c")) > lag(c("_m"))) & (c("_m") > lag(c("_m"))) & (c("_l") >= c("_m") * (1 - p["below"])) & (c("_l") <= c("_m") * (1 + p["above"])) & (c("_c") > c("_m")) & (c("_c") > c("_o")),
-        {"above": 0.5, "below": 0.9},
+        {"above": 0.01, "below": 0.02},
     ),
     "granville_buy1": Pattern(
         lambda p: {"_c": ind.positive(c("close")), "_m": ind.positive(ind.sma(p["ma"]))},
         lambda p: (lag(c("_d")) <= 0) & (c("_d") > 0) & (lag(c("_c")) <= lag(c("_m"))) & (c("_c") > c("_m")),
-        {"ma": 60, "slope": 5},
+        {"ma": 200, "slope": 5},
         later=lambda p: {"_d": c("_m") - lag(c("_m"), p["slope"])},
     ),
     "engulfing": Pattern(
@@ -87,7 +87,7 @@ PATTERNS: dict[str, Pattern] = {
     "high_52w": Pattern(
         lambda p: {"_c": ind.positive(c("close")), "_h": ind.previous_max(p["n"])},
         lambda p: (c("_c") > c("_h")) & (lag(c("_c")) <= lag(c("_h"))),
-        {"n": 100},
+        {"n": 250},
     ),
     "disparity_rebound": Pattern(
         lambda p: {"_d": ind.positive(c("close")) / ind.positive(ind.sma(p["n"])) * 100},
@@ -97,17 +97,40 @@ PATTERNS: dict[str, Pattern] = {
     "stochastic_rebound": Pattern(
         lambda p: {"_k": F.round(ind.stochastic(p["k"]), 6)},
         lambda p: (lag(c("_k")) <= lag(c("_d"))) & (c("_k") > c("_d")) & (lag(c("_k")) < p["oversold"]),
-        {"k": 14, "d": 3, "oversold": 40.0},
+        {"k": 14, "d": 3, "oversold": 20.0},
         later=lambda p: {"_d": rolling_mean(c("_k"), p["d"])},
     ),
 }
 
 
-def parameters(name: str, **override) -> dict:
-    """Parameters of a pattern; unknown names and impossible pairs are refused."""
+#: The least and the greatest value that a parameter may take.
+LIMITS = {
+    "ma_cross": {"fast": (2, 60), "slow": (5, 250)},
+    "breakout": {"n": (5, 250)},
+    "breakout_vol": {"mult": (1.0, 5.0), "n": (5, 250)},
+    "rsi_rebound": {"level": (10, 50), "n": (5, 50)},
+    "bb_lower_recover": {"n": (5, 60), "k": (1.0, 4.0)},
+    "three_down_up": {"down": (2, 5)},
+    "bb_squeeze_break": {"n": (20, 200)},
+    "pullback_ma": {"above": (0, 0.05), "below": (0, 0.05)},
+    "granville_buy1": {"slope": (1, 20)},
+    "engulfing": {"body": (1, 3), "trend": (1, 20)},
+    "high_52w": {"n": (60, 250)},
+    "disparity_rebound": {"n": (5, 120), "level": (70, 98)},
+    "stochastic_rebound": {"k": (5, 50), "d": (2, 10), "oversold": (5, 40)},
+}
+
+
+def parameters(name: str, limited: bool = False, **override) -> dict:
+    """Parameters of a pattern; unknown names and impossible pairs are refused,
+    with ``limited`` also values outside what a user may set."""
     pattern = PATTERNS[name]
     if unknown := set(override) - set(pattern.params):
         raise ValueError(f"{name} has no parameter {sorted(unknown)}")
+    for k, v in override.items() if limited else ():
+        least, most = LIMITS[name].get(k, (v, v))
+        if not least <= v <= most or isinstance(pattern.params[k], int) and not isinstance(v, int):
+            raise ValueError(f"{name}.{k} is not within {least} to {most}")
     merged = pattern.params | override
     if not pattern.check(merged):
         raise ValueError(f"{name}: impossible parameters {merged}")
@@ -124,12 +147,11 @@ def with_signal(bars: DataFrame, name: str, out: str = "signal", **override) ->
 
 
 def macd_signal(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, out: str = "signal") -> DataFrame:
-    """MACD crosses above its own mean; three recursive means in one pass each."""
+    """MACD crosses above its own mean; its fast and slow mean in one pass."""
     if fast >= slow:
         raise ValueError("fast must be shorter than slow")
     df = bars.withColumn("_c", ind.positive(c("close")))
-    for name, n in (("_fast", fast), ("_slow", slow)):
-        df = ind.with_ema(df, name, "_c", 2 / (n + 1), n)
+    df = ind.with_emas(df, {"_fast": ("_c", 2 / (fast + 1), fast), "_slow": ("_c", 2 / (slow + 1), slow)})
     df = ind.with_ema(df.withColumn("_macd", F.round(c("_fast") - c("_slow"), 8)), "_signal", "_macd", 2 / (signal + 1), signal)
     return df.withColumn(out, truth(_crossed("_macd", "_signal")) & (c("volume") > 0)).select(*bars.columns, out)
 

@@ -150,8 +150,8 @@ def influence_events(spark, d):
     days = hours.groupBy(F.to_date("date").alias("day")).agg(F.sort_array(F.collect_list("date")).alias("bars"))
     span = days.agg(F.min("day").alias("a"), F.max("day").alias("z")).select(F.explode(F.sequence(F.date_sub("a", 40), c("z"))).alias("day"))
     # One row per calendar day: the only window without a key is over these.
-    later = Window.orderBy("day").rowsBetween(1, Window.unboundedFollowing)
-    calendar = span.join(days, "day", "left").withColumn("next", F.first(F.get("bars", F.lit(0)), ignorenulls=True).over(later))
+    later = Window.orderBy(c("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    calendar = span.join(days, "day", "left").withColumn("next", F.last(F.get("bars", F.lit(0)), ignorenulls=True).over(later))
     linked = docs.withColumn("day", F.to_date("available_at")).join(calendar, "day", "left")
     own = F.get(F.filter("bars", lambda x: x > c("available_at")), F.lit(0))
     return linked.select("doc_id", "version", F.coalesce(own, c("next")).alias("bar"))

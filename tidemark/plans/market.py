@@ -77,7 +77,7 @@ def rsi_wilder(spark, d):
     move = c("close") - F.lag("close").over(by_key())
     df = ebars(spark, d).select("ticker", "date", move.alias("m")).withColumns({"up": F.greatest("m", F.lit(0.0)), "down": F.greatest(-c("m"), F.lit(0.0))})
     df = df.withColumns({"up": F.when(c("m").isNotNull(), c("up")), "down": F.when(c("m").isNotNull(), c("down"))})
-    df = ind.with_ema(ind.with_ema(df, "u", "up", 1 / n, n), "v", "down", 1 / n, n)
+    df = ind.with_emas(df, {"u": ("up", 1 / n, n), "v": ("down", 1 / n, n)})
     value = F.when((c("v") == 0) & (c("u") > 0), 100.0).otherwise(100 - 100 / (1 + F.try_divide("u", "v")))
     return df.select("ticker", "date", r6(value, "rsi"))
 
@@ -129,9 +129,23 @@ def regime_islands(spark, d):
     return islands(stock_regime(spark, d), "ticker", "date", "regime")
 
 
+#: Milder parameters than the defaults, under which the supplied bars signal.
+MILD = {
+    "breakout_vol": {"mult": 1.5},
+    "rsi_rebound": {"level": 45.0},
+    "bb_lower_recover": {"k": 1.0},
+    "three_down_up": {"down": 2},
+    "bb_squeeze_break": {"n": 5, "k": 1.0},
+    "pullback_ma": {"above": 0.5, "below": 0.9},
+    "granville_buy1": {"ma": 60},
+    "high_52w": {"n": 100},
+    "stochastic_rebound": {"oversold": 40.0},
+}
+
+
 def _pattern(name):
     def run(spark, d):
-        return pat.with_signal(ebars(spark, d), name).where("signal").select("ticker", "date", "close")
+        return pat.with_signal(ebars(spark, d), name, **MILD.get(name, {})).where("signal").select("ticker", "date", "close")
 
     return run
 
@@ -156,7 +170,13 @@ def price_segments(spark, d):
     return df.select("ticker", "date", F.sum("jump").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
 
 
+def indicator_bundle(spark, d):
+    """All indicators of a prepared bar in one pass over its key."""
+    return ebars(spark, d).select("ticker", "date", *(F.round(x + 1e-9, 4).alias(k) for k, x in ind.indicator_bundle().items()))
+
+
 QUERIES = {
+    "indicator_bundle": indicator_bundle,
     "bars_hourly": bars_hourly,
     "sma": _columns("sma", sma_fast=lambda: ind.sma(D["sma_fast"]), sma_slow=lambda: ind.sma(D["sma_slow"])),
     "rsi_sma": _columns("rsi", rsi=lambda: ind.rsi(D["rsi"])),
@@ -250,7 +270,18 @@ z AS (SELECT mm.ticker, mm.date, close, volume, mm.rn, macd, CASE WHEN mm.rn >=
 s AS (SELECT *, volume > 0 AND coalesce({s_lag('macd')} <= {s_lag('sg')} AND macd > sg, false) AS signal FROM z) {_FOUND}"""
 
 
+_BUNDLE = {f"sma{n}": s_mean("close", n) for n in (5, 20, 60, 200)} | {
+    "rsi14": "rsi",
+    "bb_lower": BB(20, 2.0, -1),
+    "bb_upper": BB(20, 2.0, 1),
+    "vwap20": f"{s_mean('((high + low + close) * volume)', 20)} / 3 / nullif({s_mean('volume', 20)}, 0)",
+    "high_prev20": s_full("max(high)", "high", 20, 1),
+    "vol_prev20": s_mean("volume", 20, 1),
+    "avg_value20": s_mean("coalesce(value, 0.0)", 20),
+}
+
 SQL = {
+    "indicator_bundle": _sql(f"SELECT ticker, date, {', '.join(f'round({x} + 1e-9, 4) AS {k}' for k, x in _BUNDLE.items())} FROM rs", RSI_CTE),
     "bars_hourly": _sql("SELECT * FROM ebars"),
     "sma": _sql(f"SELECT ticker, date, round({s_mean('close', 5)}, 6) AS sma_fast, round({s_mean('close', 20)}, 6) AS sma_slow FROM ebars"),
     "rsi_sma": _sql("SELECT ticker, date, round(rsi, 6) AS rsi FROM rs", RSI_CTE),

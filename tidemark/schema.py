@@ -29,9 +29,6 @@ DEFAULTS = {
     "min_trades": 30,
 }
 
-EMPTY_TRADES = "ticker string, signal_date timestamp_ntz, entry_date timestamp_ntz, exit_date timestamp_ntz, reason string"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
