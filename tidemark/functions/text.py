@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -31,7 +32,8 @@ def tokenize(text: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda k: F.substring(w, k, F.lit(2)))
         return F.when(w.rlike("^[0-9a-z]") | (F.length(w) < 2), F.array(w)).otherwise(pairs)
 
-    return F.flatten(F.transform(segments(text), split))
+    runs = segments(text)
+    return F.when(text.rlike("[가-힣]"), F.flatten(F.transform(runs, split))).otherwise(runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -39,30 +41,56 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+@F.pandas_udf(StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """Character references of HTML as characters, for which Spark has no function."""
+    return texts.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
+
+
+@F.pandas_udf(StringType())
+def ascii_host(hosts: pd.Series) -> pd.Series:
+    """A host name in its ASCII form; NULL where it has none."""
+
+    def convert(h: str | None) -> str | None:
+        if h is None or h.isascii():
+            return h
+        try:
+            return h.encode("idna").decode("ascii").lower()
+        except UnicodeError:
+            return None
+
+    return hosts.map(convert)
+
+
 def canonical_url(url: Column) -> Column:
     """Without fragment, default port and tracking parameters; NULL if invalid.
 
-    Scheme and host in lower case; path and order of parameters stay.
+    Scheme and host in lower case, the host in ASCII; path and order of
+    parameters stay.
     """
-    url = F.regexp_replace(url, "&amp;", "&")
+    fine = ~url.rlike(r"[\x00-\x20\x7f]")
+    url = unescape(url)
     scheme = F.lower(F.regexp_extract(url, "^([A-Za-z]+)://", 1))
-    authority = F.lower(F.regexp_extract(url, "^[A-Za-z]+://([^/?#]*)", 1))
-    host = F.when(scheme == "http", F.regexp_replace(authority, ":80$", "")).otherwise(F.regexp_replace(authority, ":443$", ""))
+    authority = F.regexp_extract(url, "^[A-Za-z]+://([^/?#]*)", 1)
+    host = ascii_host(F.lower(F.regexp_replace(authority, ":[0-9]*$", "")))
+    port = F.regexp_extract(authority, ":([0-9]+)$", 1)
+    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     path = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).rlike(TRACKING)), "&")
-    whole = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
-    fine = scheme.isin("http", "https") & (host != "") & ~host.contains("@") & ~url.rlike(r"[\x00-\x20\x7f]")
-    return F.when(fine, whole)
-
-
-def plain_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments and tags gone, white space collapsed."""
-    x = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->", "")
-    x = F.regexp_replace(x, r"(?s)<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(x, r"[ \t\r\n\x0b\x0c]+", " "))
+    whole = F.concat(scheme, F.lit("://"), host, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    return F.when(fine & scheme.isin("http", "https") & (host != "") & ~authority.contains("@"), whole)
+
+
+def plain_text(page: Column) -> Column:
+    """Text of a page: scripts, styles, comments and tags gone, references
+    turned into characters, white space collapsed.
+
+    Tags vanish; only white space of the page itself separates words.
+    """
+    x = F.regexp_replace(page, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->", "")
+    x = unescape(F.regexp_replace(x, r"(?s)</?[A-Za-z!][^>]*>", ""))
+    return F.trim(F.regexp_replace(x, r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
 
 
 def content_hash(*fields: str) -> Column:

@@ -47,7 +47,9 @@ def pnl_histogram(trades: DataFrame, spark) -> DataFrame:
 
 
 def ticker_table(trades: DataFrame, min_trades: int) -> DataFrame:
-    return trades.where(~c("excluded")).groupBy("ticker").agg(*trade_stats(), F.min("market").alias("market")).withColumn("sample_ok", c("trades") >= min_trades)
+    """Statistics by key, with the market most of its trades are in."""
+    counted = trades.where(~c("excluded")).withColumn("market_trades", F.count("*").over(Window.partitionBy("ticker", "market")))
+    return counted.groupBy("ticker").agg(*trade_stats(), F.min_by("market", F.struct((-c("market_trades")).alias("n"), "market")).alias("market")).withColumn("sample_ok", c("trades") >= min_trades)
 
 
 def period_split(trades: DataFrame, split: Column, min_trades: int, key: str = "strategy") -> DataFrame:
@@ -94,24 +96,40 @@ def holm(df: DataFrame, alpha: float, p: str = "p_value", tie: str = "strategy")
     return df.withColumn("holm_pass", F.every("_ok").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_ok")
 
 
-def random_benchmark(trades: DataFrame, bars: DataFrame, iterations: int, cost: float) -> DataFrame:
-    """Mean net return of random entries of the same key and holding rows.
+def random_benchmark(trades: DataFrame, bars: DataFrame, index: DataFrame, market: Column, iterations: int = 1000, cost: float = 0.003, key: str = "strategy") -> DataFrame:
+    """(key, n, actual, random_mean, percentile): mean excess over the market
+    against entries at random rows of the same key, held for as many rows.
 
     A draw is a hash of trade and iteration, so any engine gives the same one.
-    Returns one row: actual mean, mean of the draws and the percentile with
-    half of the ties.
+    Draws with an open that is missing or not above zero do not count; half of
+    the ties count as below.
     """
-    b = bars.withColumn("rn", F.row_number().over(by_key())).select("ticker", "rn", "open")
+    b = bars.withColumn("rn", F.row_number().over(by_key())).withColumn("market", market)
+    opened = F.when(c("open") > 0, c("open"))
+    b = b.join(index.select("market", "date", "index_open"), ["market", "date"], "left").select("ticker", "rn", opened.alias("o"), F.when(c("index_open") > 0, c("index_open")).alias("i"))
     n = b.groupBy("ticker").agg(F.max("rn").alias("n"))
-    inc = included(trades).where(~c("exit_at_close")).select("ticker", "t", "hold_days", "net_ret").join(n, "ticker").where("n > hold_days")
-    draws = inc.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    start = 1 + F.floor(uniform("ticker", c("t").cast("string"), c("i").cast("string")) * (c("n") - c("hold_days")))
-    draws = draws.select("ticker", "i", "net_ret", start.cast("int").alias("a"), (start + c("hold_days")).cast("int").alias("z"))
-    opened = b.select("ticker", c("rn").alias("a"), c("open").alias("open_a"))
-    closed = b.select("ticker", c("rn").alias("z"), c("open").alias("open_z"))
-    made = draws.join(opened, ["ticker", "a"]).join(closed, ["ticker", "z"])
-    means = made.groupBy("i").agg(F.avg(F.round(F.try_divide("open_z", "open_a") - 1 - cost, 9).cast("decimal(20,9)")).cast("double").alias("mean"))
-    actual = inc.agg(F.avg(F.round("net_ret", 9).cast("decimal(20,9)")).cast("double").alias("actual"))
-    both = means.join(F.broadcast(actual))  # one row
+    held = F.greatest(c("x") - c("t") - 1, F.lit(1))
+    every = included(trades)
+    inc = every.select(key, "ticker", "t", held.alias("h")).join(n, "ticker").where("n > h")
+    draws = inc.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    start = 1 + F.floor(uniform("ticker", c("t").cast("string"), c("draw").cast("string")) * (c("n") - c("h")))
+    draws = draws.select(key, "ticker", "draw", start.cast("int").alias("a"), (start + c("h")).cast("int").alias("z"))
+    first, last = (b.select("ticker", c("rn").alias(k), c("o").alias(f"o_{k}"), c("i").alias(f"i_{k}")) for k in "az")
+    made = draws.join(first, ["ticker", "a"]).join(last, ["ticker", "z"])
+    excess = F.try_divide("o_z", "o_a") - 1 - cost - (F.try_divide("i_z", "i_a") - 1)
+    exact = lambda x: F.avg(F.round(x, 9).cast("decimal(20,9)")).cast("double")
+    means = made.groupBy(key, "draw").agg(exact(excess).alias("mean"))
+    actual = every.groupBy(key).agg(exact(c("excess_ret")).alias("actual"))
     share = F.avg(F.when(c("mean") < c("actual"), 1.0).when(c("mean") == c("actual"), 0.5).otherwise(0.0))
-    return both.agg(F.max("actual").alias("actual"), F.avg("mean").alias("random_mean"), share.alias("percentile"))
+    found = means.join(actual, key).groupBy(key).agg(F.max("actual").alias("actual"), F.avg("mean").alias("random_mean"), share.alias("percentile"))
+    return found.join(inc.groupBy(key).agg(F.count("*").alias("n")), key)
+
+
+def validate(trades: DataFrame, bars: DataFrame, index: DataFrame, market: Column, split: Column, min_trades: int, q: float, iterations: int = 1000, cost: float = 0.003, least: float = 0.95) -> DataFrame:
+    """Period split, false-discovery control and random entries, which must all agree."""
+    halves = period_split(trades, split, min_trades).select("strategy", "judgement")
+    fdr = benjamini_hochberg(with_pvalues(t_statistics(trades)), q).select("strategy", "n", "p_value", "fdr_pass")
+    chance = random_benchmark(trades, bars, index, market, iterations, cost).select("strategy", "percentile")
+    both = fdr.join(halves, "strategy").join(chance, "strategy", "left")
+    both = both.withColumns({"split_pass": c("judgement").isin("maintained", "weakened"), "random_pass": F.coalesce(c("percentile") >= least, F.lit(False)), "family": F.count("*").over(Window.partitionBy())})
+    return both.withColumn("analysis_target", c("split_pass") & c("fdr_pass") & c("random_pass"))

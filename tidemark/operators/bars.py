@@ -33,14 +33,38 @@ def cumulative_to_rows(df: DataFrame, value: str, part: list[str], order: list[s
     return df.withColumn(value, c(value) - F.coalesce(before, F.lit(0)))
 
 
+def valid_minutes(rows: DataFrame) -> Column:
+    """Whether open and close lie between low and high; missing prices do not."""
+    o, h, l, z = (c(x) for x in ("open", "high", "low", "close"))
+    return F.coalesce((o <= h) & (o >= l) & (h >= l) & (z <= h) & (z >= l), F.lit(False))
+
+
+def normalize_minutes(raw: DataFrame, edges: list[int], order: list[str]) -> DataFrame:
+    """Minute rows of the session with their own traded value.
+
+    Running totals are differenced over all rows of a day first, then rows with
+    impossible prices go, then those outside the session.
+    """
+    day = F.to_date("ts")
+    rows = cumulative_to_rows(raw.withColumn("day", day), "value", ["code", "day"], order)
+    return rows.where(valid_minutes(rows)).where(slot(c("ts"), edges).isNotNull())
+
+
+def _at_minute(day: Column, minute: Column) -> Column:
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minute)
+
+
 def aggregate_slots(rows: DataFrame, edges: list[int]) -> DataFrame:
-    """One bar per (code, day, slot); usable from the minute after its last row."""
+    """One bar per (code, day, slot), usable from the end of its slot."""
     r = rows.withColumns({"day": F.to_date("ts"), "slot": slot(c("ts"), edges)}).where("slot is not null")
     at = F.struct("ts", "event_id")
+    o, h, l, z, v = (c(x) if x in rows.columns else c("value") for x in ("open", "high", "low", "close", "volume"))
     bars = r.groupBy("code", "day", "slot").agg(
-        F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").alias("rows"), F.max("ts").alias("last")
+        F.min_by(o, at).alias("open"), F.max(h).alias("high"), F.min(l).alias("low"), F.max_by(z, at).alias("close"), F.sum(v.cast("decimal(20,4)")).cast("double").alias("volume"), F.sum(c("value").cast("decimal(20,4)")).cast("double").alias("value"), F.count("*").alias("rows")
     )
-    return bars.withColumn("available_at", F.date_trunc("minute", "last") + F.expr("interval 1 minute")).drop("last")
+    bounds = F.array(*(F.lit(x) for x in edges))
+    start, end = F.get(bounds, c("slot") - 1), F.get(bounds, c("slot"))
+    return bars.withColumns({"bar_start": _at_minute(c("day"), start), "available_at": _at_minute(c("day"), end), "bar_minutes": end - start})
 
 
 def daily_validity(df: DataFrame) -> DataFrame:
@@ -55,3 +79,23 @@ def price_basis(intraday: DataFrame, daily: DataFrame, tolerance: float) -> Data
     j = intraday.join(daily, ["code", "day"], "left")
     gap = F.abs(F.try_divide(c("close"), c("daily_close")) - 1)
     return j.withColumn("basis", F.when(c("daily_close").isNull(), "no_daily").when(F.coalesce(gap <= tolerance, F.lit(False)), "raw").otherwise("mismatch"))
+
+
+def next_day_verdicts(verdicts: DataFrame, open_minute: int) -> DataFrame:
+    """Verdicts with the time they are known from: the open of the next day that
+    any code has a daily price for. Days are few: the window without a key is over them."""
+    days = verdicts.where("daily_close is not null").select("day").distinct()
+    last = Window.orderBy(c("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    calendar = verdicts.select("day").distinct().join(days.withColumn("traded", F.lit(True)), "day", "left")
+    calendar = calendar.withColumn("next", F.last(F.when(c("traded"), c("day")), ignorenulls=True).over(last)).select("day", "next")
+    return verdicts.join(calendar, "day", "left").withColumn("available_at", _at_minute(c("next"), F.lit(open_minute))).drop("next")
+
+
+def apply_yesterday(days: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The (code, day) rows whose last earlier verdict is raw; without one a day goes."""
+    marked = verdicts.select("code", "day", c("basis").alias("_basis"), F.lit(1).alias("_side"))
+    both = days.withColumn("_side", F.lit(0)).unionByName(marked, allowMissingColumns=True)
+    # strictly earlier: a row of the same day sorts before that day's verdict
+    w = Window.partitionBy("code").orderBy("day", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("basis", F.last("_basis", ignorenulls=True).over(w)).where("_side = 0")
+    return seen.where("basis = 'raw'").drop("_side", "_basis")

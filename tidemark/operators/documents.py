@@ -26,14 +26,20 @@ def visible_at(docs: DataFrame, at: Column, mode: str = "observed") -> DataFrame
 
 
 def classify_versions(docs: DataFrame) -> DataFrame:
-    """new, duplicate or changed against the version before; a version is never
-    available earlier than the ones before it."""
+    """new, duplicate or changed against the version before.
+
+    A changed version is available when it was first seen, but never before the
+    one it replaces; duplicates replace nothing.
+    """
     w = Window.partitionBy("doc_id").orderBy("version")
     digest = F.substring(F.sha2(F.coalesce("title", F.lit("")), 256), 1, 16)
     df = docs.withColumn("hash", digest).withColumn("before", F.lag("hash").over(w))
     kind = F.when(c("before").isNull(), "new").when(c("before") == c("hash"), "duplicate").otherwise("changed")
-    running = F.max(F.greatest("available_at", "first_seen_at")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumns({"kind": kind, "effective_at": F.when(kind == "new", c("available_at")).otherwise(running)}).drop("before")
+    # A chain of max(own first seen, available of the stored): the first version
+    # brings its own availability, each change the time it was seen.
+    stands = F.when(kind == "new", c("available_at")).when(kind == "changed", c("first_seen_at"))
+    running = F.max(stands).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("kind", kind).withColumn("effective_at", running).drop("before")
 
 
 def link_predecessors(docs: DataFrame, group: list[str], order: str, out: str) -> DataFrame:
@@ -52,6 +58,11 @@ def coverage_rollup(state: DataFrame, limit: int) -> DataFrame:
     return state.groupBy("source").agg(*(n(s) for s in ("collected", "forward", "partial", "gap")), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.array_join(gaps, ",").alias("gap_days"))
 
 
+def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, len): the number of tokens of each document."""
+    return docs.select(c(id_col).alias("doc_id"), F.size(tokenize(c(text_col))).alias("len"))
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, token, tf, len): the inverted index."""
     tokens = docs.select(c(id_col).alias("doc_id"), tokenize(c(text_col)).alias("tokens"))
@@ -62,11 +73,13 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(index: DataFrame, docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, matched): statistics of the visible documents only.
 
+    The index may hold more documents than ``docs``; those outside are neither
+    found nor counted. ``docs`` has doc_id and len, the number of its tokens;
     ``queries`` has one row per query and distinct token.
     """
     wanted = queries.select("query_id", "token").distinct()
-    stats = docs.select(F.size(tokenize(c("text"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("avgdl"))
-    hits = index.join(wanted.select("token").distinct(), "token", "left_semi")
+    stats = docs.agg(F.count("*").alias("docs"), F.avg("len").alias("avgdl"))
+    hits = index.join(wanted.select("token").distinct(), "token", "left_semi").join(docs.select("doc_id"), "doc_id", "left_semi")
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     scored = hits.join(df, "token").join(F.broadcast(stats))  # one row
     idf = F.log(1 + (c("docs") - c("df") + 0.5) / (c("df") + 0.5))
@@ -83,7 +96,8 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 def group_similar(ranked: DataFrame, threshold: float) -> DataFrame:
     """Leader clustering down the ranks: (query_id, doc_id, leader).
 
-    ``ranked`` has query_id, rank, doc_id and the tokens to compare. A query has
+    ``ranked`` has query_id, rank, doc_id and the tokens to compare, without
+    those of the query, which every hit shares. A query has
     a bounded number of hits, so its fold runs inside one row.
     """
     hit = F.struct("rank", "doc_id", "tokens")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 c = F.col
 QUANTILES = (0.1, 0.5, 0.9)
-LAGS = (1, 3, 7)
+LAGS = (1, 3, 7, 14)
+VOLATILITY = (7, 35)
 
 
 def _w() -> Window:
@@ -26,24 +27,36 @@ def targets(bars: DataFrame, h: int = 1) -> DataFrame:
     return bars.withColumns({"y": y, "realized_at": when, "cross_day": F.when(same, F.to_date(F.lead("date", h).over(w)) > F.to_date("date"))})
 
 
-def features(bars: DataFrame) -> DataFrame:
-    """Past-only features of each bar, within its segment."""
+def features(bars: DataFrame, late: str | None = None) -> DataFrame:
+    """Past-only features of each bar, within its segment.
+
+    The gap and the day's return refer to the last close of the last earlier
+    day of the segment. ``late`` marks bars from that day on in nxt.
+    """
     s = Window.partitionBy("ticker", "segment").orderBy("date")
-    day = Window.partitionBy("ticker", F.to_date("date")).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    df = bars.withColumns({f"r{k}": F.ln(c("close") / F.lag("close", k).over(s)) for k in LAGS})
-    vol = s.rowsBetween(-6, 0)
-    slot = Window.partitionBy("ticker", F.hour("date")).orderBy("date").rowsBetween(-20, -1)
-    prior = F.when(F.count("volume").over(slot) >= 5, F.avg("volume").over(slot))
+    df = bars.withColumns({"_day": F.to_date("date"), "slot": F.hour("date")} | {f"r{k}": F.ln(c("close") / F.lag("close", k).over(s)) for k in LAGS})
+    day = Window.partitionBy("ticker", "_day").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    # the close of the day before stands on the first row of a day, within its segment
+    df = df.withColumn("_first", F.coalesce(F.lag("_day").over(s) != c("_day"), F.lit(True)))
+    df = df.withColumn("_start", F.when(c("_first"), F.struct(F.lag("close").over(s).alias("x"))))
+    df = df.withColumn("_before", F.last("_start", ignorenulls=True).over(s.rowsBetween(Window.unboundedPreceding, 0))["x"])
+    slot = Window.partitionBy("ticker", "slot").orderBy("date").rowsBetween(-20, -1)
+    prior = lambda x: F.when(F.count(x).over(slot) >= 5, F.avg(x).over(slot))
+    deviation = lambda n: F.when(F.count("r1").over(s.rowsBetween(1 - n, 0)) >= max(3, n // 2), F.stddev_samp("r1").over(s.rowsBetween(1 - n, 0)))
     df = df.withColumns(
-        {
-            "vol7": F.when(F.count("r1").over(vol) >= 3, F.stddev_samp("r1").over(vol)),
+        {f"vol{n}": deviation(n) for n in VOLATILITY}
+        | {
             "range": F.ln(c("high") / c("low")),
-            "gap": F.ln(F.first("open").over(day) / F.lag("close").over(s)),
-            "vol_rel": F.log1p(c("volume").cast("double")) - F.log1p(prior),
+            "day_ret": F.ln(c("close") / c("_before")),
+            "gap": F.ln(F.first("open").over(day) / c("_before")),
+            "vol_rel": F.log1p(c("volume").cast("double")) - F.log1p(prior("volume")),
+            "value_rel": F.log1p("value") - F.log1p(prior("value")),
             "dow": F.weekday("date"),
+            "nxt": (c("_day") >= F.lit(late).cast("date")).cast("int") if late else F.lit(0),
         }
     )
-    return df.withColumn("mkt_r1", F.avg("r1").over(Window.partitionBy("date")))
+    market = Window.partitionBy("date")
+    return df.withColumns({f"mkt_r{k}": F.avg(f"r{k}").over(market) for k in (1, 7)}).drop("_day", "_first", "_start", "_before")
 
 
 def attach_external(samples: DataFrame, extra: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -52,11 +65,18 @@ def attach_external(samples: DataFrame, extra: DataFrame, keys: list[str], value
 
 
 def time_split(df: DataFrame, train_end: Column, valid_end: Column) -> DataFrame:
-    """train, valid or test by date; purged where the target is only known in
-    the next part. A boundary day belongs to the earlier part in full."""
-    day, known = F.to_date("date"), F.to_date("realized_at")
-    part = lambda x: F.when(x <= train_end, "train").when(x <= valid_end, "valid").otherwise("test")
-    return df.withColumn("split", F.when(c("realized_at").isNull(), "purged").when(part(day) == part(known), part(day)).otherwise("purged"))
+    """train, valid or test by date; purged where the target is only known after
+    the end of its part, the midnight that closes the boundary day."""
+    close = lambda x: F.date_add(x, 1).cast("timestamp_ntz")
+    part = F.when(c("date") < close(train_end), "train").when(c("date") < close(valid_end), "valid").otherwise("test")
+    end = F.when(c("date") < close(train_end), close(train_end)).when(c("date") < close(valid_end), close(valid_end))
+    late = c("realized_at").isNull() | F.coalesce(c("realized_at") > end, F.lit(False))
+    return df.withColumn("split", F.when(late, "purged").otherwise(part))
+
+
+def persistence(df: DataFrame) -> DataFrame:
+    """The forecast that nothing changes: all quantiles 0, even odds."""
+    return df.withColumns({f"q{q:g}": F.lit(0.0) for q in QUANTILES} | {"p_up": F.lit(0.5)})
 
 
 def historical_baseline(df: DataFrame, window: int = 60, least: int = 20) -> DataFrame:

@@ -74,7 +74,7 @@ def tokenize(spark, d):
 def _bm25(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     queries = table(spark, d, "benchmark").select(c("item_id").alias("query_id"), F.explode(F.array_distinct(tx.tokenize(c("text")))).alias("token"))
-    return dc.bm25(dc.postings(docs, "doc_id", "text"), docs, queries)
+    return dc.bm25(dc.postings(docs, "doc_id", "text"), dc.lengths(docs, "doc_id", "text"), queries)
 
 
 def bm25_topk(spark, d):
@@ -85,7 +85,9 @@ def _ranked(spark, d, k):
     top = dc.top_k(_bm25(spark, d), k)
     best = F.max("score").over(Window.partitionBy("query_id"))
     docs = table(spark, d, "documents").select("doc_id", F.array_distinct(tx.tokenize(F.substring_index("text", "\n", 1))).alias("tokens"))
-    return top.withColumn("rel", c("score") / best).join(docs, "doc_id")
+    asked = table(spark, d, "benchmark").select(c("item_id").alias("query_id"), F.array_distinct(tx.tokenize(c("text"))).alias("asked"))
+    top = top.join(asked, "query_id")
+    return top.withColumn("rel", c("score") / best).join(docs, "doc_id").withColumn("tokens", F.array_except("tokens", "asked"))
 
 
 def title_groups(spark, d):
@@ -185,8 +187,8 @@ def _tok(x):
     return f"regexp_extract_all(lower(coalesce({x}, '')), '[0-9a-z]+|[가-힣]+')"
 
 
-_VC = """h AS (SELECT *, substr(sha256(coalesce(title, '')), 1, 16) AS hash FROM docs), h2 AS (SELECT *, lag(hash) OVER w AS b, max(greatest(available_at, first_seen_at)) OVER (PARTITION BY doc_id ORDER BY version ROWS UNBOUNDED PRECEDING) AS mx
- FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY version)), vc AS (SELECT *, CASE WHEN b IS NULL THEN 'new' WHEN b = hash THEN 'duplicate' ELSE 'changed' END AS kind FROM h2)"""
+_VC = """h AS (SELECT *, substr(sha256(coalesce(title, '')), 1, 16) AS hash FROM docs), h2 AS (SELECT *, lag(hash) OVER w AS b, row_number() OVER w AS nth FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY version)), vk AS (SELECT *, CASE WHEN b IS NULL THEN 'new' WHEN b = hash THEN 'duplicate' ELSE 'changed' END AS kind FROM h2),
+vc AS (SELECT *, max(CASE kind WHEN 'new' THEN available_at WHEN 'changed' THEN first_seen_at END) OVER (PARTITION BY doc_id ORDER BY version ROWS UNBOUNDED PRECEDING) AS mx FROM vk)"""
 _LOG = "lg AS (SELECT event_id AS seq, event_type AS source, strftime(ts, '%Y-%m-%d') AS day, CASE event_id % 4 WHEN 0 THEN 'collected' WHEN 1 THEN 'forward' WHEN 2 THEN 'partial' ELSE 'gap' END AS state FROM events), cs AS (SELECT source, day, arg_max(state, seq) AS state, max(seq) AS seq FROM lg GROUP BY 1, 2)"
 _BM = f"""dt AS (SELECT doc_id, {_tok('text')} AS t FROM documents), st AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS DOUBLE) / count(*) AS avgdl FROM dt),
 po AS (SELECT doc_id, token, count(*) AS tf, any_value(n) AS len FROM (SELECT doc_id, len(t) AS n, unnest(t) AS token FROM dt) GROUP BY 1, 2),
@@ -199,7 +201,7 @@ SQL = {
     "asof_observed": f"WITH {DOCS_SQL}, {_vis('observed')} SELECT doc_id, version, source, available_at FROM vis",
     "asof_historical": f"WITH {DOCS_SQL}, {_vis('historical_assumed')} SELECT doc_id, version, source, available_at FROM vis",
     "latest_version": f"WITH {DOCS_SQL} SELECT doc_id, max(version) AS version, arg_max(source, version) AS source FROM docs GROUP BY 1",
-    "version_classify": f"WITH {DOCS_SQL}, {_VC} SELECT doc_id, version, hash, kind, CASE WHEN kind = 'new' THEN available_at ELSE mx END AS effective_at FROM vc",
+    "version_classify": f"WITH {DOCS_SQL}, {_VC} SELECT doc_id, version, hash, kind, mx AS effective_at FROM vc",
     "amendment_link": "SELECT doc_id, lang, source, lag(doc_id) OVER (PARTITION BY lang, source ORDER BY doc_id) AS amends FROM documents",
     "coverage_state": f"WITH {_LOG} SELECT * FROM cs",
     "coverage_rollup": f"""WITH {_LOG} SELECT source, {', '.join(f"count(*) FILTER (state = '{s}') AS n_{s}" for s in ('collected', 'forward', 'partial', 'gap'))}, min(day) AS first_day, max(day) AS last_day,
@@ -222,7 +224,7 @@ k AS (SELECT *, CASE WHEN sch = 'http' THEN regexp_replace(aut, ':80$', '') ELSE
 SELECT page_id, CASE WHEN sch IN ('http', 'https') AND host <> '' AND NOT contains(host, '@') AND NOT regexp_matches(url, '[\x00-\x20\x7f]')
  THEN sch || '://' || host || CASE WHEN pth = '' THEN '/' ELSE pth END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS url FROM k""",
     "html_text": r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', '', 'g') AS x FROM pages),
-b AS (SELECT page_id, regexp_replace(x, '(?s)<[^>]*>', '', 'g') AS x FROM a),
+b AS (SELECT page_id, regexp_replace(x, '(?s)</?[A-Za-z!][^>]*>', '', 'g') AS x FROM a),
 e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS x FROM b),
 t AS (SELECT page_id, trim(regexp_replace(x, '[ \t\r\n\x0b\x0c]+', ' ', 'g')) AS t FROM e) SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM t""",
     "content_hash": "SELECT c_custkey, substr(sha256(concat_ws(chr(31), coalesce('=' || c_name, '-'), coalesce('=' || c_mktsegment, '-'), coalesce('=' || CAST(c_nationkey AS VARCHAR), '-'))), 1, 16) AS hash FROM customer",

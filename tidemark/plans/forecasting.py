@@ -26,7 +26,7 @@ def _minutes(spark, d):
 
 def bars_slots(spark, d):
     b = br.aggregate_slots(_minutes(spark, d), EDGES)
-    return b.select("code", F.col("day").cast("string").alias("day"), "slot", "open", "high", "low", "close", "rows", "available_at")
+    return b.select("code", F.col("day").cast("string").alias("day"), "slot", "open", "high", "low", "close", F.round("value", 4).alias("value"), "rows", "bar_start", "available_at", "bar_minutes")
 
 
 def bars_confirmed(spark, d):
@@ -64,11 +64,11 @@ def fc_targets(spark, d):
     return fc.targets(_samples(spark, d), 2).select("ticker", "date", F.round("y", 6).alias("y"), "realized_at", c("cross_day").cast("int").alias("cross_day"))
 
 
-FEATURES = ["r1", "r3", "r7", "vol7", "range", "gap", "vol_rel", "mkt_r1"]
+FEATURES = ["r1", "r3", "r7", "r14", "vol7", "vol35", "range", "day_ret", "gap", "vol_rel", "value_rel", "mkt_r1", "mkt_r7"]
 
 
 def fc_features(spark, d):
-    return fc.features(_samples(spark, d)).select("ticker", "date", "dow", *(F.round(x, 6).alias(x) for x in FEATURES))
+    return fc.features(_samples(spark, d), "2024-01-15").select("ticker", "date", "dow", "slot", "nxt", *(F.round(x, 6).alias(x) for x in FEATURES))
 
 
 def _split(spark, d):
@@ -164,11 +164,11 @@ QUERIES = {
 
 _M = "(hour(ts) * 60 + minute(ts))"
 _SLOTS = f"""sl AS (SELECT event_type AS code, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN {_M} >= 540 AND {_M} < 720 THEN 1 WHEN {_M} >= 720 AND {_M} < 931 THEN 2 END AS slot, ts, event_id, value FROM events),
-sb AS (SELECT code, day, slot, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*) AS rows, date_trunc('minute', max(ts)) + INTERVAL 1 MINUTE AS available_at FROM sl WHERE slot IS NOT NULL GROUP BY 1, 2, 3)"""
+sb AS (SELECT code, day, slot, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS value, count(*) AS rows, CAST(day AS TIMESTAMP) + to_minutes(CASE slot WHEN 1 THEN 540 ELSE 720 END) AS bar_start, CAST(day AS TIMESTAMP) + to_minutes(CASE slot WHEN 1 THEN 720 ELSE 931 END) AS available_at, CASE slot WHEN 1 THEN 180 ELSE 211 END AS bar_minutes FROM sl WHERE slot IS NOT NULL GROUP BY 1, 2, 3)"""
 _S = f"""{EBARS_SQL}, sa AS (SELECT ticker, date, greatest(open, 0.01) AS open, greatest(high, 0.01) AS high, greatest(low, 0.01) AS low, greatest(close, 0.01) AS close, volume, value, CAST(floor(day(date) / 8) AS INT) AS segment FROM ebars)"""
 _T = f"""{_S}, tg AS (SELECT *, CASE WHEN lead(segment, 2) OVER w = segment THEN ln(lead(close, 2) OVER w / close) END AS y, CASE WHEN lead(segment, 2) OVER w = segment THEN lead(date, 2) OVER w END AS realized_at FROM sa WINDOW w AS (PARTITION BY ticker ORDER BY date))"""
 _PART = lambda x: f"CASE WHEN CAST({x} AS DATE) <= DATE '{TRAIN}' THEN 'train' WHEN CAST({x} AS DATE) <= DATE '{VALID}' THEN 'valid' ELSE 'test' END"
-_SP = f"sp AS (SELECT *, CASE WHEN realized_at IS NULL THEN 'purged' WHEN {_PART('date')} = {_PART('realized_at')} THEN {_PART('date')} ELSE 'purged' END AS split FROM tg)"
+_SP = f"sp AS (SELECT *, CASE WHEN realized_at IS NULL OR realized_at > CASE {_PART('date')} WHEN 'train' THEN TIMESTAMP '{TRAIN}' + INTERVAL 1 DAY WHEN 'valid' THEN TIMESTAMP '{VALID}' + INTERVAL 1 DAY ELSE TIMESTAMP '2999-01-01' END THEN 'purged' ELSE {_PART('date')} END AS split FROM tg)"
 _Q = ", ".join(f"CASE WHEN count(y) OVER w >= 20 THEN quantile_cont(y, {q}) OVER w END AS q{int(q * 100)}" for q in fc.QUANTILES)
 _B = f"""bw AS (SELECT ticker, date AS d, max(realized_at) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS known, {_Q}, CASE WHEN count(y) OVER w >= 20 THEN avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) OVER w END AS p_up
  FROM tg WHERE y IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
@@ -191,10 +191,13 @@ SQL = {
 m AS (SELECT code, day, arg_max(value, row(ts, event_id)) AS v FROM x WHERE hour(ts) < 22 AND day(day) % 5 <> 0 GROUP BY 1, 2)
 SELECT l.code, CAST(l.day AS VARCHAR) AS day, CASE WHEN v IS NULL THEN 'no_daily' WHEN coalesce(abs(z / nullif(v, 0) - 1) <= 0, false) THEN 'raw' ELSE 'mismatch' END AS basis FROM l LEFT JOIN m ON l.code = m.code AND l.day = m.day""",
     "fc_targets": f"WITH {_T} SELECT ticker, date, round(y, 6) AS y, realized_at, CAST(CAST(realized_at AS DATE) > CAST(date AS DATE) AS INT) AS cross_day FROM tg",
-    "fc_features": f"""WITH {_S}, f1 AS (SELECT *, {_R}, lag(close) OVER s AS pcl FROM sa WINDOW s AS (PARTITION BY ticker, segment ORDER BY date)),
-f2 AS (SELECT *, CASE WHEN count(r1) OVER v >= 3 THEN stddev_samp(r1) OVER v END AS vol7, ln(high / low) AS range, ln(first_value(open) OVER dd / pcl) AS gap, ln(1 + volume) - ln(1 + CASE WHEN count(volume) OVER sl >= 5 THEN avg(volume) OVER sl END) AS vol_rel, isodow(date) - 1 AS dow, avg(r1) OVER (PARTITION BY date) AS mkt_r1
- FROM f1 WINDOW v AS (PARTITION BY ticker, segment ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), dd AS (PARTITION BY ticker, CAST(date AS DATE) ORDER BY date ROWS UNBOUNDED PRECEDING), sl AS (PARTITION BY ticker, hour(date) ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
-SELECT ticker, date, dow, {', '.join(f'round({x}, 6) AS {x}' for x in FEATURES)} FROM f2""",
+    "fc_features": f"""WITH {_S}, f1 AS (SELECT *, CAST(date AS DATE) AS dy, {_R} FROM sa WINDOW s AS (PARTITION BY ticker, segment ORDER BY date)),
+dl AS (SELECT ticker, segment, dy, arg_min(open, date) AS fo, arg_max(close, date) AS lc FROM f1 GROUP BY 1, 2, 3), dp AS (SELECT *, lag(lc) OVER (PARTITION BY ticker, segment ORDER BY dy) AS pc FROM dl),
+f2 AS (SELECT f1.*, CASE WHEN count(r1) OVER v >= 3 THEN stddev_samp(r1) OVER v END AS vol7, CASE WHEN count(r1) OVER v5 >= 17 THEN stddev_samp(r1) OVER v5 END AS vol35, ln(high / low) AS range, ln(close / pc) AS day_ret, ln(fo / pc) AS gap,
+ ln(1 + volume) - ln(1 + CASE WHEN count(volume) OVER sl >= 5 THEN avg(volume) OVER sl END) AS vol_rel, ln(1 + value) - ln(1 + CASE WHEN count(value) OVER sl >= 5 THEN avg(value) OVER sl END) AS value_rel,
+ isodow(date) - 1 AS dow, hour(date) AS slot, CAST(f1.dy >= DATE '2024-01-15' AS INT) AS nxt, avg(r1) OVER (PARTITION BY date) AS mkt_r1, avg(r7) OVER (PARTITION BY date) AS mkt_r7
+ FROM f1 JOIN dp ON dp.ticker = f1.ticker AND dp.segment = f1.segment AND dp.dy = f1.dy WINDOW v AS (PARTITION BY f1.ticker, f1.segment ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), v5 AS (PARTITION BY f1.ticker, f1.segment ORDER BY date ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), sl AS (PARTITION BY f1.ticker, hour(date) ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+SELECT ticker, date, dow, slot, nxt, {', '.join(f'round({x}, 6) AS {x}' for x in FEATURES)} FROM f2""",
     "fc_split": f"""WITH {_T}, {_SP} SELECT ticker, split, count(*) AS n, min(date) AS "first", max(date) AS "last" FROM sp GROUP BY 1, 2""",
     "fc_baseline": f"WITH {_T}, {_B}, {_base('tg')} SELECT ticker, date, round(q10, 6) AS q10, round(q50, 6) AS q50, round(q90, 6) AS q90, round(p_up, 6) AS p_up FROM bl",
     "fc_scores": f"""WITH {_T}, {_SP}, {_B}, {_base('sp')}, z AS (SELECT *, CASE WHEN p_up >= 0.55 THEN 'up' WHEN p_up <= 0.45 THEN 'down' ELSE 'uncertain' END AS dir FROM bl WHERE y IS NOT NULL AND p_up IS NOT NULL)

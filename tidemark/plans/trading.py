@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import analysis as an
 from tidemark.operators import backtest as bt
 from tidemark.operators import patterns as pat
+from tidemark.operators import search as sr
+from tidemark.operators import universe as uni
 from tidemark.operators.windows import rolling_mean
-from tidemark.plans.market import _PATTERN_CTES, market_regime, s_mean, stock_regime
-from tidemark.plans.market import _MREG, _REG, OVER
+from tidemark.plans.market import MILD, _PATTERN_CTES, market_regime, s_mean, stock_regime
+from tidemark.plans.market import _MREG, _REG, _UNI, OVER, _split
+from tidemark.schema import DEFAULTS as D
 from tidemark.schema import EBARS_SQL, INDEX_SQL, MARKET_SQL, ebars, index_frame, market_of
 
 c = F.col
@@ -24,14 +26,16 @@ RULES = {
     "trades_ma_exit": replace(RULE, ma_exit="ma"),
     "trades_limits": replace(RULE, limit_up=1.0, limit_down=-0.6),
 }
-SPLIT = "2024-01-16 00:00:00"
+SPLIT, AFTER = "2024-01-16 00:00:00", "2024-01-16 00:00:01"
+#: Draws of the random benchmark.
+DRAWS = 1000
 STRATEGIES = ("ma_cross", "breakout", "engulfing", "bb_lower_recover")
 COLS = ["ticker", "signal_date", "entry_date", "exit_date", "exit_reason", "exit_retries", "exit_at_close", "hold_days", "excluded"]
 
 
 def _signals(spark, d, name="ma_cross"):
     bars = ebars(spark, d).withColumn("ma", rolling_mean(c("close"), 5))
-    return pat.with_signal(bars, name)
+    return pat.with_signal(bars, name, **MILD.get(name, {}))
 
 
 def _trades(spark, d, rule=RULE, name="ma_cross"):
@@ -118,11 +122,13 @@ def max_drawdown(spark, d):
 
 
 def _by_strategy(spark, d):
-    out = None
+    """Trades of all strategies from one set of outcomes."""
+    bars = ebars(spark, d)
+    wide = bars
     for name in STRATEGIES:
-        t = _rich(spark, d, name).withColumn("strategy", F.lit(name))
-        out = t if out is None else out.unionByName(t)
-    return out
+        wide = pat.with_signal(wide, name, f"sig_{name}", **MILD.get(name, {}))
+    trades = bt.simulate_many(wide, {name: c(f"sig_{name}") for name in STRATEGIES}, RULE)
+    return bt.with_excess(trades, index_frame(bars), market_of("ticker"))
 
 
 def period_split(spark, d):
@@ -135,13 +141,9 @@ def t_stat(spark, d):
 
 
 def validation(spark, d):
-    """Split, false-discovery control and random entries decide together."""
-    trades = _by_strategy(spark, d)
-    split = an.period_split(trades, F.lit(SPLIT).cast("timestamp_ntz"), 30).select("strategy", "judgement")
-    fdr = an.benjamini_hochberg(an.with_pvalues(an.t_statistics(trades)), 0.1)
-    both = split.join(fdr, "strategy")
-    ok = c("judgement").isin("maintained", "weakened") & c("fdr_pass")
-    return both.select("strategy", "judgement", "n", F.round("p_value", 6).alias("p_value"), "fdr_pass", ok.alias("analysis_target"))
+    bars = ebars(spark, d)
+    v = an.validate(_by_strategy(spark, d), bars, index_frame(bars), market_of("ticker"), F.lit(SPLIT).cast("timestamp_ntz"), 30, 0.5, DRAWS, RULE.cost)
+    return v.select("strategy", "n", "judgement", F.round("p_value", 6).alias("p_value"), F.round("percentile", 6).alias("percentile"), "fdr_pass", "split_pass", "random_pass", "family", "analysis_target")
 
 
 def _pvalues(spark, d):
@@ -160,8 +162,46 @@ def holm(spark, d):
 
 
 def random_benchmark(spark, d):
-    r = an.random_benchmark(_rich(spark, d), ebars(spark, d), 50, RULE.cost)
-    return r.select(*(F.round(x, 6).alias(x) for x in ("actual", "random_mean", "percentile")))
+    bars = ebars(spark, d)
+    r = an.random_benchmark(_rich(spark, d).withColumn("strategy", F.lit("ma_cross")), bars, index_frame(bars), market_of("ticker"), DRAWS, RULE.cost)
+    return r.select("strategy", "n", *(F.round(x, 6).alias(x) for x in ("actual", "random_mean", "percentile")))
+
+
+def trade_log(spark, d):
+    """Trades as recorded: signal-date attributes, stable order of entry and key."""
+    bars = _groups(spark, d)
+    signals = pat.with_signal(bars, "ma_cross").withColumn("signal", bt.entry_candidates(bars.withColumn("signal", F.lit(True)), "signal") & c("signal"))
+    t = bt.simulate(signals, RULE, carry=("market", "cap_group", "liq_group"))[0]
+    return t.orderBy("entry_date", "ticker").select("ticker", "signal_date", "entry_date", "exit_signal_date", "exit_date", "market", "cap_group", "liq_group", F.round("net_ret", 6).alias("net_ret"))
+
+
+def _groups(spark, d):
+    u = uni.with_universe(ebars(spark, d), D["min_listed"], D["min_value"]).withColumn("market", market_of("ticker"))
+    return u.withColumn("cap_group", uni.split_labels("value", ["date", "market"])).withColumn("liq_group", uni.split_labels("avg_value", ["date", "market"]))
+
+
+MASK = {"start": "2024-01-08 00:00:00", "end": "2024-01-26 00:00:00", "markets": ["M0"], "min_avg_value": 120.0, "cap_groups": ["large", "mid"]}
+
+
+def entry_mask(spark, d):
+    """Signals that may open a position under a strategy's input filters."""
+    bars = pat.with_signal(_groups(spark, d), "breakout")
+    return bars.where(bt.entry_candidates(bars, **MASK)).select("ticker", "date", "cap_group")
+
+
+def universe_preview(spark, d):
+    """How many keys, key-hours and hours the filters leave."""
+    bars = _groups(spark, d).withColumn("signal", F.lit(True))
+    left = bars.where(bt.entry_candidates(bars, **MASK))
+    agg = left.agg(F.count_distinct("ticker").alias("tickers"), F.count("*").alias("ticker_hours"), F.count_distinct("date").alias("hours"))
+    return agg.withColumn("average", F.round(F.try_divide("ticker_hours", "hours"), 1))
+
+
+def truncated(spark, d):
+    """Bars and delisted keys as known at a time."""
+    bars = ebars(spark, d)
+    kept, gone = bt.truncate(bars.where("ticker not like '%-3' or date < timestamp_ntz'2024-01-10'"), bars.select("ticker").distinct(), SPLIT)
+    return kept.groupBy("ticker").agg(F.count("*").alias("bars"), F.max("date").alias("last")).join(gone.withColumn("gone", F.lit(True)), "ticker", "left").select("ticker", "bars", "last", F.coalesce("gone", F.lit(False)).alias("gone"))
 
 
 def _sectors(bars):
@@ -189,57 +229,71 @@ def next_bar_link(spark, d):
     return bt.as_of(left, right, "ticker", "at", "at", "bar", strict=True).select("event_id", "ticker", "bar")
 
 
-def _grid():
-    """Every non-empty subset of two patterns, each with both ways to combine."""
-    names, out = ("ma_cross", "breakout", "engulfing"), []
-    for size in (1, 2):
-        for subset in combinations(names, size):
-            out += [(subset, how) for how in (("and",) if size == 1 else ("and", "or"))]
-    return [(f"c{k + 1:03d}", *x) for k, x in enumerate(out)]
+SEARCH = sr.Request(("ma_cross", "breakout"), stop_loss=(-0.5,), take_profit=(0.5,), max_hold=(4, 8), params={"ma_cross": {"fast": (3, 5)}}, win_rate=0.45, min_trades=20)
 
 
-def search(spark, d):
-    """All candidates of the grid in one job: one signal column per pattern,
-    one row per candidate and signal, and the simulator keyed by both."""
-    bars = ebars(spark, d)
-    for k, name in enumerate(("ma_cross", "breakout", "engulfing")):
-        bars = pat.with_signal(bars, name, f"sig_{name}")
-    rows = []
-    for cid, names, how in _grid():
-        cols = [c(f"sig_{n}") for n in names]
-        sig = cols[0]
-        for x in cols[1:]:
-            sig = sig & x if how == "and" else sig | x
-        rows.append(F.struct(F.lit(cid).alias("candidate"), sig.alias("signal")))
-    wide = bars.select("*", F.explode(F.array(*rows)).alias("s"))
-    keyed = wide.select(F.concat_ws("#", "s.candidate", "ticker").alias("ticker"), "date", "open", "high", "low", "close", "volume", "s.signal")
-    trades = bt.simulate(keyed, RULE)[0].where("not excluded")
-    return trades.groupBy(F.substring_index("ticker", "#", 1).alias("candidate")).agg(F.count("*").alias("trades"), F.avg(F.when(c("net_ret") > 0, 1.0).otherwise(0.0)).alias("win_rate"))
+def search_grid(spark, d):
+    rows = [(x.id, ",".join(x.patterns), x.combine, ";".join(f"{p}.{k}={v}" for p, ks in x.params for k, v in ks), x.rule.max_hold) for x in sr.candidates(SEARCH)]
+    return spark.createDataFrame(rows, "candidate string, patterns string, combine string, params string, max_hold int")
+
+
+def search_estimate(spark, d):
+    n = sr.count_candidates(SEARCH)
+    return ebars(spark, d).agg(F.count_distinct("ticker").alias("keys")).select(F.lit(n).alias("candidates"), F.round(n * F.greatest(F.lit(0.1), 2.5 * c("keys") / 3095), 1).alias("seconds"))
+
+
+def _explore(spark, d):
+    bars, _ = bt.truncate(ebars(spark, d), ebars(spark, d).select("ticker").limit(0), SPLIT)
+    return sr.trades_of(bars, sr.candidates(SEARCH), end=SPLIT)
+
+
+def _evaluate(spark, d):
+    """Candidates that met the target, on what came after the split."""
+    after = sr.trades_of(ebars(spark, d), sr.candidates(SEARCH), start=AFTER)
+    met = sr.score(_explore(spark, d), SEARCH, sr.candidates(SEARCH)).where("met").select("candidate")
+    return sr.score(after, SEARCH, sr.candidates(SEARCH)).join(met, "candidate", "left_semi")
+
+
+def _scored(df):
+    return df.select("candidate", "trades", F.round("win_rate", 6).alias("win_rate"), "met")
 
 
 def search_candidates(spark, d):
-    return search(spark, d).select("candidate", "trades", F.round("win_rate", 6).alias("win_rate"))
+    return _scored(sr.score(_explore(spark, d), SEARCH, sr.candidates(SEARCH)))
+
+
+def search_forward(spark, d):
+    return _scored(_evaluate(spark, d))
 
 
 def search_status(spark, d):
-    hit = (c("win_rate") >= 0.5) & (c("trades") >= 50)
-    status = F.when(hit, "qualified").when(c("trades") < 50, "thin").otherwise("missed")
-    return search(spark, d).select("candidate", "trades", status.alias("status"))
+    explore = sr.score(_explore(spark, d), SEARCH, sr.candidates(SEARCH))
+    return sr.classify(explore, _evaluate(spark, d), SEARCH).select("candidate", "status", "place")
+
+
+def search_fdr(spark, d):
+    """Excess of what was explored, over all candidates that were planned."""
+    bars = ebars(spark, d)
+    trades = bt.with_excess(_explore(spark, d), index_frame(bars), market_of("ticker"))
+    p = an.with_pvalues(an.t_statistics(trades, "candidate")).where("candidate <> 'c001'").select("candidate", "p_value")
+    every = spark.createDataFrame([(x.id,) for x in sr.candidates(SEARCH)], "candidate string")
+    return sr.fdr_family(p, every, 0.9).select("candidate", F.round("p_value", 6).alias("p_value"), "fdr_pass")
 
 
 def closest_candidate(spark, d):
-    gap = F.greatest(F.lit(0.0), 0.9 - c("win_rate"))
-    return search(spark, d).withColumn("gap", F.round(gap, 9)).orderBy("gap", c("trades").desc(), "candidate").limit(1).select("candidate", "trades", F.round("gap", 6).alias("gap"))
+    hard = replace(SEARCH, win_rate=0.9, min_trades=80)
+    return sr.closest(sr.score(_explore(spark, d), hard, sr.candidates(hard)), hard).select("candidate", "trades", "trades_short", F.round("win_rate_short", 6).alias("win_rate_short"))
 
 
 QUERIES = {k: _shown(k) for k in RULES} | {
     f.__name__: f
     for f in (skipped, trade_candidates, trade_excess, trade_stats, cells, pnl_histogram, ticker_table, split_compare, summary_reasons, equity_curve, max_drawdown)
     + (period_split, t_stat, validation, bh_fdr, holm, random_benchmark, sector_asof, basis_asof_strict, next_bar_link, search_candidates, search_status, closest_candidate)
+    + (trade_log, entry_mask, universe_preview, truncated, search_grid, search_estimate, search_forward, search_fdr)
 }
 
 
-def _sim(rule, source="s", tag=""):
+def _sim(rule, source="s", tag="", bars="ebars", hold=None):
     """CTEs from signals to taken trades (tr) and skips (sk) of one strategy."""
     lim_dn = f"AND NOT coalesce(pc > 0 AND coalesce(open, 0.0) <= pc * (1 + {rule.limit_down}) + 1e-9, false)" if rule.limit_down is not None else ""
     lim_up = f"WHEN close > 0 AND eo >= close * (1 + {rule.limit_up}) - 1e-9 THEN 'limit_up'" if rule.limit_up is not None else ""
@@ -254,18 +308,19 @@ def _sim(rule, source="s", tag=""):
         tests.append(f"WHEN peak / entry - 1 >= {rule.breakeven} - 1e-9 AND r <= 1e-9 THEN 'breakeven_stop'")
     if rule.ma_exit:
         tests.append("WHEN hc < ma THEN 'ma_exit'")
-    tests.append(f"WHEN rn - t >= {rule.max_hold} THEN 'time'")
+    hold = hold or str(rule.max_hold)
+    tests.append("WHEN rn - t >= hold THEN 'time'")
     x = tag
     return f"""nb0{x} AS (SELECT *, row_number() OVER ({OVER}) AS rn, count(*) OVER (PARTITION BY ticker) AS n, lag(close) OVER ({OVER}) AS pc, {s_mean('close', 5)} AS ma,
-  lead(open) OVER ({OVER}) AS eo, lead(volume) OVER ({OVER}) AS ev, lead(date) OVER ({OVER}) AS ed FROM ebars),
+  lead(open) OVER ({OVER}) AS eo, lead(volume) OVER ({OVER}) AS ev, lead(date) OVER ({OVER}) AS ed FROM {bars}),
 nb{x} AS (SELECT *, coalesce(volume > 0 AND open IS NOT NULL, false) {lim_dn} AS ok FROM nb0{x}),
 cd{x} AS (SELECT nb{x}.*, rn AS t, CASE WHEN rn = n THEN 'no_next_day' WHEN NOT coalesce(ev > 0 AND eo IS NOT NULL, false) THEN 'halted_entry' {lim_up} END AS skip
   FROM nb{x} JOIN (SELECT ticker, date, signal FROM {source}) USING (ticker, date) WHERE signal),
-pa{x} AS (SELECT cd.ticker, cd.t, h.rn, h.close AS hc, h.ma, cd.eo AS entry, h.close / cd.eo - 1 AS r, greatest(cd.eo, max(h.close) OVER (PARTITION BY cd.ticker, cd.t ORDER BY h.rn)) AS peak
-  FROM cd{x} cd JOIN nb{x} h ON h.ticker = cd.ticker AND h.rn > cd.t AND h.rn <= cd.t + {rule.max_hold} WHERE cd.skip IS NULL),
-de{x} AS (SELECT ticker, t, arg_min(why, rn) AS why, min(rn) AS decide FROM (SELECT *, CASE {' '.join(tests)} END AS why FROM pa{x}) WHERE why IS NOT NULL GROUP BY 1, 2),
+pa{x} AS (SELECT cd.ticker, cd.t, h.rn, h.date AS hd, {hold} AS hold, h.close AS hc, h.ma, cd.eo AS entry, h.close / cd.eo - 1 AS r, greatest(cd.eo, max(h.close) OVER (PARTITION BY cd.ticker, cd.t ORDER BY h.rn)) AS peak
+  FROM cd{x} cd JOIN nb{x} h ON h.ticker = cd.ticker AND h.rn > cd.t AND h.rn <= cd.t + {hold} WHERE cd.skip IS NULL),
+de{x} AS (SELECT ticker, t, arg_min(why, rn) AS why, min(rn) AS decide, arg_min(hd, rn) AS ddate FROM (SELECT *, CASE {' '.join(tests)} END AS why FROM pa{x}) WHERE why IS NOT NULL GROUP BY 1, 2),
 ex{x} AS (SELECT d.ticker, d.t, min(b.rn) AS xrn FROM de{x} d JOIN nb{x} b ON b.ticker = d.ticker AND b.rn > d.decide AND b.ok GROUP BY 1, 2),
-oc{x} AS (SELECT cd.ticker, cd.t, cd.date AS signal_date, cd.skip, cd.ed AS entry_date, cd.eo AS entry_price, cd.n, de.decide, xrn, CASE WHEN skip IS NULL THEN coalesce(xrn, cd.n) END AS x,
+oc{x} AS (SELECT cd.ticker, cd.t, cd.date AS signal_date, cd.skip, cd.ed AS entry_date, cd.eo AS entry_price, cd.n, de.decide, CASE WHEN skip IS NULL THEN de.ddate END AS exit_signal_date, xrn, CASE WHEN skip IS NULL THEN coalesce(xrn, cd.n) END AS x,
   CASE WHEN skip IS NULL THEN CASE WHEN xrn IS NULL THEN 'end_of_data' ELSE why END END AS exit_reason, CASE WHEN skip IS NULL THEN xrn IS NULL END AS exit_at_close,
   CASE WHEN skip IS NULL THEN (SELECT count(*) FROM nb{x} q WHERE q.ticker = cd.ticker AND q.rn > de.decide AND q.rn < coalesce(xrn, cd.n + 1) AND NOT q.ok) END AS exit_retries
   FROM cd{x} cd LEFT JOIN de{x} de ON de.ticker = cd.ticker AND de.t = cd.t LEFT JOIN ex{x} ex ON ex.ticker = cd.ticker AND ex.t = cd.t),
@@ -304,7 +359,7 @@ def _strategies(select, more=""):
         for cte in ("a", "b", "s"):
             x = x.replace(f"{cte} AS (SELECT", f"{cte}{k} AS (SELECT").replace(f"FROM {cte})", f"FROM {cte}{k})")
         parts += [x, _sim(RULE, f"s{k}", f"_{k}")]
-        unions.append(f"SELECT '{name}' AS strategy, ticker, t, entry_date, exit_date, exit_at_close, net_ret, gross_ret, excluded FROM tr_{k}")
+        unions.append(f"SELECT '{name}' AS strategy, ticker, t, x, entry_date, exit_date, exit_at_close, net_ret, gross_ret, excluded FROM tr_{k}")
     return f"WITH RECURSIVE {EBARS_SQL}, {', '.join(parts)}, tr AS ({' UNION ALL '.join(unions)}), {_RICH}, incl AS (SELECT * FROM rich WHERE NOT excluded AND excess_ret IS NOT NULL){', ' + more if more else ''} {select}"
 
 
@@ -312,20 +367,42 @@ _PV = "pv AS (SELECT CAST(p_size AS VARCHAR) AS strategy, min(p_partkey) AS k FR
 _SECTOR = "sec AS (SELECT ticker, date AS snapshot, 's' || CAST(CAST(floor(close) AS BIGINT) % 4 AS VARCHAR) AS sector FROM ebars WHERE hour(date) = 0)"
 
 
-def _search(select):
-    parts, unions = [], []
-    number = {name: k for k, name in enumerate(("ma_cross", "breakout", "engulfing"))}
-    for name, k in number.items():
-        x = _PATTERN_CTES[name]
-        for cte in ("a", "b", "s"):
-            x = x.replace(f"{cte} AS (SELECT", f"{cte}{k} AS (SELECT").replace(f"FROM {cte})", f"FROM {cte}{k})")
-        parts.append(x)
-    for cid, names, how in _grid():
-        cond = f" {how.upper()} ".join(f"s{number[n]}.signal" for n in names)
-        joins = " ".join(f"JOIN s{number[n]} USING (ticker, date)" for n in names[1:])
-        parts += [f"sig_{cid} AS (SELECT ticker, date, {cond} AS signal FROM s{number[names[0]]} {joins})", _sim(RULE, f"sig_{cid}", f"_{cid}")]
-        unions.append(f"SELECT '{cid}' AS candidate, net_ret FROM tr_{cid} WHERE NOT excluded")
-    return f"WITH RECURSIVE {EBARS_SQL}, {', '.join(parts)}, al AS ({' UNION ALL '.join(unions)}), se AS (SELECT candidate, count(*) AS trades, avg(CASE WHEN net_ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM al GROUP BY 1) {select}"
+def _search(select, explore=True, more=""):
+    """All candidates at once: bars and signals keyed by candidate and ticker."""
+    bars = f"xb AS (SELECT * FROM ebars WHERE date <= TIMESTAMP '{SPLIT}')" if explore else "xb AS (SELECT * FROM ebars)"
+    period = "" if explore else f" AND date >= TIMESTAMP '{AFTER}'"
+    fast = lambda n: f"(lag(f{n}) OVER ({OVER}) <= lag(sl) OVER ({OVER}) AND f{n} > sl)"
+    return f"""WITH RECURSIVE {EBARS_SQL}, {bars},
+pf AS (SELECT *, {s_mean('close', 3)} AS f3, {s_mean('close', 5)} AS f5, {s_mean('close', 20)} AS sl, CASE WHEN count(high) OVER w = 20 THEN max(high) OVER w END AS hh FROM xb WINDOW w AS ({OVER} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+ps0 AS (SELECT *, volume > 0 AND coalesce({fast(3)}, false) AS m3, volume > 0 AND coalesce({fast(5)}, false) AS m5, volume > 0 AND coalesce(close > hh, false) AS bo FROM pf),
+ca AS ({_CANDIDATES}),
+cb0 AS (SELECT candidate || '#' || ticker AS ticker, date, open, high, low, close, volume, value, max_hold, CASE kind WHEN 1 THEN bo WHEN 2 THEN CASE fast WHEN 3 THEN m3 ELSE m5 END WHEN 3 THEN bo AND CASE fast WHEN 3 THEN m3 ELSE m5 END ELSE bo OR CASE fast WHEN 3 THEN m3 ELSE m5 END END{period} AS signal FROM ps0, ca), cb AS (SELECT * EXCLUDE (signal) FROM cb0),
+{_sim(RULE, 'cb0', bars='cb', hold='cd.max_hold')},
+se0 AS (SELECT split_part(ticker, '#', 1) AS candidate, count(*) AS trades, avg(CASE WHEN net_ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate FROM tr WHERE NOT excluded GROUP BY 1),
+se AS (SELECT candidate, coalesce(trades, 0) AS trades, win_rate, coalesce(win_rate >= {SEARCH.win_rate} AND trades >= {SEARCH.min_trades}, false) AS met FROM ca LEFT JOIN se0 USING (candidate)){', ' + more if more else ''} {select}"""
+
+
+_CANDIDATES = """SELECT 'c' || printf('%03d', row_number() OVER (ORDER BY kind, fast, max_hold)) AS candidate, * FROM
+ (SELECT * FROM (VALUES (1, NULL, 'breakout', 'or'), (2, 3, 'ma_cross', 'or'), (2, 5, 'ma_cross', 'or'), (3, 3, 'breakout,ma_cross', 'and'), (3, 5, 'breakout,ma_cross', 'and'), (4, 3, 'breakout,ma_cross', 'or'), (4, 5, 'breakout,ma_cross', 'or')) k(kind, fast, patterns, combine), (VALUES (4), (8)) h(max_hold))"""
+_MET = _search("SELECT candidate FROM se WHERE met")
+_FORWARD = _search("SELECT candidate, trades, round(win_rate, 6) AS win_rate, met FROM se", explore=False)
+_T_TAIL = lambda t, n: f"""CASE WHEN {t} IS NULL THEN NULL ELSE 0.5 - sign({t}) / 2 * (CASE WHEN {n} % 2 = 0 THEN sin(atan(abs({t}) / sqrt({n}))) * (1 + coalesce(list_sum(list_transform(range(1, CAST({n} / 2 AS INT)), lambda j: pow(cos(atan(abs({t}) / sqrt({n}))), 2 * j) * exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()))), 0))
+ ELSE 2 / pi() * (atan(abs({t}) / sqrt({n})) + CASE WHEN {n} = 1 THEN 0 ELSE sin(atan(abs({t}) / sqrt({n}))) * (cos(atan(abs({t}) / sqrt({n}))) + coalesce(list_sum(list_transform(range(1, CAST(({n} - 1) / 2 AS INT)), lambda j: pow(cos(atan(abs({t}) / sqrt({n}))), 2 * j + 1) * sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)))), 0)) END) END) END"""
+_GROUPS = f"{_UNI}, w AS (SELECT *, {MARKET_SQL} AS market FROM u), gr AS (SELECT *, {_split('value')} AS cap_group, {_split('avg_value')} AS liq_group FROM w)"
+_MASKED = f"coalesce(exclude_reason IS NULL AND market = 'M0' AND date BETWEEN TIMESTAMP '{MASK['start']}' AND TIMESTAMP '{MASK['end']}' AND avg_value >= 120 AND cap_group IN ('large', 'mid'), false)"
+_DRAWN = f"""bn AS (SELECT b.ticker, row_number() OVER (PARTITION BY b.ticker ORDER BY b.date) AS rn, CASE WHEN open > 0 THEN open END AS o, CASE WHEN index_open > 0 THEN index_open END AS i FROM ebars b LEFT JOIN idx ON idx.date = b.date AND idx.market = {MARKET_SQL}),
+rb AS (SELECT q.strategy, q.ticker, t, greatest(x - t - 1, 1) AS h, m.n FROM incl q JOIN (SELECT ticker, count(*) AS n FROM ebars GROUP BY 1) m ON m.ticker = q.ticker WHERE m.n > greatest(x - t - 1, 1)),
+rd AS (SELECT strategy, ticker, draw, h, CAST(1 + floor(CAST(('0x' || substr(md5(ticker || '|' || CAST(t AS VARCHAR) || '|' || CAST(draw AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 * (n - h)) AS INT) AS a FROM rb, range({DRAWS}) it(draw)),
+mns AS (SELECT strategy, draw, CAST(sum(CAST(round(z.o / p.o - 1 - {RULE.cost} - (z.i / p.i - 1), 9) AS DECIMAL(18,9))) AS DOUBLE) / count(z.o / p.o - z.i / p.i) AS mean FROM rd JOIN bn p ON p.ticker = rd.ticker AND p.rn = rd.a JOIN bn z ON z.ticker = rd.ticker AND z.rn = rd.a + rd.h GROUP BY 1, 2),
+act AS (SELECT strategy, CAST(sum(CAST(round(excess_ret, 9) AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS actual FROM incl GROUP BY 1),
+rbm AS (SELECT m.strategy, max(a.actual) AS actual, avg(m.mean) AS random_mean, avg(CASE WHEN m.mean < a.actual THEN 1.0 WHEN m.mean = a.actual THEN 0.5 ELSE 0.0 END) AS percentile FROM mns m JOIN act a USING (strategy) GROUP BY 1),
+rbn AS (SELECT *, (SELECT count(*) FROM rb WHERE rb.strategy = rbm.strategy) AS n FROM rbm)"""
+_SPLITS = f"""ps AS (SELECT strategy, count(excess_ret) FILTER (e) AS h1_trades, count(excess_ret) FILTER (NOT e) AS h2_trades, avg(excess_ret) FILTER (e) AS h1_mean, avg(excess_ret) FILTER (NOT e) AS h2_mean
+FROM (SELECT *, entry_date <= TIMESTAMP '{SPLIT}' AS e FROM incl) GROUP BY 1),
+ps2 AS (SELECT *, CASE WHEN h1_mean IS NOT NULL THEN rank() OVER (ORDER BY h1_mean DESC NULLS LAST) END AS h1_rank, CASE WHEN h2_mean IS NOT NULL THEN rank() OVER (ORDER BY h2_mean DESC NULLS LAST) END AS h2_rank FROM ps),
+jd AS (SELECT *, CASE WHEN h1_trades < 30 OR h2_trades < 30 THEN 'sample_insufficient' WHEN sign(h1_mean) <> sign(h2_mean) THEN 'reversed' WHEN h1_mean <= 0 THEN 'negative_both' WHEN h2_rank <= h1_rank THEN 'maintained' ELSE 'weakened' END AS judgement FROM ps2)"""
+_TS = "ts AS (SELECT {key} AS strategy, count(*) AS n, CASE WHEN stddev_samp(excess_ret) > 0 THEN avg(excess_ret) / (stddev_samp(excess_ret) / sqrt(count(*))) END AS t FROM {source} GROUP BY 1), tp AS (SELECT strategy, n, " + _T_TAIL("t", "(n - 1)") + " AS p_value FROM ts)"
+_BH = lambda source, q: f"kk AS (SELECT *, row_number() OVER (ORDER BY p_value NULLS LAST, strategy) AS k, count(p_value) OVER () AS m FROM {source}), ll AS (SELECT max(k) AS last FROM kk WHERE p_value <= {q} * k / m), bh AS (SELECT *, coalesce(k <= (SELECT last FROM ll), false) AND p_value IS NOT NULL AS fdr_pass FROM kk)"
 
 
 SQL = {k: _with(r, _SHOWN) for k, r in RULES.items()} | {
@@ -340,7 +417,7 @@ FROM rich LEFT JOIN g ON g.ticker = rich.ticker AND g.date = rich.signal_date LE
         _RICH + ", " + _REG + ", " + _MREG.replace(INDEX_SQL + ", ", ""),
     ),
     "pnl_histogram": _with(RULE, "SELECT CAST(bins.bin AS INT) AS bin, coalesce(n, 0) AS n FROM range(32) bins(bin) LEFT JOIN (SELECT CASE WHEN p < -30 THEN 0 WHEN p >= 30 THEN 31 ELSE floor((p + 30) / 2) + 1 END AS bin, count(*) AS n FROM (SELECT round(net_ret * 100, 9) AS p FROM tr WHERE NOT excluded) GROUP BY 1) q ON q.bin = bins.bin"),
-    "ticker_table": _with(RULE, f"SELECT ticker, min(market) AS market, {_STATS}, count(net_ret) >= 15 AS sample_ok FROM rich WHERE NOT excluded GROUP BY 1", _RICH),
+    "ticker_table": _with(RULE, f"SELECT ticker, mode(market) AS market, {_STATS}, count(net_ret) >= 15 AS sample_ok FROM rich WHERE NOT excluded GROUP BY 1", _RICH),
     "split_compare": _with(RULE, f"SELECT CASE WHEN entry_date <= TIMESTAMP '{SPLIT}' THEN 'first' ELSE 'second' END AS half, {_STATS} FROM rich WHERE NOT excluded GROUP BY 1", _RICH),
     "summary_reasons": _with(RULES["trades_limits"], "SELECT exit_reason AS reason, count(*) AS n, 'exit' AS kind FROM tr GROUP BY 1 UNION ALL SELECT reason, count(*), 'skip' FROM sk GROUP BY 1"),
     "equity_curve": _with(RULE, "SELECT date, positions, round(ret, 6) AS ret FROM eq", _EQ),
@@ -355,19 +432,31 @@ ps2 AS (SELECT *, CASE WHEN h1_mean IS NOT NULL THEN rank() OVER (ORDER BY h1_me
     "t_stat": _strategies("SELECT strategy, count(*) AS n, round(CASE WHEN stddev_samp(excess_ret) > 0 THEN avg(excess_ret) / (stddev_samp(excess_ret) / sqrt(count(*))) END, 6) AS t FROM incl GROUP BY 1"),
     "bh_fdr": f"WITH {_PV}, k AS (SELECT *, row_number() OVER (ORDER BY p_value NULLS LAST, strategy) AS k, count(p_value) OVER () AS m FROM p), l AS (SELECT max(k) AS last FROM k WHERE p_value <= 0.2 * k / m) SELECT strategy, p_value, coalesce(k <= (SELECT last FROM l), false) AND p_value IS NOT NULL AS fdr_pass FROM k",
     "holm": f"WITH {_PV}, k AS (SELECT *, coalesce(p_value <= 0.2 / (count(p_value) OVER () - row_number() OVER (ORDER BY p_value NULLS LAST, strategy) + 1), false) AS ok FROM p) SELECT strategy, p_value, bool_and(ok) OVER (ORDER BY p_value NULLS LAST, strategy ROWS UNBOUNDED PRECEDING) AS holm_pass FROM k",
-    "random_benchmark": _with(
-        RULE,
-        "SELECT round(max(a.actual), 6) AS actual, round(avg(m.mean), 6) AS random_mean, round(avg(CASE WHEN m.mean < a.actual THEN 1.0 WHEN m.mean = a.actual THEN 0.5 ELSE 0.0 END), 6) AS percentile FROM mns m, act a",
-        _RICH
-        + f""", rb AS (SELECT rich.ticker, t, hold_days, net_ret, q.n FROM rich JOIN (SELECT ticker, count(*) AS n FROM ebars GROUP BY 1) q ON q.ticker = rich.ticker WHERE NOT excluded AND excess_ret IS NOT NULL AND NOT exit_at_close AND q.n > hold_days),
-rd AS (SELECT ticker, i, hold_days, CAST(1 + floor(CAST(('0x' || substr(md5(ticker || '|' || CAST(t AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 * (n - hold_days)) AS INT) AS a FROM rb, range(50) it(i)),
-mns AS (SELECT i, CAST(sum(CAST(round(z.open / nullif(o.open, 0) - 1 - {RULE.cost}, 9) AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS mean FROM rd JOIN nb o ON o.ticker = rd.ticker AND o.rn = rd.a JOIN nb z ON z.ticker = rd.ticker AND z.rn = rd.a + rd.hold_days WHERE o.open <> 0 GROUP BY 1),
-act AS (SELECT CAST(sum(CAST(round(net_ret, 9) AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS actual FROM rb)""",
+    "random_benchmark": _with(RULE, "SELECT strategy, n, round(actual, 6) AS actual, round(random_mean, 6) AS random_mean, round(percentile, 6) AS percentile FROM rbn", _RICH + ", incl AS (SELECT 'ma_cross' AS strategy, * FROM rich WHERE NOT excluded AND excess_ret IS NOT NULL), " + _DRAWN),
+    "validation": _strategies(
+        """SELECT bh.strategy, bh.n, judgement, round(p_value, 6) AS p_value, round(percentile, 6) AS percentile, fdr_pass, judgement IN ('maintained', 'weakened') AS split_pass, coalesce(percentile >= 0.95, false) AS random_pass, count(*) OVER () AS family,
+ fdr_pass AND judgement IN ('maintained', 'weakened') AND coalesce(percentile >= 0.95, false) AS analysis_target FROM bh JOIN jd USING (strategy) LEFT JOIN rbn USING (strategy)""",
+        ", ".join([_SPLITS, _TS.format(key="strategy", source="incl"), _BH("tp", 0.5), _DRAWN]),
+    ),
+    "trade_log": f"WITH RECURSIVE {EBARS_SQL}, {_GROUPS}, {_PATTERN_CTES['ma_cross']}, sg AS (SELECT s.ticker, s.date, signal AND exclude_reason IS NULL AS signal FROM s JOIN gr USING (ticker, date)), {_sim(RULE, 'sg')} SELECT tr.ticker, signal_date, entry_date, exit_signal_date, exit_date, market, cap_group, liq_group, round(net_ret, 6) AS net_ret FROM tr JOIN gr ON gr.ticker = tr.ticker AND gr.date = tr.signal_date",
+    "entry_mask": f"WITH {EBARS_SQL}, {_GROUPS}, {_PATTERN_CTES['breakout']} SELECT ticker, date, cap_group FROM gr JOIN (SELECT ticker, date, signal FROM s) s USING (ticker, date) WHERE signal AND {_MASKED}",
+    "universe_preview": f"WITH {EBARS_SQL}, {_GROUPS} SELECT count(DISTINCT ticker) AS tickers, count(*) AS ticker_hours, count(DISTINCT date) AS hours, round(count(*) / nullif(count(DISTINCT date), 0), 1) AS average FROM gr WHERE {_MASKED}",
+    "truncated": f"""WITH {EBARS_SQL}, b AS (SELECT * FROM ebars WHERE ticker NOT LIKE '%-3' OR date < TIMESTAMP '2024-01-10') SELECT ticker, count(*) FILTER (date <= TIMESTAMP '{SPLIT}') AS bars, max(date) FILTER (date <= TIMESTAMP '{SPLIT}') AS "last", max(date) <= TIMESTAMP '{SPLIT}' AS gone FROM b GROUP BY 1""",
+    "search_grid": f"WITH ca AS ({_CANDIDATES}) SELECT candidate, patterns, combine, coalesce('ma_cross.fast=' || fast, '') AS params, max_hold FROM ca",
+    "search_estimate": f"WITH {EBARS_SQL}, ca AS ({_CANDIDATES}) SELECT (SELECT count(*) FROM ca) AS candidates, round((SELECT count(*) FROM ca) * greatest(0.1, 2.5 * count(DISTINCT ticker) / 3095), 1) AS seconds FROM ebars",
+    "search_forward": f"SELECT * FROM ({_FORWARD}) WHERE candidate IN ({_MET})",
+    "search_fdr": _search(
+        "SELECT strategy AS candidate, round(p_value, 6) AS p_value, fdr_pass FROM bh",
+        more=f"""{INDEX_SQL}, ri AS (SELECT split_part(tr.ticker, '#', 1) AS strategy, excluded, net_ret - (CASE WHEN exit_at_close THEN z.index_close ELSE z.index_open END / nullif(i.index_open, 0) - 1) AS excess_ret FROM tr
+  LEFT JOIN idx i ON i.date = tr.entry_date AND i.market = {MARKET_SQL} LEFT JOIN idx z ON z.date = tr.exit_date AND z.market = {MARKET_SQL}),
+il AS (SELECT * FROM ri WHERE NOT excluded AND excess_ret IS NOT NULL), {_TS.format(key='strategy', source='il')}, fm AS (SELECT candidate AS strategy, coalesce(CASE WHEN candidate <> 'c001' THEN p_value END, 1.0) AS p_value FROM ca LEFT JOIN tp ON tp.strategy = ca.candidate), {_BH('fm', 0.9)}""",
     ),
     "sector_asof": _with(RULE, "SELECT tr.ticker, signal_date, exit_reason, sector FROM tr ASOF LEFT JOIN sec ON tr.ticker = sec.ticker AND tr.signal_date >= sec.snapshot", _SECTOR),
     "basis_asof_strict": f"WITH {EBARS_SQL}, {_SECTOR} SELECT b.ticker, date, close, sector FROM ebars b ASOF LEFT JOIN sec ON b.ticker = sec.ticker AND b.date > sec.snapshot",
     "next_bar_link": f"WITH {EBARS_SQL}, q AS (SELECT event_id, ts, ticker FROM e) SELECT event_id, q.ticker, b.date AS bar FROM q ASOF LEFT JOIN ebars b ON q.ticker = b.ticker AND q.ts < b.date",
-    "search_candidates": _search("SELECT candidate, trades, round(win_rate, 6) AS win_rate FROM se"),
-    "search_status": _search("SELECT candidate, trades, CASE WHEN win_rate >= 0.5 AND trades >= 50 THEN 'qualified' WHEN trades < 50 THEN 'thin' ELSE 'missed' END AS status FROM se"),
-    "closest_candidate": _search("SELECT candidate, trades, round(gap, 6) AS gap FROM (SELECT *, round(greatest(0.0, 0.9 - win_rate), 9) AS gap FROM se) ORDER BY gap, trades DESC, candidate LIMIT 1"),
+    "search_candidates": _search("SELECT candidate, trades, round(win_rate, 6) AS win_rate, met FROM se"),
+    "search_status": f"""SELECT candidate, status, row_number() OVER (ORDER BY list_position(['both', 'explore_only', 'not_evaluated', 'not_met', 'insufficient_trades'], status), win_rate DESC NULLS LAST, candidate) AS place FROM
+ (SELECT e.candidate, e.win_rate, CASE WHEN e.met AND coalesce(f.met, false) THEN 'both' WHEN e.met AND f.candidate IS NOT NULL THEN 'explore_only' WHEN e.met THEN 'not_evaluated' WHEN e.trades >= {SEARCH.min_trades} THEN 'not_met' ELSE 'insufficient_trades' END AS status
+  FROM ({_search('SELECT * FROM se')}) e LEFT JOIN (SELECT * FROM ({_FORWARD}) WHERE candidate IN ({_MET})) f USING (candidate))""",
+    "closest_candidate": _search("SELECT candidate, trades, greatest(80 - trades, 0) AS trades_short, round(short, 6) AS win_rate_short FROM (SELECT *, CASE WHEN win_rate IS NULL THEN 1.0 ELSE greatest(round(0.9 - win_rate, 9), 0.0) END AS short FROM se) ORDER BY trades_short, short, trades DESC, candidate LIMIT 1"),
 }
