@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.patterns import with_signal
 from tidemark.schema import ebars
 
-MODULES = ("market", "trading", "documents", "forecasting", "tables", "streams")
+MODULES = ("market", "trading", "documents", "forecasting", "tables", "streams", "ingest", "retrieval", "stores")
 
 
 def flagship(spark, sf_dir):

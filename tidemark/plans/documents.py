@@ -225,7 +225,7 @@ SELECT page_id, CASE WHEN sch IN ('http', 'https') AND host <> '' AND NOT contai
  THEN sch || '://' || host || CASE WHEN pth = '' THEN '/' ELSE pth END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS url FROM k""",
     "html_text": r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', '', 'g') AS x FROM pages),
 b AS (SELECT page_id, regexp_replace(x, '(?s)</?[A-Za-z!][^>]*>', '', 'g') AS x FROM a),
-e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS x FROM b),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS x FROM b),
 t AS (SELECT page_id, trim(regexp_replace(x, '[ \t\r\n\x0b\x0c]+', ' ', 'g')) AS t FROM e) SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM t""",
     "content_hash": "SELECT c_custkey, substr(sha256(concat_ws(chr(31), coalesce('=' || c_name, '-'), coalesce('=' || c_mktsegment, '-'), coalesce('=' || CAST(c_nationkey AS VARCHAR), '-'))), 1, 16) AS hash FROM customer",
     "quality_flags": """WITH f AS (SELECT array_to_string(list_filter([CASE WHEN l_discount = 0 THEN 'zero_discount' END, CASE WHEN l_quantity <> floor(l_quantity) THEN 'fraction_quantity' END, CASE WHEN l_tax > 0.07 THEN 'high_tax' END, CASE WHEN l_extendedprice > 50000 THEN 'dear' END], lambda x: x IS NOT NULL), ',') AS flags FROM lineitem)

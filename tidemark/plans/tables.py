@@ -83,13 +83,6 @@ def append_revisions(spark, d):
     return new.join(old, ["o_orderkey", "hash"], "left_anti")
 
 
-def manifest_check(spark, d):
-    """Rows by month against what a manifest of the orders would state."""
-    o = _t(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("ym")).agg(F.count("*").alias("rows"))
-    stated = o.select("ym", (c("rows") + F.when(c("ym").endswith("-06"), 1).otherwise(0)).alias("stated"))
-    return o.join(stated, "ym", "full").where(~c("rows").eqNullSafe(c("stated"))).select("ym", "rows", "stated")
-
-
 def nulls_last_order(spark, d):
     """Ranks by a mixed order in which missing totals come last."""
     t = _t(spark, d, "customer").join(_t(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("top")), c("c_custkey") == c("o_custkey"), "left")
@@ -143,7 +136,7 @@ def session(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (scan_filter_project, left_join_bars, dedup_first_wins, key_uniqueness, semi_join, anti_join, union_by_name, except_keys, intersect_keys)
-    + (latest_revision, append_revisions, manifest_check, nulls_last_order, page_of_orders, daily_returns, mode_median, json_props, tumbling, sliding, session)
+    + (latest_revision, append_revisions, nulls_last_order, page_of_orders, daily_returns, mode_median, json_props, tumbling, sliding, session)
 } | {"compare_stores": compare}
 
 _PART = "CASE WHEN p_partkey % 13 = 0 THEN -p_partkey ELSE p_partkey END AS k, p_name, CASE WHEN p_partkey % 11 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS r"
@@ -160,7 +153,6 @@ SQL = {
     "compare_stores": f"WITH o AS (SELECT p_partkey AS k, p_name, p_retailprice AS r FROM part), n AS (SELECT {_PART} FROM part) SELECT CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' WHEN o.p_name = n.p_name AND o.r = n.r THEN 'same' ELSE 'changed' END AS state, count(*) AS n FROM o FULL JOIN n ON o.k = n.k GROUP BY 1",
     "latest_revision": "SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "append_revisions": "WITH o AS (SELECT o_orderkey, md5(o_orderstatus || '|' || o_orderpriority) AS hash FROM orders), n AS (SELECT o_orderkey, md5(CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END || '|' || o_orderpriority) AS hash FROM orders) SELECT * FROM n ANTI JOIN o USING (o_orderkey, hash)",
-    "manifest_check": "WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS ym, count(*) AS rows FROM orders GROUP BY 1) SELECT ym, rows, rows + 1 AS stated FROM o WHERE ym LIKE '%-06'",
     "nulls_last_order": "WITH t AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY 1) SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY top DESC NULLS LAST, c_custkey) AS place FROM customer LEFT JOIN t ON o_custkey = c_custkey",
     "page_of_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 20",
     "daily_returns": "WITH b AS (SELECT c_nationkey AS k, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS week, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS close FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT k, week, round(close / lag(close) OVER (PARTITION BY k ORDER BY week) - 1, 6) AS ret, round(max(close) OVER (PARTITION BY k ORDER BY week ROWS UNBOUNDED PRECEDING), 4) AS peak FROM b",

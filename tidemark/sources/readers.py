@@ -73,13 +73,19 @@ def decode_search_page(bodies: DataFrame, body: str = "body") -> DataFrame:
     return items.where("title is not null and link is not null").withColumn("published_at", publisher_time(c("pubDate")))
 
 
+_FEED = """struct<channel:struct<item:array<struct<title:string,link:string,pubDate:string>>>,
+ entry:array<struct<title:string,link:array<struct<_href:string>>,updated:string>>>"""
+
+
 def decode_feed(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Items of RSS 2.0 or Atom documents as (title, link, published)."""
-    x = lambda path: F.xpath(c(body), F.lit(path))
-    any_ = lambda tag: f"//*[local-name()='item' or local-name()='entry']/*[local-name()='{tag}']"
-    links = F.when(F.size(x(any_("link") + "/@href")) > 0, x(any_("link") + "/@href")).otherwise(x(any_("link") + "/text()"))
-    dates = F.when(F.size(x(any_("pubDate") + "/text()")) > 0, x(any_("pubDate") + "/text()")).otherwise(x(any_("updated") + "/text()"))
-    return bodies.select(F.explode(F.arrays_zip(x(any_("title") + "/text()").alias("title"), links.alias("link"), dates.alias("published"))).alias("e")).select("e.*")
+    """Items of RSS 2.0 or Atom documents as (title, link, published).
+
+    The fields of an item come from that item; what it lacks is NULL.
+    """
+    feed = bodies.select(F.from_xml(c(body), _FEED).alias("f"))
+    rss = F.transform(F.coalesce("f.channel.item", F.array()), lambda x: F.struct(x["title"].alias("title"), x["link"].alias("link"), x["pubDate"].alias("published")))
+    atom = F.transform(F.coalesce("f.entry", F.array()), lambda x: F.struct(x["title"].alias("title"), F.get(x["link"], F.lit(0))["_href"].alias("link"), x["updated"].alias("published")))
+    return feed.select(F.inline(F.concat(rss, atom)))
 
 
 def publisher_time(text: Column) -> Column:
@@ -88,3 +94,69 @@ def publisher_time(text: Column) -> Column:
     iso = F.when(text.rlike(r"^\d{4}-\d\d-\d\dT.*([+-]\d\d:?\d\d|Z)$"), F.try_to_timestamp(text))
     return F.coalesce(mail, iso)
 
+
+
+RAW_DAILY = "date date, ticker string, name string, market string, dept string, open_raw double, high_raw double, low_raw double, close_raw double, volume_raw double, value double, marketcap bigint, shares bigint"
+INDEX = "date date, index string, open double, high double, low double, close double, volume double"
+SECTOR = "date date, ticker string, sector string"
+COVERAGE = "seq bigint, source string, day string, corp_cls string, state string, run_id string, observed_at string"
+
+
+def raw_daily(spark: SparkSession, store: str, tickers: list[str] | None = None) -> DataFrame:
+    """Unadjusted daily rows of all day files."""
+    df = spark.read.schema(RAW_DAILY).parquet(f"{store}/raw/krx_daily")
+    return df if tickers is None else df.where(c("ticker").isin(tickers))
+
+
+def index_bars(spark: SparkSession, store: str, end: str | None = None) -> DataFrame:
+    df = spark.read.schema(INDEX).parquet(f"{store}/index.parquet").withColumnRenamed("index", "market")
+    return df if end is None else df.where(c("date") <= F.lit(end).cast("date"))
+
+
+def sector_snapshots(spark: SparkSession, store: str) -> DataFrame:
+    """Month-end labels, one file a snapshot."""
+    return spark.read.schema(SECTOR).option("pathGlobFilter", "*.parquet").parquet(f"{store}/raw/sector")
+
+
+def optional(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A table that may not be there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
+def coverage_log(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema(COVERAGE).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{store}/coverage")
+
+
+def predictions(spark: SparkSession, run: str, code: str | None = None) -> DataFrame:
+    """Predictions of a run; the key reaches the scan."""
+    df = spark.read.parquet(f"{run}/predictions.parquet")
+    return df if code is None else df.where(c("code") == code)
+
+
+def as_of_range(spark: SparkSession, run: str) -> DataFrame:
+    """First and last time of a run, a single row; Spark answers it from the
+    files' statistics where ``spark.sql.parquet.aggregatePushdown`` is on."""
+    return predictions(spark, run).agg(F.min("as_of").alias("first"), F.max("as_of").alias("last"))
+
+
+def dump_rows(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """(values) of the rows that a SQL dump inserts into one table.
+
+    Statements are the records of the scan, so each is read by itself.
+    """
+    statements = spark.read.option("lineSep", "INSERT INTO ").text(path).where(c("value").startswith(f"`{table}`"))
+    rows = statements.select(F.explode(F.split("value", "\n")).alias("line")).where(c("line").startswith("("))
+    inner = F.regexp_extract("line", r"^\((.*)\)[,;]\s*$", 1)
+    return rows.select(F.transform(F.split(inner, ",(?=(?:[^']*'[^']*')*[^']*$)"), lambda v: F.nullif(F.regexp_replace(v, "^'|'$", ""), F.lit("NULL"))).alias("values"))
+
+
+def verified_snapshot(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(source, fault) for every source whose rows are not those that the
+    manifest states: their number, uniqueness of (doc_id, version), and hashes."""
+    there = rows.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id", "version").alias("keys"), F.count_if(~c("record_sha256").eqNullSafe(F.sha2("document", 256))).alias("wrong"))
+    both = manifest.select("source", "document_versions").join(there, "source", "full")
+    fault = F.when(c("document_versions").isNull(), "unknown_source").when(c("n").isNull(), "missing_source").when(c("n") != c("document_versions"), "count").when(c("keys") < c("n"), "repeated_key").when(c("wrong") > 0, "hash")
+    return both.select("source", fault.alias("fault")).where("fault is not null")

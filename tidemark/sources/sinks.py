@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import unicodedata
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,112 @@ def append_months(df: DataFrame, path: str, month: str = "ym") -> None:
     df.repartition(month, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("append").partitionBy(month).parquet(path)
 
 
+def stage_months(df: DataFrame, path: str, run: str, month: str = "ym") -> None:
+    """First phase: a run's rows by month beside the store; readers see nothing."""
+    df.repartition(month).write.mode("overwrite").partitionBy(month).parquet(f"{path}/_staged/{run}")
+
+
+def commit_months(spark: SparkSession, path: str, run: str) -> int:
+    """Second phase: note the run as committed, then move its files into their
+    months; how many moved. Doing it again after a loss moves what is left."""
+    fs, staged = _fs(spark, f"{path}/_staged/{run}")
+    _, mark = _fs(spark, f"{path}/_committed/{run}")
+    if not fs.exists(mark):
+        fs.create(mark, False).close()
+    moved = 0
+    if fs.exists(staged):
+        for month in fs.listStatus(staged):
+            if not month.isDirectory():
+                continue
+            _, into = _fs(spark, f"{path}/{month.getPath().getName()}")
+            fs.mkdirs(into)
+            for file in fs.listStatus(month.getPath()):
+                _, target = _fs(spark, f"{into}/{run}-{file.getPath().getName()}")
+                moved += bool(fs.rename(file.getPath(), target))
+        fs.delete(staged, True)
+    return moved
+
+
+def recover_months(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(finished, discarded) runs: staged rows move if their run was committed, else go."""
+    fs, top = _fs(spark, f"{path}/_staged")
+    finished = discarded = 0
+    for run in [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []:
+        if fs.exists(_fs(spark, f"{path}/_committed/{run}")[1]):
+            commit_months(spark, path, run)
+            finished += 1
+        else:
+            fs.delete(_fs(spark, f"{path}/_staged/{run}")[1], True)
+            discarded += 1
+    return finished, discarded
+
+
+def prepared(spark: SparkSession, path: str, fingerprint: dict, build) -> tuple[DataFrame, bool]:
+    """(table, whether it was there): a result kept under a hash of what it depends on."""
+    key = hashlib.sha256(json.dumps(fingerprint, sort_keys=True).encode()).hexdigest()[:16]
+    where = f"{path}/{key}.parquet"
+    fs, target = _fs(spark, f"{where}/_SUCCESS")
+    there = fs.exists(target)
+    if not there:
+        build().write.mode("overwrite").parquet(where)
+    return spark.read.parquet(where), there
+
+
+def append_raw(rows: DataFrame, path: str) -> None:
+    """Raw bodies as compressed JSON lines; earlier ones stay."""
+    rows.write.mode("append").option("compression", "gzip").json(path)
+
+
+def rewrite(df: DataFrame, path: str) -> None:
+    """Replace a small exported table as a whole, by way of a table beside it."""
+    spark = df.sparkSession
+    fs, target = _fs(spark, path)
+    staged = f"{path}.{uuid.uuid4().hex}.tmp"
+    df.write.parquet(staged)
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(_fs(spark, staged)[1], target):
+        raise OSError(f"{path} could not be replaced")
+
+
+class Presets:
+    """Named settings as JSON files, changed only from the revision last read."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _file(self, name: str):
+        return _fs(self.spark, f"{self.path}/{hashlib.sha256(name.casefold().encode()).hexdigest()[:16]}.json")
+
+    def read(self, name: str) -> dict | None:
+        fs, where = self._file(name)
+        if not fs.exists(where):
+            return None
+        return json.loads(self.spark.read.option("wholetext", True).text(where.toString()).first()[0])
+
+    def write(self, name: str, settings: dict, revision: int = 0) -> int:
+        """Store settings; ``revision`` is the one they were read with, 0 for new."""
+        name = unicodedata.normalize("NFC", name).strip()
+        if not 1 <= len(name) <= 64 or any(unicodedata.category(x) == "Cc" for x in name):
+            raise ValueError("a name has 1 to 64 characters and no control characters")
+        old = self.read(name)
+        if (old["revision"] if old else 0) != revision:
+            raise ValueError("changed elsewhere; read it again")
+        fs, where = self._file(name)
+        out = fs.create(where, True)
+        out.write(bytearray(json.dumps({"name": name, "settings": settings, "revision": revision + 1}, sort_keys=True).encode()))
+        out.close()
+        return revision + 1
+
+
+def merged(base: dict, override: dict) -> dict:
+    """Settings with some of them replaced, at any depth; neither input changes."""
+    out = dict(base)
+    for k, v in override.items():
+        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
     """Append only rows whose keys the store lacks; how many these are."""
     spark = df.sparkSession
