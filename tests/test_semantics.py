@@ -10,10 +10,13 @@ from tidemark.functions import stats
 from tidemark.functions import text as tx
 from tidemark.operators import analysis as an
 from tidemark.operators import backtest as bt
+from tidemark.operators import bars as br
 from tidemark.operators import documents as dc
 from tidemark.operators import forecast as fc
 from tidemark.operators import indicators as ind
 from tidemark.operators import patterns as pat
+from tidemark.operators import retrieval as rt
+from tidemark.operators import search as sr
 from tidemark.operators import universe as uni
 
 DAY0 = dt.datetime(2021, 1, 4)
@@ -91,15 +94,19 @@ def test_stop_and_profit(spark):
     assert (t["exit_reason"], t["exit_date"]) == ("take_profit", DAY0 + dt.timedelta(9))
 
 
-def test_trailing_and_breakeven(spark):
-    closes = [100] * 6 + [100, 110, 120, 115, 107] + [100] * 30
-    (t,), _ = run(signal_at(bars(spark, closes), 5), trailing=-0.1, take_profit=None, stop_loss=None)
-    assert (t["exit_reason"], t["exit_date"]) == ("trailing_stop", DAY0 + dt.timedelta(11))
-    closes = [100] * 6 + [103, 106, 102, 99.9] + [100] * 30
-    (t,), _ = run(signal_at(bars(spark, closes, open=[100.0] * 40), 5), breakeven=0.05, stop_loss=None)
-    assert t["exit_reason"] == "breakeven_stop"
-    (t,), _ = run(signal_at(bars(spark, closes, open=[100.0] * 40), 5), breakeven=0.07, stop_loss=None)
-    assert t["exit_reason"] == "time"
+def test_trailing_stop_follows_the_peak(spark):
+    """Entry at 50; the peak of 80 makes the stop 64, which 63 breaks on row 9."""
+    closes = [50] * 5 + [56, 80, 71, 66, 63] + [90] * 12
+    (t,), _ = run(signal_at(bars(spark, closes), 3), trailing=-0.2, take_profit=None, stop_loss=None)
+    assert (t["exit_reason"], t["exit_date"], t["exit_signal_date"]) == ("trailing_stop", DAY0 + dt.timedelta(10), DAY0 + dt.timedelta(9))
+
+
+@pytest.mark.parametrize("trigger,reason", [(0.1, "breakeven_stop"), (0.3, "time")])
+def test_breakeven_needs_its_trigger(spark, trigger, reason):
+    """The close rises by a quarter, then falls to the entry price of 40."""
+    closes = [40] * 4 + [44, 50, 46, 40] + [41] * 20
+    (t,), _ = run(signal_at(bars(spark, closes), 2), breakeven=trigger, stop_loss=None, take_profit=None, max_hold=12)
+    assert t["exit_reason"] == reason
 
 
 def test_halted_entry_and_end_of_data(spark):
@@ -143,7 +150,13 @@ def test_rule_is_validated():
 
 @pytest.mark.parametrize(
     "p,expected",
-    [((0.01, 0.05, 0.03, 0.2, 0.07), "TTTFT"), ((0.03, 0.5), "TF"), ((0.06, 0.5), "FF"), ((None, 0.001), "FT")],
+    [
+        ((0.004, 0.019, 0.031, 0.6), "TTTF"),  # bounds 0.025, 0.05, 0.075, 0.1
+        ((0.09, 0.0999), "TT"),  # only the second bound holds, so both go
+        ((0.4, 0.11, 0.2), "FFF"),
+        ((0.04, None, 0.7), "TFF"),  # two count: bounds 0.05 and 0.1
+        ((), ""),
+    ],
 )
 def test_benjamini_hochberg(spark, p, expected):
     df = spark.createDataFrame([(f"s{k}", x) for k, x in enumerate(p)], "strategy string, p_value double")
@@ -171,25 +184,109 @@ def test_direction(spark):
 
 
 def test_tokenize(spark):
-    df = spark.createDataFrame([("한빛반도체가",), ("LNG·2분기 a, HBM3E!",), ("주 가",), (None,)], "t string")
-    assert [r[0] for r in df.select(tx.tokenize(F.col("t"))).collect()] == [["한빛", "빛반", "반도", "도체", "체가"], ["lng", "2", "분기", "a", "hbm3e"], ["주", "가"], []]
+    """Latin runs whole and in lower case, Hangul runs by pairs, one syllable alone."""
+    df = spark.createDataFrame([("바다와 강",), ("Wind-7 시스템X",), ("!?",), (None,)], "t string")
+    assert [r[0] for r in df.select(tx.tokenize(F.col("t"))).collect()] == [["바다", "다와", "강"], ["wind", "7", "시스", "스템", "x"], [], []]
+
+
+def test_folded_texts(spark):
+    df = spark.createDataFrame([("ＧＯ② — Café",), ("plain Text",), (None,)], "t string")
+    assert [r[0] for r in df.select(rt.folded(F.col("t"))).collect()] == ["go2 caf ", "plain text", ""]
+    assert rt.fold("ＧＯ② — Café") == "go2 caf "
+
+
+@pytest.mark.parametrize(
+    "query,text,found",
+    [
+        ("강물", "푸른강물이", True),  # the word itself may be part of another
+        ("강물이", "강물은 깊다", True),  # base with another fitting particle
+        ("강물이", "강물집 앞", False),  # base as part of a longer word
+        ("바다는", "바다를 본다", True),
+        ("바다은", "바다를 본다", False),  # the particle does not fit an open syllable
+        ("wind7", "wind 7", False),  # Latin identifiers are not put together
+        ("win", "wind", False),
+        ("강물 wind", "wind와 강물", True),
+        ("", "강물", False),
+    ],
+)
+def test_query_conditions(spark, query, text, found):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(rt.matches([rt.folded(F.col("t"))], rt.conditions(query))).first()[0] == found
+
+
+def test_conditions_are_not_put_together_from_fields(spark):
+    df = spark.createDataFrame([("강", "물", "강물", None)], "a string, b string, c string, d string")
+    got = df.select(rt.matches([F.col("a"), F.col("b")], rt.conditions("강물")), rt.matches([F.col("c"), F.col("d")], rt.conditions("강물"))).first()
+    assert tuple(got) == (False, True)
+
+
+def test_name_mentions(spark):
+    rows = [(1, "큰나무가 자란다", []), (2, "큰나무집", []), (3, "other", ["Q"]), (4, "other", ["Z"])]
+    m = rt.key_matches(spark.createDataFrame(rows, "id long, title string, codes array<string>"), {"Q": "큰나무"})
+    assert {r["id"]: (r["linked"], [x["code"] for x in r["mentions"]]) for r in m.collect()} == {1: ([], ["Q"]), 3: (["Q"], [])}
+
+
+def test_bm25_sees_visible_documents_only(spark):
+    """Index of four; documents three and four are not visible and do not count."""
+    docs = spark.createDataFrame([(1, "oak elm"), (2, "oak"), (3, "elm elm"), (4, "elm oak fir")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "elm")], "query_id long, token string")
+    seen = dc.lengths(docs.where("doc_id < 3"), "doc_id", "text")
+    (r,) = dc.bm25(dc.postings(docs, "doc_id", "text"), seen, q).collect()
+    assert (r["doc_id"], r["matched"]) == (1, 1)
+    # two documents, one with the token, lengths 2 and 1: idf = ln 2
+    assert r["score"] == pytest.approx(math.log(2) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / 1.5)), abs=1e-5)
 
 
-def test_nfkc(spark):
-    assert spark.createDataFrame([("ＡＢ①",)], "t string").select(tx.nfkc("t")).first()[0] == "AB1"
+def test_changed_versions_are_not_back_dated(spark):
+    day = lambda k: dt.datetime(2024, 5, k)
+    rows = [(1, 1, "a", day(9), day(2)), (1, 2, "a", day(1), day(3)), (1, 3, "b", day(1), day(4)), (1, 4, "c", day(1), day(20))]
+    df = spark.createDataFrame(rows, "doc_id long, version long, title string, available_at timestamp_ntz, first_seen_at timestamp_ntz")
+    got = [(r["kind"], r["effective_at"].day) for r in dc.classify_versions(df).orderBy("version").collect()]
+    assert got == [("new", 9), ("duplicate", 9), ("changed", 9), ("changed", 20)]
 
 
-def test_bm25_uses_visible_statistics(spark):
-    docs = spark.createDataFrame([(1, "aa bb"), (2, "aa"), (3, "cc cc dd")], "doc_id long, text string")
-    q = spark.createDataFrame([(1, "bb")], "query_id long, token string")
-    (r,) = dc.bm25(dc.postings(docs, "doc_id", "text"), docs, q).collect()
-    assert r["doc_id"] == 1 and r["score"] == pytest.approx(math.log(1 + 2.5 / 1.5) * 2.2 / (1 + 1.2), abs=1e-5)
+def test_pages_as_text(spark):
+    df = spark.createDataFrame([("<p>x &amp; y</p> <script>no</script>caf&eacute;<br>z\n &nbsp; 1 < 2",)], "h string")
+    assert df.select(tx.plain_text(F.col("h"))).first()[0] == "x & y caféz 1 < 2"
 
 
 def test_urls(spark):
-    rows = [("HTTP://A.example.com:80/x?utm_source=1&b=2&fbclid=3#top",), ("https://a.example/",), ("ftp://a",), ("https://a.example?gclid=1",)]
-    got = [r[0] for r in spark.createDataFrame(rows, "u string").select(tx.canonical_url(F.col("u"))).collect()]
-    assert got == ["http://a.example.com/x?b=2", "https://a.example/", None, "https://a.example/"]
+    rows = [("https://Müller.Example:443?q=1&UTM_medium=x#z", "https://xn--mller-kva.example/?q=1"), ("http://h.example:8080/a&amp;b?gclid=1", "http://h.example:8080/a&b"), ("mailto:x", None), ("https://u@h.example/", None), ("http://h.example/a b", None), (None, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "u string, w string").select(tx.canonical_url(F.col("u"))).collect()]
+    assert got == [w for _, w in rows]
+
+
+def test_slot_is_usable_from_its_end(spark):
+    at = dt.datetime(2024, 3, 4, 9, 5)
+    df = spark.createDataFrame([("A", at, 1, 5.0), ("A", at.replace(minute=30), 2, 7.0)], "code string, ts timestamp_ntz, event_id long, value double")
+    (r,) = br.aggregate_slots(df, br.SLOT_EDGES["1h"]).collect()
+    assert (r["bar_start"].hour, r["available_at"].hour, r["available_at"].minute, r["value"]) == (9, 10, 0, 12.0)
+
+
+def test_boundary_midnight_belongs_to_the_earlier_part(spark):
+    day = dt.datetime(2024, 3, 4)
+    rows = [(day, day + dt.timedelta(1)), (day, day + dt.timedelta(1, 1)), (day + dt.timedelta(1), day + dt.timedelta(1, 5)), (day, None)]
+    df = spark.createDataFrame(rows, "date timestamp_ntz, realized_at timestamp_ntz")
+    end = lambda k: F.lit(day.date() + dt.timedelta(k))
+    assert [r["split"] for r in fc.time_split(df, end(0), end(3)).collect()] == ["train", "purged", "valid", "purged"]
+
+
+def test_pattern_limits():
+    assert pat.parameters("ma_cross", limited=True, fast=3)["fast"] == 3
+    for bad in ({"fast": 90}, {"fast": 2.5}):
+        with pytest.raises(ValueError):
+            pat.parameters("ma_cross", limited=True, **bad)
+
+
+def test_search_space():
+    r = sr.Request(("b", "a", "c"), max_hold=(3, 5))
+    sets = sr.pattern_sets(r)
+    assert sets[:3] == [(("a",), "or"), (("b",), "or"), (("c",), "or")] and sets[3:5] == [(("a", "b"), "and"), (("a", "b"), "or")] and len(sets) == 11
+    assert sr.count_candidates(r) == len(sr.candidates(r)) == 22 and sr.candidates(r)[0].id == "c001"
+    assert sr.estimate_seconds(40, keys=30) == 4.0 and sr.estimate_seconds(2) == 5.0
+    for bad in ({"patterns": ()}, {"combine": ("xor",)}, {"patterns": tuple("abcdefgh")}):
+        with pytest.raises(ValueError):
+            sr.Request(**({"patterns": ("a",)} | bad))
 
 
 def test_group_similar_follows_leaders(spark):

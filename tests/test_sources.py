@@ -34,11 +34,11 @@ def test_minutes_round_trip(spark, tmp_path):
 
 def test_daily_bars_clean_prices(spark, tmp_path):
     day = dt.date(2024, 1, 2)
-    spark.createDataFrame([(day, "A", 0.0, 5.0, 1.0, 4.0, 0.0, 1.0), (day, "B", 2.0, 5.0, 1.0, 4.0, 9.0, 1.0)], readers.PRICES).write.parquet(str(tmp_path / "prices.parquet"))
+    spark.createDataFrame([(day, "A", None, 5.0, -1.0, 4.0, 0.0, 1.0), (day, "B", 2.0, 5.0, 1.0, 4.0, 9.0, 1.0)], readers.PRICES).write.parquet(str(tmp_path / "prices.parquet"))
     spark.createDataFrame([(day, "B", 7, 1, "M")], readers.MARKETCAP).write.parquet(str(tmp_path / "marketcap.parquet"))
     spark.createDataFrame([("B", "n", "M", "s", day, "k", False)], readers.MASTER).write.parquet(str(tmp_path / "master.parquet"))
     a, b = readers.daily_bars(spark, str(tmp_path)).orderBy("ticker").collect()
-    assert (a["open"], a["halted"], a["marketcap"]) == (None, True, None)
+    assert (a["open"], a["low"], a["halted"], a["marketcap"]) == (None, None, True, None)
     assert (b["open"], b["halted"], b["marketcap"]) == (2.0, False, 7)
 
 
@@ -58,8 +58,39 @@ def test_append_new_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
-def test_stream_restart_adds_nothing(spark, tmp_path):
-    src = str(tmp_path / "docs")
-    spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (2, 1, "z")], "doc_id long, version long, title string").write.parquet(src)
-    got = streams.drain(streams.classify_stream(streams.read_stream(spark, src)), "t").orderBy("doc_id", "version").collect()
-    assert [r["kind"] for r in got] == ["new", "duplicate", "changed", "new"]
+def test_stream_restart_reads_only_what_is_new(spark, tmp_path):
+    """Two runs on one checkpoint, with a file added between; state lives on."""
+    src, out = str(tmp_path / "docs"), str(tmp_path / "out")
+    add = lambda *rows: spark.createDataFrame(rows, "doc_id long, version long, title string").coalesce(1).write.mode("append").parquet(src)
+
+    def once():
+        stream = streams.classify_stream(streams.read_stream(spark, src))
+        query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted((r["doc_id"], r["version"], r["kind"]) for r in spark.read.parquet(f"{out}/rows").collect())
+
+    add((1, 1, "a"), (1, 2, "a"), (2, 1, "z"))
+    first = once()
+    assert first == [(1, 1, "new"), (1, 2, "duplicate"), (2, 1, "new")]
+    add((1, 3, "b"), (2, 1, "z"))
+    assert once() == sorted([*first, (1, 3, "changed"), (2, 1, "stale")])
+    assert once() == sorted([*first, (1, 3, "changed"), (2, 1, "stale")])
+
+
+def test_presets_and_settings(spark, tmp_path):
+    store = sinks.Presets(spark, str(tmp_path / "presets"))
+    assert store.read("x") is None and store.write(" Mine ", {"a": 1}) == 1
+    assert store.read("mine")["settings"] == {"a": 1}
+    assert store.write("MINE", {"a": 2}, 1) == 2
+    for bad in (("mine", {}, 1), ("", {}, 0), ("a\tb", {}, 0)):
+        with pytest.raises(ValueError):
+            store.write(*bad)
+    base = {"a": {"b": 1, "c": 2}, "d": 3}
+    assert sinks.merged(base, {"a": {"b": 9}}) == {"a": {"b": 9, "c": 2}, "d": 3} and base["a"]["b"] == 1
+
+
+def test_feed_items_keep_their_own_fields(spark):
+    rss = "<rss><channel><item><title>a</title></item><item><title>b</title><link>m</link><pubDate>e</pubDate></item></channel></rss>"
+    atom = '<feed><entry><title>c</title><link href="n"/></entry></feed>'
+    got = readers.decode_feed(spark.createDataFrame([(rss,), (atom,), ("<other/>",)], "body string")).collect()
+    assert sorted((r["title"], r["link"], r["published"]) for r in got) == [("a", None, None), ("b", "m", "e"), ("c", "n", None)]

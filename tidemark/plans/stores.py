@@ -213,7 +213,7 @@ QUERIES = {
 _PRICES = "pr AS (SELECT CAST(date AS DATE) AS date, ticker, CASE WHEN day(CAST(date AS DATE)) % 6 = 0 THEN NULL ELSE arg_max(open, date) END AS open, arg_max(close, date) AS close FROM ebars GROUP BY CAST(date AS DATE), ticker)"
 
 SQL = {
-    "store_daily_bars": f"WITH {EBARS_SQL}, {_PRICES} SELECT CAST(date AS VARCHAR) AS date, ticker, CASE WHEN open > 0 THEN open END AS open, close, CASE WHEN day(date) % 2 = 0 THEN CAST(round(close * 1000) AS BIGINT) END AS marketcap, 'common' AS kind, ticker LIKE '%3' AS is_delisted, open IS NULL OR open <= 0 AS halted FROM pr WHERE date <= DATE '{END}'",
+    "store_daily_bars": f"WITH {EBARS_SQL}, {_PRICES} SELECT CAST(date AS VARCHAR) AS date, ticker, CASE WHEN open > 0 THEN open END AS open, close, CASE WHEN day(date) % 2 = 0 THEN CAST(round(close * 1000) AS BIGINT) END AS marketcap, 'common' AS kind, ticker LIKE '%3' AS is_delisted, false AS halted FROM pr WHERE date <= DATE '{END}'",
     "store_raw_daily": f"WITH {EBARS_SQL}, {_PRICES} SELECT ticker, count(*) AS days, max(close) AS most FROM pr WHERE ticker LIKE '%-1' GROUP BY 1",
     "store_index": f"WITH {EBARS_SQL}, {INDEX_SQL} SELECT strftime(date, '%Y-%m-%d') AS date, market, round(index_close, 6) AS close FROM idx WHERE hour(date) = 12 AND CAST(date AS DATE) <= DATE '{END}'",
     "store_sectors": f"WITH {EBARS_SQL}, {_PRICES} SELECT CAST(date AS VARCHAR) AS date, 's' || (CAST(floor(close) AS BIGINT) % 4) AS sector, count(*) AS n FROM pr WHERE date IN (DATE '2024-01-05', DATE '2024-01-12', DATE '2024-01-19') GROUP BY 1, 2",

@@ -23,7 +23,9 @@ def positive_or_null(x: Column) -> Column:
 def daily_bars(spark: SparkSession, store: str, tickers: list[str] | None = None, end: str | None = None) -> DataFrame:
     """Daily bars with market value and master data; filters reach the scans.
 
-    The master is joined as Spark sees fit: broadcast while it is small.
+    A row whose stored open is missing is halted; prices that are not above
+    zero become missing without that. The master is joined as Spark sees fit:
+    broadcast while it is small.
     """
     prices = spark.read.schema(PRICES).parquet(f"{store}/prices.parquet")
     caps = spark.read.schema(MARKETCAP).parquet(f"{store}/marketcap.parquet")
@@ -34,7 +36,7 @@ def daily_bars(spark: SparkSession, store: str, tickers: list[str] | None = None
         prices = prices.where(c("date") <= F.lit(end).cast("date"))
     df = prices.join(caps, ["date", "ticker"], "left").join(master, "ticker", "left")
     clean = {x: positive_or_null(c(x)) for x in ("open", "high", "low")}
-    return df.withColumns(clean | {"halted": c("open").isNull() | (F.coalesce("volume", F.lit(0.0)) <= 0)})
+    return df.withColumns(clean | {"halted": c("open").isNull()})
 
 
 def minutes(spark: SparkSession, path: str, codes: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -19,8 +19,14 @@ c = F.col
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """A fresh folder that driver and executors share.
+
+    ``spark.checkpoint.dir`` names it; a session on one machine may go without.
+    """
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = top or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
