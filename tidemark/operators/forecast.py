@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,12 +108,31 @@ def pinball(y: Column, q: Column, level: float) -> Column:
     return F.greatest(level * (y - q), (level - 1) * (y - q))
 
 
+def hits(p: Column, **bounds) -> tuple[Column, Column]:
+    """(called, right): whether a direction is given, and whether it came true."""
+    way = direction(p, **bounds)
+    called = F.coalesce(way.isin("up", "down"), F.lit(False))
+    return called, called & F.coalesce(((way == "up") & (c("y") > 0)) | ((way == "down") & (c("y") < 0)), F.lit(False))
+
+
+def direction_policy(df: DataFrame, by: list[str], baseline: Column, least: int, alpha: float, **bounds) -> DataFrame:
+    """Whether a direction may be shown: called often enough, better than a coin
+    by a one-sided binomial test, and better than the baseline, which counts as
+    a coin where it calls nothing."""
+    from tidemark.functions.stats import binomial_pvalue
+
+    ok = df.where("y is not null")
+    (called, right), (base, base_right) = hits(c("p_up"), **bounds), hits(baseline, **bounds)
+    n = ok.groupBy(*by).agg(F.count_if(called).alias("n"), F.count_if(right).alias("k"), F.count_if(base).alias("base_n"), F.count_if(base_right).alias("base_k"))
+    n = n.withColumns({"p_value": F.when(c("n") > 0, binomial_pvalue("k", "n")).otherwise(1.0), "hit": F.try_divide("k", "n"), "base_hit": F.coalesce(F.try_divide("base_k", "base_n"), F.lit(0.5))})
+    shown = (c("n") >= least) & (c("p_value") < alpha) & (c("hit") > c("base_hit"))
+    return n.withColumn("enabled", F.coalesce(shown, F.lit(False)))
+
+
 def score(df: DataFrame, by: list[str]) -> DataFrame:
     """n, coverage, pinball, and share and hits of called directions, by group."""
     low, high = f"`q{QUANTILES[0]:g}`", f"`q{QUANTILES[-1]:g}`"
-    d = direction(c("p_up"))
-    called = d.isin("up", "down")
-    hit = ((d == "up") & (c("y") > 0)) | ((d == "down") & (c("y") < 0))
+    called, hit = hits(c("p_up"))
     loss = sum((pinball(c("y"), c(f"`q{q:g}`"), q) for q in QUANTILES), F.lit(0.0)) / len(QUANTILES)
     ok = df.where("y is not null and p_up is not null")
     return ok.groupBy(*by).agg(
@@ -123,25 +144,64 @@ def score(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def fit_centre(train: DataFrame, inputs: list[str], rounds: int = 10) -> Pipeline:
-    """Gradient-boosted centre of the target with absolute loss.
+class Forecaster:
+    """Boosted centre and direction, corrected on a later part of the data.
 
-    Spark has no quantile loss; ``residual_quantiles`` widens the centre to
-    intervals from held-out residuals, a different estimator from one model a
-    quantile.
+    Spark has no quantile loss: the centre is boosted with absolute loss and
+    each quantile is the centre plus that quantile of the residuals of the
+    second part, so the quantiles never cross. They are widened until the outer
+    ones hold as much of the second part as they should; the chance of a rise is
+    a boosted classifier's, made monotone against what happened there. Missing
+    inputs take the median of the first part.
     """
-    gather = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
-    model = GBTRegressor(labelCol="y", featuresCol="features", lossType="absolute", maxIter=rounds, maxDepth=3, seed=7)
-    return Pipeline(stages=[gather, model]).fit(train.where("y is not null"))
-
 
-def residual_quantiles(predicted: DataFrame) -> DataFrame:
-    r = c("y") - c("prediction")
-    return predicted.where("y is not null").agg(*(F.percentile(r, F.lit(q)).alias(f"q{q:g}") for q in QUANTILES))
+    def __init__(self, inputs: list[str], rounds: int = 10) -> None:
+        self.inputs, self.rounds = inputs, rounds
+
+    def fit(self, train: DataFrame, valid: DataFrame) -> Forecaster:
+        known = train.where("y is not null").withColumn("up", (c("y") > 0).cast("double"))
+        filled = [f"_{x}" for x in self.inputs]
+        prepare = [Imputer(inputCols=self.inputs, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")]
+        trees = {"featuresCol": "features", "maxIter": self.rounds, "maxDepth": 3, "seed": 7}
+        centre = GBTRegressor(labelCol="y", lossType="absolute", predictionCol="centre", **trees)
+        rise = GBTClassifier(labelCol="up", predictionCol="_up", **trees)
+        self.model = Pipeline(stages=[*prepare, centre, rise]).fit(known)
+        later = self._raw(valid.where("y is not null")).withColumn("up", (c("y") > 0).cast("double"))
+        self.calibrator = IsotonicRegression(featuresCol="p_raw", labelCol="up", predictionCol="p_up").fit(later)
+        residual = c("y") - c("centre")
+        self.residuals = later.agg(*(F.percentile(residual, F.lit(q)).alias(f"q{q:g}") for q in QUANTILES)).first()
+        outside = F.greatest(self.residuals[0] - residual, residual - self.residuals[-1])
+        share = QUANTILES[-1] - QUANTILES[0]
+        self.widen = max(0.0, later.agg(F.percentile(outside, F.lit(share))).first()[0] or 0.0)
+        return self
+
+    def _raw(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df).withColumn("p_raw", vector_to_array("probability")[1])
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        extra = {QUANTILES[0]: -self.widen, QUANTILES[-1]: self.widen}
+        out = self.calibrator.transform(self._raw(df))
+        return out.select(*df.columns, "p_up", *((c("centre") + self.residuals[k] + extra.get(q, 0.0)).alias(f"q{q:g}") for k, q in enumerate(QUANTILES)))
+
+
+def holdout(df: DataFrame, share: float) -> DataFrame:
+    """Marks each row calibrate, decide or purged: the last ``share`` of the days
+    decide; earlier rows whose target is only known then are of no use.
+
+    Days are few: the windows without a key are over them.
+    """
+    days = df.select(F.to_date("date").alias("_d")).distinct()
+    order = Window.orderBy("_d")
+    n = F.count("*").over(Window.partitionBy())
+    first = days.withColumns({"_k": F.row_number().over(order), "_n": n}).where(c("_k") == c("_n") - F.round(c("_n") * share) + 1).select(c("_d").alias("_first"))
+    late = F.to_date("date") >= c("_first")
+    role = F.when(late, "decide").when(c("realized_at") < c("_first").cast("timestamp_ntz"), "calibrate").otherwise("purged")
+    return df.join(F.broadcast(first)).withColumn("role", role).drop("_first")  # one row
 
 
 def paired_bootstrap(daily: DataFrame, draws: int) -> DataFrame:
-    """One-sided p-value of a mean difference by resampling days.
+    """(p_value, low, high): one-sided p-value and 95 % interval of a mean
+    difference by resampling days.
 
     ``daily`` has day, total and n; a draw picks as many days as there are, by
     hash. Days are few, so the draws are one row per draw and day.
@@ -153,4 +213,4 @@ def paired_bootstrap(daily: DataFrame, draws: int) -> DataFrame:
     picks = numbered.select(c("k").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).join(F.broadcast(size))  # one row
     picks = picks.select("draw", F.floor(uniform(c("draw").cast("string"), c("slot").cast("string")) * c("m")).cast("int").alias("k"))
     means = picks.join(numbered.select("k", "total", "n"), "k").groupBy("draw").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
-    return means.agg(((F.count_if(c("mean") >= 0) + 1) / (draws + 1)).alias("p_value"))
+    return means.agg(((F.count_if(c("mean") >= 0) + 1) / (draws + 1)).alias("p_value"), F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import binomial_pvalue
 from tidemark.operators import bars as br
 from tidemark.operators import forecast as fc
 from tidemark.operators.documents import visible_at
@@ -90,13 +89,46 @@ def fc_scores(spark, d):
 
 
 def direction_policy(spark, d):
-    """Whether called directions beat a coin, by key."""
-    b = fc.historical_baseline(fc.targets(_samples(spark, d), 2)).where("y is not null and p_up is not null")
-    way = fc.direction(c("p_up"), 0.52, 0.48)
-    called = way.isin("up", "down")
-    hit = ((way == "up") & (c("y") > 0)) | ((way == "down") & (c("y") < 0))
-    s = b.groupBy("ticker").agg(F.count_if(called).alias("n"), F.count_if(called & hit).alias("k"))
-    return s.select("ticker", "n", "k", F.round(binomial_pvalue("k", "n"), 6).alias("p_value"))
+    """Whether directions may be shown, by key: against a coin and against odds
+    that follow the last hour's return."""
+    b = fc.historical_baseline(fc.targets(fc.features(_samples(spark, d)), 2)).where("p_up is not null")
+    simple = F.when(c("r1") > 0.5, 0.6).when(c("r1") < -0.5, 0.4).otherwise(0.5)
+    p = fc.direction_policy(b, ["ticker"], simple, 20, 0.2, up=0.52, down=0.48)
+    return p.select("ticker", "n", "k", "base_n", "base_k", F.round("p_value", 6).alias("p_value"), "enabled")
+
+
+def fc_persistence(spark, d):
+    b = fc.persistence(_split(spark, d))
+    return fc.score(b, ["split"]).select("split", "n", *(F.round(x, 6).alias(x) for x in ("coverage", "pinball", "dir_share")))
+
+
+def fc_holdout(spark, d):
+    """The validation days: the later ones decide, the earlier ones calibrate."""
+    h = fc.holdout(_split(spark, d).where("split = 'valid'"), 0.4)
+    return h.groupBy("role").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+def fc_batch(spark, d):
+    """Targets one to three bars ahead, scored together by horizon."""
+    parts = [fc.historical_baseline(fc.targets(_samples(spark, d), h)).withColumn("h", F.lit(h)) for h in (1, 2, 3)]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return fc.score(both, ["h"]).select("h", "n", *(F.round(x, 6).alias(x) for x in ("coverage", "pinball")))
+
+
+def confirmed_days(spark, d):
+    """Days whose last bar was closed by a time, before the warm-up's end left out."""
+    b = ebars(spark, d).where(c("date") >= F.lit("2024-01-03").cast("timestamp_ntz"))
+    at = F.lit("2024-01-17 15:00:00").cast("timestamp_ntz")
+    days = b.select(F.to_date("date").alias("day")).distinct()
+    return days.where(c("day").cast("timestamp_ntz") + F.expr("interval 931 minutes") <= at).agg(F.count("*").alias("days"), F.max("day").cast("string").alias("last"))
+
+
+def scalar_rules(spark, d):
+    """Small rules over orders: near equality, local day, whole values, pages."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    near = F.abs(c("o_totalprice") - F.round("o_totalprice", 1)) <= 1e-6
+    local = F.date_format(c("o_orderdate") + F.expr("interval 16 hours") + F.expr("interval 9 hours"), "yyyy-MM-dd")
+    return o.groupBy("o_orderstatus").agg(F.count_if(near).alias("near"), F.min(local).alias("first"), F.count_if(c("o_totalprice") == F.floor("o_totalprice")).alias("whole"), F.ceil(F.count("*") / 7).alias("pages"))
 
 
 def fc_external(spark, d):
@@ -111,17 +143,14 @@ def variant_bootstrap(spark, d):
     b = fc.historical_baseline(fc.targets(_samples(spark, d), 2)).where("y is not null and p_up is not null")
     diff = fc.pinball(c("y"), c("`q0.5`"), 0.5) - fc.pinball(c("y"), F.lit(0.0), 0.5)
     daily = b.groupBy(F.to_date("date").alias("day")).agg(F.sum(F.round(diff, 9).cast("decimal(20,9)")).cast("double").alias("total"), F.count("*").alias("n"))
-    return fc.paired_bootstrap(daily, 100).select(F.round("p_value", 6).alias("p_value"))
+    return fc.paired_bootstrap(daily, 1000).select(*(F.round(x, 6).alias(x) for x in ("p_value", "low", "high")))
 
 
 def fc_model(spark, d):
-    """Boosted centre with conformal intervals, scored on the test part."""
-    s = fc.time_split(fc.targets(fc.features(_samples(spark, d)), 2), _day(TRAIN), _day(VALID)).na.fill(0.0, FEATURES)
-    model = fc.fit_centre(s.where("split = 'train'"), FEATURES, rounds=3)
-    width = fc.residual_quantiles(model.transform(s.where("split = 'valid'")))
-    test = model.transform(s.where("split = 'test'")).join(F.broadcast(width))  # one row
-    shifted = test.select("y", *((c("prediction") + c(f"`q{q:g}`")).alias(f"q{q:g}") for q in fc.QUANTILES), F.when(c("prediction") > 0, 0.6).otherwise(0.4).alias("p_up"), F.lit("test").alias("split"))
-    return fc.score(shifted, ["split"])
+    """Boosted centre and direction with intervals, scored on the test part."""
+    s = fc.time_split(fc.targets(fc.features(_samples(spark, d)), 2), _day(TRAIN), _day(VALID)).cache()
+    model = fc.Forecaster(FEATURES, rounds=3).fit(s.where("split = 'train'"), s.where("split = 'valid'"))
+    return fc.score(model.predict(s.where("split = 'test'")), ["split"])
 
 
 def forecast_view(spark, d):
@@ -159,7 +188,7 @@ def influence_events(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (bars_slots, bars_confirmed, cumdiff_value, bars_daily_valid, price_basis, fc_targets, fc_features, fc_split, fc_baseline, fc_scores, direction_policy, fc_external, variant_bootstrap, fc_model, forecast_view, influence_weights, influence_events)
+    for f in (bars_slots, bars_confirmed, cumdiff_value, bars_daily_valid, price_basis, fc_targets, fc_features, fc_split, fc_baseline, fc_scores, direction_policy, fc_external, variant_bootstrap, fc_model, forecast_view, influence_weights, influence_events, fc_persistence, fc_holdout, fc_batch, confirmed_days, scalar_rules)
 }
 
 _M = "(hour(ts) * 60 + minute(ts))"
@@ -203,14 +232,22 @@ SELECT ticker, date, dow, slot, nxt, {', '.join(f'round({x}, 6) AS {x}' for x in
     "fc_scores": f"""WITH {_T}, {_SP}, {_B}, {_base('sp')}, z AS (SELECT *, CASE WHEN p_up >= 0.55 THEN 'up' WHEN p_up <= 0.45 THEN 'down' ELSE 'uncertain' END AS dir FROM bl WHERE y IS NOT NULL AND p_up IS NOT NULL)
 SELECT split, count(*) AS n, round(avg(CAST(y >= q10 AND y <= q90 AS DOUBLE)), 6) AS coverage, round(avg(({_LOSS}) / 3), 6) AS pinball, round(avg(CAST(dir <> 'uncertain' AS DOUBLE)), 6) AS dir_share,
  round(avg(CASE WHEN dir <> 'uncertain' THEN CAST((dir = 'up' AND y > 0) OR (dir = 'down' AND y < 0) AS DOUBLE) END), 6) AS dir_hit FROM z GROUP BY 1""",
-    "direction_policy": f"""WITH {_T}, {_B}, {_base('tg')}, z AS (SELECT ticker, y, CASE WHEN p_up >= 0.52 THEN 1 WHEN p_up <= 0.48 THEN -1 ELSE 0 END AS d FROM bl WHERE y IS NOT NULL AND p_up IS NOT NULL),
-c AS (SELECT ticker, count(*) FILTER (d <> 0) AS n, count(*) FILTER ((d = 1 AND y > 0) OR (d = -1 AND y < 0)) AS k FROM z GROUP BY 1)
-SELECT ticker, n, k, round(CASE WHEN k = 0 THEN 1.0 ELSE list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) END, 6) AS p_value FROM c""",
+    "direction_policy": f"""WITH {_T}, {_B}, {_base('tg')}, r AS (SELECT ticker, date, ln(close / lag(close) OVER (PARTITION BY ticker, segment ORDER BY date)) AS r1 FROM sa),
+z AS (SELECT bl.ticker, y, CASE WHEN p_up >= 0.52 THEN 1 WHEN p_up <= 0.48 THEN -1 ELSE 0 END AS d, CASE WHEN r1 > 0.5 THEN 1 WHEN r1 < -0.5 THEN -1 ELSE 0 END AS b FROM bl JOIN r ON r.ticker = bl.ticker AND r.date = bl.date WHERE y IS NOT NULL AND p_up IS NOT NULL),
+c AS (SELECT ticker, count(*) FILTER (d <> 0) AS n, count(*) FILTER (d * y > 0) AS k, count(*) FILTER (b <> 0) AS base_n, count(*) FILTER (b * y > 0) AS base_k FROM z GROUP BY 1),
+q AS (SELECT *, CASE WHEN n = 0 OR k = 0 THEN 1.0 ELSE list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) END AS p FROM c)
+SELECT ticker, n, k, base_n, base_k, round(p, 6) AS p_value, n >= 20 AND p < 0.2 AND coalesce(k / nullif(n, 0) > coalesce(base_k / nullif(base_n, 0), 0.5), false) AS enabled FROM q""",
+    "fc_persistence": f"WITH {_T}, {_SP} SELECT split, count(*) AS n, round(avg(CAST(y = 0 AS DOUBLE)), 6) AS coverage, round(avg((greatest(0.1 * y, -0.9 * y) + greatest(0.5 * y, -0.5 * y) + greatest(0.9 * y, -0.1 * y)) / 3), 6) AS pinball, 0.0 AS dir_share FROM sp WHERE y IS NOT NULL GROUP BY 1",
+    "fc_holdout": f"""WITH {_T}, {_SP}, v AS (SELECT *, CAST(date AS DATE) AS d FROM sp WHERE split = 'valid'), k AS (SELECT d, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM v)), f AS (SELECT d AS f FROM k WHERE k = n - round(n * 0.4) + 1)
+SELECT CASE WHEN d >= f THEN 'decide' WHEN realized_at < CAST(f AS TIMESTAMP) THEN 'calibrate' ELSE 'purged' END AS role, count(*) AS n, min(date) AS "first", max(date) AS "last" FROM v, f GROUP BY 1""",
+    "fc_batch": " UNION ALL ".join(f"SELECT * FROM (WITH {_T.replace('lead(segment, 2)', f'lead(segment, {h})').replace('lead(close, 2)', f'lead(close, {h})').replace('lead(date, 2)', f'lead(date, {h})')}, {_B}, {_base('tg')} SELECT {h} AS h, count(*) AS n, round(avg(CAST(y >= q10 AND y <= q90 AS DOUBLE)), 6) AS coverage, round(avg(({_LOSS}) / 3), 6) AS pinball FROM bl WHERE y IS NOT NULL AND p_up IS NOT NULL)" for h in (1, 2, 3)),
+    "confirmed_days": f"""WITH {EBARS_SQL}, x AS (SELECT DISTINCT CAST(date AS DATE) AS day FROM ebars WHERE date >= TIMESTAMP '2024-01-03') SELECT count(*) AS days, CAST(max(day) AS VARCHAR) AS "last" FROM x WHERE CAST(day AS TIMESTAMP) + INTERVAL 931 MINUTE <= TIMESTAMP '2024-01-17 15:00:00'""",
+    "scalar_rules": """SELECT o_orderstatus, count(*) FILTER (abs(o_totalprice - round(o_totalprice, 1)) <= 1e-6) AS near, min(strftime(o_orderdate + INTERVAL 25 HOUR, '%Y-%m-%d')) AS "first", count(*) FILTER (o_totalprice = floor(o_totalprice)) AS whole, CAST(ceil(count(*) / 7) AS BIGINT) AS pages FROM orders GROUP BY 1""",
     "variant_bootstrap": f"""WITH {_T}, {_B}, {_base('tg')},
 dd AS (SELECT CAST(date AS DATE) AS day, CAST(sum(CAST(round(greatest(0.5 * (y - q50), -0.5 * (y - q50)) - greatest(0.5 * y, -0.5 * y), 9) AS DECIMAL(18,9))) AS DOUBLE) AS total, count(*) AS n FROM bl WHERE y IS NOT NULL AND p_up IS NOT NULL GROUP BY 1),
 nd AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS m FROM dd),
-pk AS (SELECT draw, CAST(floor(CAST(('0x' || substr(md5(CAST(draw AS VARCHAR) || '|' || CAST(k AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 * m) AS BIGINT) AS k FROM nd, range(100) r(draw)),
-mn AS (SELECT draw, sum(total) / sum(n) AS mean FROM pk JOIN nd USING (k) GROUP BY 1) SELECT round((count(*) FILTER (mean >= 0) + 1) / 101, 6) AS p_value FROM mn""",
+pk AS (SELECT draw, CAST(floor(CAST(('0x' || substr(md5(CAST(draw AS VARCHAR) || '|' || CAST(k AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 * m) AS BIGINT) AS k FROM nd, range(1000) r(draw)),
+mn AS (SELECT draw, sum(total) / sum(n) AS mean FROM pk JOIN nd USING (k) GROUP BY 1) SELECT round((count(*) FILTER (mean >= 0) + 1) / 1001, 6) AS p_value, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM mn""",
     "fc_external": f"""WITH {_S}, dc AS (SELECT conv_id % 31 + 1 AS dom, count(*) AS docs FROM conversations GROUP BY 1) SELECT ticker, CAST(docs IS NULL AS INT) AS missing, count(*) AS n, CAST(sum(docs) AS BIGINT) AS docs FROM sa LEFT JOIN dc ON dc.dom = day(sa.date) GROUP BY 1, 2""",
     "forecast_view": f"WITH {_T}, {_B}, {_base('tg')} SELECT ticker, date, round(close * exp(q10), 5) AS price10, round(close * exp(q50), 5) AS price50, round(close * exp(q90), 5) AS price90 FROM bl WHERE date <= TIMESTAMP '2024-01-25 10:00:00' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1",
     "influence_weights": """WITH j AS (SELECT c_mktsegment AS grp, c_nationkey AS nation, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS w, stddev_samp(c_acctbal) AS sd FROM customer GROUP BY 1, 2)
