@@ -160,8 +160,10 @@ class Forecaster:
 
     def fit(self, train: DataFrame, valid: DataFrame) -> Forecaster:
         known = train.where("y is not null").withColumn("up", (c("y") > 0).cast("double"))
-        filled = [f"_{x}" for x in self.inputs]
-        prepare = [Imputer(inputCols=self.inputs, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")]
+        counts = known.agg(*(F.count(x).alias(x) for x in self.inputs)).first()
+        inputs = [x for x in self.inputs if counts[x]]  # one without any value has no median
+        filled = [f"_{x}" for x in inputs]
+        prepare = [Imputer(inputCols=inputs, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")]
         trees = {"featuresCol": "features", "maxIter": self.rounds, "maxDepth": 3, "seed": 7}
         centre = GBTRegressor(labelCol="y", lossType="absolute", predictionCol="centre", **trees)
         rise = GBTClassifier(labelCol="up", predictionCol="_up", **trees)
