@@ -333,10 +333,40 @@ def example(parsed):
 def test_license_rules_each_find_their_example(spark):
     rules = licenses.rules()
     texts = [example(re._parser.parse(body)) for _, _, _, body in rules]
-    assert sum(not re.search(licenses.GATE, t) for t in texts) > 40
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.summary(licenses.scan_licenses(rows)).collect()}
+    scanned = licenses.summary(licenses.scan_licenses(rows))
+    found = {r["doc_id"]: tuple(r) for r in scanned.collect()}
+    got = {k: r[6].split(",") for k, r in found.items()}
     assert [(t, rule[0], got[k]) for k, (t, rule) in enumerate(zip(texts, rules)) if rule[0] not in got[k]] == []
+    assert sql_rows(licenses.sql(), texts, scanned.columns) == found
+
+
+def sql_rows(sql, texts, columns):
+    """Rows of a contract's SQL over texts numbered as they come."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    return {r[columns.index("doc_id")]: r for r in con.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()}
+
+
+def test_licenses_of_many_detections(spark):
+    """Texts over the bound of comparing all: the same as by their sentences."""
+    rng = random.Random(5)
+    said = ["licensed under the MIT license.", "SPDX-License-Identifier: CC-BY-NC-SA-4.0", "GPL v2 only licensed under the terms of the BSD 3 clause license", "in the public domain", "words between", "CC BY NC 4.0 license cc by"]
+    texts = [" . ".join(rng.choices(said, k=k)) for k in (3, 40, 300)]
+    (names, spans) = zip(*((r["doc_id"], r["found"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    assert len(spans[names.index(2)]) > licenses.FEW
+    for k, found in zip(names, spans):
+        words = re.findall(licenses.WORD, texts[k].translate(LOWER))
+        joined, every = " " + " ".join(words) + " ", []
+        for n, (label, word, rank, body) in enumerate(licenses.rules()):
+            for m in re.finditer(f" (?:{body})(?= )", joined):
+                if licenses._needed(word, body) in joined:
+                    start = joined[: m.start()].count(" ")
+                    every.append((start, start + m[0].count(" "), label, rank, n))
+        better = lambda g, h: (g[3], g[1] - g[0], -g[4]) > (h[3], h[1] - h[0], -h[4])
+        want = [h for h in every if not any(g[0] <= h[0] and g[1] >= h[1] and better(g, h) for g in every)]
+        assert [tuple(x) for x in found] == sorted(want)
 
 
 
@@ -374,6 +404,9 @@ def test_random_tokens_around_fixed_spans_and_of_letters():
     spans = secrets.find_spans(text, model)
     assert [(k, text[s:e]) for k, s, e in spans] == [("random", key), ("hex", "0123456789abcdef"), ("random", letters), ("hex", "0123456789abcdef01234567")]
     assert secrets.redact(text, spans) == "key [RANDOM] and [RANDOM], hex [HEX], internationalization_configuration"
+    columns = ["doc_id", "n_hex", "base_sha256", "spans"]
+    listed = ",".join(f"{k}:{b}:{e}" for k, b, e in spans)
+    assert sql_rows(secrets.sql(), [text, "none"], columns) == {0: (0, 2, secrets.digest(spans), listed), 1: (1, 0, secrets.digest([]), "")}
 
 
 

@@ -18,8 +18,6 @@ from tidemark.llm.common import ascii_lower, let
 
 #: Words: ASCII letters and digits and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Texts that the SQL looks at; ``license_column`` looks at all.
-GATE = r"(?i)licen[cs]|spdx|copyleft|public[^0-9a-z]+domain|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 #: Phrases of the contract and their labels.
 BASE = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
 
@@ -109,7 +107,11 @@ NEEDED = {"massachusetts institute of technology": " massachusetts ", "gpl ?v?1(
 #: Score of a detection by priority; phrases of the contract score 1.
 CONFIDENCE = {1: 0.5, 2: 0.7, 3: 0.9, 4: 0.95}
 
-_SPAN = "struct<label:string,priority:int,rule:int,start:int,stop:int>"
+_SPAN = "struct<start:int,stop:int,label:string,priority:int,rule:int>"
+#: Put before a detection in the joined string; no word holds it.
+_MARK = "\x01"
+#: Up to so many detections of a text are compared with one another at once.
+FEW = 64
 
 
 def rules() -> list[tuple[str, str, int, str]]:
@@ -125,18 +127,21 @@ def _gaps(x: Column) -> Column:
 
 
 def _spans(joined: Column, label: Column, priority: Column, number: Column, expression: Column) -> Column:
-    """Places of an expression as word intervals, in order."""
+    """Places of an expression as word intervals, in order.
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["before"]
-        span = F.struct(label.alias("label"), priority.alias("priority"), number.alias("rule"), start.alias("start"), (start + x["inside"]).alias("stop"))
-        return F.struct((start + x["inside"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    A mark goes before each match; the place of a mark among the words, less
+    the marks before it, is where the match starts.
+    """
 
     def walk(found: Column) -> Column:
-        pieces = F.slice(F.split(joined, expression, -1), 1, F.size(found))
-        steps = F.zip_with(pieces, found, lambda p, m: F.struct(_gaps(p).alias("before"), _gaps(m).alias("inside")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-        return F.aggregate(steps, zero, add)["out"]
+        words = F.split(F.regexp_replace(joined, expression, F.lit(f" {_MARK}$0")), F.lit(" "), -1)
+        places = F.filter(F.transform(words, lambda w, i: F.when(w == _MARK, i - 1)), lambda i: i.isNotNull())
+
+        def span(at: Column, k: Column) -> Column:
+            start = at - k
+            return F.struct(start.alias("start"), (start + _gaps(F.get(found, k))).alias("stop"), label.alias("label"), priority.alias("priority"), number.alias("rule"))
+
+        return F.transform(places, span)
 
     return let(F.regexp_extract_all(joined, expression, 0), lambda found: F.when(F.size(found) == 0, F.array().cast(f"array<{_SPAN}>")).otherwise(walk(found)))
 
@@ -154,12 +159,38 @@ def _rule_table() -> Column:
 
 
 def _survivors(spans: Column) -> Column:
+    """Detections that no better one contains, by start.
+
+    What contains a detection starts at most the longest detection's words
+    before it, so of many detections only those near one another are compared.
+    """
+
     def covers(g: Column, h: Column) -> Column:
         wider = (g["stop"] - g["start"]) - (h["stop"] - h["start"])
         better = (g["priority"] > h["priority"]) | ((g["priority"] == h["priority"]) & ((wider > 0) | ((wider == 0) & (g["rule"] < h["rule"]))))
         return (g["start"] <= h["start"]) & (g["stop"] >= h["stop"]) & better
 
-    return F.filter(spans, lambda h: ~F.exists(spans, lambda g: covers(g, h)))
+    def before(s: Column, x: Column) -> Column:
+        """How many of the sorted detections start before x."""
+
+        def halve(acc: Column, _: Column) -> Column:
+            middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+            lower = (acc["low"] < acc["high"]) & (F.get(s, middle)["start"] < x)
+            return F.struct(F.when(lower, middle + 1).otherwise(acc["low"]).alias("low"), F.when(lower, acc["high"]).otherwise(middle).alias("high"))
+
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(s) + 1)).cast("int"))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(s).alias("high")), halve)["low"]
+
+    def near(s: Column, longest: Column, h: Column) -> Column:
+        ends = F.struct(before(s, h["start"] - longest).alias("low"), before(s, h["start"] + 1).alias("high"))
+        return let(ends, lambda e: F.slice(s, e["low"] + 1, e["high"] - e["low"]))
+
+    def many(s: Column) -> Column:
+        longest = F.array_max(F.transform(s, lambda g: g["stop"] - g["start"]))
+        return let(longest, lambda n: F.filter(s, lambda h: ~F.exists(near(s, n, h), lambda g: covers(g, h))))
+
+    few = lambda s: F.filter(s, lambda h: ~F.exists(s, lambda g: covers(g, h)))
+    return let(F.sort_array(spans), lambda s: F.when(F.size(s) <= FEW, few(s)).otherwise(many(s)))
 
 
 def license_column(text: Column) -> Column:
@@ -219,8 +250,8 @@ def _apart(body: str) -> str:
 def sql() -> str:
     """DuckDB SQL of the contract's columns, from the same rules."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    listed = [(label, word, rank, n, _apart(body)) for n, (label, word, rank, body) in enumerate(rules())]
-    listed += [(label, phrase.split()[-1], 5, -1, _apart(phrase)) for label, phrase in BASE]
+    listed = [(label, _needed(word, body), rank, n, _apart(body)) for n, (label, word, rank, body) in enumerate(rules())]
+    listed += [(label, f" {phrase.split()[-1]} ", 5, -1, _apart(phrase)) for label, phrase in BASE]
     values = ",\n".join(f"({quoted(a)}, {quoted(b)}, {c}, {d}, {quoted(e)})" for a, b, c, d, e in listed)
     best = " ".join(f"WHEN best = {k} THEN {v}" for k, v in CONFIDENCE.items())
     number = "lambda x: (length(x) - length(replace(x, ' ', ''))) // 2"
@@ -228,10 +259,10 @@ def sql() -> str:
     return rf"""
 WITH rules(label, word, priority, rule, expression) AS (VALUES {values}),
 t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT rid, doc_id, regexp_matches(text, '{GATE}') AS gate, regexp_extract_all({lower}, '{WORD}') AS ws FROM t),
-j AS (SELECT rid, ' ' || array_to_string(ws, '  ') || ' ' AS joined FROM w WHERE gate),
+w AS (SELECT rid, doc_id, regexp_extract_all({lower}, '{WORD}') AS ws FROM t),
+j AS (SELECT rid, ' ' || array_to_string(ws, '  ') || ' ' AS joined FROM w),
 h AS (SELECT rid, label, priority, rule, list_transform(regexp_extract_all(joined, expression), {number}) AS m, list_transform(string_split_regex(joined, expression), {number}) AS p
-      FROM j JOIN rules ON contains(joined, ' ' || word || ' ')),
+      FROM j JOIN rules ON contains(joined, word)),
 k AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM h WHERE len(m) > 0),
 s AS (SELECT rid, label, priority, rule, CAST(list_sum(p[1:k]) + coalesce(list_sum(m[1:k - 1]), 0) AS BIGINT) AS a, m[k] AS n FROM k),
 f AS (SELECT * FROM s WHERE rule < 0 OR NOT EXISTS (SELECT 1 FROM s g WHERE g.rule >= 0 AND g.rid = s.rid AND g.a <= s.a AND g.a + g.n >= s.a + s.n

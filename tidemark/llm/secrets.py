@@ -214,10 +214,10 @@ WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 ratio(x, y, r) AS (VALUES {values}),
 fx AS (SELECT *, a + length(s) AS z FROM ({spans(0, '(?i)' + assign, f"length(regexp_extract(m[k], '(?i){assign}', 2)) >= 12")}
  UNION ALL {spans(1, ACCESS.pattern, "true")} UNION ALL {spans(2, "[0-9a-f]{16,}", "true")})),
-tk AS (SELECT *, a + length(s) AS z FROM ({spans(3, TOKEN.pattern, "regexp_matches(m[k], '[0-9]') AND NOT regexp_full_match(m[k], '[0-9]+')")})),
+tk AS (SELECT *, a + length(s) AS z FROM ({spans(3, TOKEN.pattern, "NOT regexp_full_match(m[k], '[0-9]+')")})),
 ch AS (SELECT rid, a, z, s, unnest(range(1, length(s) + 1)) AS i FROM tk),
 sc AS (SELECT rid, a, z, sum(r) / max(length(s)) AS score FROM ch JOIN ratio ON ratio.y = s[i] AND ratio.x = CASE WHEN i > 1 THEN s[i - 1] ELSE '' END GROUP BY 1, 2, 3),
-al AS (SELECT rid, kind, a, z FROM fx UNION ALL SELECT rid, 3, a, z FROM sc WHERE score >= {threshold} AND NOT EXISTS (SELECT 1 FROM fx WHERE fx.rid = sc.rid AND fx.a < sc.z AND sc.a < fx.z)),
+al AS (SELECT rid, kind, a, z FROM fx UNION ALL SELECT rid, 3, a, z FROM sc WHERE score >= {threshold} AND NOT EXISTS (SELECT 1 FROM fx WHERE fx.rid = sc.rid AND fx.a <= sc.a AND fx.z >= sc.z)),
 g AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {listed(" FILTER (kind < 3)")} AS base, {listed("")} AS spans FROM al GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (rid)
 """
