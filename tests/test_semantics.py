@@ -18,6 +18,7 @@ from tidemark.operators import patterns as pat
 from tidemark.operators import retrieval as rt
 from tidemark.operators import search as sr
 from tidemark.operators import universe as uni
+from tidemark.streaming import streams as ss
 
 DAY0 = dt.datetime(2021, 1, 4)
 
@@ -263,6 +264,25 @@ def test_slot_is_usable_from_its_end(spark):
     assert (r["bar_start"].hour, r["available_at"].hour, r["available_at"].minute, r["value"]) == (9, 10, 0, 12.0)
 
 
+def test_streamed_slots_leave_when_their_end_is_past(spark, tmp_path):
+    """Three files, one a batch: the last slot is unequal and stays open, a row
+    that comes after its bar has left changes nothing."""
+    at = lambda h, m=0: dt.datetime(2024, 3, 4, h, m)
+    files = [[(1, at(9, 5), 2.0), (2, at(11, 59), 3.0), (3, at(8, 59), 9.0)], [(4, at(12), 5.0), (5, at(15, 30), 6.0)], [(6, at(9, 6), 100.0), (7, at(13), 1.0)]]
+    done = []
+    for rows in files:
+        frame = spark.createDataFrame([("A", *r) for r in rows], "code string, event_id long, ts timestamp_ntz, value double")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+        slots = ss.finished_slots(stream, br.SLOT_EDGES["3h"])
+        run = slots.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        out = spark.read.schema(slots.schema).parquet(str(tmp_path / "out")).collect()
+        done.append([(r["slot"], r["open"], r["close"], r["value"], r["rows"], r["available_at"].hour, r["bar_minutes"]) for r in out])
+    first = (1, 2.0, 3.0, 5.0, 2, 12, 180)
+    assert done == [[], [first], [first]]
+
+
 def test_boundary_midnight_belongs_to_the_earlier_part(spark):
     day = dt.datetime(2024, 3, 4)
     rows = [(day, day + dt.timedelta(1)), (day, day + dt.timedelta(1, 1)), (day + dt.timedelta(1), day + dt.timedelta(1, 5)), (day, None)]

@@ -54,17 +54,29 @@ def _at_minute(day: Column, minute: Column) -> Column:
     return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minute)
 
 
-def aggregate_slots(rows: DataFrame, edges: list[int]) -> DataFrame:
-    """One bar per (code, day, slot), usable from the end of its slot."""
-    r = rows.withColumns({"day": F.to_date("ts"), "slot": slot(c("ts"), edges)}).where("slot is not null")
+def in_slots(rows: DataFrame, edges: list[int]) -> DataFrame:
+    """Rows of the session with the day and slot that they fall in."""
+    return rows.withColumns({"day": F.to_date("ts"), "slot": slot(c("ts"), edges)}).where("slot is not null")
+
+
+def slot_values(rows: DataFrame) -> list[Column]:
+    """What a bar says of its rows; prices that are missing are the value."""
     at = F.struct("ts", "event_id")
     o, h, l, z, v = (c(x) if x in rows.columns else c("value") for x in ("open", "high", "low", "close", "volume"))
-    bars = r.groupBy("code", "day", "slot").agg(
-        F.min_by(o, at).alias("open"), F.max(h).alias("high"), F.min(l).alias("low"), F.max_by(z, at).alias("close"), F.sum(v.cast("decimal(20,4)")).cast("double").alias("volume"), F.sum(c("value").cast("decimal(20,4)")).cast("double").alias("value"), F.count("*").alias("rows")
-    )
+    total = lambda x: F.sum(x.cast("decimal(20,4)")).cast("double")
+    return [F.min_by(o, at).alias("open"), F.max(h).alias("high"), F.min(l).alias("low"), F.max_by(z, at).alias("close"), total(v).alias("volume"), total(c("value")).alias("value"), F.count("*").alias("rows")]
+
+
+def slot_bounds(edges: list[int]) -> dict[str, Column]:
+    """Start, end and minutes of the slot of a day."""
     bounds = F.array(*(F.lit(x) for x in edges))
     start, end = F.get(bounds, c("slot") - 1), F.get(bounds, c("slot"))
-    return bars.withColumns({"bar_start": _at_minute(c("day"), start), "available_at": _at_minute(c("day"), end), "bar_minutes": end - start})
+    return {"bar_start": _at_minute(c("day"), start), "available_at": _at_minute(c("day"), end), "bar_minutes": end - start}
+
+
+def aggregate_slots(rows: DataFrame, edges: list[int]) -> DataFrame:
+    """One bar per (code, day, slot), usable from the end of its slot."""
+    return in_slots(rows, edges).groupBy("code", "day", "slot").agg(*slot_values(rows)).withColumns(slot_bounds(edges))
 
 
 def daily_validity(df: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import bars as br
 from tidemark.plans.documents import _VC
+from tidemark.plans.forecasting import _SLOTS
 from tidemark.schema import DOCS_SQL
 from tidemark.streaming import streams as st
 
@@ -19,6 +21,12 @@ def stream_bars(spark, d):
     return st.drain(st.finished_bars(_events(spark, d)), "stream-bars")
 
 
+def stream_slots(spark, d):
+    rows = _events(spark, d).select(c("event_type").alias("code"), "ts", "event_id", "value")
+    bars = st.drain(st.finished_slots(rows, br.SLOT_EDGES["3h"]), "stream-slots")
+    return bars.select("code", c("day").cast("string").alias("day"), "slot", "open", "high", "low", "close", F.round("value", 4).alias("value"), "rows", "bar_start", "available_at", "bar_minutes")
+
+
 def stream_dedup(spark, d):
     return st.drain(st.first_seen(_events(spark, d), ["event_type", "user_id"]), "stream-dedup")
 
@@ -28,10 +36,11 @@ def stream_versions(spark, d):
     return st.drain(st.classify_stream(docs), "stream-versions")
 
 
-QUERIES = {f.__name__: f for f in (stream_bars, stream_dedup, stream_versions)}
+QUERIES = {f.__name__: f for f in (stream_bars, stream_slots, stream_dedup, stream_versions)}
 
 SQL = {
     "stream_bars": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, max(value) AS high, min(value) AS low FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+    "stream_slots": f"WITH {_SLOTS} SELECT * FROM sb WHERE available_at <= (SELECT max(available_at) FROM sb) - INTERVAL 1 HOUR",
     "stream_dedup": "SELECT DISTINCT event_type, user_id, date_trunc('hour', ts) AS hour FROM events",
     "stream_versions": f"WITH {DOCS_SQL}, {_VC} SELECT doc_id, version, hash, kind FROM vc",
 }

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators import bars as br
+
 c = F.col
 
 
@@ -49,6 +51,17 @@ def finished_bars(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return agg.select(c("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "high", "low")
 
 
+def finished_slots(rows: DataFrame, edges: list[int], late: str = "1 hour") -> DataFrame:
+    """Bars of unequal slots. The watermark runs on the ends of slots, so a bar
+    leaves when its slot ended ``late`` or more before the latest one met; rows
+    of it that come after that change nothing.
+    """
+    ends = br.slot_bounds(edges)["available_at"].cast("timestamp")
+    marked = br.in_slots(rows, edges).withColumn("end", ends).withWatermark("end", late)
+    bars = marked.groupBy("end", "code", "day", "slot").agg(*br.slot_values(rows))
+    return bars.drop("end").withColumns(br.slot_bounds(edges))
+
+
 def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Each key once for each hour of event time."""
     marked = timed(events).withWatermark("ts", late).withColumn("hour", F.window("ts", "1 hour").start)
