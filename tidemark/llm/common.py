@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -90,3 +90,23 @@ class Scratch:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(rows: DataFrame, key: list[str], order: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` with ``pos``, their place from 0 among the rows of their key, and ``n``, the key's rows.
+
+    The rows are dealt by ranges of key and order and counted range by range, so
+    a key of any size is spread over tasks. Nulls come first; rows that are equal
+    in key and order stand in any order.
+    """
+    ranges = scratch.table(rows.repartitionByRange(partitions(rows), *key, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    held = ranges.groupBy(*key, "part").agg(F.count("*").alias("held"))
+    whole = Window.partitionBy(*key)
+    before = F.coalesce(F.sum("held").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*(F.col(k).alias(f"{k}_of") for k in key), F.col("part").alias("part_of"), before.alias("before"), F.sum("held").over(whole).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(*key, "part").orderBy(*order)) - 1
+    match = F.col("part") == F.col("part_of")
+    for k in key:
+        match = match & F.col(k).eqNullSafe(F.col(f"{k}_of"))
+    joined = ranges.withColumn("inside", inside).join(held, match)
+    return joined.select(*rows.columns, (F.col("inside") + F.col("before")).alias("pos"), "n")
