@@ -110,3 +110,9 @@ def numbered(rows: DataFrame, key: list[str], order: list[str], scratch: Scratch
         match = match & F.col(k).eqNullSafe(F.col(f"{k}_of"))
     joined = ranges.withColumn("inside", inside).join(held, match)
     return joined.select(*rows.columns, (F.col("inside") + F.col("before")).alias("pos"), "n")
+
+
+def crc32_sql(column: str) -> str:
+    """DuckDB SQL of the crc32 of a number's decimal text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda r, c: xor(r >> 8, list_reduce(list_prepend(xor(r, c) & 255, CAST(range(8) AS BIGINT[])), lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END))))"""

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, numbered
+from tidemark.llm.common import Scratch, crc32_sql, numbered
 
 FAN = 3
 #: Levels that are built in one round; a chunk has FAN ** LEVELS places.
@@ -116,9 +116,6 @@ def verify(manifest: DataFrame) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-#: crc32 of the decimal text of ``doc_id``, bit by bit.
-_CRC = """list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
-    lambda r, c: xor(r >> 8, list_reduce(list_prepend(xor(r, c) & 255, CAST(range(8) AS BIGINT[])), lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)))"""
 _FIELD = "coalesce(CAST(strlen({0}) AS VARCHAR) || ':' || {0}, '-')"
 _LEAF = lambda text: "sha256(" + " || ".join(_FIELD.format(c) for c in ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]) + ")"
 
@@ -127,7 +124,7 @@ SQL = f"""
 WITH RECURSIVE
 d AS (SELECT *, row_number() OVER () AS rid FROM documents),
 h AS (SELECT rid, doc_id, coalesce('=' || source, '') AS tree, {_LEAF("text")} AS leaf,
-        CASE WHEN xor({_CRC}, 4294967295) % 2 = 0 THEN {_LEAF("replace(text, chr(10), '')")} END AS tampered FROM d),
+        CASE WHEN {crc32_sql("doc_id")} % 2 = 0 THEN {_LEAF("replace(text, chr(10), '')")} END AS tampered FROM d),
 p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM h),
 s AS (SELECT tree, 0 AS level, pos, n, leaf AS digest FROM p
   UNION ALL

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, licenses, line_crf, merkle, packing, quality_rules, secrets, substrings, warc
+from tidemark.llm import bpe, chat, licenses, line_crf, merkle, packing, quality_rules, secrets, substrings, tries, warc
 from tidemark.llm.common import table
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.vector_graph import vector_components
@@ -68,6 +68,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.merkle_manifest(table(spark, sf_dir, "documents")))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
@@ -82,8 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc": op10_warc,
         "op11_substring_dedup": op11_substring_dedup,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.sql(), "op5_secret_scan": secrets.sql(), "op8_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL, "op11_substring_dedup": substrings.SQL, "op12_merkle_manifest": merkle.SQL}
+    return {"op4_license_scan": licenses.sql(), "op5_secret_scan": secrets.sql(), "op8_quality_rules": quality_rules.SQL, "op10_warc": warc.SQL, "op11_substring_dedup": substrings.SQL, "op12_merkle_manifest": merkle.SQL, "op13_conversation_trie": tries.SQL}
