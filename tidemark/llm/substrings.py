@@ -5,13 +5,13 @@ hash is the window's anchor, so equal windows have equal anchors at the same
 place, and about one word in seven is an anchor. Documents meet at equal
 anchors. Each occurrence is extended both ways at once, to the farthest words
 that any of its windows holds. Of occurrences with an equal extension the first
-keeps its windows and the others have only repeated ones; that is a minimum,
-taken before the shuffle and after it. Only where one anchor has several
+keeps its windows and the others have only repeated ones; it is found within
+a batch before the shuffle, and after it. Only where one anchor has several
 extensions, at the ends of a passage, are the windows compared one by one.
 Overlapping repeats then add up to maximal ones.
 
-An anchor or a passage that very many documents hold costs one row a document
-and never a pair of them; ranges of (anchor, extension) spread it over tasks.
+A passage that very many documents hold is one row a batch of them, an anchor
+with very many extensions is dealt by extension; there are never pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, partitions
+from tidemark.llm.common import Scratch
 
 #: Words of a window that counts as repeated, and of an anchor.
 LENGTH = 20
@@ -83,46 +83,68 @@ class Words:
         return np.repeat(self.first[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
+_PLACES = ["anchor", "extension", "id", "place", "several"]
+
+
 def _occurrences(length: int, anchor: int):
+    """Anchors with their extensions, of equal ones in a batch the first alone.
+
+    ``several`` is true where the batch holds the anchor with other extensions
+    too; a row without extension then says so to other batches.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.sort_by([("id", "ascending"), ("tie", "ascending")])
+            known = batch.num_rows - batch.column(0).null_count
             anchors, extensions, rows, places = [], [], [], []
-            for row, (text, tie) in enumerate(zip(batch.column(2), batch.column(1).to_pylist())):
-                w = Words(text.as_py(), length, anchor)
+            # Arrow sorts nulls last; here they are the smallest.
+            for row in [*range(known, batch.num_rows), *range(known)]:
+                w = Words(batch.column(2)[row].as_py(), length, anchor)
                 if len(w.anchors):
                     anchors.append(w.grams[w.anchors])
                     extensions.append(w.extensions())
-                    places.append((tie << PLACE_BITS) + w.anchors)
+                    places.append((batch.column(1)[row].as_py() << PLACE_BITS) + w.anchors)
                     rows.append(np.full(len(w.anchors), row))
             if rows:
-                a, e, p = (np.concatenate(x).view(np.int64) for x in (anchors, extensions, places))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(e), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(p)], ["anchor", "extension", "id", "place"])
+                a, e, r, p = (np.concatenate(x) for x in (anchors, extensions, rows, places))
+                order = np.lexsort((e, a))
+                a, e = a[order].view(np.int64), e[order].view(np.int64)
+                first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (e[1:] != e[:-1])])
+                a, e, order = a[first], e[first], order[first]
+                same = a[1:] == a[:-1]
+                several = np.r_[False, same] | np.r_[same, False]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(e), batch.column(0).take(pa.array(r[order])), pa.array(p[order]), pa.array(several)], _PLACES)
+                told = np.unique(a[several])
+                if len(told):
+                    yield pa.RecordBatch.from_arrays([pa.array(told), *(pa.nulls(len(told), t) for t in (pa.int64(), batch.column(0).type, pa.int64())), pa.array(np.ones(len(told), bool))], _PLACES)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of anchor with ``several``: whether a neighbour has the same one.
-
-    The ends of a partition count as shared, as the next one may go on with
-    the anchor; that costs work and changes no result.
-    """
-    held, before = None, None
+def _first_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first of rows with equal anchor and extension, and whether the anchor has several."""
+    held = None
 
-    def give(rows: pa.RecordBatch, after: int | None) -> pa.RecordBatch:
-        a = rows.column(0).to_numpy()
-        same = a[1:] == a[:-1]
-        several = np.r_[before is None or before == a[0], same] | np.r_[same, after is None or after == a[-1]]
-        return pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), pa.array(several)], ["id", "place", "several"])
+    def give(rows: pa.Table) -> pa.RecordBatch:
+        a = rows.column("anchor").to_numpy()
+        e = rows.column("extension").combine_chunks()
+        told, e = e.is_null().to_numpy(zero_copy_only=False), e.fill_null(0).to_numpy()
+        runs = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        new = np.r_[True, (a[1:] != a[:-1]) | (e[1:] != e[:-1]) | (told[1:] != told[:-1])] & ~told
+        several = np.logical_or.reduceat(rows.column("several").to_numpy(), runs) | (np.add.reduceat(new.astype(np.int64), runs) > 1)
+        keep = pa.array(np.flatnonzero(new))
+        return pa.RecordBatch.from_arrays([rows.column(c).take(keep).combine_chunks() for c in ("id", "place")] + [pa.array(np.repeat(several, np.diff(np.r_[runs, len(a)]))[new])], ["id", "place", "several"])
 
     for batch in batches:
-        if batch.num_rows:
-            if held is not None:
-                yield give(held, batch.column(0)[0].as_py())
-                before = held.column(0)[-1].as_py()
-            held = batch
-    if held is not None:
-        yield give(held, None)
+        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        a = table.column("anchor").to_numpy()
+        whole = int(np.searchsorted(a, a[-1])) if len(a) else 0
+        if whole:
+            yield give(table.slice(0, whole))
+        held = table.slice(whole)
+    if held is not None and held.num_rows:
+        yield give(held)
 
 
 def _windows(length: int, anchor: int):
@@ -202,10 +224,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.collect_list(F.when(where, F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))))
 
     mine = F.col("id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("tie_of"))
-    found = source.mapInArrow(_occurrences(length, anchor), f"anchor long, extension long, id {kind}, place long")
-    first = found.groupBy("anchor", "extension").agg(F.min(F.struct("id", "place")).alias("first")).select("anchor", "extension", "first.*")
-    dealt = first.repartitionByRange(partitions(docs), "anchor", "extension").sortWithinPartitions("anchor", "extension").select("anchor", "id", "place")
-    dealt = scratch.table(dealt.mapInArrow(_shared, f"id {kind}, place long, several boolean"), "anchors")
+    found = source.mapInArrow(_occurrences(length, anchor), f"anchor long, extension long, id {kind}, place long, several boolean")
+    # What is known to have several extensions need not meet the others, so no anchor is too much for a task.
+    known = F.col("several") & F.col("extension").isNotNull()
+    dealt = found.repartition(F.when(known, F.xxhash64("anchor", "extension")).otherwise(F.xxhash64("anchor"))).sortWithinPartitions(*_PLACES[:4])
+    dealt = scratch.table(dealt.mapInArrow(_first_ones, f"id {kind}, place long, several boolean"), "anchors")
 
     several = listed(dealt.where("several"), place(F.lit(True)).alias("chosen"))
     windows = source.join(several, mine).select("id", "tie", "t", "chosen").mapInArrow(_windows(length, anchor), f"one long, two long, id {kind}, place long")
