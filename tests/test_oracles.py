@@ -21,7 +21,7 @@ def test_against_sql(spark, con, name):
 
 def test_what_has_no_sql():
     """Each of these has a test of its own below."""
-    assert set(QUERIES) - set(SQL) == {"title_groups", "mmr", "fc_model", "search_grouped"}
+    assert set(QUERIES) - set(SQL) == {"title_groups", "mmr", "fc_model", "fc_bands", "search_grouped"}
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +74,7 @@ def test_model_is_scored_on_every_test_row(spark):
     (r,) = QUERIES["fc_model"](spark, DATA).collect()
     base = {x["split"]: x for x in QUERIES["fc_persistence"](spark, DATA).collect()}["test"]
     assert r["n"] == base["n"]
-    assert 0.6 <= r["coverage"] <= 1 and 0 < r["pinball"] < 3 * base["pinball"]
+    assert 0.6 <= r["coverage"] <= 1 and 0 < r["pinball"] < base["pinball"]
 
 
 def test_entry_has_rows(spark):

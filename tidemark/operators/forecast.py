@@ -6,10 +6,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.boosting import QuantileForest
+
 c = F.col
 QUANTILES = (0.1, 0.5, 0.9)
 LAGS = (1, 3, 7, 14)
@@ -145,45 +147,43 @@ def score(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 class Forecaster:
-    """Boosted centre and direction, corrected on a later part of the data.
-
-    Spark has no quantile loss: the centre is boosted with absolute loss and
-    each quantile is the centre plus that quantile of the residuals of the
-    second part, so the quantiles never cross. They are widened until the outer
-    ones hold as much of the second part as they should; the chance of a rise is
-    a boosted classifier's, made monotone against what happened there. Missing
-    inputs take the median of the first part.
+    """Boosted quantiles and direction, corrected on a later part of the data.
+
+    Each quantile has trees of its own (``boosting.QuantileForest``); where they
+    would cross, a row's are put in order. The outer ones are widened until they
+    hold as much of the second part as they should, and the chance of a rise is
+    a boosted classifier's, made monotone against what happened there. The
+    classifier takes the median of the first part for missing inputs.
     """
 
-    def __init__(self, inputs: list[str], rounds: int = 10) -> None:
+    def __init__(self, inputs: list[str], rounds: int = 16, **trees) -> None:
         self.inputs, self.rounds = inputs, rounds
+        self.forest = QuantileForest(inputs, QUANTILES, rounds, **trees)
 
     def fit(self, train: DataFrame, valid: DataFrame) -> Forecaster:
         known = train.where("y is not null").withColumn("up", (c("y") > 0).cast("double"))
+        self.forest.fit(known)
         counts = known.agg(*(F.count(x).alias(x) for x in self.inputs)).first()
         inputs = [x for x in self.inputs if counts[x]]  # one without any value has no median
         filled = [f"_{x}" for x in inputs]
         prepare = [Imputer(inputCols=inputs, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")]
-        trees = {"featuresCol": "features", "maxIter": self.rounds, "maxDepth": 3, "seed": 7}
-        centre = GBTRegressor(labelCol="y", lossType="absolute", predictionCol="centre", **trees)
-        rise = GBTClassifier(labelCol="up", predictionCol="_up", **trees)
-        self.model = Pipeline(stages=[*prepare, centre, rise]).fit(known)
+        rise = GBTClassifier(featuresCol="features", labelCol="up", predictionCol="_up", maxIter=min(self.rounds, 10), maxDepth=3, seed=7)
+        self.model = Pipeline(stages=[*prepare, rise]).fit(known)
         later = self._raw(valid.where("y is not null")).withColumn("up", (c("y") > 0).cast("double"))
         self.calibrator = IsotonicRegression(featuresCol="p_raw", labelCol="up", predictionCol="p_up").fit(later)
-        residual = c("y") - c("centre")
-        self.residuals = later.agg(*(F.percentile(residual, F.lit(q)).alias(f"q{q:g}") for q in QUANTILES)).first()
-        outside = F.greatest(self.residuals[0] - residual, residual - self.residuals[-1])
+        outside = F.greatest(c("bands")[0] - c("y"), c("y") - c("bands")[len(QUANTILES) - 1])
         share = QUANTILES[-1] - QUANTILES[0]
-        self.widen = max(0.0, later.agg(F.percentile(outside, F.lit(share))).first()[0] or 0.0)
+        self.widen = max(0.0, later.agg(F.percentile_approx(outside, F.lit(share), F.lit(100_000))).first()[0] or 0.0)
         return self
 
     def _raw(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df).withColumn("p_raw", vector_to_array("probability")[1])
+        out = self.model.transform(df.withColumn("bands", self.forest.predict([c(x) for x in self.inputs])))
+        return out.withColumn("p_raw", vector_to_array("probability")[1])
 
     def predict(self, df: DataFrame) -> DataFrame:
         extra = {QUANTILES[0]: -self.widen, QUANTILES[-1]: self.widen}
         out = self.calibrator.transform(self._raw(df))
-        return out.select(*df.columns, "p_up", *((c("centre") + self.residuals[k] + extra.get(q, 0.0)).alias(f"q{q:g}") for k, q in enumerate(QUANTILES)))
+        return out.select(*df.columns, "p_up", *((c("bands")[k] + extra.get(q, 0.0)).alias(f"q{q:g}") for k, q in enumerate(QUANTILES)))
 
 
 def holdout(df: DataFrame, share: float) -> DataFrame:

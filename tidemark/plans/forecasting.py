@@ -146,11 +146,27 @@ def variant_bootstrap(spark, d):
     return fc.paired_bootstrap(daily, 1000).select(*(F.round(x, 6).alias(x) for x in ("p_value", "low", "high")))
 
 
-def fc_model(spark, d):
-    """Boosted centre and direction with intervals, scored on the test part."""
+def _modelled(spark, d):
+    """The test part with forecasts, learnt from the training part and corrected on the validation part."""
     s = fc.time_split(fc.targets(fc.features(_samples(spark, d)), 2), _day(TRAIN), _day(VALID)).cache()
-    model = fc.Forecaster(FEATURES, rounds=3).fit(s.where("split = 'train'"), s.where("split = 'valid'"))
-    return fc.score(model.predict(s.where("split = 'test'")), ["split"])
+    model = fc.Forecaster(FEATURES).fit(s.where("split = 'train'"), s.where("split = 'valid'"))
+    return model.predict(s.where("split = 'test'"))
+
+
+def fc_model(spark, d):
+    """Boosted quantiles and direction, scored on the test part."""
+    return fc.score(_modelled(spark, d), ["split"])
+
+
+def fc_bands(spark, d):
+    """The same by tercile of the week's volatility, beside what standing still would lose."""
+    m = _modelled(spark, d).where("vol35 is not null")
+    cuts = m.agg(F.percentile_approx("vol35", F.array(F.lit(1 / 3), F.lit(2 / 3)), F.lit(10_000)).alias("cut"))
+    m = m.join(F.broadcast(cuts))  # one row
+    tercile = F.when(c("vol35") <= c("cut")[0], 1).when(c("vol35") <= c("cut")[1], 2).otherwise(3)
+    still = sum((fc.pinball(c("y"), F.lit(0.0), q) for q in fc.QUANTILES), F.lit(0.0)) / len(fc.QUANTILES)
+    scored = fc.score(m.withColumn("tercile", tercile), ["tercile"])
+    return scored.join(m.where("y is not null").groupBy(tercile.alias("tercile")).agg(F.avg(still).alias("still"), F.avg(c("`q0.9`") - c("`q0.1`")).alias("width")), "tercile")
 
 
 def forecast_view(spark, d):
@@ -188,7 +204,7 @@ def influence_events(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (bars_slots, bars_confirmed, cumdiff_value, bars_daily_valid, price_basis, fc_targets, fc_features, fc_split, fc_baseline, fc_scores, direction_policy, fc_external, variant_bootstrap, fc_model, forecast_view, influence_weights, influence_events, fc_persistence, fc_holdout, fc_batch, confirmed_days, scalar_rules)
+    for f in (bars_slots, bars_confirmed, cumdiff_value, bars_daily_valid, price_basis, fc_targets, fc_features, fc_split, fc_baseline, fc_scores, direction_policy, fc_external, variant_bootstrap, fc_model, fc_bands, forecast_view, influence_weights, influence_events, fc_persistence, fc_holdout, fc_batch, confirmed_days, scalar_rules)
 }
 
 _M = "(hour(ts) * 60 + minute(ts))"

@@ -8,7 +8,7 @@ from tidemark.operators import documents as dc
 from tidemark.schema import DOCS_SQL, EBARS_SQL, INDEX_SQL, doc_versions, ebars, index_frame, market_of, table
 from tidemark.sources import readers as rd
 from tidemark.sources import sinks as sk
-from tidemark.streaming.streams import shared_path
+from tidemark.sources.sinks import shared_path
 
 c = F.col
 END = "2024-01-20"

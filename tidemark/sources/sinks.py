@@ -16,6 +16,24 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share.
+
+    ``spark.checkpoint.dir`` names it; a session on one machine may go without.
+    """
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = top or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that no later job reads."""
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
 def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame], record: dict) -> None:
     """Write tables and a JSON record beside the place, then move them there.
 

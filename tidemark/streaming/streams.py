@@ -7,7 +7,6 @@ loses nor repeats rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,22 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import bars as br
+from tidemark.sources.sinks import shared_path
 
 c = F.col
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it; a session on one machine may go without.
-    """
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    top = top or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_stream(spark: SparkSession, path: str, files_a_batch: int = 16) -> DataFrame:
     """New files of a path as a stream, with the schema that is there now."""
     # A pattern matches a single file as well as a folder.
