@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +16,9 @@ from tidemark.operators import bars as br
 from tidemark.operators import documents as dc
 from tidemark.operators import forecast as fc
 from tidemark.operators import indicators as ind
+from tidemark.operators import ingest as ing
 from tidemark.operators import patterns as pat
+from tidemark.operators import phrases
 from tidemark.operators import retrieval as rt
 from tidemark.operators import search as sr
 from tidemark.operators import universe as uni
@@ -193,7 +197,7 @@ def test_tokenize(spark):
 def test_folded_texts(spark):
     df = spark.createDataFrame([("ＧＯ② — Café",), ("plain Text",), (None,)], "t string")
     assert [r[0] for r in df.select(rt.folded(F.col("t"))).collect()] == ["go2 caf ", "plain text", ""]
-    assert rt.fold("ＧＯ② — Café") == "go2 caf "
+    assert phrases.fold("ＧＯ② — Café") == "go2 caf "
 
 
 @pytest.mark.parametrize(
@@ -212,13 +216,54 @@ def test_folded_texts(spark):
 )
 def test_query_conditions(spark, query, text, found):
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(rt.matches([rt.folded(F.col("t"))], rt.conditions(query))).first()[0] == found
+    assert df.select(phrases.queries_met(spark, [F.col("t")], {7: query})).first()[0] == ([7] if found else [])
 
 
 def test_conditions_are_not_put_together_from_fields(spark):
     df = spark.createDataFrame([("강", "물", "강물", None)], "a string, b string, c string, d string")
-    got = df.select(rt.matches([F.col("a"), F.col("b")], rt.conditions("강물")), rt.matches([F.col("c"), F.col("d")], rt.conditions("강물"))).first()
-    assert tuple(got) == (False, True)
+    got = df.select(phrases.queries_met(spark, [F.col("a"), F.col("b")], {1: "강물"}), phrases.queries_met(spark, [F.col("c"), F.col("d")], {1: "강물", 2: "물", 3: "불"})).first()
+    assert tuple(got) == ([], [1, 2])
+
+
+def test_many_names_against_each_by_itself(spark):
+    """20,000 names over texts that hold some of them, with endings, gaps and longer words around."""
+    rng = random.Random(8)
+    syllables, letters = "가나다라마바사아자차강산물", "abcde01"
+    word = lambda: "".join(rng.choice(syllables if rng.random() < 0.6 else letters) for _ in range(rng.randint(2, 4)))
+    names = {f"K{k:05d}": " ".join(word() for _ in range(rng.randint(1, 2))) for k in range(20_000)}
+    some = rng.sample(sorted(names), 60)
+    texts = ["".join(rng.choice(["", " ", "-"]) + rng.choice([names[rng.choice(some)], word()]) + rng.choice(["", "의", "에서", "x", "이"]) for _ in range(6)) for _ in range(60)]
+
+    def holds(text, name):
+        """As a pattern over the folded text, one name at a time."""
+        ws = phrases.fold(name).split()
+        gap = lambda w: "".join(a + ("" if not b or (a.isascii() and b.isascii()) else r"\s*") for a, b in zip(w, [*w[1:], ""]))
+        tails = "|".join(phrases.particles(ws[-1]) | set(phrases.NAME_ENDINGS))
+        return re.search(rf"(?<![0-9a-z가-힣]){r'\s*'.join(map(gap, ws))}(?:{tails})?(?![0-9a-z가-힣])", phrases.fold(text)) is not None
+
+    df = spark.createDataFrame([(k, t, []) for k, t in enumerate(texts)], "id long, title string, codes array<string>")
+    found = rt.key_matches(df, names)
+    got = {r["id"]: [x["code"] for x in r["mentions"]] for r in found.collect()}
+    assert sum(map(len, got.values())) > 60
+    for k, text in enumerate(texts):
+        assert [x for x in got.get(k, []) if x in some] == sorted(x for x in some if holds(text, names[x]))
+    few = rt.key_matches(df, {x: names[x] for x in some[:1]})
+    plan = lambda x: len(x._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(found) <= plan(few) + 50
+
+
+def test_titles_take_the_longest_name(spark):
+    df = spark.createDataFrame([("a small ring",), ("ring",), ("bolted",), ("none",), (None,), ("",)], "t string")
+    names = {"r": "ring", "s": "small ring", "b": "bolt", "also": "bolt", "empty": ""}
+    assert [r[0] for r in df.select(ing.classify_title(spark, F.col("t"), names)).collect()] == ["s", "r", "also", None, None, None]
+
+
+def test_request_plan_goes_round(spark):
+    rows = [(" b", 2), ("a ", 1), ("", 3), ("c", 5), ("b", 9), (None, 0)]
+    plan = lambda *args: [tuple(r) for r in ing.request_plan(spark.createDataFrame(rows, "query string, seq int"), *args).orderBy("place").collect()]
+    assert plan(1, 4, 2) == [(0, "b", 1, 1), (1, "c", 1, 1), (2, "a", 1, 1), (3, "b", 101, 1)]
+    assert plan(2, 2, 1) == [(0, "c", 1, 1), (1, "a", 1, 1)]
+    assert plan(0, 9, 0) == []
 
 
 def test_name_mentions(spark):
@@ -298,12 +343,17 @@ def test_pattern_limits():
             pat.parameters("ma_cross", limited=True, **bad)
 
 
-def test_search_space():
+def test_search_space(spark):
     r = sr.Request(("b", "a", "c"), max_hold=(3, 5))
-    sets = sr.pattern_sets(r)
-    assert sets[:3] == [(("a",), "or"), (("b",), "or"), (("c",), "or")] and sets[3:5] == [(("a", "b"), "and"), (("a", "b"), "or")] and len(sets) == 11
-    assert sr.count_candidates(r) == len(sr.candidates(r)) == 22 and sr.candidates(r)[0].id == "c001"
-    assert sr.estimate_seconds(40, keys=30) == 4.0 and sr.estimate_seconds(2) == 5.0
+    grid = sr.Grid(r)
+    ways = list(dict.fromkeys((x.patterns, x.combine) for x in grid))
+    assert ways[:3] == [(("a",), "or"), (("b",), "or"), (("c",), "or")] and ways[3:5] == [(("a", "b"), "and"), (("a", "b"), "or")] and len(ways) == 11
+    assert len(grid) == len({x.id for x in grid}) == 22 and grid[0].id == "c001" and [x.rule.max_hold for x in grid][:3] == [3, 5, 3]
+    wide = sr.Request(("b", "a"), params={"b": {"k": (1, 2), "j": (7, 8)}, "a": {"z": (0.5,)}}, max_hold=(3,), stop_loss=(None, -0.1))
+    assert len({(x.patterns, x.combine, x.params, x.rule) for x in sr.Grid(wide)}) == len(sr.Grid(wide)) == 1 * 2 + 4 * 2 + 2 * 4 * 2
+    assert [dict(dict(x.params)["b"]) for x in sr.Grid(wide) if x.patterns == ("b",)][:3] == [{"j": 7, "k": 1}, {"j": 7, "k": 1}, {"j": 7, "k": 2}]
+    costs = spark.createDataFrame([(40, 30), (2, 3095)], "n int, keys int").select(sr.Cost().seconds(F.col("n"), F.col("keys"))).collect()
+    assert [x[0] for x in costs] == [4.0, 5.0]
     for bad in ({"patterns": ()}, {"combine": ("xor",)}, {"patterns": tuple("abcdefgh")}):
         with pytest.raises(ValueError):
             sr.Request(**({"patterns": ("a",)} | bad))

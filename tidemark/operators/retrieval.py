@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import nfkc
 from tidemark.operators import documents as dc
+from tidemark.operators import phrases
 
 c = F.col
-#: Particles that follow a final consonant, and those that do not.
-AFTER_FINAL, AFTER_VOWEL = ("이", "은", "을", "과"), ("가", "는", "를", "와")
-#: Endings that a name takes whatever its last sound.
-NAME_ENDINGS = ("의", "도", "만", "에서", "에게", "으로", "로", "까지", "부터")
-_WORD = "0-9a-z가-힣"
-_FIRST, _LAST, _FINALS = ord("가"), ord("힣"), 28
 
 
 def folded(text: Column) -> Column:
@@ -26,73 +19,44 @@ def folded(text: Column) -> Column:
     ASCII texts, most of a corpus, need no normal form.
     """
     text = F.coalesce(text, F.lit(""))
-    return F.regexp_replace(F.lower(F.when(text.rlike(r"[^\x00-\x7f]"), nfkc(text)).otherwise(text)), f"[^{_WORD}]+", " ")
-
-
-def fold(text: str) -> str:
-    return re.sub(f"[^{_WORD}]+", " ", unicodedata.normalize("NFKC", text or "").lower())
-
-
-def endings(base: str) -> tuple[str, ...]:
-    """Particles that fit the last sound of a word; none unless it is Hangul."""
-    if not base or not _FIRST <= ord(base[-1]) <= _LAST:
-        return ()
-    return AFTER_FINAL if (ord(base[-1]) - _FIRST) % _FINALS else AFTER_VOWEL
-
-
-def _spaced(word: str) -> str:
-    """A word as a pattern in which Hangul may be set apart, ASCII runs may not."""
-    gaps = ["" if a.isascii() and b.isascii() else r"\s*" for a, b in zip(word, word[1:])]
-    return "".join(re.escape(x) + g for x, g in zip(word, [*gaps, ""]))
+    return F.regexp_replace(F.lower(F.when(text.rlike(r"[^\x00-\x7f]"), nfkc(text)).otherwise(text)), f"[^{phrases.WORD}]+", " ")
 
 
-def conditions(query: str, least: int = 2) -> list[str]:
-    """One pattern per word of a query: as it stands, or, where it ends in a
-    particle that fits, its base as a word of its own with a fitting particle."""
-    out = []
-    for word in fold(query).split():
-        left, right = (r"(?<![0-9a-z])" if word[0].isascii() else ""), (r"(?![0-9a-z])" if word[-1].isascii() else "")
-        forms = [left + _spaced(word) + right]
-        base, fits = word[:-1], endings(word[:-1])
-        if len(base) >= least and word[-1] in fits:
-            forms.append(f"(?<![{_WORD}]){_spaced(base)}(?:{'|'.join(fits)})?(?![{_WORD}])")
-        out.append(f"(?:{'|'.join(forms)})")
-    return out
+def eligible(docs: DataFrame, queries: dict[int, str], id_col: str, fields: list[str]) -> DataFrame:
+    """(query_id, doc_id): documents that meet every word of a query, found in one pass for all queries."""
+    met = phrases.queries_met(docs.sparkSession, [c(f) for f in fields], queries)
+    return docs.select(F.explode(met).alias("query_id"), c(id_col).alias("doc_id"))
 
 
-def matches(fields: list[Column], patterns: list[str]) -> Column:
-    """Whether every pattern is found in one of the folded fields; no pattern
-    matches nothing, and none is put together from two fields."""
-    if not patterns:
-        return F.lit(False)
-    out = F.lit(True)
-    for p in patterns:
-        any_ = F.lit(False)
-        for f in fields:
-            any_ |= F.coalesce(f.rlike(p), F.lit(False))
-        out &= any_
-    return out
-
+def key_matches(docs: DataFrame, names: dict[str, str], codes: str = "codes", fields: tuple[str, ...] = ("title",)) -> DataFrame:
+    """Documents linked to one of the keys, or that mention a name, with both kinds of evidence.
 
-def name_pattern(name: str) -> str | None:
-    """A pattern of a whole name with the endings that it may take."""
-    words = fold(name).split()
-    if not words:
-        return None
-    tails = sorted({*endings(words[-1]), *NAME_ENDINGS}, key=lambda x: (-len(x), x))
-    return rf"(?<![{_WORD}]){r'\s*'.join(_spaced(w) for w in words)}(?:{'|'.join(tails)})?(?![{_WORD}])"
+    ``names`` may be many thousands: one automaton finds them all, and keys and
+    names are looked up in a table by number, so the plan does not grow.
+    """
+    spark, keys = docs.sparkSession, sorted(names)
+    known = [(k, p) for k, key in enumerate(keys) if (p := phrases.name(names[key])) is not None]
+    find = phrases.finder(spark, phrases.Dictionary(known))
+    sent = spark.sparkContext.broadcast({"keys": keys, "names": [names[k] for k in keys], "all": set(keys)})
+
+    @F.pandas_udf("array<struct<code:string,name:string,field:string>>")
+    def evidence(*found: pd.Series) -> pd.Series:
+        told = sent.value
+        return pd.Series([_told(told, fields, row) for row in zip(*found)])
+
+    @F.pandas_udf("array<string>")
+    def linked(given: pd.Series) -> pd.Series:
+        wanted = sent.value["all"]
+        return given.map(lambda xs: sorted({x for x in xs if x in wanted}) if xs is not None else None)
+
+    df = docs.withColumns({"linked": linked(c(codes)), "mentions": evidence(*(find(c(f)) for f in fields))})
+    return df.where((F.size("linked") > 0) | (F.size("mentions") > 0))
 
 
-def key_matches(docs: DataFrame, names: dict[str, str], codes: str = "codes", fields: tuple[str, ...] = ("title",)) -> DataFrame:
-    """Documents linked to one of the keys, or that mention a name, with both kinds of evidence."""
-    wanted = F.array(*(F.lit(k) for k in sorted(names)))
-    mentions = []
-    for key in sorted(names):
-        if (p := name_pattern(names[key])) is not None:
-            mentions += [F.when(folded(c(f)).rlike(p), F.struct(F.lit(key).alias("code"), F.lit(names[key]).alias("name"), F.lit(f).alias("field"))) for f in fields]
-    found = F.array_compact(F.array(*mentions)) if mentions else F.array()
-    df = docs.withColumns({"linked": F.array_sort(F.array_intersect(c(codes), wanted)), "mentions": found})
-    return df.where((F.size("linked") > 0) | (F.size("mentions") > 0))
+def _told(told: dict, fields: tuple[str, ...], row: tuple) -> list[dict]:
+    """Evidence of the names found in each field of a row, by key, then field."""
+    found = sorted((int(n), k) for k, numbers in enumerate(row) for n in numbers)
+    return [{"code": told["keys"][n], "name": told["names"][n], "field": fields[k]} for n, k in found]
 
 
 def search(index: DataFrame, visible: DataFrame, queries: DataFrame, eligible: DataFrame | None, k: int, min_score: float = 0.0, group: float | None = None, candidates: int = 100) -> DataFrame:
@@ -101,7 +65,7 @@ def search(index: DataFrame, visible: DataFrame, queries: DataFrame, eligible: D
     Statistics are those of the visible documents; ``eligible`` (query_id,
     doc_id) is asked after scoring. A query whose best score is not above
     ``min_score`` finds nothing. With ``group`` similar titles stand behind the
-    first of them. ``visible`` has doc_id, version, len and title_tokens.
+    first of them, among the best ``candidates`` hits; later hits are not grouped. ``visible`` has doc_id, version, len and title_tokens.
     """
     scored = dc.bm25(index, visible, queries)
     if eligible is not None:

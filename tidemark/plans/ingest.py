@@ -84,10 +84,9 @@ def coverage_transitions(spark, d):
 
 
 def request_plan(spark, d):
-    """Round-robin requests for the market segments, from the second on."""
-    names = [r[0] for r in table(spark, d, "customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # five names
-    plan, after = ing.request_plan(names, 1, 8, 2)
-    return spark.createDataFrame([(k, q, s, after) for k, (q, s) in enumerate(plan)], "place long, query string, start long, next_cursor long")
+    """Round-robin requests for kinds of orders, from the fourth on, by the first order of each."""
+    asked = table(spark, d, "orders").select(F.concat(F.lit(" "), c("o_orderpriority"), F.lit("/"), (c("o_custkey") % 50).cast("string")).alias("query"), c("o_orderkey").alias("seq"))
+    return ing.request_plan(asked, 3, 300, 2)
 
 
 EVENT_NAMES = {"ring": "ring", "small_ring": "small ring", "bolt": "bolt", "red": "red"}
@@ -95,7 +94,7 @@ EVENT_NAMES = {"ring": "ring", "small_ring": "small ring", "bolt": "bolt", "red"
 
 def title_classes(spark, d):
     p = table(spark, d, "part")
-    return p.groupBy(F.coalesce(ing.classify_title(c("p_name"), EVENT_NAMES), F.lit("none")).alias("class")).agg(F.count("*").alias("n"))
+    return p.groupBy(F.coalesce(ing.classify_title(spark, c("p_name"), EVENT_NAMES), F.lit("none")).alias("class")).agg(F.count("*").alias("n"))
 
 
 def disappeared_keys(spark, d):
@@ -215,8 +214,9 @@ SELECT * FROM v""",
     "cutoff_selection": f"WITH {DOCS_SQL}, l AS (SELECT * FROM docs WHERE available_at <= {_T(AT)} AND first_seen_at <= {_T(AT)} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) = 1), a AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY coalesce(title, '') ORDER BY available_at DESC, doc_id) = 1) SELECT doc_id, version, available_at FROM a ORDER BY available_at DESC, doc_id LIMIT 40",
     "coverage_transitions": """WITH w AS (SELECT event_id AS seq, event_type AS source, CAST(ts AS DATE) AS s, CAST(floor(event_id / 100) AS BIGINT) AS k FROM events WHERE event_id % 100 = 0), x AS (SELECT seq, source, k, s + unnest(range(0, k % 3 + 1))::INT AS day FROM w),
 z AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'gap' WHEN k % 5 = 0 THEN 'partial' WHEN k % 7 = 0 OR day >= DATE '2024-01-20' THEN 'forward' ELSE 'collected' END AS state FROM x) SELECT source, strftime(day, '%Y-%m-%d') AS day, arg_max(state, seq) AS state FROM z GROUP BY 1, 2""",
-    "request_plan": """WITH q AS (SELECT c_mktsegment AS query, row_number() OVER (ORDER BY c_mktsegment) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT c_mktsegment FROM customer)), p AS (SELECT query, page * 100 + 1 AS "start", row_number() OVER (ORDER BY page, (k + n - 1) % n) - 1 AS place, n FROM q, range(2) r(page))
-SELECT place, query, "start", (1 + least(8, n)) % n AS next_cursor FROM p WHERE place < 8""",
+    "request_plan": """WITH q AS (SELECT query, row_number() OVER (ORDER BY seq, query) - 1 AS k, count(*) OVER () AS n FROM (SELECT o_orderpriority || '/' || CAST(o_custkey % 50 AS VARCHAR) AS query, min(o_orderkey) AS seq FROM orders GROUP BY 1)),
+p AS (SELECT query, page * 100 + 1 AS "start", row_number() OVER (ORDER BY page, (k + n - 3 % n) % n) - 1 AS place, n FROM q, range(2) r(page))
+SELECT place, query, "start", (3 + least(count(*) OVER (), n)) % n AS next_cursor FROM p WHERE place < 300""",
     "title_classes": "SELECT CASE WHEN contains(p_name, 'small ring') THEN 'small_ring' WHEN contains(p_name, 'bolt') THEN 'bolt' WHEN contains(p_name, 'ring') THEN 'ring' WHEN contains(p_name, 'red') THEN 'red' ELSE 'none' END AS class, count(*) AS n FROM part GROUP BY 1",
     "disappeared_keys": "SELECT DISTINCT p_partkey FROM part WHERE p_partkey % 17 = 0",
     "collection_hash": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS rows, sha256(string_agg(lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || ':' || md5(o_orderstatus || '|' || o_orderpriority), ',' ORDER BY o_orderkey)) AS hash FROM orders GROUP BY 1",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -39,8 +37,7 @@ def _found(spark, d, group):
     index = dc.postings(docs, "row", "title")
     seen = dc.visible_at(docs, _at()).select(c("row").alias("doc_id"), "version", "title")
     seen = seen.withColumns({"len": F.size(tx.tokenize(c("title"))), "title_tokens": F.array_distinct(tx.tokenize(F.substring_index("title", " ", 4)))})
-    fine = [seen.where(rt.matches([rt.folded(c("title"))], rt.conditions(q))).select(F.lit(k).cast("long").alias("query_id"), "doc_id") for k, q in QUERIES_ASKED.items()]
-    return rt.search(index, seen, _asked(spark), reduce(lambda a, b: a.union(b), fine), K, MIN_SCORE, group)
+    return rt.search(index, seen, _asked(spark), rt.eligible(seen, QUERIES_ASKED, "doc_id", ["title"]), K, MIN_SCORE, group)
 
 
 def search_as_of(spark, d):
@@ -54,8 +51,7 @@ def search_grouped(spark, d):
 
 def complete_conditions(spark, d):
     """Documents whose text has every word of a query as a whole condition."""
-    docs = table(spark, d, "documents").select("doc_id", rt.folded(c("text")).alias("t"))
-    return docs.where(rt.matches([c("t")], rt.conditions("the river"))).select("doc_id")
+    return rt.eligible(table(spark, d, "documents"), {1: "of the"}, "doc_id", ["text"]).select("doc_id")
 
 
 def name_mentions(spark, d):
@@ -151,7 +147,7 @@ _SHORT = "list_distinct(regexp_extract_all(lower(array_to_string(string_split(ti
 
 SQL = {
     "search_as_of": f"WITH {_FOUND} SELECT query_id, rank, rid // 1000 AS doc_id, rid % 1000 AS version, score FROM rk WHERE rank <= {K}",
-    "complete_conditions": f"WITH t AS (SELECT doc_id, {_FOLD('text')} AS f FROM documents) SELECT doc_id FROM t WHERE {_HAS('f', 'the')} AND {_HAS('f', 'river')}",
+    "complete_conditions": f"WITH t AS (SELECT doc_id, {_FOLD('text')} AS f FROM documents) SELECT doc_id FROM t WHERE {_HAS('f', 'of')} AND {_HAS('f', 'the')}",
     "name_mentions": f"""WITH {DOCS_SQL}, {_vis('observed')}, f AS (SELECT *, {_FOLD('title')} AS f FROM vis), m AS (SELECT doc_id, version, CASE WHEN doc_id % 6 = 0 THEN 'K3' ELSE '' END AS linked,
  array_to_string(list_filter([CASE WHEN {_HAS('f', 'and *of')} THEN 'K1' END, CASE WHEN {_HAS('f', 'that')} THEN 'K2' END, CASE WHEN {_HAS('f', 'river')} THEN 'K3' END], lambda x: x IS NOT NULL), ',') AS mentions FROM f)
 SELECT doc_id, version, linked, coalesce(mentions, '') AS mentions FROM m WHERE linked <> '' OR coalesce(mentions, '') <> ''""",

@@ -233,13 +233,17 @@ SEARCH = sr.Request(("ma_cross", "breakout"), stop_loss=(-0.5,), take_profit=(0.
 
 
 def search_grid(spark, d):
-    rows = [(x.id, ",".join(x.patterns), x.combine, ";".join(f"{p}.{k}={v}" for p, ks in x.params for k, v in ks), x.rule.max_hold) for x in sr.candidates(SEARCH)]
-    return spark.createDataFrame(rows, "candidate string, patterns string, combine string, params string, max_hold int")
+    """Every candidate, with what it should take over the keys of the bars."""
+    keys = ebars(spark, d).agg(F.count_distinct("ticker").alias("keys"))
+    grid = sr.Grid(SEARCH).frame(spark).join(F.broadcast(keys))  # one row
+    return grid.select("candidate", "patterns", "combine", "params", "max_hold", sr.Cost().seconds(F.lit(1), c("keys")).alias("seconds"))
 
 
 def search_estimate(spark, d):
-    n = sr.count_candidates(SEARCH)
-    return ebars(spark, d).agg(F.count_distinct("ticker").alias("keys")).select(F.lit(n).alias("candidates"), F.round(n * F.greatest(F.lit(0.1), 2.5 * c("keys") / 3095), 1).alias("seconds"))
+    """What all candidates should take over the keys of the bars."""
+    keys = ebars(spark, d).agg(F.count_distinct("ticker").alias("keys"))
+    grid = sr.Grid(SEARCH).frame(spark).agg(F.count("*").alias("candidates"))
+    return grid.join(F.broadcast(keys)).select("candidates", sr.Cost().seconds(c("candidates"), c("keys")).alias("seconds"))  # one row each
 
 
 def _explore(spark, d):
@@ -247,11 +251,19 @@ def _explore(spark, d):
     return sr.trades_of(bars, sr.candidates(SEARCH), end=SPLIT)
 
 
-def _evaluate(spark, d):
-    """Candidates that met the target, on what came after the split."""
-    after = sr.trades_of(ebars(spark, d), sr.candidates(SEARCH), start=AFTER)
-    met = sr.score(_explore(spark, d), SEARCH, sr.candidates(SEARCH)).where("met").select("candidate")
-    return sr.score(after, SEARCH, sr.candidates(SEARCH)).join(met, "candidate", "left_semi")
+def _explored(spark, d):
+    """Scores of all candidates before the split: at most as many rows as a search may have candidates."""
+    scores = sr.score(_explore(spark, d), SEARCH, sr.candidates(SEARCH))
+    return spark.createDataFrame(scores.collect(), scores.schema)
+
+
+def _evaluate(spark, d, explored):
+    """Candidates that met the target, and no others, on what came after the split."""
+    met = {r["candidate"] for r in explored.where("met").collect()}
+    chosen = [x for x in sr.candidates(SEARCH) if x.id in met]
+    if not chosen:
+        return explored.limit(0)
+    return sr.score(sr.trades_of(ebars(spark, d), chosen, start=AFTER), SEARCH, chosen)
 
 
 def _scored(df):
@@ -263,12 +275,12 @@ def search_candidates(spark, d):
 
 
 def search_forward(spark, d):
-    return _scored(_evaluate(spark, d))
+    return _scored(_evaluate(spark, d, _explored(spark, d)))
 
 
 def search_status(spark, d):
-    explore = sr.score(_explore(spark, d), SEARCH, sr.candidates(SEARCH))
-    return sr.classify(explore, _evaluate(spark, d), SEARCH).select("candidate", "status", "place")
+    explored = _explored(spark, d)
+    return sr.classify(explored, _evaluate(spark, d, explored), SEARCH).select("candidate", "status", "place")
 
 
 def search_fdr(spark, d):
@@ -442,7 +454,7 @@ ps2 AS (SELECT *, CASE WHEN h1_mean IS NOT NULL THEN rank() OVER (ORDER BY h1_me
     "entry_mask": f"WITH {EBARS_SQL}, {_GROUPS}, {_PATTERN_CTES['breakout']} SELECT ticker, date, cap_group FROM gr JOIN (SELECT ticker, date, signal FROM s) s USING (ticker, date) WHERE signal AND {_MASKED}",
     "universe_preview": f"WITH {EBARS_SQL}, {_GROUPS} SELECT count(DISTINCT ticker) AS tickers, count(*) AS ticker_hours, count(DISTINCT date) AS hours, round(count(*) / nullif(count(DISTINCT date), 0), 1) AS average FROM gr WHERE {_MASKED}",
     "truncated": f"""WITH {EBARS_SQL}, b AS (SELECT * FROM ebars WHERE ticker NOT LIKE '%-3' OR date < TIMESTAMP '2024-01-10') SELECT ticker, count(*) FILTER (date <= TIMESTAMP '{SPLIT}') AS bars, max(date) FILTER (date <= TIMESTAMP '{SPLIT}') AS "last", max(date) <= TIMESTAMP '{SPLIT}' AS gone FROM b GROUP BY 1""",
-    "search_grid": f"WITH ca AS ({_CANDIDATES}) SELECT candidate, patterns, combine, coalesce('ma_cross.fast=' || fast, '') AS params, max_hold FROM ca",
+    "search_grid": f"WITH {EBARS_SQL}, ca AS ({_CANDIDATES}) SELECT candidate, patterns, combine, coalesce('ma_cross.fast=' || fast, '') AS params, max_hold, (SELECT round(greatest(0.1, 2.5 * count(DISTINCT ticker) / 3095), 1) FROM ebars) AS seconds FROM ca",
     "search_estimate": f"WITH {EBARS_SQL}, ca AS ({_CANDIDATES}) SELECT (SELECT count(*) FROM ca) AS candidates, round((SELECT count(*) FROM ca) * greatest(0.1, 2.5 * count(DISTINCT ticker) / 3095), 1) AS seconds FROM ebars",
     "search_forward": f"SELECT * FROM ({_FORWARD}) WHERE candidate IN ({_MET})",
     "search_fdr": _search(
