@@ -379,3 +379,34 @@ def test_deleted_newest_version_shows_the_older(spark):
     assert dc.visible_at(docs, F.lit(at + dt.timedelta(1))).first()["version"] == 1
     with pytest.raises(ValueError):
         dc.visible_at(docs, F.lit(at), "other")
+
+
+def test_the_first_reason_of_exclusion_counts(spark):
+    """Rows fail one test after the other; what is unknown counts as said."""
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(k)
+    good = ("common", "M0", "main", False)
+    rows = [("a", day(k), 10.0, *good) for k in range(4)]
+    rows += [("w", day(0), 0.0, "fund", "X", "bad", True), ("k", day(0), 0.0, "fund", "X", "bad", False), ("k", day(1), 0.0, None, "M0", None, None)]
+    rows += [("m", day(0), 0.0, "common", None, "bad", None), ("l", day(0), 0.0, "common", "M0", "bad", None), ("d", day(0), 9.0, *good), ("d", day(1), 9.0, "common", "M0", "bad", False), ("d", day(2), 9.0, "common", "M0", None, False)]
+    df = spark.createDataFrame(rows, "ticker string, date timestamp, value double, kind string, market string, dept string, is_warmup boolean")
+    rules = uni.Rules(2, 5.0, "common", ("M0", "M1"), ("bad",), window=2)
+    got = {(r["ticker"], r["date"]): r["exclude_reason"] for r in uni.with_universe(df, rules).collect()}
+    assert [got["a", day(k)] for k in range(4)] == ["listed_lt_250", None, None, None]
+    assert (got["w", day(0)], got["k", day(0)], got["k", day(1)], got["m", day(0)], got["l", day(0)]) == ("warmup", "not_common_stock", "not_common_stock", "market", "listed_lt_250")
+    assert (got["d", day(1)], got["d", day(2)]) == ("managed_or_warning", None)
+    poor = uni.with_universe(df, uni.Rules(1, 9.5, "common", ("M0",), window=2)).where("ticker in ('a', 'd')").collect()
+    assert {r["exclude_reason"] for r in poor if r["ticker"] == "d"} == {"low_liquidity"} and {r["exclude_reason"] for r in poor if r["ticker"] == "a"} == {"low_liquidity", None}
+
+
+def test_random_entries_keep_off_warm_up_and_beyond_the_period(spark):
+    """Opens outside the allowed rows are wild: one draw of them would show."""
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(k)
+    bars = [("a", day(k), 100.0 if 5 <= k <= 12 else 1e9 * (k + 1), k < 3) for k in range(20)]
+    b = spark.createDataFrame(bars, "ticker string, date timestamp_ntz, open double, is_warmup boolean")
+    index = b.select(F.lit("M").alias("market"), "date", F.lit(1.0).alias("index_open"))
+    trades = spark.createDataFrame([("s", "a", 1, 4, 0.5, False), ("s", "a", 2, 30, 0.1, False)], "strategy string, ticker string, t int, x int, excess_ret double, excluded boolean")
+    run = lambda start, end: an.random_benchmark(trades, b, index, F.lit("M"), 50, 0.0, an.Period(start, end)).first()
+    r = run("2024-01-06 00:00:00", "2024-01-11 00:00:00")
+    assert (r["n"], r["random_mean"], r["percentile"]) == (1, 0.0, 1.0)
+    assert run("2024-01-03 00:00:00", "2024-01-03 00:00:00") is None  # warm-up only
+    assert abs(run(None, None)["random_mean"]) > 1

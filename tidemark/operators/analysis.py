@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,23 +98,40 @@ def holm(df: DataFrame, alpha: float, p: str = "p_value", tie: str = "strategy")
     return df.withColumn("holm_pass", F.every("_ok").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_ok")
 
 
-def random_benchmark(trades: DataFrame, bars: DataFrame, index: DataFrame, market: Column, iterations: int = 1000, cost: float = 0.003, key: str = "strategy") -> DataFrame:
+@dataclass(frozen=True)
+class Period:
+    """Times from which and up to which an entry may lie, both included."""
+
+    start: str | None = None
+    end: str | None = None
+
+    def may_start(self) -> Column:
+        return F.lit(True) if self.start is None else c("date") >= F.lit(self.start).cast("timestamp_ntz")
+
+    def still_in(self) -> Column:
+        return F.lit(True) if self.end is None else c("date") <= F.lit(self.end).cast("timestamp_ntz")
+
+
+def random_benchmark(trades: DataFrame, bars: DataFrame, index: DataFrame, market: Column, iterations: int = 1000, cost: float = 0.003, period: Period = Period(), key: str = "strategy") -> DataFrame:
     """(key, n, actual, random_mean, percentile): mean excess over the market
     against entries at random rows of the same key, held for as many rows.
 
+    An entry lies after the warm-up (is_warmup, if there) and inside the period,
+    and its exit among the rows; a trade for which no row is left is not drawn.
     A draw is a hash of trade and iteration, so any engine gives the same one.
     Draws with an open that is missing or not above zero do not count; half of
     the ties count as below.
     """
     b = bars.withColumn("rn", F.row_number().over(by_key())).withColumn("market", market)
-    opened = F.when(c("open") > 0, c("open"))
-    b = b.join(index.select("market", "date", "index_open"), ["market", "date"], "left").select("ticker", "rn", opened.alias("o"), F.when(c("index_open") > 0, c("index_open")).alias("i"))
-    n = b.groupBy("ticker").agg(F.max("rn").alias("n"))
+    fresh = ~F.coalesce(c("is_warmup"), F.lit(False)) if "is_warmup" in bars.columns else F.lit(True)
+    rows = b.groupBy("ticker").agg(F.max("rn").alias("n"), F.min(F.when(fresh & period.may_start(), c("rn"))).alias("low"), F.max(F.when(period.still_in(), c("rn"))).alias("last"))
+    above = lambda x: F.when(c(x) > 0, c(x))
+    b = b.join(index.select("market", "date", "index_open"), ["market", "date"], "left").select("ticker", "rn", above("open").alias("o"), above("index_open").alias("i"))
     held = F.greatest(c("x") - c("t") - 1, F.lit(1))
     every = included(trades)
-    inc = every.select(key, "ticker", "t", held.alias("h")).join(n, "ticker").where("n > h")
+    inc = every.select(key, "ticker", "t", held.alias("h")).join(rows, "ticker").withColumn("high", F.least(c("n") - c("h"), c("last"))).where("high >= low")
     draws = inc.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    start = 1 + F.floor(uniform("ticker", c("t").cast("string"), c("draw").cast("string")) * (c("n") - c("h")))
+    start = c("low") + F.floor(uniform("ticker", c("t").cast("string"), c("draw").cast("string")) * (c("high") - c("low") + 1))
     draws = draws.select(key, "ticker", "draw", start.cast("int").alias("a"), (start + c("h")).cast("int").alias("z"))
     first, last = (b.select("ticker", c("rn").alias(k), c("o").alias(f"o_{k}"), c("i").alias(f"i_{k}")) for k in "az")
     made = draws.join(first, ["ticker", "a"]).join(last, ["ticker", "z"])
@@ -125,11 +144,11 @@ def random_benchmark(trades: DataFrame, bars: DataFrame, index: DataFrame, marke
     return found.join(inc.groupBy(key).agg(F.count("*").alias("n")), key)
 
 
-def validate(trades: DataFrame, bars: DataFrame, index: DataFrame, market: Column, split: Column, min_trades: int, q: float, iterations: int = 1000, cost: float = 0.003, least: float = 0.95) -> DataFrame:
+def validate(trades: DataFrame, bars: DataFrame, index: DataFrame, market: Column, split: Column, min_trades: int, q: float, iterations: int = 1000, cost: float = 0.003, period: Period = Period(), least: float = 0.95) -> DataFrame:
     """Period split, false-discovery control and random entries, which must all agree."""
     halves = period_split(trades, split, min_trades).select("strategy", "judgement")
     fdr = benjamini_hochberg(with_pvalues(t_statistics(trades)), q).select("strategy", "n", "p_value", "fdr_pass")
-    chance = random_benchmark(trades, bars, index, market, iterations, cost).select("strategy", "percentile")
+    chance = random_benchmark(trades, bars, index, market, iterations, cost, period).select("strategy", "percentile")
     both = fdr.join(halves, "strategy").join(chance, "strategy", "left")
     both = both.withColumns({"split_pass": c("judgement").isin("maintained", "weakened"), "random_pass": F.coalesce(c("percentile") >= least, F.lit(False)), "family": F.count("*").over(Window.partitionBy())})
     return both.withColumn("analysis_target", c("split_pass") & c("fdr_pass") & c("random_pass"))

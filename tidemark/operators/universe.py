@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,15 +17,41 @@ def listed_rows() -> Column:
     return F.row_number().over(by_key())
 
 
-def with_universe(bars: DataFrame, min_listed: int, min_value: float, window: int = 20) -> DataFrame:
-    """Adds listed_days, avg_value, exclude_reason (the first that holds) and eligible."""
-    df = bars.withColumns({"listed_days": listed_rows(), "avg_value": average_value(window)})
-    reason = F.coalesce(
-        F.when(c("close").isNull() | (c("close") <= 0), F.lit("no_price")),
-        F.when(c("volume") <= 0, F.lit("halted")),
-        F.when(c("listed_days") < min_listed, F.lit("newly_listed")),
-        F.when(~F.coalesce(c("avg_value") >= min_value, F.lit(False)), F.lit("low_liquidity")),
-    )
+#: Reasons for exclusion; of several that hold the first is given.
+REASONS = ("warmup", "not_common_stock", "market", "listed_lt_250", "managed_or_warning", "low_liquidity")
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What a row needs to be eligible."""
+
+    min_listed: int
+    min_value: float
+    kind: str
+    markets: tuple[str, ...]
+    excluded_depts: tuple[str, ...] = ()
+    window: int = 20
+
+
+def with_universe(bars: DataFrame, rules: Rules, first_rows: Column | None = None) -> DataFrame:
+    """Adds listed_days, avg_value, exclude_reason (the first that holds) and eligible.
+
+    ``bars`` has ticker, date, value, kind, market and dept, and may have
+    is_warmup. An unknown kind or market is not eligible, nor is a mean value that
+    is unknown; an unknown dept is. ``first_rows`` counts the rows since the
+    listing where that is known better than by the rows at hand.
+    """
+    df = bars.withColumns({"listed_days": listed_rows() if first_rows is None else first_rows, "avg_value": average_value(rules.window)})
+    sure = lambda test: F.coalesce(test, F.lit(False))
+    holds = {
+        "warmup": sure(c("is_warmup")) if "is_warmup" in bars.columns else F.lit(False),
+        "not_common_stock": ~sure(c("kind") == rules.kind),
+        "market": ~sure(c("market").isin(*rules.markets)),
+        "listed_lt_250": sure(c("listed_days") < rules.min_listed),
+        "managed_or_warning": sure(c("dept").isin(*rules.excluded_depts)) if rules.excluded_depts else F.lit(False),
+        "low_liquidity": ~sure(c("avg_value") >= rules.min_value),
+    }
+    reason = F.coalesce(*(F.when(holds[name], F.lit(name)) for name in REASONS))
     return df.withColumn("exclude_reason", reason).withColumn("eligible", c("exclude_reason").isNull())
 
 

@@ -10,7 +10,7 @@ from tidemark.operators import patterns as pat
 from tidemark.operators import universe as uni
 from tidemark.operators.windows import by_key, islands
 from tidemark.schema import DEFAULTS as D
-from tidemark.schema import EBARS_SQL, INDEX_SQL, MARKET_SQL, ebars, index_frame, market_of
+from tidemark.schema import EBARS_SQL, INDEX_SQL, MARKET_SQL, ebars, index_frame, market_of, table
 
 c = F.col
 OVER = "PARTITION BY ticker ORDER BY date"
@@ -82,17 +82,43 @@ def rsi_wilder(spark, d):
     return df.select("ticker", "date", r6(value, "rsi"))
 
 
+#: Which rows are eligible: kinds, boards and departments are those of the part that stands for a key.
+UNIVERSE = uni.Rules(D["min_listed"], 90.0, "common", ("M0", "M1"), ("managed",))
+WARMUP_END = "2024-01-03"
+
+
+def listed_bars(spark, d):
+    """Bars with kind, board and department of their key, and the warm-up marked.
+
+    A key's part is found by its first letter and its group; keys of group 3
+    whose part is large are on no board.
+    """
+    part = table(spark, d, "part").select(
+        c("p_partkey").alias("part"),
+        F.when(c("p_type") == "SMALL", "preferred").otherwise("common").alias("kind"),
+        F.when(c("p_size") % 5 == 0, "managed").when(c("p_size") % 5 == 1, None).otherwise("main").alias("dept"),
+        c("p_size"),
+    )
+    group = F.substring_index("ticker", "-", -1).cast("int")
+    b = ebars(spark, d).withColumns({"part": ((F.ascii("ticker") * 4 + group) % 100).cast("long"), "is_warmup": c("date") < F.lit(WARMUP_END).cast("timestamp_ntz")})
+    b = b.join(part, "part", "left").withColumn("market", F.when((group == 3) & (c("p_size") > 20), F.lit(None)).otherwise(market_of("ticker")))
+    return b.drop("part", "p_size")
+
+
+def universe(spark, d):
+    return uni.with_universe(listed_bars(spark, d), UNIVERSE)
+
+
 def universe_reason(spark, d):
-    return uni.with_universe(ebars(spark, d), D["min_listed"], D["min_value"]).select("ticker", "date", "listed_days", r6(c("avg_value"), "avg_value"), "exclude_reason", "eligible")
+    return universe(spark, d).select("ticker", "date", "listed_days", r6(c("avg_value"), "avg_value"), "exclude_reason", "eligible")
 
 
 def exclusion_summary(spark, d):
-    u = uni.with_universe(ebars(spark, d), D["min_listed"], D["min_value"])
-    return u.groupBy(F.coalesce("exclude_reason", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("rows"))
+    return universe(spark, d).groupBy(F.coalesce("exclude_reason", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("rows"))
 
 
 def groups(spark, d):
-    u = uni.with_universe(ebars(spark, d), D["min_listed"], D["min_value"]).withColumn("market", market_of("ticker")).where("listed_days >= 20")
+    u = universe(spark, d).where("listed_days >= 20").withColumn("market", market_of("ticker"))
     cap, liq = (uni.split_labels(x, ["date", "market"]) for x in ("value", "avg_value"))
     return u.select("ticker", "date", "market", cap.alias("cap_group"), liq.alias("liq_group"))
 
@@ -207,9 +233,13 @@ def _regime_case(close, ma, before, band):
     return f"CASE WHEN {close} IS NOT NULL AND {ma} IS NOT NULL AND {before} IS NOT NULL THEN CASE WHEN {close} > {ma} AND {ma} / nullif({before}, 0) - 1 > {band} THEN 'bull' WHEN {close} < {ma} AND {ma} / nullif({before}, 0) - 1 < -{band} THEN 'bear' ELSE 'sideways' END END"
 
 
-_UNI = f"""u0 AS (SELECT *, row_number() OVER ({OVER}) AS listed_days, {s_mean('coalesce(value, 0.0)', 20)} AS avg_value FROM ebars),
-u AS (SELECT *, CASE WHEN close IS NULL OR close <= 0 THEN 'no_price' WHEN volume <= 0 THEN 'halted' WHEN listed_days < {D['min_listed']} THEN 'newly_listed'
-  WHEN NOT coalesce(avg_value >= {D['min_value']}, false) THEN 'low_liquidity' END AS exclude_reason FROM u0)"""
+_UNI = f"""pt AS (SELECT p_partkey AS part, CASE WHEN p_type = 'SMALL' THEN 'preferred' ELSE 'common' END AS kind, CASE p_size % 5 WHEN 0 THEN 'managed' WHEN 1 THEN NULL ELSE 'main' END AS dept, p_size FROM part),
+lb AS (SELECT b.*, kind, dept, date < TIMESTAMP '{WARMUP_END}' AS is_warmup, CASE WHEN ticker LIKE '%-3' AND p_size > 20 THEN NULL ELSE {MARKET_SQL} END AS board
+  FROM ebars b LEFT JOIN pt ON part = (ascii(ticker) * 4 + CAST(split_part(ticker, '-', 2) AS INT)) % 100),
+u0 AS (SELECT *, row_number() OVER ({OVER}) AS listed_days, {s_mean('coalesce(value, 0.0)', 20)} AS avg_value FROM lb),
+u AS (SELECT * EXCLUDE (kind, dept, is_warmup, board), CASE WHEN is_warmup THEN 'warmup' WHEN kind IS DISTINCT FROM 'common' THEN 'not_common_stock' WHEN board IS NULL OR board NOT IN ('M0', 'M1') THEN 'market'
+  WHEN listed_days < {UNIVERSE.min_listed} THEN 'listed_lt_250' WHEN dept = 'managed' THEN 'managed_or_warning' WHEN NOT coalesce(avg_value >= {UNIVERSE.min_value}, false) THEN 'low_liquidity' END AS exclude_reason
+  FROM u0)"""
 _REG = f"g0 AS (SELECT *, {s_mean('close', D['regime_ma'])} AS ma FROM ebars), g1 AS (SELECT *, {s_lag('ma', D['regime_slope'])} AS mb FROM g0), g AS (SELECT *, {_regime_case('close', 'ma', 'mb', D['regime_band'])} AS regime FROM g1)"
 _M_OVER = lambda x: x.replace("PARTITION BY ticker", "PARTITION BY market")
 _MREG = f"{INDEX_SQL}, h0 AS (SELECT *, {_M_OVER(s_mean('index_close', D['regime_ma']))} AS ma FROM idx), h1 AS (SELECT *, {_M_OVER(s_lag('ma', D['regime_slope']))} AS mb FROM h0), h AS (SELECT market, date, {_regime_case('index_close', 'ma', 'mb', D['regime_band'])} AS market_regime FROM h1)"

@@ -13,8 +13,7 @@ from tidemark.operators import search as sr
 from tidemark.operators import universe as uni
 from tidemark.operators.windows import rolling_mean
 from tidemark.plans.market import MILD, _PATTERN_CTES, market_regime, s_mean, stock_regime
-from tidemark.plans.market import _MREG, _REG, _UNI, OVER, _split
-from tidemark.schema import DEFAULTS as D
+from tidemark.plans.market import _MREG, _REG, _UNI, OVER, _split, universe
 from tidemark.schema import EBARS_SQL, INDEX_SQL, MARKET_SQL, ebars, index_frame, market_of
 
 c = F.col
@@ -140,9 +139,18 @@ def t_stat(spark, d):
     return an.t_statistics(_by_strategy(spark, d)).select("strategy", "n", F.round("t", 6).alias("t"))
 
 
+#: The days on which random entries may fall, and the end of the warm-up before them.
+PERIOD = an.Period("2024-01-04 00:00:00", "2024-01-29 12:00:00")
+WARM = "2024-01-05 06:00:00"
+
+
+def _drawn_bars(bars):
+    return bars.withColumn("is_warmup", c("date") < F.lit(WARM).cast("timestamp_ntz"))
+
+
 def validation(spark, d):
     bars = ebars(spark, d)
-    v = an.validate(_by_strategy(spark, d), bars, index_frame(bars), market_of("ticker"), F.lit(SPLIT).cast("timestamp_ntz"), 30, 0.5, DRAWS, RULE.cost)
+    v = an.validate(_by_strategy(spark, d), _drawn_bars(bars), index_frame(bars), market_of("ticker"), F.lit(SPLIT).cast("timestamp_ntz"), 30, 0.5, DRAWS, RULE.cost, PERIOD)
     return v.select("strategy", "n", "judgement", F.round("p_value", 6).alias("p_value"), F.round("percentile", 6).alias("percentile"), "fdr_pass", "split_pass", "random_pass", "family", "analysis_target")
 
 
@@ -163,7 +171,7 @@ def holm(spark, d):
 
 def random_benchmark(spark, d):
     bars = ebars(spark, d)
-    r = an.random_benchmark(_rich(spark, d).withColumn("strategy", F.lit("ma_cross")), bars, index_frame(bars), market_of("ticker"), DRAWS, RULE.cost)
+    r = an.random_benchmark(_rich(spark, d).withColumn("strategy", F.lit("ma_cross")), _drawn_bars(bars), index_frame(bars), market_of("ticker"), DRAWS, RULE.cost, PERIOD)
     return r.select("strategy", "n", *(F.round(x, 6).alias(x) for x in ("actual", "random_mean", "percentile")))
 
 
@@ -176,16 +184,16 @@ def trade_log(spark, d):
 
 
 def _groups(spark, d):
-    u = uni.with_universe(ebars(spark, d), D["min_listed"], D["min_value"]).withColumn("market", market_of("ticker"))
+    u = universe(spark, d).withColumn("market", market_of("ticker"))
     return u.withColumn("cap_group", uni.split_labels("value", ["date", "market"])).withColumn("liq_group", uni.split_labels("avg_value", ["date", "market"]))
 
 
-MASK = {"start": "2024-01-08 00:00:00", "end": "2024-01-26 00:00:00", "markets": ["M0"], "min_avg_value": 120.0, "cap_groups": ["large", "mid"]}
+MASK = {"start": "2024-01-06 00:00:00", "end": "2024-01-28 00:00:00", "markets": ["M0"], "min_avg_value": 95.0, "cap_groups": ["large", "mid"]}
 
 
 def entry_mask(spark, d):
     """Signals that may open a position under a strategy's input filters."""
-    bars = pat.with_signal(_groups(spark, d), "breakout")
+    bars = pat.with_signal(_groups(spark, d), "ma_cross")
     return bars.where(bt.entry_candidates(bars, **MASK)).select("ticker", "date", "cap_group")
 
 
@@ -401,10 +409,11 @@ _FORWARD = _search("SELECT candidate, trades, round(win_rate, 6) AS win_rate, me
 _T_TAIL = lambda t, n: f"""CASE WHEN {t} IS NULL THEN NULL ELSE 0.5 - sign({t}) / 2 * (CASE WHEN {n} % 2 = 0 THEN sin(atan(abs({t}) / sqrt({n}))) * (1 + coalesce(list_sum(list_transform(range(1, CAST({n} / 2 AS INT)), lambda j: pow(cos(atan(abs({t}) / sqrt({n}))), 2 * j) * exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()))), 0))
  ELSE 2 / pi() * (atan(abs({t}) / sqrt({n})) + CASE WHEN {n} = 1 THEN 0 ELSE sin(atan(abs({t}) / sqrt({n}))) * (cos(atan(abs({t}) / sqrt({n}))) + coalesce(list_sum(list_transform(range(1, CAST(({n} - 1) / 2 AS INT)), lambda j: pow(cos(atan(abs({t}) / sqrt({n}))), 2 * j + 1) * sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)))), 0)) END) END) END"""
 _GROUPS = f"{_UNI}, w AS (SELECT *, {MARKET_SQL} AS market FROM u), gr AS (SELECT *, {_split('value')} AS cap_group, {_split('avg_value')} AS liq_group FROM w)"
-_MASKED = f"coalesce(exclude_reason IS NULL AND market = 'M0' AND date BETWEEN TIMESTAMP '{MASK['start']}' AND TIMESTAMP '{MASK['end']}' AND avg_value >= 120 AND cap_group IN ('large', 'mid'), false)"
+_MASKED = f"coalesce(exclude_reason IS NULL AND market = 'M0' AND date BETWEEN TIMESTAMP '{MASK['start']}' AND TIMESTAMP '{MASK['end']}' AND avg_value >= {MASK['min_avg_value']} AND cap_group IN ('large', 'mid'), false)"
 _DRAWN = f"""bn AS (SELECT b.ticker, row_number() OVER (PARTITION BY b.ticker ORDER BY b.date) AS rn, CASE WHEN open > 0 THEN open END AS o, CASE WHEN index_open > 0 THEN index_open END AS i FROM ebars b LEFT JOIN idx ON idx.date = b.date AND idx.market = {MARKET_SQL}),
-rb AS (SELECT q.strategy, q.ticker, t, greatest(x - t - 1, 1) AS h, m.n FROM incl q JOIN (SELECT ticker, count(*) AS n FROM ebars GROUP BY 1) m ON m.ticker = q.ticker WHERE m.n > greatest(x - t - 1, 1)),
-rd AS (SELECT strategy, ticker, draw, h, CAST(1 + floor(CAST(('0x' || substr(md5(ticker || '|' || CAST(t AS VARCHAR) || '|' || CAST(draw AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 * (n - h)) AS INT) AS a FROM rb, range({DRAWS}) it(draw)),
+mm AS (SELECT ticker, count(*) AS nn, count(*) FILTER (date < TIMESTAMP '{PERIOD.start}' OR date < TIMESTAMP '{WARM}') + 1 AS lo, count(*) FILTER (date <= TIMESTAMP '{PERIOD.end}') AS li FROM ebars GROUP BY 1),
+rb AS (SELECT q.strategy, q.ticker, t, greatest(x - t - 1, 1) AS h, lo, least(nn - greatest(x - t - 1, 1), li) AS hi FROM incl q JOIN mm USING (ticker) WHERE least(nn - greatest(x - t - 1, 1), li) >= lo),
+rd AS (SELECT strategy, ticker, draw, h, CAST(lo + floor(CAST(('0x' || substr(md5(ticker || '|' || CAST(t AS VARCHAR) || '|' || CAST(draw AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 * (hi - lo + 1)) AS INT) AS a FROM rb, range({DRAWS}) it(draw)),
 mns AS (SELECT strategy, draw, CAST(sum(CAST(round(z.o / p.o - 1 - {RULE.cost} - (z.i / p.i - 1), 9) AS DECIMAL(18,9))) AS DOUBLE) / count(z.o / p.o - z.i / p.i) AS mean FROM rd JOIN bn p ON p.ticker = rd.ticker AND p.rn = rd.a JOIN bn z ON z.ticker = rd.ticker AND z.rn = rd.a + rd.h GROUP BY 1, 2),
 act AS (SELECT strategy, CAST(sum(CAST(round(excess_ret, 9) AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS actual FROM incl GROUP BY 1),
 rbm AS (SELECT m.strategy, max(a.actual) AS actual, avg(m.mean) AS random_mean, avg(CASE WHEN m.mean < a.actual THEN 1.0 WHEN m.mean = a.actual THEN 0.5 ELSE 0.0 END) AS percentile FROM mns m JOIN act a USING (strategy) GROUP BY 1),
@@ -451,7 +460,7 @@ ps2 AS (SELECT *, CASE WHEN h1_mean IS NOT NULL THEN rank() OVER (ORDER BY h1_me
         ", ".join([_SPLITS, _TS.format(key="strategy", source="incl"), _BH("tp", 0.5), _DRAWN]),
     ),
     "trade_log": f"WITH RECURSIVE {EBARS_SQL}, {_GROUPS}, {_PATTERN_CTES['ma_cross']}, sg AS (SELECT s.ticker, s.date, signal AND exclude_reason IS NULL AS signal FROM s JOIN gr USING (ticker, date)), {_sim(RULE, 'sg')} SELECT tr.ticker, signal_date, entry_date, exit_signal_date, exit_date, market, cap_group, liq_group, round(net_ret, 6) AS net_ret FROM tr JOIN gr ON gr.ticker = tr.ticker AND gr.date = tr.signal_date",
-    "entry_mask": f"WITH {EBARS_SQL}, {_GROUPS}, {_PATTERN_CTES['breakout']} SELECT ticker, date, cap_group FROM gr JOIN (SELECT ticker, date, signal FROM s) s USING (ticker, date) WHERE signal AND {_MASKED}",
+    "entry_mask": f"WITH {EBARS_SQL}, {_GROUPS}, {_PATTERN_CTES['ma_cross']} SELECT ticker, date, cap_group FROM gr JOIN (SELECT ticker, date, signal FROM s) s USING (ticker, date) WHERE signal AND {_MASKED}",
     "universe_preview": f"WITH {EBARS_SQL}, {_GROUPS} SELECT count(DISTINCT ticker) AS tickers, count(*) AS ticker_hours, count(DISTINCT date) AS hours, round(count(*) / nullif(count(DISTINCT date), 0), 1) AS average FROM gr WHERE {_MASKED}",
     "truncated": f"""WITH {EBARS_SQL}, b AS (SELECT * FROM ebars WHERE ticker NOT LIKE '%-3' OR date < TIMESTAMP '2024-01-10') SELECT ticker, count(*) FILTER (date <= TIMESTAMP '{SPLIT}') AS bars, max(date) FILTER (date <= TIMESTAMP '{SPLIT}') AS "last", max(date) <= TIMESTAMP '{SPLIT}' AS gone FROM b GROUP BY 1""",
     "search_grid": f"WITH {EBARS_SQL}, ca AS ({_CANDIDATES}) SELECT candidate, patterns, combine, coalesce('ma_cross.fast=' || fast, '') AS params, max_hold, (SELECT round(greatest(0.1, 2.5 * count(DISTINCT ticker) / 3095), 1) FROM ebars) AS seconds FROM ca",
