@@ -34,6 +34,48 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """A small JSON file, or None where there is none."""
+    fs, where = _fs(spark, path)
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+
+
+def write_json_once(spark: SparkSession, path: str, value: dict) -> bool:
+    """Create a small JSON file whole; false, and nothing changed, if it is there.
+
+    The text goes to a name of its own first; the rename takes the place only if
+    it is free, so of two writers one gets it.
+    """
+    fs, where = _fs(spark, path)
+    aside = where.suffix(f".{uuid.uuid4().hex}.tmp")
+    stream = fs.create(aside, False)
+    stream.write(json.dumps(value, sort_keys=True, ensure_ascii=False).encode())
+    stream.close()
+    try:
+        return not fs.exists(where) and _renamed(fs, spark, aside, where)
+    finally:
+        fs.delete(aside, False)
+
+
+def _renamed(fs, spark: SparkSession, source, target) -> bool:
+    """Rename without replacing; false if the target came to be meanwhile."""
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(source, target, none)
+    except Exception as error:
+        if "FileAlreadyExists" in str(error):
+            return False
+        raise
+    return True
+
+
 def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame], record: dict) -> None:
     """Write tables and a JSON record beside the place, then move them there.
 
