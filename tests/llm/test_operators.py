@@ -27,6 +27,7 @@ LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 LONG = "Lorem ipsum dolor sit amet, word{} under the MIT license. " * 3000
 SCHEMA = "doc_id long, text string, lang string, id string, t string, fp long, key int, spans string, n long, n_words string"
 RANKS = tok.path("byte_bpe_multi_50k.tiktoken")
+TOKENS = lambda: chat.token_counter(RANKS, tok.PATTERN)
 
 
 @pytest.fixture(scope="module")
@@ -434,12 +435,12 @@ def test_chat_is_read_back(spark):
     convs = {c: [("system", say())] * (c % 2) + [(rng.choice(["user", "assistant"]), say() * 40) for _ in range(rng.randint(0, 150))] for c in range(6)}
     rows = [(c, k, r, t, 0, "x") for c, ts in convs.items() for k, (r, t) in enumerate(ts)] + [(99, None, None, None, 0, "x"), (None, 0, "user", "u", 0, "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int, window string")
-    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df, TOKENS())).collect()}
     for c, ts in convs.items():
         if ts:
             assert (got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == chat.digest(ts)
     assert got[99]["n_turns"] == 1 and got[None]["n_turns"] == 1
-    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+    assert chat.read_back(chat.format_conversations(df.limit(0), TOKENS())).count() == 0
 
 
 @pytest.mark.parametrize("together", [1, 7, 64])
@@ -447,17 +448,19 @@ def test_windows_keep_their_budget(spark, monkeypatch, together):
     """Windows end where the sums say, however the summing is dealt out."""
     monkeypatch.setattr(chat, "TOGETHER", together)
     rng = random.Random(6)
-    convs = {c: [("system", "s" * 40)] * (c % 2) + [(rng.choice(["user", "assistant"]), "t" * rng.choice([9, 90, 900, 5000])) for _ in range(100)] for c in range(4)} | {50: [("system", "only")]}
+    scripts = ["plain words of text ", "strauße über élan ", "바다와 강물은 깊다 ", "日本語の文字", "\U0001f600\u0301", "a1b2c3 ### </turn> \\ "]
+    say = lambda: "".join(rng.choice(scripts) for _ in range(rng.choice([1, 3, 20, 200])))
+    convs = {c: [("system", "s" * 40)] * (c % 2) + [(rng.choice(["user", "assistant"]), say()) for _ in range(100)] for c in range(4)} | {50: [("system", "only")]}
     rows = [(c, k, r, t) for c, ts in convs.items() for k, (r, t) in enumerate(ts)]
-    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=600, history=100)
-    size = lambda t: -(-len(t.encode()) // 4) + 8
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOKENS(), budget=600, history=100)
+    real = tiktoken.Encoding("x", pat_str=tok.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     shown = collections.defaultdict(list)
     for r in out.orderBy("conv_id", "window").collect():
         turns = chat.parse_window(r["text"])
         own = [(x, t) for x, t, again in turns if not again]
         shown[r["conv_id"]] += own
         assert len([x for x, _, _ in turns if x == "system"]) == r["conv_id"] % 2 or r["conv_id"] == 50
-        assert sum(size(t) for _, t, _ in turns) <= 600 or len([x for x, _ in own if x != "system"]) == 1
+        assert len(real.encode_ordinary(r["text"])) <= 600 or len([x for x, _ in own if x != "system"]) == 1
     assert dict(shown) == convs
     assert out.where("conv_id = 0").count() > 10
 
@@ -517,19 +520,44 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
     warc.write_archives(pages, str(tmp_path / "archives"))
     records = warc.read_archives(spark, str(tmp_path / "archives")).collect()
-    answers = {r["capture"] for r in records if r["kind"] == "response"}
+    answers = {r["record"] for r in records if r["kind"] == "response"}
     assert {r["refers_to"] for r in records if r["kind"] == "revisit"} <= answers
     with pytest.raises(ValueError):
-        list(warc.parse_records(io.BytesIO(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n")))
+        list(warc.parse_records(io.BytesIO(b"WARC/1.1\r\nWARC-Type: x\r\nWARC-Record-ID: y\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n")))
 
 
-def test_archives_of_others(spark, tmp_path):
-    """One gzip member a record, plain files, other record types, no HTTP length."""
+def record(kind, name, block, *more):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_transactions_join_whichever_side_names_the_other(spark, tmp_path):
+    """Several concurrent ids in one record, and a response that names its request."""
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    both = [f"WARC-Concurrent-To: <{x}>" for x in "qa"]
+    made = [record("response", "a", http + b"one"), record("request", "q", b"GET a", "WARC-Concurrent-To: <a>"), record("metadata", "m", b'{"page_id":"4"}', *both)]
+    made += [record("request", "r", b"GET b"), record("response", "b", http + b"two", "WARC-Concurrent-To: <r>", "WARC-Concurrent-To: <n>"), record("metadata", "n", b"{}", "WARC-Concurrent-To: <b>")]
+    (tmp_path / "x.warc").write_bytes(b"".join(made))
+    rows = {r["capture"]: r for r in warc.assemble(warc.read_archives(spark, str(tmp_path))).collect()}
+    assert set(rows) == {"<a>", "<b>"}
+    assert rows["<a>"]["request"]["block"] == "GET a" and rows["<a>"]["page"]["page_id"] == "4"
+    assert rows["<b>"]["request"]["block"] == "GET b" and rows["<b>"]["metadata"]["block"] == "{}"
+
+
+def test_damaged_archives_say_so_and_spare_the_others(spark, tmp_path):
+    whole = record("response", "a", b"HTTP/1.1 200 OK\r\n\r\none") + record("response", "b", b"HTTP/1.1 200 OK\r\n\r\n" + random.Random(1).randbytes(5000))
+    packed = gzip.compress(whole)
+    files = {"good.warc": whole, "short.warc": whole[:-900], "head.warc": whole.replace(b"Content-Length", b"X", 1), "cut.warc.gz": packed[: len(packed) // 2], "bad.warc.gz": packed[:40] + b"\0" * 60 + packed[100:], "noise.warc": b"hello\n", "empty.warc": b""}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    faults = sorted(r["target"].rsplit("/", 1)[1] for r in rows if r["kind"] == "fault")
+    assert faults == ["bad.warc.gz", "cut.warc.gz", "head.warc", "noise.warc", "short.warc"]
+    assert sum(r["record"] == "<b>" for r in rows) == 1 and sum(r["record"] == "<a>" for r in rows) >= 2
 
-    def record(kind, name, block, *more):
-        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *more, f"Content-Length: {len(block)}"]
-        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
+def test_archives_of_others(spark, tmp_path):
+    """One gzip member a record, plain files, other record types, no HTTP length."""
     http = b"HTTP/1.1 200 OK\r\n\r\n"
     made = [record("warcinfo", "i", b"x"), record("response", "a", http + b"one"), record("request", "b", b"GET", "WARC-Concurrent-To: <a>"), record("revisit", "c", http, "WARC-Payload-Digest: sha1:ABC", "WARC-Refers-To: <a>")]
     (tmp_path / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))

@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import encoding
 from tidemark.llm.common import Scratch
 
 #: Turn numbers that are summed together before the sums are added up, so that
@@ -67,23 +69,34 @@ def parse_window(text: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-def token_estimate(text: Column) -> Column:
-    """Tokens of a turn, about: a quarter of its bytes, and the marks."""
-    return F.ceil(F.octet_length(text) / 4) + 8
+def token_counter(ranks_path: str, pattern: str) -> Callable[[Column, Column], Column]:
+    """Tokens of a turn with its marks, by a tokenizer's ranks; never fewer than
+    it takes in a window, also where it is marked as repeated.
+
+    A turn ends in a line end and the next begins with a mark, which is a border
+    of pre-tokens, so the counts of turns add up to that of a window.
+    """
+
+    @F.pandas_udf("long")
+    def count(roles: pd.Series, texts: pd.Series) -> pd.Series:
+        encode = encoding(ranks_path, pattern).encode_ordinary
+        return pd.Series([len(encode(f"{OPEN}{escape(r)}{AGAIN}:\n{escape(t)}{CLOSE}")) for r, t in zip(roles, texts)])
+
+    return count
 
 
 _MASK = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def placed_turns(rows: DataFrame, budget: int, history: int, tokens) -> DataFrame:
+def placed_turns(rows: DataFrame, budget: int, history: int, tokens: Callable[[Column, Column], Column]) -> DataFrame:
     """Every turn with its position in its conversation and the window it is in.
 
     A window is known by ``w``: the stretch of tokens in which the prefix sum
     of a turn ends, and how many large turns there are up to it. Sums run
     within parts of a conversation first, then over the parts.
     """
-    text = F.coalesce("text", F.lit(""))
-    r = rows.select(F.struct("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), tokens(text).cast("long").alias("tokens"))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    r = rows.select(F.struct("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), tokens(role, text).cast("long").alias("tokens"))
     cut = budget // 4
     large = (F.col("tokens") > cut).cast("int")
     r = r.withColumn("part", F.coalesce(F.floor(F.col("turn") / TOGETHER), F.lit(-1)).cast("long"))
@@ -109,10 +122,10 @@ def placed_turns(rows: DataFrame, budget: int, history: int, tokens) -> DataFram
     return t.select("conv", pos.alias("pos"), "role", "text", "tokens", w.alias("w"), F.col("system").isNotNull().alias("has_system"), head.alias("head"))
 
 
-def format_conversations(rows: DataFrame, budget: int = 1024, history: int = 256, history_turns: int = 2, tokens=token_estimate) -> DataFrame:
+def format_conversations(rows: DataFrame, tokens: Callable[[Column, Column], Column], budget: int = 1024, history: int = 256, history_turns: int = 2) -> DataFrame:
     """(conv_id, window, text, mask): the windows of every conversation.
 
-    ``window`` is the position of its first own turn. Rows have conv_id, turn,
+    ``tokens`` counts those of a turn from its role and text. ``window`` is the position of its first own turn. Rows have conv_id, turn,
     role and text; others are not read. Turns stand by turn number, then role,
     then text; repeated rows are turns of their own. Null texts and roles are
     empty; null turn numbers come first; rows with a null conv_id form one

@@ -45,7 +45,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_conversations(rows.union(probe)))
+    tokens = chat.token_counter(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return chat.read_back(chat.format_conversations(rows.union(probe), tokens))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_path, materialize
+from tidemark.llm.common import Scratch, fresh_path, materialize
 
 #: Payloads of fewer bytes are stored each time.
 SMALL = 100
@@ -26,8 +27,6 @@ ROWS_A_FILE = 6_000
 #: Bytes of records, about, that a reading task gives on at once.
 TOGETHER = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
-#: Page fields that the metadata record carries.
-FIELDS = "page_id:string,url:string"
 CRLF = "\r\n"
 
 
@@ -96,7 +95,8 @@ def open_archive(content: bytes) -> BinaryIO:
 
 
 def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record, by Content-Length; headers lower-cased.
+    """(headers, block) of each record, by Content-Length; headers lower-cased,
+    the values of one that is repeated on lines of their own.
 
     A text that looks like a record inside a block is never taken for one, and
     one record is held at a time.
@@ -108,8 +108,10 @@ def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"record {number} does not begin like one")
         headers = {}
         while (line := stream.readline()) not in (b"\r\n", b""):
-            name, _, value = line.decode("utf-8").partition(":")
-            headers[name.strip().lower()] = value.strip()
+            name, _, value = (x.strip() for x in line.decode("utf-8").partition(":"))
+            headers[name.lower()] = f"{headers[name.lower()]}\n{value}" if name.lower() in headers else value
+        if not {"content-length", "warc-type", "warc-record-id"} <= set(headers) or not headers["content-length"].isdigit():
+            raise ValueError(f"record {number} lacks a header")
         size = int(headers["content-length"])
         block = stream.read(size)
         if len(block) < size or stream.read(4) != b"\r\n\r\n":
@@ -117,56 +119,79 @@ def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-RECORD = "kind string, capture string, target string, payload_bytes long, payload_digest string, refers_to string, block string"
+RECORD = "kind string, record string, concurrent array<string>, target string, payload_bytes long, payload_digest string, refers_to string, block string"
+_FAULTS = (ValueError, EOFError, OSError, zlib.error)
+
+
+def _row(headers: dict[str, str], block: bytes, payloads: bool) -> tuple:
+    kind, size, digest = headers["warc-type"], None, None
+    if kind in ("response", "revisit"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+        if kind == "revisit":
+            stated = head.lower().rpartition(b"content-length:")[2].split(b"\r\n")[0].strip()
+            size = int(stated) if stated.isdigit() else None
+            digest = headers.get("warc-payload-digest", "").rpartition(":")[2] or None
+        block = payload if payloads else b""
+    concurrent = [x for x in headers.get("warc-concurrent-to", "").split("\n") if x]
+    return kind, headers["warc-record-id"], concurrent, headers.get("warc-target-uri"), size, digest, headers.get("warc-refers-to"), block.decode("utf-8", "replace")
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per record of the archives under ``path``.
 
     Archives of others read the same: each record may be a gzip member of its
-    own, and ``.warc`` files are plain. ``capture`` is the id of the response
-    that a record belongs to. Size and
+    own, and ``.warc`` files are plain. ``concurrent`` has the ids of all
+    records that this one names as made with it. Size and
     digest of a response are taken from its payload; a revisit, which has
     none, states them in its headers. Without ``payloads`` the block of a
-    response is left out once they are known.
+    response is left out once they are known. A damaged archive gives the
+    records before the damage, then a row of kind "fault" with the file as
+    target and what is wrong as block; other archives are not touched by it.
     """
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
+            for file, content in zip(batch["path"], batch["content"]):
                 rows, held = [], 0
-                for headers, block in parse_records(open_archive(content)):
-                    kind = headers["warc-type"]
-                    capture = headers.get("warc-concurrent-to", headers["warc-record-id"])
-                    size = digest = None
-                    if kind in ("response", "revisit"):
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                        if kind == "revisit":
-                            stated = head.lower().rpartition(b"content-length:")[2].split(b"\r\n")[0].strip()
-                            size = int(stated) if stated.isdigit() else None
-                            digest = headers.get("warc-payload-digest", "").rpartition(":")[2] or None
-                        block = payload if payloads else b""
-                    rows.append((kind, capture, headers.get("warc-target-uri"), size, digest, headers.get("warc-refers-to"), block.decode("utf-8", "replace")))
+                records = parse_records(open_archive(content))
+                while True:
+                    try:
+                        headers, block = next(records)
+                    except StopIteration:
+                        break
+                    except _FAULTS as fault:
+                        rows.append(("fault", None, [], file, None, None, None, f"{type(fault).__name__}: {fault}"))
+                        break
+                    rows.append(_row(headers, block, payloads))
                     held += len(block) + 500
                     if held > TOGETHER:
                         yield pd.DataFrame(rows, columns=names)
                         rows, held = [], 0
                 yield pd.DataFrame(rows, columns=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("path", "content")
     return files.mapInPandas(run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: page, request, response and metadata.
 
-    Captures whose every column repeats share an id; each keeps its row.
+    Requests and metadata join the response that they name as concurrent, or
+    that names them; one that is named both ways counts once. Captures
+    whose every column repeats share an id; each keeps its row.
     """
-    side = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("target", "block")))
-    answer = F.collect_list(F.when(F.col("kind").isin("response", "revisit"), F.struct("kind", "target", "payload_bytes", "payload_digest", "refers_to", "block")))
-    grouped = records.groupBy("capture").agg(side("request").alias("requests"), answer.alias("responses"), side("metadata").alias("notes"))
+    answers = records.where(F.col("kind").isin("response", "revisit"))
+    others = records.where(F.col("kind").isin("request", "metadata"))
+    rest = F.struct("kind", "target", "block").alias("other")
+    naming = others.select(F.explode("concurrent").alias("capture"), "record", rest)
+    named = answers.select(F.col("record").alias("capture"), F.explode("concurrent").alias("record")).join(others.select("record", rest), "record").select("capture", "record", "other")
+    beside = naming.union(named.dropDuplicates(["capture", "record"]).join(naming.select("capture", "record"), ["capture", "record"], "left_anti").select("capture", "record", "other"))
+    whole = answers.select(F.col("record").alias("capture"), F.struct("kind", "target", "payload_bytes", "payload_digest", "refers_to", "block").alias("response"))
+    both = whole.select("capture", "response", F.lit(None).cast(beside.schema["other"].dataType).alias("other")).union(beside.select("capture", F.lit(None).cast(whole.schema["response"].dataType), "other"))
+    side = lambda kind: F.collect_list(F.when(F.col("other.kind") == kind, F.struct("other.target", "other.block")))
+    grouped = both.groupBy("capture").agg(side("request").alias("requests"), F.collect_list("response").alias("responses"), side("metadata").alias("notes"))
     one = grouped.select("capture", F.get("requests", F.lit(0)).alias("request"), F.explode("responses").alias("response"), F.get("notes", F.lit(0)).alias("metadata"))
     page = F.from_json("metadata.block", "page_id string, url string")
     return one.select("capture", page.alias("page"), "request", "response", "metadata")
@@ -175,20 +200,24 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write the pages, read them back: the contract's columns, a row per page.
 
-    Rows with a null id stay, as responses. Empty tables give no row.
+    Rows with a null id stay, as responses. Empty tables give no row. The
+    archives are removed once they are read.
     """
     spark = pages.sparkSession
-    path = fresh_path(spark, "warc")
+    scratch, path = Scratch(spark), fresh_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
-    rows = assemble(read_archives(spark, path, payloads=False))
+    records = scratch.table(read_archives(spark, path, payloads=False), "records")
+    scratch.paths.append(path)
+    rows = assemble(records)
     kind = pages.schema[id_col].dataType
-    return rows.select(
+    out = rows.select(
         F.col("page.page_id").cast(kind).alias(id_col),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
         F.regexp_extract("response.refers_to", r"^<urn:capture:response:(.*)-[0-9a-f]+>$", 1).cast(kind).alias("refers_to"),
     )
+    return scratch.last(out, "captures")
 
 
 #: DuckDB SQL of the contract's columns.
