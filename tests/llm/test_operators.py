@@ -246,6 +246,25 @@ def test_vectors_against_brute_force(spark, monkeypatch, shard, chunk, way):
     assert vector_graph.vector_components(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    """Different vectors under one id link by what they are; the id names what they are in."""
+    rows = [(7, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [0.0, 1.0]), (9, [0.1, 1.0]), (8, [1.0, 0.1]), (3, [-1.0, 0.0]), (3, [-1.0, -1.0]), (5, [-1.0, -0.05])]
+    got = collections.Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_graph.vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == {(7, 1, 7, True): 1, (7, 2, 7, True): 2, (9, 2, 7, False): 1, (8, 1, 7, False): 1, (3, 1, 3, True): 1, (3, 0, 3, True): 1, (5, 1, 3, False): 1}
+
+
+def test_unmeasured_recall_takes_the_exact_way(spark, monkeypatch):
+    """One pair among many vectors that link with nothing: the audit may well miss it."""
+    monkeypatch.setattr(vector_graph, "AUDIT", 4)
+    monkeypatch.setattr(vector_graph, "SHARD", 64)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 24))
+    x[299] = x[17] + 0.05 * rng.normal(size=24)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in vector_graph.vector_components(df).collect()}
+    assert got[299]["component_id"] == 17 and got[17]["n_links"] == 1 and sum(r["n_links"] for r in got.values()) == 2
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(0)
     for steps in (1, 2, 5):

@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch
@@ -297,7 +297,8 @@ def _linked(classes: DataFrame, count: int, least: float, shape: Shape, scratch:
         if recall is None or recall >= AIM:
             break
         shape = replace(shape, overlap=shape.overlap + 2, degree=2 * shape.degree, width=2 * shape.width)
-    if recall is not None and recall < LEAST_RECALL:
+    # Without a link among the audited vectors nothing is known of the others.
+    if (recall is None and count > AUDIT) or (recall is not None and recall < LEAST_RECALL):
         units = scratch.table(_units(_members(classes, centres, shape.overlap, least)), "units")
         found, recall = scratch.table(_search(units, None, least, shape), "found"), 1.0
     return found, recall
@@ -309,8 +310,9 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     Vectors that are null, empty or zero, or hold null or non-finite parts,
     link with nothing. Equal vectors are one class of which all members link;
     vectors of different lengths have no cosine and never link. Repeated rows
-    stay; a row with a null id counts as a link of others but never names a
-    component and is not kept. An empty table gives an empty result; columns
+    stay; rows that repeat an id with other vectors are vectors of their own,
+    which link only by what they are; a row with a null id counts as a link of
+    others but never names a component and is not kept. An empty table gives an empty result; columns
     other than the two are not read. The recall is that of links between
     different vectors: the lowest of all lengths, null where there is no link.
     """
@@ -318,8 +320,11 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     v = F.col(vector_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable(v), v).alias("v"))
     nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("v"), 3)
-    grouped = rows.where("v is not null").groupBy("v").agg(F.coalesce(F.min("id"), nameless).alias("cls"), F.count("*").alias("n"))
-    grouped = scratch.table(grouped, "classes")
+    grouped = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("name"), F.count("*").alias("n"))
+    # An id that stands for different vectors names the first of them; the others are as if without.
+    nth = F.row_number().over(Window.partitionBy(F.coalesce("name", nameless)).orderBy(F.xxhash64("v"), "v"))
+    cls = F.when(F.col("name").isNotNull() & (nth == 1), F.col("name")).otherwise(nameless)
+    grouped = scratch.table(grouped.withColumn("cls", cls), "classes")
     found, recalls = None, []
     for d, count in grouped.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():  # lengths of vectors are few
         links, recall = _linked(grouped.where(F.size("v") == d), count, least, shape, scratch)
@@ -331,9 +336,10 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = connected_components(found, "cls", "root")
     named = grouped.join(links, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left")
-    named = scratch.table(named.select(F.col("v").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "cls").alias("root")), "named")
-    joined = rows.join(named, F.col("v") == F.col("same"), "left")
-    component = F.coalesce(F.when(F.col("root") < NAMELESS, F.col("root")), "id")
+    named = scratch.table(named.select(F.col("v").alias("same"), "name", "cls", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "cls").alias("root")), "named")
+    hidden = named.where(f"cls >= {NAMELESS} and name is not null").groupBy("root").agg(F.min("name").alias("hidden"))
+    joined = rows.join(named.join(hidden, "root", "left"), F.col("v") == F.col("same"), "left")
+    component = F.coalesce(F.least(F.when(F.col("root") < NAMELESS, F.col("root")), F.col("hidden")), "id")
     out = joined.select(
         F.col("id").alias(id_col),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
