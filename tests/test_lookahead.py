@@ -14,6 +14,8 @@ TIMED = ["sma", "rsi_sma", "bollinger", "vwap", "prev_high", "avg_value", "ema",
 def truncated(spark, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("cut"))
     spark.read.parquet(f"{DATA}/events.parquet").where(F.col("ts") < F.lit(CUT).cast("timestamp_ntz")).write.parquet(f"{out}/events.parquet")
+    # What a key is does not change with time.
+    spark.read.parquet(f"{DATA}/part.parquet").write.parquet(f"{out}/part.parquet")
     return out
 
 
