@@ -338,7 +338,9 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     named = grouped.join(links, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left")
     named = scratch.table(named.select(F.col("v").alias("same"), "name", "cls", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "cls").alias("root")), "named")
     hidden = named.where(f"cls >= {NAMELESS} and name is not null").groupBy("root").agg(F.min("name").alias("hidden"))
-    joined = rows.join(named.join(hidden, "root", "left"), F.col("v") == F.col("same"), "left")
+    # Ids that stand for several vectors are the exception; without any, no component meets in one task.
+    named = named.withColumn("hidden", F.lit(None).cast("long")) if hidden.isEmpty() else named.join(hidden, "root", "left")
+    joined = rows.join(named, F.col("v") == F.col("same"), "left")
     component = F.coalesce(F.least(F.when(F.col("root") < NAMELESS, F.col("root")), F.col("hidden")), "id")
     out = joined.select(
         F.col("id").alias(id_col),
