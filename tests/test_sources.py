@@ -94,3 +94,18 @@ def test_feed_items_keep_their_own_fields(spark):
     atom = '<feed><entry><title>c</title><link href="n"/></entry></feed>'
     got = readers.decode_feed(spark.createDataFrame([(rss,), (atom,), ("<other/>",)], "body string")).collect()
     assert sorted((r["title"], r["link"], r["published"]) for r in got) == [("a", None, None), ("b", "m", "e"), ("c", "n", None)]
+
+
+def test_dump_rows_reads_its_layout_and_refuses_others(spark, tmp_path):
+    """Nothing is dropped or cut silently."""
+
+    def read(name, sql):
+        (tmp_path / name).write_text(sql)
+        return [r["values"] for r in readers.dump_rows(spark, str(tmp_path / name), "t").collect()]
+
+    assert read("a.sql", "CREATE;\nINSERT INTO `t` VALUES\n(1,'it''s, so',NULL),\n(2,'NULL',''),\n(3,'a);',5);\nINSERT INTO `u` VALUES (9);\n") == [["1", "it's, so", None], ["2", "NULL", ""], ["3", "a);", "5"]]
+    assert read("b.sql", "INSERT INTO `t` (`k`, `v`) VALUES\n(1,2);\nUNLOCK TABLES;\nINSERT INTO `t` VALUES\n(3,4);\n") == [["1", "2"], ["3", "4"]]
+    odd = ["(1,2),(3,4);\n", "\n(1,'x\ny');\n", "\n(1,'INSERT INTO `t` VALUES');\n", "\n(1,'it\\'s');\n", "\n(1,2),\n(3,4)\n", "\n(1,2),(3,'a\n);\n"]
+    for k, rest in enumerate(odd):
+        with pytest.raises(Exception, match="cannot read this layout"):
+            read(f"odd{k}.sql", f"INSERT INTO `t` VALUES{rest}")

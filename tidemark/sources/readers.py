@@ -147,12 +147,24 @@ def as_of_range(spark: SparkSession, run: str) -> DataFrame:
 def dump_rows(spark: SparkSession, path: str, table: str) -> DataFrame:
     """(values) of the rows that a SQL dump inserts into one table.
 
-    Statements are the records of the scan, so each is read by itself.
+    Statements are the records of the scan, so each is read by itself. It has
+    to have its values one tuple a line, after a line that ends in VALUES, with
+    quotes inside texts doubled; one laid out otherwise (tuples on the first line, line
+    ends or backslashes inside texts, a text that holds INSERT INTO) ends the
+    job with an error, as its rows would come out wrong.
     """
     statements = spark.read.option("lineSep", "INSERT INTO ").text(path).where(c("value").startswith(f"`{table}`"))
-    rows = statements.select(F.explode(F.split("value", "\n")).alias("line")).where(c("line").startswith("("))
+    whole = r"^\((?:[^'\\]|'(?:[^'\\]|'')*')*\)[,;]\s*$"
+    lines = statements.select(F.split("value", "\n").alias("lines"))
+    last = F.array_position(F.transform("lines", lambda x: x.rlike(r";\s*$")), F.lit(True)).cast("int")
+    tuples = F.slice("lines", 2, F.greatest(last - 1, F.lit(0)))
+    header = F.get("lines", F.lit(0))
+    fine = header.rlike(r"^`[^`]+`[^']*\bVALUES\s*$") & (last > 1) & F.forall(tuples, lambda x: x.rlike(whole))
+    refused = F.raise_error(F.concat(F.lit("cannot read this layout of a dump: "), F.substring(header, 1, 80))).cast("array<string>")
+    rows = lines.select(F.explode(F.when(fine, tuples).otherwise(refused)).alias("line"))
     inner = F.regexp_extract("line", r"^\((.*)\)[,;]\s*$", 1)
-    return rows.select(F.transform(F.split(inner, ",(?=(?:[^']*'[^']*')*[^']*$)"), lambda v: F.nullif(F.regexp_replace(v, "^'|'$", ""), F.lit("NULL"))).alias("values"))
+    value = lambda v: F.when(v.startswith("'"), F.replace(F.regexp_replace(v, "^'|'$", ""), F.lit("''"), F.lit("'"))).otherwise(F.nullif(v, F.lit("NULL")))
+    return rows.select(F.transform(F.split(inner, ",(?=(?:[^']*'[^']*')*[^']*$)"), lambda v: value(F.trim(v))).alias("values"))
 
 
 def verified_snapshot(rows: DataFrame, manifest: DataFrame) -> DataFrame:
