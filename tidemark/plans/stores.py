@@ -8,6 +8,7 @@ from tidemark.operators import documents as dc
 from tidemark.schema import DOCS_SQL, EBARS_SQL, INDEX_SQL, doc_versions, ebars, index_frame, market_of, table
 from tidemark.sources import readers as rd
 from tidemark.sources import sinks as sk
+from tidemark.sources.commits import CommitLog, Refused, Revisions
 from tidemark.sources.sinks import shared_path
 
 c = F.col
@@ -160,24 +161,56 @@ def store_predictions(spark, d):
 
 
 def store_coverage(spark, d):
-    """The state of each day rewritten as a whole, read back."""
+    """The state of each day replaced as a whole, read back by number."""
     at = shared_path(spark, "coverage")
     log = table(spark, d, "events").select(c("event_id").alias("seq"), c("event_type").alias("source"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit("Y").alias("corp_cls"), F.when(c("event_id") % 4 == 0, "gap").otherwise("collected").alias("state"), F.lit("r").alias("run_id"), F.lit("t").alias("observed_at"))
-    sk.rewrite(log.where("seq < 200"), f"{at}/coverage")
-    sk.rewrite(log, f"{at}/coverage")
-    s = dc.coverage_state(rd.coverage_log(spark, at), ["source", "day"])
-    return s.groupBy("source").agg(F.count("*").alias("days"), F.count_if(c("state") == "gap").alias("gaps"))
+    store = CommitLog(spark, f"{at}/coverage")
+    store.replace(log.where("seq < 200"))
+    store.replace(log)
+    rolled = []
+    for number in (1, 2):
+        s = dc.coverage_state(rd.coverage_log(spark, at, number), ["source", "day"])
+        rolled.append(s.groupBy("source").agg(F.lit(number).alias("number"), F.count("*").alias("days"), F.count_if(c("state") == "gap").alias("gaps")))
+    return rolled[0].unionByName(rolled[1])
 
 
 def store_revisions(spark, d):
-    """New revisions of a delivery are appended; doing it again adds none."""
-    at = shared_path(spark, "revisions")
-    h = lambda df: df.select("o_orderkey", F.md5(F.concat_ws("|", "o_orderstatus", "o_orderpriority")).alias("hash"))
-    o = table(spark, d, "orders")
-    sk.append_new(h(o), at, ["o_orderkey", "hash"])
-    changed = h(o.withColumn("o_orderstatus", F.when(c("o_orderkey") % 9 == 0, "X").otherwise(c("o_orderstatus"))))
-    first, second = sk.append_new(changed, at, ["o_orderkey", "hash"]), sk.append_new(changed, at, ["o_orderkey", "hash"])
-    return spark.read.parquet(at).agg(F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("keys")).withColumns({"added": F.lit(first).cast("long"), "again": F.lit(second).cast("long")})
+    """Orders delivered, delivered with changes, again, and without some of their
+    keys: two revisions of what changed, nothing for the repetition, a refusal."""
+    store = Revisions(spark, shared_path(spark, "revisions"), ["o_orderkey"])
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    changed = o.withColumn("o_orderstatus", F.when(c("o_orderkey") % 9 == 0, "X").otherwise(c("o_orderstatus")))
+    store.deliver(o)
+    second, third = store.deliver(changed), store.deliver(changed)
+    refused = 0
+    for part, within in (("o_orderkey % 7 <> 0", None), ("o_orderkey % 7 = 0", "o_orderkey % 7 = 0")):
+        try:
+            store.deliver(changed.where(part), within)
+        except Refused:
+            refused += 1
+    return store.current().groupBy("o_orderstatus", "revision").agg(F.count("*").alias("keys"), F.lit(third - second).alias("again"), F.lit(refused).alias("refused"))
+
+
+def store_commits(spark, d):
+    """Two writers start from one snapshot; the one that comes second starts
+    again, and every number still reads as it was."""
+    store = CommitLog(spark, shared_path(spark, "commits"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    store.append(o.where("o_orderkey % 3 = 0"))
+    other = []
+
+    def top_up(old):
+        if not other:
+            other.append(store.append(o.where("o_orderkey % 3 = 1")))
+        return o.join(old, "o_orderkey", "left_anti")
+
+    store.change(top_up)
+    store.compact()
+    reads = [store.read(k).groupBy("o_orderstatus").agg(F.lit(k).alias("number"), F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys")) for k in range(1, store.last() + 1)]
+    out = reads[0]
+    for r in reads[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def store_influence(spark, d):
@@ -207,7 +240,7 @@ def snapshot_faults(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (store_daily_bars, store_raw_daily, store_index, store_sectors, store_optional, store_minutes, manifest_check, store_documents, store_two_phase, store_prepared, store_raw_json, store_feed, store_dump)
-    + (store_predictions, store_coverage, store_revisions, store_influence, snapshot_faults)
+    + (store_predictions, store_coverage, store_revisions, store_commits, store_influence, snapshot_faults)
 }
 
 _PRICES = "pr AS (SELECT CAST(date AS DATE) AS date, ticker, CASE WHEN day(CAST(date AS DATE)) % 6 = 0 THEN NULL ELSE arg_max(open, date) END AS open, arg_max(close, date) AS close FROM ebars GROUP BY CAST(date AS DATE), ticker)"
@@ -227,8 +260,9 @@ SQL = {
     "store_feed": "SELECT n_name AS title, CASE WHEN n_nationkey % 2 = 1 THEN 'a' || n_nationkey WHEN n_nationkey % 3 <> 0 THEN 'u' || n_nationkey END AS link, CASE WHEN n_nationkey % 2 = 1 THEN 'e' END AS published FROM nation UNION ALL SELECT 'two', 'v' || n_nationkey, 'd' FROM nation WHERE n_nationkey % 2 = 0",
     "store_dump": "SELECT n_nationkey AS k, n_name || ', p' AS name, true AS none FROM nation",
     "store_predictions": f"""WITH {EBARS_SQL} SELECT count(*) FILTER (ticker = 'click-1') AS rows, max(round(close, 4)) FILTER (ticker = 'click-1') AS most, min(date) AS "first", max(date) AS "last" FROM ebars""",
-    "store_coverage": "WITH s AS (SELECT event_type AS source, CAST(ts AS DATE) AS day, arg_max(event_id % 4 = 0, event_id) AS gap FROM events GROUP BY 1, 2) SELECT source, count(*) AS days, count(*) FILTER (gap) AS gaps FROM s GROUP BY 1",
-    "store_revisions": "SELECT count(*) + count(*) FILTER (o_orderkey % 9 = 0) AS rows, count(*) AS keys, count(*) FILTER (o_orderkey % 9 = 0) AS added, CAST(0 AS BIGINT) AS again FROM orders",
+    "store_coverage": "WITH s AS (SELECT number, event_type AS source, CAST(ts AS DATE) AS day, arg_max(event_id % 4 = 0, event_id) AS gap FROM events, (VALUES (1), (2)) n(number) WHERE number = 2 OR event_id < 200 GROUP BY 1, 2, 3) SELECT source, number, count(*) AS days, count(*) FILTER (gap) AS gaps FROM s GROUP BY 1, 2",
+    "store_revisions": "SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 9 = 0 AND o_orderstatus <> 'X' THEN 2 ELSE 1 END AS revision, count(*) AS keys, 0 AS again, CASE WHEN (SELECT bool_or(o_orderkey % 7 = 0) FROM orders) THEN 1 ELSE 0 END AS refused FROM orders GROUP BY 1, 2",
+    "store_commits": "SELECT o_orderstatus, number, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders, (VALUES (1), (2), (3), (4)) n(number) WHERE number > 2 OR o_orderkey % 3 < number GROUP BY 1, 2",
     "store_influence": """WITH w AS (SELECT c_mktsegment AS grp, count(*) AS n, round(CAST(sum(CAST(c_acctbal AS DECIMAL(18,4))) AS DOUBLE) / count(*), 4) AS w FROM customer GROUP BY 1), x AS (SELECT grp, round(w - 4400, 4) AS weight, n >= 28 AS sample_ok FROM w)
 SELECT 'm1' AS model, *, row_number() OVER (ORDER BY NOT sample_ok, abs(weight) DESC, grp) AS place FROM x""",
     "snapshot_faults": f"WITH {DOCS_SQL} SELECT DISTINCT source, CASE source WHEN 'system' THEN 'unknown_source' WHEN 'assistant' THEN 'count' ELSE 'hash' END AS fault FROM docs",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.commits import CommitLog
+
 c = F.col
 
 PRICES = "date date, ticker string, open double, high double, low double, close double, volume double, value double"
@@ -128,8 +130,10 @@ def optional(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def coverage_log(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema(COVERAGE).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{store}/coverage")
+def coverage_log(spark: SparkSession, store: str, number: int | None = None) -> DataFrame:
+    """Logged states as of a commit, the newest if none is named."""
+    rows = CommitLog(spark, f"{store}/coverage").read(number)
+    return spark.createDataFrame([], COVERAGE) if rows is None else rows
 
 
 def predictions(spark: SparkSession, run: str, code: str | None = None) -> DataFrame:

@@ -159,32 +159,21 @@ def append_raw(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("compression", "gzip").json(path)
 
 
-def rewrite(df: DataFrame, path: str) -> None:
-    """Replace a small exported table as a whole, by way of a table beside it."""
-    spark = df.sparkSession
-    fs, target = _fs(spark, path)
-    staged = f"{path}.{uuid.uuid4().hex}.tmp"
-    df.write.parquet(staged)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(_fs(spark, staged)[1], target):
-        raise OSError(f"{path} could not be replaced")
-
-
 class Presets:
-    """Named settings as JSON files, changed only from the revision last read."""
+    """Named settings as JSON files, one a revision, changed only from the
+    revision last read: of two writers of one revision the second is refused."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def _file(self, name: str):
-        return _fs(self.spark, f"{self.path}/{hashlib.sha256(name.casefold().encode()).hexdigest()[:16]}.json")
+    def _folder(self, name: str) -> str:
+        return f"{self.path}/{hashlib.sha256(name.casefold().encode()).hexdigest()[:16]}"
 
     def read(self, name: str) -> dict | None:
-        fs, where = self._file(name)
-        if not fs.exists(where):
-            return None
-        return json.loads(self.spark.read.option("wholetext", True).text(where.toString()).first()[0])
+        fs, where = _fs(self.spark, self._folder(name))
+        names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+        newest = max((x for x in names if x.endswith(".json")), default=None)
+        return None if newest is None else read_json(self.spark, f"{self._folder(name)}/{newest}")
 
     def write(self, name: str, settings: dict, revision: int = 0) -> int:
         """Store settings; ``revision`` is the one they were read with, 0 for new."""
@@ -192,12 +181,9 @@ class Presets:
         if not 1 <= len(name) <= 64 or any(unicodedata.category(x) == "Cc" for x in name):
             raise ValueError("a name has 1 to 64 characters and no control characters")
         old = self.read(name)
-        if (old["revision"] if old else 0) != revision:
+        value = {"name": name, "settings": settings, "revision": revision + 1}
+        if (old["revision"] if old else 0) != revision or not write_json_once(self.spark, f"{self._folder(name)}/{revision + 1:08d}.json", value):
             raise ValueError("changed elsewhere; read it again")
-        fs, where = self._file(name)
-        out = fs.create(where, True)
-        out.write(bytearray(json.dumps({"name": name, "settings": settings, "revision": revision + 1}, sort_keys=True).encode()))
-        out.close()
         return revision + 1
 
 
