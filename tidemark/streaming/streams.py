@@ -82,10 +82,11 @@ def classify_stream(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").applyInPandasWithState(run, "doc_id long, version long, hash string, kind string", "version long, hash string", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all that is there now; what it published, as a table."""
+def drain(stream: DataFrame, name: str, out: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now; what it published, as a table.
+    ``out`` names the folder of an earlier run, whose checkpoint this one takes up."""
     spark = stream.sparkSession
-    out = shared_path(spark, name)
+    out = out or shared_path(spark, name)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
