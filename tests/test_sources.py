@@ -109,3 +109,22 @@ def test_dump_rows_reads_its_layout_and_refuses_others(spark, tmp_path):
     for k, rest in enumerate(odd):
         with pytest.raises(Exception, match="cannot read this layout"):
             read(f"odd{k}.sql", f"INSERT INTO `t` VALUES{rest}")
+
+
+def test_range_from_footers(spark, tmp_path):
+    """Ends come from footers; files without statistics are read by column."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    at = str(tmp_path / "r")
+    rows = spark.range(100).selectExpr("id", "date'2024-01-01' + int(id) AS day", "timestamp_ntz'2024-01-01' + make_dt_interval(0, int(id)) AS at", "cast(null AS bigint) AS none", "string(id) AS text")
+    rows.repartition(3).write.parquet(at)
+    for column in ("id", "day", "at", "none", "text"):
+        want = rows.agg(F.min(column), F.max(column)).first()
+        assert tuple(readers.footer_range(spark, at, column).first()) == tuple(want)
+    # The last file's footer says nothing; without a look at its column 500 would be missed.
+    assert readers._footer(sorted(map(str, (tmp_path / "r").glob("*.parquet")))[0], "id") is not None
+    plain = pa.table({"id": pa.array([500], pa.int64())})
+    pq.write_table(plain, f"{at}/z.parquet", write_statistics=False)
+    assert readers._footer(f"{at}/z.parquet", "id") is None and readers._footer(f"{at}/missing.parquet", "id") is None
+    assert readers.footer_range(spark, at, "id").first()["last"] == 500

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
+from pyarrow import parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.commits import CommitLog
 
@@ -142,10 +148,59 @@ def predictions(spark: SparkSession, run: str, code: str | None = None) -> DataF
     return df if code is None else df.where(c("code") == code)
 
 
+def footer_range(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(first, last) of a number, date or time, from the footers of Parquet files.
+
+    Executors read the footers; no column is read unless some file has no
+    statistics of it or cannot be opened outside Spark. NULL where there is no value.
+    """
+    rows = spark.read.parquet(path)
+    kind = rows.schema[column].dataType
+    by_column = rows.agg(F.min(column).alias("first"), F.max(column).alias("last"))
+    if not isinstance(kind, (T.IntegralType, T.DateType, T.TimestampNTZType)):
+        return by_column
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_footer(p, column) for p in batch["path"]]
+            yield pd.DataFrame({"known": [f is not None for f in found], **{k: pd.Series([f and f[k] for f in found], dtype=object) for k in ("first", "last")}})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path")
+    footers = files.mapInPandas(read, f"known boolean, first {kind.simpleString()}, last {kind.simpleString()}")
+    ends = footers.agg(F.coalesce(F.bool_and("known"), F.lit(False)).alias("known"), F.min("first").alias("first"), F.max("last").alias("last")).first()  # one row
+    if not ends["known"]:
+        return by_column
+    return spark.createDataFrame([(ends["first"], ends["last"])], T.StructType([T.StructField(k, kind) for k in ("first", "last")]))
+
+
+def _footer(path: str, column: str) -> dict | None:
+    """Ends of a column in one file; None if its footer does not tell them."""
+    try:
+        where, name = opened(path)
+        with where.open_input_file(name) as file:
+            meta = pq.read_metadata(file)
+    except (OSError, ValueError):
+        return None
+    ends = []
+    for g in range(meta.num_row_groups):
+        chunks = [meta.row_group(g).column(k) for k in range(meta.num_columns)]
+        stats = next((x.statistics for x in chunks if x.path_in_schema == column), None)
+        if stats is not None and stats.has_min_max:
+            ends += [stats.min, stats.max]
+        elif stats is None or not stats.has_null_count or stats.null_count < meta.row_group(g).num_rows:
+            return None
+    return {"first": min(ends, default=None), "last": max(ends, default=None)}
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path; ``file:/x`` is how Hadoop writes local ones."""
+    local = path.startswith("file:/") and not path.startswith("file://")
+    return fs.FileSystem.from_uri(path.removeprefix("file:") if local else path)
+
+
 def as_of_range(spark: SparkSession, run: str) -> DataFrame:
-    """First and last time of a run, a single row; Spark answers it from the
-    files' statistics where ``spark.sql.parquet.aggregatePushdown`` is on."""
-    return predictions(spark, run).agg(F.min("as_of").alias("first"), F.max("as_of").alias("last"))
+    """First and last time of a run, a single row, from the footers of its files."""
+    return footer_range(spark, f"{run}/predictions.parquet", "as_of")
 
 
 def dump_rows(spark: SparkSession, path: str, table: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.types import StructType
 
 from tidemark.sources.commits import CommitLog
+from tidemark.sources.readers import opened
 from tidemark.sources.sinks import _fs, delete_path
 
 ITEMS = "page string, place long, id long, title string, link string"
@@ -30,13 +31,6 @@ class BadPage(ValueError):
     """A page that cannot be taken as an answer."""
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder; ``file:/x`` is how Hadoop writes local ones."""
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = path.removeprefix("file:")
-    return pafs.FileSystem.from_uri(path)
-
-
 def items_of(name: str, body: bytes) -> list[tuple]:
     """Rows of a page, or the fault that it has."""
     try:
@@ -66,7 +60,7 @@ class PageReader(DataSourceStreamReader):
         self.path = path
 
     def _names(self) -> list[str]:
-        where, top = _opened(self.path)
+        where, top = opened(self.path)
         found = where.get_file_info(pafs.FileSelector(top, allow_not_found=True))
         return sorted(f.base_name for f in found if f.is_file and f.base_name.endswith(".json") and f.base_name[0] not in "._")
 
@@ -80,7 +74,7 @@ class PageReader(DataSourceStreamReader):
         return [Page(self.path, n) for n in self._names() if start["after"] < n <= end["after"]]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        where, top = _opened(partition.path)
+        where, top = opened(partition.path)
         with where.open_input_stream(f"{top.rstrip('/')}/{partition.name}") as stream:
             yield from items_of(partition.name, stream.readall())
 
