@@ -20,7 +20,7 @@ from compare import DATA, connect, same
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, licenses, line_crf, packing, quality_rules, queries, secrets, simhash, vector_graph, warc
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, repeatable
 from tidemark.llm.components import connected_components
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -442,6 +442,31 @@ def test_bpe_against_the_library(spark, hostile, none):
     assert bpe.encode(none, RANKS, tok.PATTERN).count() == 0
 
 
+def test_bpe_of_an_input_that_changes_its_order(spark, tmp_path):
+    """Each evaluation deals the rows anew, as a rerun after a lost executor may."""
+    rows = [(k, " ".join(f"word{k * j % 97}" for j in range(50))) for k in range(60)]
+
+    def dealt(batches):
+        for part in batches:
+            yield part.sample(frac=1.0)
+
+    plain = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    df = plain.mapInPandas(dealt, plain.schema)
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe.decode(bpe.encode(df, RANKS, tok.PATTERN), RANKS).collect()} == dict(rows)
+    plain.write.parquet(str(tmp_path / "t"))
+    files = spark.read.parquet(str(tmp_path / "t"))
+    assert repeatable(files.where("doc_id > 3").select("text")) and not repeatable(files.where(F.rand() > 0.5))
+    assert not repeatable(files.repartition("text")) and not repeatable(df)
+
+
+def test_bpe_over_several_blocks(spark):
+    """Blocks of one partition keep to their own words."""
+    rows = [(k, f"first{k} " + f"some{k} text 字{k} of {k} words " * (bpe.BLOCK_BYTES // 40)) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe.decode(bpe.encode(df, RANKS, tok.PATTERN), RANKS).collect()}
+    assert got == dict(rows)
+
+
 def test_chat_is_read_back(spark):
     rng = random.Random(5)
     parts = ["\\", "###", "### ", "Assistant:", ":\n", ":", "\n", "</turn>", "<", "> ", " (again)", "a", "é"]

@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions
+from tidemark.llm.common import materialize, partitions, repeatable
 
 #: White space as Unicode has it; Python's own notion has four more characters.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -138,14 +138,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     Repeated rows and null ids stay. Words travel and are encoded once for
     each block and once for the corpus; a word in a third of all places costs
     no more than a rare one. Two passes over the texts must see the same blocks,
-    as they do of a table; a checksum of each block makes sure, and anything
-    that gives its rows in another order each time is refused.
+    as they do of files; input that may change its order, such as the result of
+    a shuffle, is written to the shared folder first, and that table stays as
+    long as the result may be read. A checksum of each block makes sure.
     """
     from pyspark import TaskContext
 
     n = partitions(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    if not repeatable(source):
+        source = materialize(source, "texts")
     arrow_id = pa.Schema.from_pandas(source.select("id").limit(0).toPandas()).field(0).type if kind not in ("bigint", "int", "string") else {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +198,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             sizes.append(values[1 : 1 + values[0]])
             ids.append(values[1 + values[0] :])
         if set(answers["check"]) - set(docs_of["check"]):
-            raise ValueError("the two passes over the texts met them in different order; write them as a table first")
+            raise ValueError("the two passes over the texts met different rows: their files changed meanwhile")
         size, flat = np.concatenate(sizes), np.concatenate(ids).astype(np.int32)
         end = np.cumsum(size)
         out = []

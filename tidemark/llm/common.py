@@ -64,6 +64,20 @@ def drop_paths(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def repeatable(df: DataFrame) -> bool:
+    """Whether ``df`` gives the same rows in the same order whenever it is evaluated.
+
+    True of deterministic projections and filters of files. Shuffles, Python
+    functions and other sources may give another order when a task runs again.
+    """
+    node = df._jdf.queryExecution().optimizedPlan()
+    if not node.deterministic():
+        return False
+    while node.getClass().getSimpleName() in ("Project", "Filter"):
+        node = node.child()
+    return node.getClass().getSimpleName() == "LogicalRelation" and node.relation().getClass().getSimpleName() == "HadoopFsRelation"
+
+
 class Scratch:
     """Intermediate tables of one operator; ``clear`` removes them.
 
