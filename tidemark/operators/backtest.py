@@ -1,7 +1,9 @@
 """One-position-per-key trade simulation in two stages.
 
 What a candidate would earn depends on its own row and the bars after it, so
-outcomes are computed for all candidates at once with windows and an equi-join.
+outcomes are computed for all candidates at once: chunks of a key's rows hold the
+highest and lowest close of runs of 1, 2, 4 ... rows, and a candidate finds the
+first row that breaks each of its levels in as many steps as there are lengths.
 Only which candidates are taken is sequential; that is one pass over the sorted
 candidates of each key, which carries the row where the position is free again.
 """
@@ -11,13 +13,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.windows import by_key, lag
 
 EPS = 1e-9
+#: Rows of a key that are searched together, beside those that may be held after them.
+CHUNK = 8192
 c = F.col
 
 
@@ -67,24 +73,113 @@ def numbered(bars: DataFrame, rule: ExitRule) -> DataFrame:
     df = bars.withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(whole), "ok": ok})
     return df.withColumns(
         {
-            "next_ok": F.min(F.when(c("ok"), c("rn"))).over(later.rowsBetween(Window.unboundedPreceding, -1)),
             "blocked": F.sum((~c("ok")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)),
             "all_blocked": F.sum((~c("ok")).cast("int")).over(whole),
             "last_close": F.last("close").over(whole),
             "last_date": F.last("date").over(whole),
         }
-    )
+    ).withColumn("next_ok", F.min(F.when(c("ok"), F.struct("rn", "open", "date", "blocked"))).over(later.rowsBetween(Window.unboundedPreceding, -1)))
+
 
+class Runs:
+    """Highest and lowest close of the runs of 1, 2, 4 ... rows from every row.
 
-def _reason(rule: ExitRule) -> Column:
-    r = c("h.close") / c("entry") - 1
-    tests = [(rule.stop_loss is not None, r <= (rule.stop_loss or 0) + EPS, "stop_loss"), (rule.take_profit is not None, r >= (rule.take_profit or 0) - EPS, "take_profit")]
-    tests.append((rule.trailing is not None, c("h.close") <= c("peak") * (1 + (rule.trailing or 0)) + EPS * c("peak"), "trailing_stop"))
-    tests.append((rule.breakeven is not None, (c("peak") / c("entry") - 1 >= (rule.breakeven or 0) - EPS) & (r <= EPS), "breakeven_stop"))
+    ``fell[k][i]`` says that within the run some close is at or under ``drop`` of
+    the highest close of the run up to it. Missing closes are passed over.
+    """
+
+    def __init__(self, close: np.ndarray, longest: int, drop=None) -> None:
+        missing = np.isnan(close)
+        self.high = [np.where(missing, np.finfo(np.float64).min, close)]
+        self.low = [np.where(missing, np.inf, close)]
+        self.fell = [self.low[0] <= drop(self.high[0])] if drop else []
+        step = 1
+        while 2 * step <= min(longest, len(close)):
+            high, low = self.high[-1], self.low[-1]
+            if drop:
+                fell = self.fell[-1]
+                self.fell.append(fell[:-step] | fell[step:] | (low[step:] <= drop(high[:-step])))
+            self.high.append(np.maximum(high[:-step], high[step:]))
+            self.low.append(np.minimum(low[:-step], low[step:]))
+            step *= 2
+
+    def first(self, at: np.ndarray, end: np.ndarray, breaks, peak: np.ndarray | None = None) -> np.ndarray:
+        """First rows from ``at`` that break, else ``end``.
+
+        ``breaks(k, at, peak)`` says whether a row of the run of 2**k rows breaks;
+        ``peak`` rises with the highest close of the rows passed.
+        """
+        for k in reversed(range(len(self.high))):
+            fits = at + (1 << k) <= end
+            i = np.where(fits, at, 0)
+            free = fits & ~breaks(k, i, peak)
+            if peak is not None:
+                peak = np.where(free, np.maximum(peak, self.high[k][i]), peak)
+            at = at + (free << k)
+        return at
+
+
+@np.errstate(all="ignore")
+def first_hits(rule: ExitRule, close: np.ndarray, under: np.ndarray, t: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, reason) at which candidates of rows ``t`` decide to leave; row -1: never.
+
+    Of rules that meet at one row the first in the order below names the reason. An
+    entry price that is not above zero breaks no price level.
+    """
+    priced = entry > 0
+    entry = np.where(priced, entry, np.nan)
+    drop = (lambda p: p * (1 + rule.trailing) + EPS * p) if rule.trailing is not None and rule.trailing >= -1 else None
+    runs = Runs(close, rule.max_hold, drop)
+    start = t + 1
+    end = np.minimum(start + rule.max_hold, len(close))
+    gain = lambda x: x / entry - 1
+    found = []
+    if rule.stop_loss is not None:
+        found.append(("stop_loss", runs.first(start, end, lambda k, i, _: gain(runs.low[k][i]) <= rule.stop_loss + EPS)))
+    if rule.take_profit is not None:
+        found.append(("take_profit", runs.first(start, end, lambda k, i, _: gain(runs.high[k][i]) >= rule.take_profit - EPS)))
+    if drop:
+        found.append(("trailing_stop", runs.first(start, end, lambda k, i, peak: priced & (runs.fell[k][i] | (runs.low[k][i] <= drop(peak))), entry)))
+    if rule.breakeven is not None:
+        # a peak that starts at the entry price has reached a gain of zero
+        risen = start if rule.breakeven <= EPS else runs.first(start, end, lambda k, i, _: gain(runs.high[k][i]) >= rule.breakeven - EPS)
+        found.append(("breakeven_stop", runs.first(risen, end, lambda k, i, _: gain(runs.low[k][i]) <= EPS)))
     if rule.ma_exit:
-        tests.append((True, c("h.close") < c(f"h.{rule.ma_exit}"), "ma_exit"))
-    tests.append((True, c("h.rn") - c("t") >= rule.max_hold, "time"))
-    return F.coalesce(*(F.when(test, F.lit(name)) for on, test, name in tests if on))
+        ahead = np.append(np.minimum.accumulate(np.where(under, np.arange(len(close)), len(close))[::-1])[::-1], len(close))
+        found.append(("ma_exit", ahead[start]))
+    found.append(("time", t + rule.max_hold))
+    rows = np.stack([np.where(row < end, row, len(close)) for _, row in found])
+    best = rows.argmin(0)
+    row = rows[best, np.arange(len(t))]
+    return np.where(row < len(close), row, -1), np.array([name for name, _ in found])[best]
+
+
+def decided(rows: DataFrame, rule: ExitRule) -> DataFrame:
+    """Candidates of ``rows`` with what they decide: reason, date and next tradeable row.
+
+    A key's rows are taken in chunks, each with the ``max_hold`` rows after it.
+    """
+    place = c("rn") - 1
+    chunk = F.floor(place / CHUNK).cast("int")
+    spread = rows.withColumn("chunk", F.explode(F.when(place % CHUNK < rule.max_hold, F.array(chunk, chunk - 1)).otherwise(F.array(chunk)))).where("chunk >= 0")
+    names = [x for x in rows.columns if x not in ("signal_row", "under", "next_ok")]
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        number = lambda x: table[x].cast(pa.float64()).to_numpy()
+        here = (table["rn"].to_numpy() - 1) // CHUNK == table["chunk"].to_numpy()
+        t = np.flatnonzero(here & table["signal_row"].to_numpy())
+        row, reason = first_hits(rule, number("close"), table["under"].to_numpy(), t, number("entry")[t])
+        mine = table.take(t)
+        none = (row < 0) | mine["skip"].is_valid().to_numpy()
+        at = pa.array(row, mask=none)
+        out = [mine[x] for x in names] + [pa.array(reason, pa.string(), mask=none), *(table[x].take(at) for x in ("date", "blocked", "next_ok"))]
+        return pa.table(out, [*names, "decide_reason", "decide_date", "decide_blocked", "decide_next"])
+
+    schema = T.StructType([rows.schema[x] for x in names]).add("decide_reason", "string")
+    for name, like in (("decide_date", "date"), ("decide_blocked", "blocked"), ("decide_next", "next_ok")):
+        schema = schema.add(name, rows.schema[like].dataType)
+    return spread.groupBy("ticker", "chunk").applyInArrow(search, schema)
 
 
 def outcomes(bars: DataFrame, rule: ExitRule, signal: str = "signal", delisted: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -103,17 +198,12 @@ def outcomes(bars: DataFrame, rule: ExitRule, signal: str = "signal", delisted:
         raw = _raw(bars, "close")
         skip = skip.when((raw > 0) & (F.lead(_raw(bars, "open")).over(w) >= raw * (1 + rule.limit_up) - EPS), "limit_up")
     rows = b.withColumns({"skip": skip, "entry": entry, "entry_date": F.lead("date").over(w)})
-    cand = rows.where(signal).select("ticker", c("rn").alias("t"), c("date").alias("signal_date"), "entry", "entry_date", "skip", "n", "last_close", "last_date", "all_blocked", *carry)
-    held = cand.where("skip is null").select("ticker", "t", "entry", F.explode(F.sequence(c("t") + 1, F.least(c("t") + rule.max_hold, c("n")))).alias("k"))
-    extra = [rule.ma_exit] if rule.ma_exit else []
-    h = b.select("ticker", "rn", "date", "close", "next_ok", "blocked", *extra)
-    path = held.alias("c").join(h.alias("h"), (c("c.ticker") == c("h.ticker")) & (c("c.k") == c("h.rn")))
-    order = Window.partitionBy("c.ticker", "t").orderBy("h.rn").rowsBetween(Window.unboundedPreceding, 0)
-    path = path.withColumn("peak", F.greatest(c("entry"), F.max("h.close").over(order)))
-    hit = F.struct(c("h.rn").alias("decide"), _reason(rule).alias("reason"), c("h.date").alias("decide_date"), c("h.next_ok").alias("exit"), c("h.blocked").alias("blocked"))
-    decided = path.select("c.ticker", "t", _reason(rule).alias("why"), hit.alias("hit")).where("why is not null").groupBy("ticker", "t").agg(F.min("hit").alias("hit"))
-    fill = b.select("ticker", c("rn").alias("exit"), c("open").alias("exit_open"), c("date").alias("exit_day"), c("blocked").alias("exit_blocked"))
-    full = cand.join(decided.select("ticker", "t", "hit.*"), ["ticker", "t"], "left").join(fill, ["ticker", "exit"], "left")
+    under = F.coalesce(c("close") < c(rule.ma_exit), F.lit(False)) if rule.ma_exit else F.lit(False)
+    parts = ("ticker", "rn", "date", "close", "entry", "entry_date", "skip", "n", "last_close", "last_date", "blocked", "all_blocked", "next_ok")
+    needed = rows.select(*parts, *(x for x in carry if x not in parts), F.coalesce(c(signal), F.lit(False)).alias("signal_row"), under.alias("under"))
+    full = decided(needed, rule).withColumns(
+        {"t": c("rn"), "signal_date": c("date"), "exit": c("decide_next.rn"), "exit_open": c("decide_next.open"), "exit_day": c("decide_next.date"), "exit_blocked": c("decide_next.blocked")}
+    )
     late = c("exit").isNull()
     gone = F.lit("end_of_data")
     if delisted is not None:
@@ -130,10 +220,10 @@ def outcomes(bars: DataFrame, rule: ExitRule, signal: str = "signal", delisted:
         F.when(taken, F.coalesce("exit", "n")).alias("x"),
         F.when(taken, F.when(late, c("last_date")).otherwise(c("exit_day"))).alias("exit_date"),
         F.when(taken, F.when(late, c("last_close")).otherwise(c("exit_open"))).alias("exit_price"),
-        F.when(taken, F.when(late, gone).otherwise(c("reason"))).alias("exit_reason"),
-        F.when(taken, F.when(c("decide").isNull(), 0).otherwise(F.coalesce("exit_blocked", "all_blocked") - c("blocked"))).alias("exit_retries"),
+        F.when(taken, F.when(late, gone).otherwise(c("decide_reason"))).alias("exit_reason"),
+        F.when(taken, F.when(c("decide_reason").isNull(), 0).otherwise(F.coalesce("exit_blocked", "all_blocked") - c("decide_blocked"))).alias("exit_retries"),
         F.when(taken, late).alias("exit_at_close"),
-        F.when(taken, c("decide_date")).alias("exit_signal_date"),
+        c("decide_date").alias("exit_signal_date"),
         *carry,
     )
 
