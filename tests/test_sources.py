@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import indicators
 from tidemark.sources import readers, sinks
 from tidemark.streaming import streams
 
@@ -111,6 +112,47 @@ def test_dump_rows_reads_its_layout_and_refuses_others(spark, tmp_path):
             read(f"odd{k}.sql", f"INSERT INTO `t` VALUES{rest}")
 
 
+def test_prepared_table_follows_its_files_and_keeps_its_key(spark, tmp_path):
+    """A changed, added or removed file rebuilds; windows of the key need no exchange."""
+    at, raw = str(tmp_path / "kept"), tmp_path / "raw"
+    rows = spark.range(200).selectExpr("concat('k', id % 7) AS ticker", "id AS date", "double(id) AS close")
+    rows.repartition(2).write.parquet(str(raw))
+    build = lambda: spark.read.parquet(str(raw))
+
+    def kept(order=("date",)):
+        return sinks.prepared(spark, at, {"n": 1}, build, (str(raw),), "ticker", order, 4)
+
+    def plan(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert [kept()[1], kept()[1], kept(("close",))[1]] == [False, True, False]
+    sma = lambda df: df.select("ticker", "date", indicators.sma(3).alias("x"))
+    assert "Exchange" not in plan(sma(kept()[0])) and "Exchange" in plan(sma(build()))
+    assert sorted(sma(kept()[0]).collect()) == sorted(sma(build()).collect())
+    # another session knows the files only
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("prepared_")]:
+        spark.sql(f"DROP TABLE {name}")
+    again, there = kept()
+    assert there and "Exchange" not in plan(sma(again)) and again.count() == 200
+    part = sorted(raw.glob("*.parquet"))[0]
+    os.utime(part, (1, 1))
+    assert [kept()[1], kept()[1]] == [False, True]
+    rows.limit(1).write.mode("append").parquet(str(raw))
+    got, there = kept()
+    assert not there and got.count() == 201
+    part.unlink()
+    got, there = kept()
+    held = got.count()
+    assert not there and held == build().count() < 201
+    # a build that was cut off leaves files without the mark of success
+    for mark in (tmp_path / "kept").glob("*/_SUCCESS"):
+        mark.unlink()
+    again, there = kept()
+    assert not there and again.count() == held
+
+
+
 def test_range_from_footers(spark, tmp_path):
     """Ends come from footers; files without statistics are read by column."""
     import pyarrow as pa

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import documents as dc
+from tidemark.operators import indicators as ind
+from tidemark.plans.market import s_mean
 from tidemark.schema import DOCS_SQL, EBARS_SQL, INDEX_SQL, doc_versions, ebars, index_frame, market_of, table
 from tidemark.sources import readers as rd
 from tidemark.sources import sinks as sk
@@ -118,6 +120,16 @@ def store_prepared(spark, d):
     return again.withColumns({"before": F.lit(before), "after": F.lit(after)})
 
 
+def store_keyed(spark, d):
+    """Bars stored by key for as long as their events stay; the mean reads them without an exchange."""
+    at = shared_path(spark, "keyed")
+    build = lambda: ebars(spark, d).select("ticker", "date", "close")
+    keep = {"sources": (f"{d}/events.parquet",), "key": "ticker", "order": ("date",)}
+    _, before = sk.prepared(spark, at, {"bars": "hourly"}, build, **keep)
+    again, after = sk.prepared(spark, at, {"bars": "hourly"}, build, **keep)
+    return again.select("ticker", "date", F.round(ind.sma(5), 6).alias("sma"), F.lit(before).alias("before"), F.lit(after).alias("after"))
+
+
 def store_raw_json(spark, d):
     """Raw bodies appended twice as compressed JSON lines, then decoded."""
     at = shared_path(spark, "json")
@@ -239,7 +251,7 @@ def snapshot_faults(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (store_daily_bars, store_raw_daily, store_index, store_sectors, store_optional, store_minutes, manifest_check, store_documents, store_two_phase, store_prepared, store_raw_json, store_feed, store_dump)
+    for f in (store_daily_bars, store_raw_daily, store_index, store_sectors, store_optional, store_minutes, manifest_check, store_documents, store_two_phase, store_prepared, store_keyed, store_raw_json, store_feed, store_dump)
     + (store_predictions, store_coverage, store_revisions, store_commits, store_influence, snapshot_faults)
 }
 
@@ -256,6 +268,7 @@ SQL = {
     "store_documents": f"WITH {DOCS_SQL} SELECT CAST(doc_id AS VARCHAR) AS doc_id, max(version) AS version, count(*) AS n FROM docs WHERE version < 4 GROUP BY 1",
     "store_two_phase": "SELECT strftime(o_orderdate, '%Y') AS year, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, 1 AS finished, 1 AS discarded FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1",
     "store_prepared": f'WITH {EBARS_SQL}, {INDEX_SQL} SELECT market, count(*) AS rows, false AS "before", true AS "after" FROM idx GROUP BY 1',
+    "store_keyed": f"""WITH {EBARS_SQL} SELECT ticker, date, round({s_mean('close', 5)}, 6) AS sma, false AS "before", true AS "after" FROM ebars""",
     "store_raw_json": "SELECT n_name AS title, 'http://x/' || n_nationkey AS link, 1704067200 AS at FROM nation WHERE n_regionkey <> 2",
     "store_feed": "SELECT n_name AS title, CASE WHEN n_nationkey % 2 = 1 THEN 'a' || n_nationkey WHEN n_nationkey % 3 <> 0 THEN 'u' || n_nationkey END AS link, CASE WHEN n_nationkey % 2 = 1 THEN 'e' END AS published FROM nation UNION ALL SELECT 'two', 'v' || n_nationkey, 'd' FROM nation WHERE n_nationkey % 2 = 0",
     "store_dump": "SELECT n_nationkey AS k, n_name || ', p' AS name, true AS none FROM nation",

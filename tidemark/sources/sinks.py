@@ -143,15 +143,48 @@ def recover_months(spark: SparkSession, path: str) -> tuple[int, int]:
     return finished, discarded
 
 
-def prepared(spark: SparkSession, path: str, fingerprint: dict, build) -> tuple[DataFrame, bool]:
-    """(table, whether it was there): a result kept under a hash of what it depends on."""
-    key = hashlib.sha256(json.dumps(fingerprint, sort_keys=True).encode()).hexdigest()[:16]
-    where = f"{path}/{key}.parquet"
+def files_state(spark: SparkSession, *paths: str) -> str:
+    """What identifies the present files under ``paths``: names, sizes and times of change.
+
+    Only the listing is read, and it is summed up in executors. Hidden files, and the
+    order of listing, do not count.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    mark = F.xxhash64("path", "length", "modificationTime")
+    found = files.agg(F.count("*"), F.sum("length"), F.bit_xor(mark), F.sum(mark.cast("decimal(20)"))).first()
+    return ",".join(map(str, found))
+
+
+def prepared(spark: SparkSession, path: str, fingerprint: dict, build, sources: tuple[str, ...] = (), key: str | None = None, order: tuple[str, ...] = (), buckets: int | None = None) -> tuple[DataFrame, bool]:
+    """(table, whether it was there): a result kept under a hash of what it depends on.
+
+    ``sources`` are paths whose files count too: a file that is added, taken away or
+    written again makes a new table. With a ``key`` the table is bucketed by it and
+    sorted by it and ``order``, so that windows and groups of the key read it
+    without an exchange; all rows of a key lie in one bucket.
+    """
+    depends = fingerprint | {"files": files_state(spark, *sources)} if sources else fingerprint
+    layout = {"key": key, "order": list(order), "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))} if key else {}
+    name = hashlib.sha256(json.dumps([depends, layout] if key else depends, sort_keys=True).encode()).hexdigest()[:16]
+    where = f"{path}/{name}.parquet"
     fs, target = _fs(spark, f"{where}/_SUCCESS")
     there = fs.exists(target)
+    if not key:
+        if not there:
+            build().write.mode("overwrite").parquet(where)
+        return spark.read.parquet(where), there
+    # Buckets are known to the catalogue only, which may be a new one; the files say the rest.
+    table = f"prepared_{hashlib.sha256(where.encode()).hexdigest()[:16]}"
     if not there:
-        build().write.mode("overwrite").parquet(where)
-    return spark.read.parquet(where), there
+        n = layout["buckets"]
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete_path(spark, where)  # what a build that was cut off has left
+        build().repartition(n, key).write.mode("overwrite").option("path", where).bucketBy(n, key).sortBy(key, *order).saveAsTable(table)
+    elif not spark.catalog.tableExists(table):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(where).schema)
+        sort = ", ".join(f"`{x}`" for x in (key, *order))
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY ({sort}) INTO {layout['buckets']} BUCKETS LOCATION '{where}'")
+    return spark.table(table), there
 
 
 def append_raw(rows: DataFrame, path: str) -> None:
