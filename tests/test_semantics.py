@@ -481,3 +481,19 @@ def test_random_entries_keep_off_warm_up_and_beyond_the_period(spark):
     assert (r["n"], r["random_mean"], r["percentile"]) == (1, 0.0, 1.0)
     assert run("2024-01-03 00:00:00", "2024-01-03 00:00:00") is None  # warm-up only
     assert abs(run(None, None)["random_mean"]) > 1
+
+
+def test_entry_at_zero_is_an_endless_gain(spark):
+    """As plain division has it; strategies and their statistics count such a trade."""
+    close = np.array([100.0, 0.0, 100.0, np.nan, 90.0])
+    t, under = np.array([0, 1]), np.zeros(5, bool)
+    with np.errstate(all="ignore"):
+        for rule in (bt.ExitRule(3, -0.5, 0.5), bt.ExitRule(3, -0.5, trailing=-0.1), bt.ExitRule(3, -0.5, breakeven=0.0)):
+            row, reason = bt.first_hits(rule, close, under, t, np.zeros(2))
+            assert [(int(a), str(b)) for a, b in zip(row, reason)] == [slow_hit(rule, close, under, k, np.float64(0)) for k in t]
+    df = spark.createDataFrame([("a", 0.0, 5.0), ("b", 0.0, 0.0), ("c", 4.0, 5.0), ("d", None, 5.0)], "k string, entry double, exit double")
+    got = {r["k"]: r["r"] for r in df.select("k", stats.ratio(F.col("exit"), F.col("entry")).alias("r")).collect()}
+    assert got["a"] == float("inf") and np.isnan(got["b"]) and got["c"] == 1.25 and got["d"] is None
+    trades = spark.createDataFrame([("s", float("inf"), False), ("s", 0.5, False)], "strategy string, excess_ret double, excluded boolean")
+    (t,) = an.t_statistics(trades).collect()
+    assert t["n"] == 2 and np.isnan(t["t"])

@@ -58,6 +58,12 @@ def binomial_pvalue(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else binomial_upper(int(a), int(b)) for a, b in zip(k, n)], dtype="float64")
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b by floating-point rules: over zero it is endless, zero over zero no number."""
+    over_zero = F.when(F.isnan(a) | (a == 0), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.when(b == 0, over_zero).otherwise(F.try_divide(a, b))
+
+
 def uniform(*key: Column | str) -> Column:
     """A number from 0 to 1 that depends on the key only, in any engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 12), 16, 10).cast("double") / float(2**48)

@@ -136,7 +136,9 @@ def random_benchmark(trades: DataFrame, bars: DataFrame, index: DataFrame, marke
     first, last = (b.select("ticker", c("rn").alias(k), c("o").alias(f"o_{k}"), c("i").alias(f"i_{k}")) for k in "az")
     made = draws.join(first, ["ticker", "a"]).join(last, ["ticker", "z"])
     excess = F.try_divide("o_z", "o_a") - 1 - cost - (F.try_divide("i_z", "i_a") - 1)
-    exact = lambda x: F.avg(F.round(x, 9).cast("decimal(20,9)")).cast("double")
+    finite = lambda x: F.abs(x) < float("inf")
+    # Exact decimal sums; a value that is not finite makes the mean what it makes any mean.
+    exact = lambda x: F.when(F.count_if(~finite(x)) > 0, F.avg(x)).otherwise(F.avg(F.when(finite(x), F.round(x, 9)).cast("decimal(20,9)")).cast("double"))
     means = made.groupBy(key, "draw").agg(exact(excess).alias("mean"))
     actual = every.groupBy(key).agg(exact(c("excess_ret")).alias("actual"))
     share = F.avg(F.when(c("mean") < c("actual"), 1.0).when(c("mean") == c("actual"), 0.5).otherwise(0.0))
