@@ -102,3 +102,17 @@ def test_faults_of_a_page(body):
         pages.items_of("p", body.encode())
 
 
+
+
+def test_many_pages_are_few_tasks(spark, tmp_path):
+    folder, store = str(tmp_path / "pages"), str(tmp_path / "store")
+    rows = [(f"p{k:05d}", 1, [(k, None if k % 2 else f"t{k}")]) for k in range(600)]
+    delivered = spark.createDataFrame(rows, "name string, total long, items array<struct<id: long, title: string>>")
+    pages.deliver(delivered.where("name < 'p00300'"), folder)
+    pages.deliver(delivered, folder)  # replaces the first ones
+    assert sorted(p.name for p in (tmp_path / "pages").iterdir() if p.name[0] not in "._") == [f"p{k:05d}.json" for k in range(600)]
+    parts = pages.PageReader(folder).partitions({"after": ""}, {"after": "p00598.json"})
+    assert len(parts) == -(-599 // pages.TOGETHER) and sum(len(list(pages.PageReader(folder).read(p))) for p in parts) == 599
+    assert pages.refresh(spark, folder, store)["status"] == "ok"
+    got = CommitLog(spark, f"{store}/rows").read().orderBy("id").collect()
+    assert [(r["page"], r["place"], r["id"], r["title"]) for r in got] == [(f"p{k:05d}.json", 0, k, None if k % 2 else f"t{k}") for k in range(600)]

@@ -16,14 +16,17 @@ from collections.abc import Iterator, Sequence
 
 from pyarrow import fs as pafs
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tidemark.sources.commits import CommitLog
 from tidemark.sources.readers import opened
-from tidemark.sources.sinks import _fs, delete_path
+from tidemark.sources.sinks import _fs
 
+#: Pages that one task reads.
+TOGETHER = 256
 ITEMS = "page string, place long, id long, title string, link string"
 
 
@@ -44,15 +47,15 @@ def items_of(name: str, body: bytes) -> list[tuple]:
     return rows
 
 
-class Page(InputPartition):
-    def __init__(self, path: str, name: str) -> None:
-        super().__init__(name)
-        self.path, self.name = path, name
+class Pages(InputPartition):
+    def __init__(self, path: str, names: list[str]) -> None:
+        super().__init__(names[0])
+        self.path, self.names = path, names
 
 
 class PageReader(DataSourceStreamReader):
     """The offset is the name of the last page taken; the driver lists names,
-    executors read and check the pages, one task each. Old pages may be removed:
+    executors read and check the pages, ``TOGETHER`` in a task. Old pages may be removed:
     if the newest is among them, the offset falls back to what is left, and only
     what is delivered afterwards is read."""
 
@@ -71,12 +74,14 @@ class PageReader(DataSourceStreamReader):
         return {"after": max(self._names(), default="")}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        return [Page(self.path, n) for n in self._names() if start["after"] < n <= end["after"]]
+        names = [n for n in self._names() if start["after"] < n <= end["after"]]
+        return [Pages(self.path, names[k : k + TOGETHER]) for k in range(0, len(names), TOGETHER)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[tuple]:
         where, top = opened(partition.path)
-        with where.open_input_stream(f"{top.rstrip('/')}/{partition.name}") as stream:
-            yield from items_of(partition.name, stream.readall())
+        for name in partition.names:
+            with where.open_input_stream(f"{top.rstrip('/')}/{name}") as stream:
+                yield from items_of(name, stream.readall())
 
     def commit(self, end: dict) -> None:
         pass
@@ -98,19 +103,23 @@ class PageSource(DataSource):
 
 def deliver(pages: DataFrame, folder: str) -> None:
     """Write (name, total, items) rows as pages of those names; a page of the
-    same name is replaced. Each becomes a file of its own, put in place by the
-    driver, as a collector would: meant for one delivery at a time."""
-    spark, staged = pages.sparkSession, f"{folder}-{uuid.uuid4().hex}.tmp"
-    pages.write.partitionBy("name").option("maxRecordsPerFile", 1).json(staged)
-    fs, top = _fs(spark, staged)
-    fs.mkdirs(_fs(spark, folder)[1])
-    for made in fs.listStatus(top):
-        if made.isDirectory():
-            name = made.getPath().getName().removeprefix("name=")
-            (body,) = [f.getPath() for f in fs.listStatus(made.getPath()) if f.getPath().getName().endswith(".json")]
-            fs.delete(_fs(spark, f"{folder}/{name}.json")[1], False)
-            fs.rename(body, _fs(spark, f"{folder}/{name}.json")[1])
-    delete_path(spark, staged)
+    same name is replaced. Executors write each as a file of its own under a name
+    that no reader takes and then put it in place: meant for one delivery at a time."""
+
+    def put(rows: Iterator[Row]) -> None:
+        where, top = opened(folder)
+        for name, body in rows:
+            staged = f"{top.rstrip('/')}/_{name}-{uuid.uuid4().hex}"
+            with where.open_output_stream(staged) as stream:
+                stream.write(body.encode())
+            final = f"{top.rstrip('/')}/{name}.json"
+            if where.get_file_info(final).is_file:  # not every file system replaces
+                where.delete_file(final)
+            where.move(staged, final)
+
+    fs, top = _fs(pages.sparkSession, folder)
+    fs.mkdirs(top)
+    pages.select("name", F.to_json(F.struct(*(x for x in pages.columns if x != "name")))).foreachPartition(put)
 
 
 def page_stream(spark: SparkSession, folder: str) -> DataFrame:
