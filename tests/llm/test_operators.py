@@ -122,6 +122,24 @@ def test_simhash_components_against_brute_force(spark):
     assert len(set(root.tolist())) < len(names)
 
 
+def test_texts_that_share_a_rare_shingle_by_chance_are_no_pairs(spark):
+    """However many share one: pairs of unlike texts are left out before they are listed, alike ones never."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in rng.integers(1, 6000, 60)]
+    for a in sets:
+        b = np.unique(np.r_[rng.choice(a, max(1, int(len(a) * 0.9)), replace=False), rng.integers(0, 2**63, len(a) // 20).astype(np.uint64)])
+        differ = sum(int(x).bit_count() for x in (simhash.parities(a) ^ simhash.parities(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b))
+    rows = [(k, 0, 200, [int(x) for x in simhash.parities(np.unique(rng.integers(0, 2**63, 200).astype(np.uint64)))]) for k in range(80)]
+    rows += [(k + 100, 0, 200, rows[k][3]) for k in range(3)]
+    texts = spark.createDataFrame(rows, "own long, place int, size int, sketch array<long>")
+    places = texts.select(F.lit(7).cast("long").alias("s"), "own", "place", "size")
+    scratch = Scratch(spark)
+    pairs = simhash.open_pairs(places, spark.createDataFrame([], "node long, root long"), texts.select("own", "sketch"), 0.8, scratch).collect()
+    scratch.clear()
+    assert {tuple(r) for r in pairs} == {(k, k + 100) for k in range(3)}
+
+
 def test_near_duplicate_groups(spark):
     rng = random.Random(1)
     words = [f"w{k}" for k in range(2000)]

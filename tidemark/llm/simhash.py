@@ -36,6 +36,9 @@ TOGETHER = 2048
 #: Texts, about, from which common shingles are told, and at most so many of those.
 SAMPLE = 20_000
 COMMON = 200_000
+#: Bits, in 64-bit words, of the parities that two texts are held against before
+#: their shingles are; longer texts fill them, which lets more pairs through.
+SKETCH = 32
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -67,6 +70,16 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * ``SKETCH`` bins whether an odd number of distinct hashes falls in it.
+
+    The bins in which two sets differ are never more than the hashes that only
+    one of them has, since what both have cancels out.
+    """
+    bins = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((bins & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, fp): the signed 64-bit fingerprint of every whole text."""
 
@@ -286,10 +299,11 @@ def rarest_first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) ->
 
 
 def shingle_prints(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, fp, contents, size, prefix) of the distinct shingles of each text.
+    """(id, fp, contents, size, prefix, sketch) of the distinct shingles of each text.
 
     ``prefix`` has the first shingles in the order of ``rarest_first``: as many
     as it takes for two texts as alike as ``similarity`` to share one of them.
+    ``sketch`` has their ``parities``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,12 +317,13 @@ def shingle_prints(docs: DataFrame, id_col: str, text_col: str, words: int, simi
                     pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)),
                     pa.array(size, pa.int32()),
                     pa.array([rarest_first(s, common)[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64) for s, n in zip(sets, size)], pa.list_(pa.int64())),
+                    pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["id", "fp", "contents", "size", "prefix"],
+                ["id", "fp", "contents", "size", "prefix", "sketch"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long, contents long, size int, prefix array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long, contents long, size int, prefix array<long>, sketch array<long>")
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,15 +380,25 @@ def star_pairs(places: DataFrame, similarity: float) -> DataFrame:
     return met.where((F.col("a_id") != F.col("b_id")) & _near(similarity)).select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
 
 
-def open_pairs(places: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def _few_differ(similarity: float) -> Column:
+    """Whether the sketches differ in no more bins than shingles may at ``similarity``."""
+    bins = sum((F.bit_count(F.col("a_sketch")[k].bitwiseXOR(F.col("b_sketch")[k])) for k in range(SKETCH)), F.lit(0))
+    return bins <= (1 - similarity) / (1 + similarity) * (F.col("a_size") + F.col("b_size")) + 1e-9
+
+
+def open_pairs(places: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(a_id, b_id): every pair of texts of different groups that may reach
-    ``similarity``, by a shared prefix shingle, the sizes and the places."""
+    ``similarity``, by a shared prefix shingle, the sizes, the places and the sketches.
+
+    Texts that share a shingle by chance are as many pairs as the square of them;
+    hardly any of those gets past the sketches.
+    """
     grouped = places.join(roots, F.col("own") == F.col("node"), "left").select("s", "own", "place", "size", F.coalesce("root", "own").alias("root"))
     grouped = scratch.table(grouped, "grouped")
     mixed = grouped.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    still = scratch.table(grouped.join(mixed, "s", "left_semi"), "open")
-    a, b = (still.select("s", *(F.col(x).alias(f"{y}_{x}") for x in ("own", "place", "size", "root"))) for y in "ab")
-    on = (a["s"] == b["s"]) & (F.col("a_own") < F.col("b_own")) & (F.col("a_root") != F.col("b_root")) & _near(similarity)
+    still = scratch.table(grouped.join(mixed, "s", "left_semi").join(texts.select("own", "sketch"), "own"), "open")
+    a, b = (still.select("s", *(F.col(x).alias(f"{y}_{x}") for x in ("own", "place", "size", "root", "sketch"))) for y in "ab")
+    on = (a["s"] == b["s"]) & (F.col("a_own") < F.col("b_own")) & (F.col("a_root") != F.col("b_root")) & _near(similarity) & _few_differ(similarity)
     return a.join(b, on).select(F.col("a_own").alias("a_id"), F.col("b_own").alias("b_id")).distinct()
 
 
@@ -421,14 +446,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     SimHash proposes a first set of links, closest first, and so does each
     prefix shingle with two of its texts, which ties most of the groups
     together; neither need find all. Then every pair of texts that stand in
-    different groups and share a prefix shingle is compared, which leaves out
-    no pair at ``similarity``. Ids must not be null; an empty table gives an
+    different groups and share a prefix shingle is compared, by sketches first,
+    which leaves out no pair at ``similarity``. Ids must not be null; an empty table gives an
     empty result, and columns other than the two are not read.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(id_col, text_col)
     prints = scratch.table(shingle_prints(docs, id_col, text_col, words, similarity, shared_shingles(docs, text_col, words)), "prints")
-    texts = scratch.table(prints.groupBy("contents").agg(F.min("fp").alias("fp"), F.min("id").alias("own"), F.min("size").alias("size")), "texts")
+    texts = scratch.table(prints.groupBy("contents").agg(F.min("fp").alias("fp"), F.min("id").alias("own"), F.min("size").alias("size"), F.first("sketch").alias("sketch")), "texts")
     least = texts.groupBy("fp").agg(F.min("own").alias("first"))
     near = link_fingerprints(least.select("fp"), max_bits, blocks, match, scratch)
     ends = [least.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_id")) for x in "ab"]
@@ -438,7 +463,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = likely(near.union(equal).union(star_pairs(places, similarity)).distinct(), prints, similarity, scratch)
     near = alike(links, docs, id_col, text_col, words, similarity, scratch)
     first = scratch.table(connected_components(near, "a_id", "b_id"), "roots")
-    rest = likely(open_pairs(places, first, similarity, scratch), prints, similarity, scratch)
+    rest = likely(open_pairs(places, first, texts, similarity, scratch), prints, similarity, scratch)
     rest = alike(rest, docs, id_col, text_col, words, similarity, scratch)
     true = first.select(F.col("node").alias("a_id"), F.col("root").alias("b_id")).union(rest)
     roots = scratch.table(connected_components(true, "a_id", "b_id"), "roots")
