@@ -84,6 +84,20 @@ def test_forest_does_not_depend_on_partitions_or_missing_inputs(spark):
         QuantileForest(["a"]).fit(df.where("y is null"))
 
 
+def test_tasks_of_a_level_follow_the_cores_not_the_partitions(spark, monkeypatch):
+    seen, split = [], QuantileForest._split_level
+
+    def watched(self, table, *args):
+        seen.append(len(table.inputFiles()))
+        return split(self, table, *args)
+
+    monkeypatch.setattr(QuantileForest, "_split_level", watched)
+    rng = random.Random(8)
+    df = spark.createDataFrame([(rng.gauss(0, 1), rng.random()) for _ in range(200)], "y double, a double")
+    QuantileForest(["a"], (0.5,), rounds=2, depth=1).fit(df.repartition(40))
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism
+
+
 def test_model_beats_both_baselines_in_every_tercile(spark):
     """On the larger tables where they are there: a few hundred rows say little of coverage."""
     data = "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else DATA

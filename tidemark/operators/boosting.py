@@ -109,7 +109,8 @@ class QuantileForest:
         self.edges = [np.unique(np.array(e or [], float)) for e in found[1:]]
         self.trees: list[list[Tree]] = [[] for _ in self.levels]
         spark, since, path = rows.sparkSession, 0, shared_path(rows.sparkSession, "binned")
-        self._stored(known).write.parquet(path)
+        # Every job reads these files: one for each core, not one for each partition of the input.
+        self._stored(known.coalesce(spark.sparkContext.defaultParallelism)).write.parquet(path)
         try:
             for done in range(self.rounds):
                 table = spark.read.parquet(path)

@@ -161,19 +161,28 @@ class Forecaster:
         self.forest = QuantileForest(inputs, QUANTILES, rounds, **trees)
 
     def fit(self, train: DataFrame, valid: DataFrame) -> Forecaster:
-        known = train.where("y is not null").withColumn("up", (c("y") > 0).cast("double"))
-        self.forest.fit(known)
-        counts = known.agg(*(F.count(x).alias(x) for x in self.inputs)).first()
-        inputs = [x for x in self.inputs if counts[x]]  # one without any value has no median
-        filled = [f"_{x}" for x in inputs]
-        prepare = [Imputer(inputCols=inputs, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")]
-        rise = GBTClassifier(featuresCol="features", labelCol="up", predictionCol="_up", maxIter=min(self.rounds, 10), maxDepth=3, seed=7)
-        self.model = Pipeline(stages=[*prepare, rise]).fit(known)
-        later = self._raw(valid.where("y is not null")).withColumn("up", (c("y") > 0).cast("double"))
-        self.calibrator = IsotonicRegression(featuresCol="p_raw", labelCol="up", predictionCol="p_up").fit(later)
-        outside = F.greatest(c("bands")[0] - c("y"), c("y") - c("bands")[len(QUANTILES) - 1])
-        share = QUANTILES[-1] - QUANTILES[0]
-        self.widen = max(0.0, later.agg(F.percentile_approx(outside, F.lit(share), F.lit(100_000))).first()[0] or 0.0)
+        # Some hundred jobs read the first part: it is dealt to as many tasks as there are cores and kept.
+        cores = train.sparkSession.sparkContext.defaultParallelism
+        learnt = lambda df: df.where("y is not null").select("y", *self.inputs).withColumn("up", (c("y") > 0).cast("double")).repartition(cores)
+        known = learnt(train).persist()
+        try:
+            self.forest.fit(known)
+            counts = known.agg(*(F.count(x).alias(x) for x in self.inputs)).first()
+            inputs = [x for x in self.inputs if counts[x]]  # one without any value has no median
+            filled = [f"_{x}" for x in inputs]
+            prepare = [Imputer(inputCols=inputs, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")]
+            rise = GBTClassifier(featuresCol="features", labelCol="up", predictionCol="_up", maxIter=min(self.rounds, 10), maxDepth=3, seed=7)
+            self.model = Pipeline(stages=[*prepare, rise]).fit(known)
+        finally:
+            known.unpersist()
+        later = self._raw(learnt(valid)).persist()
+        try:
+            self.calibrator = IsotonicRegression(featuresCol="p_raw", labelCol="up", predictionCol="p_up").fit(later)
+            outside = F.greatest(c("bands")[0] - c("y"), c("y") - c("bands")[len(QUANTILES) - 1])
+            share = QUANTILES[-1] - QUANTILES[0]
+            self.widen = max(0.0, later.agg(F.percentile_approx(outside, F.lit(share), F.lit(100_000))).first()[0] or 0.0)
+        finally:
+            later.unpersist()
         return self
 
     def _raw(self, df: DataFrame) -> DataFrame:
